@@ -19,6 +19,7 @@ from stormledger.functions.ranking import grouped_row_number
 from stormledger.session import WorkTables
 
 MAX_ROUNDS = 10_000
+HOPS_PER_ROUND = 4
 
 # km/h by road class, and for the other kinds of link.
 CLASS_KPH = [
@@ -160,13 +161,16 @@ def components(links: DataFrame, scenario: list[str] | None = None) -> DataFrame
     """
     scn = scenario or []
     work = WorkTables(links.sparkSession, "components")
-    edges = work.save(
+    live = F.lit(True).alias("live")
+    edges, left = work.save_counting(
         links.select(*scn, F.col("u").alias("a"), F.col("v").alias("b")).filter("a <> b").distinct()
+        .select(*scn, "a", "b", live),
+        "live",
     )
     nodes = links.select(*scn, F.explode(F.array("u", "v")).alias("node")).distinct()
     maps: list[DataFrame] = []
     for _ in range(MAX_ROUNDS):
-        if edges.isEmpty():
+        if left == 0:
             break
         ends = F.array(
             F.struct(F.col("a").alias("n"), F.col("b").alias("m")),
@@ -183,10 +187,11 @@ def components(links: DataFrame, scenario: list[str] | None = None) -> DataFrame
         maps.append(points)
         a = points.select(*scn, F.col("n").alias("a"), F.col("to").alias("a2"))
         b = points.select(*scn, F.col("n").alias("b"), F.col("to").alias("b2"))
-        edges = work.save(
+        edges, left = work.save_counting(
             edges.join(a, [*scn, "a"]).join(b, [*scn, "b"])
             .select(*scn, F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
-            .filter("a <> b").distinct()
+            .filter("a <> b").distinct().select(*scn, "a", "b", live),
+            "live",
         )
     else:
         raise NotConverged("components")
@@ -213,13 +218,14 @@ def _jump(work: WorkTables, points: DataFrame, scn: list[str]) -> DataFrame:
     """Follow pointers to their roots, doubling the reach per round."""
     for _ in range(MAX_ROUNDS):
         hop = points.select(*scn, F.col("n").alias("to"), F.col("to").alias("next"))
-        points = work.save(
+        points, moved = work.save_counting(
             points.drop("moved").join(hop, [*scn, "to"], "left").select(
                 *scn, "n", F.coalesce("next", "to").alias("to"),
                 (F.coalesce("next", "to") != F.col("to")).alias("moved"),
-            )
+            ),
+            "moved",
         )
-        if points.filter("moved").isEmpty():
+        if moved == 0:
             return points.drop("moved")
     raise NotConverged("pointer jumping")
 
@@ -328,6 +334,7 @@ def nearest_source(
     scn = scenario or []
     work = WorkTables(links.sparkSession, "nearest")
     hops = work.save(both_ways(links))
+    cuts = None if cuts is None else work.save(cuts.select(*scn, "link_id"))
     best = ["dist", "source", "via_node", "via_link"]
     nobody = F.lit(None).cast("long")
     state = work.save(
@@ -353,13 +360,14 @@ def nearest_source(
         have = F.when(F.col("dist").isNotNull(), F.struct(*best))
         better = F.col("offer").isNotNull() & (have.isNull() | (F.col("offer") < have))
         # A source keeps itself: its null next hop orders first only against equal distances.
-        state = work.save(
+        state, changed = work.save_counting(
             state.drop("changed").join(offers, [*scn, "node"], "full_outer")
             .withColumn("better", F.coalesce(better, F.lit(False)))
             .withColumn("pick", F.when(F.col("better"), F.col("offer")).otherwise(F.struct(*best)))
-            .select(*scn, "node", *[F.col(f"pick.{c}").alias(c) for c in best], F.col("better").alias("changed"))
+            .select(*scn, "node", *[F.col(f"pick.{c}").alias(c) for c in best], F.col("better").alias("changed")),
+            "changed",
         )
-        if state.filter("changed").isEmpty():
+        if changed == 0:
             return state.drop("changed")
     raise NotConverged("nearest_source")
 
@@ -372,6 +380,7 @@ def k_nearest_sources(
     scn = scenario or []
     work = WorkTables(links.sparkSession, "k-nearest")
     hops = work.save(both_ways(links))
+    cuts = None if cuts is None else work.save(cuts.select(*scn, "link_id"))
     order = Window.partitionBy(*scn, "node").orderBy("dist", "source")
     state = sources.select(*scn, "node", "source", F.lit(0.0).alias("dist"), F.lit(True).alias("changed"))
     state = work.save(
@@ -392,10 +401,11 @@ def k_nearest_sources(
             .agg(F.min("dist").alias("dist"), F.min("old").alias("old"))
             .withColumn("changed", F.coalesce(F.col("dist") < F.col("old"), F.lit(True)))
         )
-        state = work.save(
-            merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("old")
+        state, changed = work.save_counting(
+            merged.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).drop("old"),
+            "changed",
         )
-        if state.filter("changed").isEmpty():
+        if changed == 0:
             return state.drop("changed")
     raise NotConverged("k_nearest_sources")
 
@@ -407,18 +417,34 @@ def paths(tree: DataFrame, starts: DataFrame, scenario: list[str] | None = None)
     """
     scn = scenario or []
     work = WorkTables(tree.sparkSession, "paths")
-    step = tree.filter("via_node IS NOT NULL").select(*scn, "node", "via_node", "via_link")
+    step = WorkTables(tree.sparkSession, "path-steps").save(
+        tree.filter("via_node IS NOT NULL").select(*scn, "node", "via_node", "via_link")
+    )
     here = starts.select(*scn, "item", "node")
-    for pos in range(MAX_ROUNDS):
-        hop = work.save(
-            here.join(step, [*scn, "node"]).select(
-                *scn, "item", F.lit(pos).alias("pos"), F.col("node").alias("u"),
-                F.col("via_node").alias("v"), F.col("via_link").alias("link_id"),
+    for first in range(0, MAX_ROUNDS, HOPS_PER_ROUND):
+        walked, at = here.withColumn("n0", F.col("node")).drop("node"), []
+        for i in range(HOPS_PER_ROUND):
+            nxt = step.select(
+                *scn, F.col("node").alias(f"n{i}"), F.col("via_node").alias(f"n{i + 1}"),
+                F.col("via_link").alias(f"l{i}"),
+            )
+            walked = walked.join(nxt, [*scn, f"n{i}"], "left")
+            at.append(
+                F.struct(
+                    F.lit(first + i).alias("pos"), F.col(f"n{i}").alias("u"),
+                    F.col(f"n{i + 1}").alias("v"), F.col(f"l{i}").alias("link_id"),
+                )
             )
+        hop, found = work.save_counting(
+            walked.select(*scn, "item", F.explode(F.array(*at)).alias("h"))
+            .select(*scn, "item", "h.pos", "h.u", "h.v", "h.link_id")
+            .filter("v IS NOT NULL")
+            .withColumn("last", F.col("pos") == first + HOPS_PER_ROUND - 1),
+            "last",
         )
-        if hop.isEmpty():
-            return work.union(work.paths, hop.schema)
-        here = hop.select(*scn, "item", F.col("v").alias("node"))
+        if found == 0:
+            return work.union(work.paths, hop.schema).drop("last")
+        here = hop.filter("last").select(*scn, "item", F.col("v").alias("node"))
     raise NotConverged("paths")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(app: str, cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -57,6 +58,12 @@ class WorkTables:
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def save_counting(self, df: DataFrame, flag: str) -> tuple[DataFrame, int]:
+        """Save, and count the rows with `flag` in the same job that writes them."""
+        seen = Observation()
+        saved = self.save(df.observe(seen, F.count_if(flag).alias("n")))
+        return saved, seen.get["n"]
+
     def union(self, paths: list[str], schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths)
 
