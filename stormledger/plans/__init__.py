@@ -2,7 +2,9 @@
 
 from importlib import import_module
 
-MODULES = ["hazard_queries", "risk_queries", "network_queries", "spatial_queries", "text_queries", "check_queries"]
+MODULES = [
+    "hazard_queries", "risk_queries", "network_queries", "spatial_queries", "text_queries", "check_queries", "source_queries",
+]
 
 
 def load_all() -> None:
