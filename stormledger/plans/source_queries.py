@@ -77,17 +77,18 @@ def track_lookup(spark, sf):
     return ST.lookup(axis, f.filter("step % 5 <> 0"), axis.withColumn("lat", F.lit(20.0)), ["event", "step"], ["lat"])
 
 
-@query("commented_csv", "SELECT lpad(n_nationkey::VARCHAR, 5, '0') AS code, n_name AS name, CASE WHEN n_nationkey % 3 > 0 THEN n_regionkey::VARCHAR END AS region FROM nation")
+@query("commented_csv", "SELECT lpad(c_custkey::VARCHAR, 8, '0') AS code, c_name AS name, CASE WHEN c_custkey % 3 > 0 THEN c_mktsegment END AS segment FROM customer")
 def commented_csv(spark, sf):
     path = scratch(spark, "blocks")
-    n = I.table(spark, sf, "nation")
-    lines = n.select(
-        F.concat_ws(",", F.lpad(F.col("n_nationkey").cast("string"), 5, "0"), "n_name", F.when(F.col("n_nationkey") % 3 > 0, F.col("n_regionkey").cast("string")).otherwise(F.lit("")))
+    k = F.col("c_custkey")
+    rows = I.table(spark, sf, "customer").select(
+        F.lpad(k.cast("string"), 8, "0").alias("code"), F.col("c_name").alias("name"), F.when(k % 3 > 0, F.col("c_mktsegment")).alias("segment")
     )
-    # The header of each file is its first line after the comments; one file here.
-    head = spark.range(1).select(F.explode(F.array(F.lit("# source: census"), F.lit("code,name,region"))).alias("value"))
-    head.unionByName(lines.toDF("value")).coalesce(1).write.text(path)
-    return SF.read_commented(spark, path, ["code", "name", "region"]).drop("ord")
+    lines = rows.select(F.explode(F.array(
+        F.concat(F.lit("# row of "), "name"), F.concat_ws(",", "code", "name", F.coalesce("segment", F.lit("")))
+    )).alias("value"))
+    lines.write.text(path)
+    return SF.read_commented(spark, path, ["code", "name", "segment"], header=False).drop("ord")
 
 
 @query("geojson_features", with_ctes("towers") + "SELECT 'tower-' || tid AS id, tid AS key, tx::DOUBLE AS x, ty::DOUBLE AS y FROM towers")
@@ -316,33 +317,38 @@ def bulletin_manifest(spark, sf):
     return b.select("id", "body.turns", F.col("body.first.value").alias("first_user"), F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
-@query(
-    "file_hashes",
-    "SELECT count(*) AS files, true AS all_match FROM nation",
-)
+@query("file_hashes", "SELECT s_suppkey AS k, true AS matches FROM supplier")
 def file_hashes(spark, sf):
-    """Files of one row each, hashed again from their bytes and compared with the manifest."""
+    """One file per supplier, hashed again from its bytes and compared with the manifest."""
     path = scratch(spark, "files")
-    n = I.table(spark, sf, "nation").select("n_name", "n_nationkey")
-    n.select("n_name", F.col("n_nationkey").cast("string").alias("value")).write.partitionBy("n_name").text(path)
-    got = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    name = F.regexp_extract("path", "n_name=([^/]+)/", 1)
-    stored = got.select(name.alias("n_name"), F.sha2("content", 256).alias("sha256"))
-    want = n.select("n_name", F.sha2(F.concat(F.col("n_nationkey").cast("string"), F.lit("\n")).cast("binary"), 256).alias("sha256"))
-    both = want.join(stored.withColumnRenamed("sha256", "got"), "n_name", "left")
-    return both.agg(F.count(F.lit(1)).alias("files"), F.bool_and(F.col("sha256").eqNullSafe(F.col("got"))).alias("all_match"))
+    n = I.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("value"))
+    n.write.partitionBy("k").text(path)
+    stored = SR.file_hashes(spark, path, "k=([0-9]+)/").select(F.col("key").cast("long").alias("k"), F.col("sha256").alias("got"))
+    want = n.select("k", F.sha2(F.concat("value", F.lit("\n")).cast("binary"), 256).alias("sha256"))
+    return want.join(stored, "k", "left").select("k", F.col("sha256").eqNullSafe(F.col("got")).alias("matches"))
+
+
+_GLAT = r_sql(f"({r_sql('21.5e0 + r * 0.24e0', 5)} + {r_sql(r_sql('21.5e0 + r * 0.24e0', 5) + ' + 0.24e0', 5)}) / 2e0", 5)
 
 
-@query("regular_grid", "SELECT 5 AS rows, count(*) AS cells FROM part WHERE p_size >= 0 GROUP BY 1")
+@query(
+    "regular_grid",
+    f"""WITH g AS (SELECT p_partkey, p_size, 5 * p_partkey // (SELECT count(*) FROM part) AS r FROM part)
+        SELECT p_partkey AS k, r, {_GLAT} AS lat, CASE WHEN p_size > 20 THEN p_size::DOUBLE END AS measured FROM g""",
+)
 def regular_grid(spark, sf):
-    """A grid of 5 rows with a cell per part, heights from the table where it has them."""
-    n = I.table(spark, sf, "part").count() // 5
-    heights = I.table(spark, sf, "part").select(
-        F.format_string("c%02d%02d", F.floor(F.col("p_partkey") / n).cast("int"), (F.col("p_partkey") % n).cast("int")).alias("cell_id"),
-        F.col("p_size").cast("double").alias("elevation"),
-    ).filter("elevation > 20")
-    g = OH.regular_grid(spark, 5, n, 88.0, 21.5, 89.1, 22.7, heights)
-    return g.filter("elevation IS NOT NULL").agg((F.max("r") + 1).alias("rows"), F.count(F.lit(1)).alias("cells"))
+    """A grid of five rows with a cell per part, heights from the table where it has them."""
+    parts = I.table(spark, sf, "part").select("p_partkey", "p_size")
+    cols = parts.count() // 5
+    k = F.col("p_partkey")
+    cell = F.format_string("c%02d%02d", F.floor(k / cols).cast("int"), (k % cols).cast("int"))
+    heights = parts.filter("p_size > 20").select(cell.alias("cell_id"), F.col("p_size").cast("double").alias("elevation"))
+    grid = OH.regular_grid(spark, 5, cols, 88.0, 21.5, 89.1, 22.7, heights)
+    known = heights.select("cell_id", F.lit(True).alias("known"))
+    return grid.join(known, "cell_id", "left").select(
+        (F.col("r") * cols + F.col("c")).cast("long").alias("k"), F.col("r").cast("long").alias("r"), "lat",
+        F.when(F.col("known"), F.col("elevation")).alias("measured"),
+    )
 
 
 # --- Health facilities and clips -----------------------------------------------------------------

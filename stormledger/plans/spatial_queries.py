@@ -133,9 +133,13 @@ def line_in_zone(spark, sf):
     return S.line_lengths(seg, boxes(spark, sf), 2000.0).withColumn("length_m", round_to(F.col("length_m"), 6))
 
 
-@query("zone_area", with_ctes("boxes") + "SELECT zone_id, (x1 - x0) * (y1 - y0) AS area_m2 FROM boxes")
-def zone_area(spark, sf):
-    return boxes(spark, sf).select("zone_id", S.ring_area(F.col("ring")).alias("area_m2"))
+@query("shape_area", "SELECT p_partkey AS k, p_size * (p_size + 3.5e0) * 1.5e0 AS area_m2 FROM part")
+def shape_area(spark, sf):
+    """Parallelograms of base p_size + 3.5 and height 1.5 p_size, slanted by the key."""
+    k, s = F.col("p_partkey") % 13, F.col("p_size")
+    h, w = s * F.lit(1.5), s + F.lit(3.5)
+    ring = F.array(_pt(k * 0, k * 0), _pt(w, k * 0), _pt(w + k, h), _pt(k, h))
+    return I.table(spark, sf, "part").select(F.col("p_partkey").alias("k"), round_to(S.ring_area(ring), 6).alias("area_m2"))
 
 
 CTE["towers"] = ("SELECT s_suppkey AS tid, s_suppkey * 7561 % 40000 AS tx, s_suppkey * 4409 % 40000 AS ty FROM supplier", [])

@@ -43,20 +43,24 @@ def _inner(ddl: str) -> str:
 
 
 def read_geojson(spark: SparkSession, path: str, properties: str, geometry: str, multi_line: bool = True) -> DataFrame:
-    """FeatureCollection files (multi_line) or one feature per line (at scale) to feature rows."""
-    feature = f"type: string, id: string, properties: struct<{properties}>, geometry: struct<type: string, coordinates: {geometry}>"
+    """FeatureCollection files (multi_line) or one feature per line (at scale) to feature rows.
+
+    properties: the fields as "name: type, .."; geometry: the type of the coordinates.
+    """
+    props, shape = f"struct<{properties}>", f"struct<type: string, coordinates: {geometry}>"
     if multi_line:
-        rows = spark.read.schema(f"features array<struct<{feature}>>").option("multiLine", True).json(path)
+        feature = f"struct<type: string, id: string, properties: {props}, geometry: {shape}>"
+        rows = spark.read.schema(f"features array<{feature}>").option("multiLine", True).json(path)
         return rows.select(F.explode("features").alias("f")).select("f.id", "f.properties.*", "f.geometry")
-    lines = spark.read.schema(feature.replace(": ", " ", 1).replace(", id:", ", id").replace(", properties:", ", properties").replace(", geometry: struct<type", ", geometry struct<type")).json(path)
+    lines = spark.read.schema(f"type string, id string, properties {props}, geometry {shape}").json(path)
     return lines.select("id", "properties.*", "geometry")
 
 
-def read_commented(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+def read_commented(spark: SparkSession, path: str, columns: list[str], header: bool = True) -> DataFrame:
     """CSV under a '#' comment header, every column as text (leading zeros kept), blanks as null,
     with the file order in `ord`."""
     schema = ", ".join(f"`{c}` string" for c in columns)
-    df = spark.read.csv(path, schema=schema, header=True, comment="#")
+    df = spark.read.csv(path, schema=schema, header=header, comment="#")
     return df.withColumn("ord", F.monotonically_increasing_id())
 
 

@@ -106,7 +106,7 @@ def bulletins(spark: SparkSession, path: str, schema: str, manifest: DataFrame)
     return spark.read.schema(schema).json(path).join(manifest, "id", "left")
 
 
-def file_hashes(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").load(path).select(
-        F.element_at(F.split("path", "/"), -1).alias("filename"), "length", F.sha2("content", 256).alias("sha256")
-    )
+def file_hashes(spark: SparkSession, path: str, key_pattern: str = "([^/]+)$") -> DataFrame:
+    """(key, length, sha256) of every file under a folder; the key is cut from its path."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*").load(path)
+    return files.select(F.regexp_extract("path", key_pattern, 1).alias("key"), "length", F.sha2("content", 256).alias("sha256"))
