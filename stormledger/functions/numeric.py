@@ -12,6 +12,15 @@ def dbl(x) -> Column:
     return x.cast("double") if isinstance(x, Column) else F.lit(float(x))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with `value` evaluated once per row.
+
+    Inside a higher-order function an outer expression is evaluated again for every element;
+    binding it as a lambda variable avoids that.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def round_to(x: Column, digits: int) -> Column:
     """Round half up on the binary value; the same rule in Spark and in plain SQL."""
     scale = float(10**digits)

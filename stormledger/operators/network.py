@@ -349,22 +349,18 @@ def nearest_source(
         moves = state.filter("changed").select(*scn, F.col("node").alias("n"), "dist", "source").join(hops, "n")
         if cuts is not None:
             moves = moves.join(cuts, [*scn, "link_id"], "left_anti")
-        offers = moves.groupBy(*scn, F.col("m").alias("node")).agg(
-            F.min(
-                F.struct(
-                    (F.col("dist") + F.col("tt").cast("double")).alias("dist"), "source",
-                    F.col("n").alias("via_node"), F.col("link_id").alias("via_link"),
-                )
-            ).alias("offer")
+        offer = F.struct(
+            (F.col("dist") + F.col("tt").cast("double")).alias("dist"), "source",
+            F.col("n").alias("via_node"), F.col("link_id").alias("via_link"),
         )
-        have = F.when(F.col("dist").isNotNull(), F.struct(*best))
-        better = F.col("offer").isNotNull() & (have.isNull() | (F.col("offer") < have))
-        # A source keeps itself: its null next hop orders first only against equal distances.
+        offers = moves.select(*scn, F.col("m").alias("node"), offer.alias("pick"), F.lit(None).alias("old"))
+        known = state.select(*scn, "node", F.struct(*best).alias("pick"), F.struct(*best).alias("old"))
+        # State and offers meet in one aggregation: offers combine map-side, nothing is joined.
         state, changed = work.save_counting(
-            state.drop("changed").join(offers, [*scn, "node"], "full_outer")
-            .withColumn("better", F.coalesce(better, F.lit(False)))
-            .withColumn("pick", F.when(F.col("better"), F.col("offer")).otherwise(F.struct(*best)))
-            .select(*scn, "node", *[F.col(f"pick.{c}").alias(c) for c in best], F.col("better").alias("changed")),
+            known.unionByName(offers).groupBy(*scn, "node")
+            .agg(F.min("pick").alias("pick"), F.min("old").alias("old"))
+            .withColumn("changed", F.coalesce(F.col("pick") < F.col("old"), F.lit(True)))
+            .select(*scn, "node", *[F.col(f"pick.{c}").alias(c) for c in best], "changed"),
             "changed",
         )
         if changed == 0:

@@ -88,12 +88,20 @@ def govern(read: DataFrame) -> DataFrame:
 
 
 def triggers(read: DataFrame, keys: list[str], step: str = "step") -> DataFrame:
-    """Current, released and expected tiers side by side, one row per zone and step."""
-    now = ratchet(read.filter("horizon_h = 0").drop("horizon_h"), keys, step, "tier", "payout")
-    later = read.filter("horizon_h = 24").select(*keys, step, F.col("tier").alias("expected_tier_24h"))
-    return now.join(later, [*keys, step], "left").withColumn(
-        "expected_tier_24h", F.coalesce("expected_tier_24h", F.lit(0))
+    """Current, released and expected tiers side by side, one row per zone and step.
+
+    Both horizons are folded into one row by an aggregation, so the readings are computed once.
+    """
+    values = [c for c in read.columns if c not in (*keys, step, "horizon_h")]
+    now = F.col("horizon_h") == 0
+    wide = read.groupBy(*keys, step).agg(
+        F.max(F.when(now, F.struct(*values))).alias("now"),
+        F.max(F.when(~now, F.col("tier"))).alias("later"),
+    )
+    rows = wide.filter("now IS NOT NULL").select(
+        *keys, step, "now.*", F.coalesce("later", F.lit(0)).alias("expected_tier_24h")
     )
+    return ratchet(rows, keys, step, "tier", "payout")
 
 
 def district_totals(released: DataFrame, keys: list[str]) -> DataFrame:

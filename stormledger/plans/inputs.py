@@ -19,9 +19,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Repartition a scan that has fewer splits than the session has cores, before it is expanded."""
-    want = df.sparkSession.sparkContext.defaultParallelism
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Spread a scan that has fewer splits than the session has cores, before it is expanded.
+
+    With keys, the rows are placed by hash, so later windows and joins on those keys find the
+    expanded rows where they need them instead of shuffling them.
+    """
+    session = df.sparkSession
+    want = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    if keys:
+        return df.repartition(want, *keys)
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
 
 
@@ -65,7 +72,7 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
     col = F.floor(k / 40).cast("long")
     names = F.array(*[F.lit(e) for e in EVENTS])
-    return spread(table(spark, sf, "customer")).select(
+    return spread(table(spark, sf, "customer"), "c_custkey").select(
         k.alias("cell_id"), (k % 40).alias("r"), col.alias("c"),
         (F.lit(20.025) + (k % 40) * F.lit(0.05)).alias("lat"),
         (F.lit(86.025) + (col % 80) * F.lit(0.05)).alias("lon"),
