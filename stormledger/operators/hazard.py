@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from stormledger.functions import hazard as H
 from stormledger.functions.grid import around, at, scatter
+from stormledger.operators.joins import measured_join
 
 METRES_PER_DEGREE = (111_000.0, 111_320.0)  # latitude, longitude at the equator
 
@@ -16,8 +17,8 @@ METRES_PER_DEGREE = (111_000.0, 111_320.0)  # latitude, longitude at the equator
 def score_cells(cells: DataFrame, fixes: DataFrame, event: str = "event") -> DataFrame:
     """Wind and surge of every cell at every fix of its own event.
 
-    An equi-join on the event: the fixes of an event are its time axis (tens to hundreds of rows),
-    so the planner broadcasts them on measured size and the cells are never shuffled.
+    An equi-join on the event. The fixes of an event are its time axis (tens to hundreds of rows):
+    they are broadcast once their number has been measured, and the cells stay where they are.
     """
     f = fixes.select(
         event, "step", F.col("lat").alias("fix_lat"), F.col("lon").alias("fix_lon"),
@@ -32,7 +33,7 @@ def score_cells(cells: DataFrame, fixes: DataFrame, event: str = "event") -> Dat
         F.col("fix_lat"), F.col("fix_lon"), F.col("pressure"),
     )
     return (
-        cells.join(f, event)
+        measured_join(cells, f, [event], "cell_id")
         .withColumn("wind", wind)
         .withColumn("surge", surge)
         .drop("fix_lat", "fix_lon", "pressure", "max_wind", "radius_km", "heading")

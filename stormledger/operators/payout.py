@@ -31,32 +31,34 @@ def tier_of(value: Column, tiers: list[tuple[float, float]]) -> Column:
 def readings(
     hazard: DataFrame, overlap: DataFrame, zones: DataFrame, keys: list[str], zone: str = "zone_id"
 ) -> DataFrame:
-    """One row per zone and key: both readings, the governing metric, its tier and the payout.
+    """One row per zone, key and horizon: both readings, the governing metric, tier and payout.
 
-    hazard(cell_id, keys.., wind, surge); overlap(cell_id, zone_id, area_m2). Only pairs covering
-    at least a square kilometre count. Both hazards share one join; each percentile then works on
-    its own small histogram.
+    hazard(cell_id, keys.., wind, surge, wind_ahead, surge_ahead); overlap(cell_id, zone_id,
+    area_m2). Only pairs covering at least a square kilometre count. The four readings share one
+    join and one aggregation: grouping sets give each its own histogram of rounded values, and only
+    those are ordered.
     """
+    values = ["wind", "surge", "wind_ahead", "surge_ahead"]
+    by = [zone, *keys]
     pairs = overlap.filter(F.col("area_m2") >= MIN_OVERLAP_M2).select("cell_id", zone)
-    joined = hazard.select("cell_id", *keys, "wind", "surge").join(pairs, "cell_id")
-    tall = joined.select(
-        zone, *keys,
-        F.explode(
-            F.array(
-                F.struct(F.lit("wind").alias("metric"), F.col("wind").alias("value")),
-                F.struct(F.lit("surge").alias("metric"), F.col("surge").alias("value")),
-            )
-        ).alias("x"),
-    ).select(zone, *keys, "x.metric", "x.value")
-    read = (
-        lower_percentile(tall, [zone, *keys, "metric"], "value")
-        .groupBy(zone, *keys)
-        .agg(
-            F.coalesce(F.max(F.when(F.col("metric") == "wind", F.col("reading"))), F.lit(0.0)).alias("wind_ms"),
-            F.coalesce(F.max(F.when(F.col("metric") == "surge", F.col("reading"))), F.lit(0.0)).alias("surge_m"),
-        )
+    joined = hazard.select("cell_id", *keys, *values).join(pairs, "cell_id")
+    hist = (
+        joined.groupingSets([[*by, v] for v in values], *by, *values)
+        .agg(F.grouping_id().alias("which"), F.count(F.lit(1)).alias("n"))
+        .select(*by, "which", F.coalesce(*values).alias("value"), "n")
+    )
+    read = lower_percentile(hist, [*by, "which"], "value", weight="n")
+    # grouping_id sets a bit per column left out; the value columns are its last four bits.
+    mask = {v: 15 ^ (8 >> i) for i, v in enumerate(values)}
+    wide = read.groupBy(*by).agg(
+        *[F.coalesce(F.max(F.when(F.col("which") == m, F.col("reading"))), F.lit(0.0)).alias(v) for v, m in mask.items()]
+    )
+    both = F.array(
+        F.struct(F.lit(0).alias("horizon_h"), F.col("wind").alias("wind_ms"), F.col("surge").alias("surge_m")),
+        F.struct(F.lit(24).alias("horizon_h"), F.col("wind_ahead").alias("wind_ms"), F.col("surge_ahead").alias("surge_m")),
     )
-    return govern(read).join(zones.select(zone, "zone_name", "population"), zone).withColumn(
+    rows = wide.select(*by, F.explode(both).alias("x")).select(*by, "x.*")
+    return govern(rows).join(zones.select(zone, "zone_name", "population"), zone).withColumn(
         "sum_insured", (F.col("population") * INSURED_PER_RESIDENT).cast("decimal(18,2)")
     ).withColumn(
         "payout",

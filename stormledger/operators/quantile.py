@@ -11,8 +11,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _cumulative(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    h = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+def _cumulative(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    known = df.filter(F.col(value).isNotNull())
+    if weight is None:
+        h = known.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
+    else:  # already one row per distinct value
+        h = known.withColumnRenamed(weight, "_n")
     w = Window.partitionBy(*keys)
     return h.withColumn("_total", F.sum("_n").over(w)).withColumn(
         "_upto", F.sum("_n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
@@ -20,12 +24,16 @@ def _cumulative(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def lower_percentile(
-    df: DataFrame, keys: list[str], value: str, num: int = 9, den: int = 10, alias: str = "reading"
+    df: DataFrame, keys: list[str], value: str, num: int = 9, den: int = 10, alias: str = "reading",
+    weight: str | None = None,
 ) -> DataFrame:
-    """The ((n-1)*num div den + 1)-th smallest: with two or more rows never the lone highest."""
+    """The ((n-1)*num div den + 1)-th smallest: with two or more rows never the lone highest.
+
+    `weight` names a count column where df is already a histogram (one row per distinct value).
+    """
     rank = F.floor((F.col("_total") - 1) * num / F.lit(den)) + 1
     return (
-        _cumulative(df, keys, value)
+        _cumulative(df, keys, value, weight)
         .groupBy(*keys)
         .agg(F.min(F.when(F.col("_upto") >= rank, F.col(value))).alias(alias))
     )

@@ -36,28 +36,42 @@ def shelters_part(shelters: Column, population: Column) -> Column:
     return F.lit(1.0) - clip01(ratio(shelters * F.lit(10000.0), population) / F.lit(SHELTERS_PER_10K))
 
 
-def hazard_parts(hazard: DataFrame, overlap: DataFrame, zones: DataFrame, keys: list[str]) -> DataFrame:
+def hazard_parts(
+    hazard: DataFrame, overlap: DataFrame, zones: DataFrame, keys: list[str], horizons: dict[int, str] | None = None
+) -> DataFrame:
     """Surge share, wind part and flood severity per zone, over the whole inhabited area.
 
     Cells do not overlap, so flooded land is a plain conditional sum. One join on the cell, one
-    partial aggregation down to (zone, keys).
+    partial aggregation down to (zone, keys). horizons maps each horizon to the suffix of its
+    columns; all are summed in the same pass and unfolded from the small result.
     """
+    horizons = horizons or {0: "", 24: "_ahead"}
     area = F.col("area_m2")
-    sums = (
-        hazard.join(overlap.select("cell_id", "zone_id", "area_m2"), "cell_id")
-        .groupBy("zone_id", *keys)
-        .agg(
-            F.sum(F.when(F.col("surge") >= SURGE_LAND_M, area).otherwise(0)).alias("flooded_m2"),
-            F.sum(area * wind_part(F.col("wind"))).alias("wind_area"),
-            F.sum(area * F.col("flood_severity")).alias("flood_area"),
-        )
+    sums = hazard.join(overlap.select("cell_id", "zone_id", "area_m2"), "cell_id").groupBy("zone_id", *keys).agg(
+        F.sum(area * F.col("flood_severity")).alias("flood_area"),
+        *[
+            e
+            for h, s in horizons.items()
+            for e in (
+                F.sum(F.when(F.col(f"surge{s}") >= SURGE_LAND_M, area).otherwise(0)).alias(f"flooded_{h}"),
+                F.sum(area * wind_part(F.col(f"wind{s}"))).alias(f"wind_{h}"),
+            )
+        ],
     )
+    rows = F.array(*[
+        F.struct(F.lit(h).alias("horizon_h"), F.col(f"flooded_{h}").alias("flooded_m2"), F.col(f"wind_{h}").alias("wind_area"))
+        for h in horizons
+    ])
     land = F.col("inhabited_m2")
-    return sums.join(zones, "zone_id").select(
-        "zone_id", *keys,
-        clip01(ratio(F.col("flooded_m2"), land)).alias("surge"),
-        clip01(ratio(F.col("wind_area"), land)).alias("wind"),
-        clip01(ratio(F.col("flood_area"), land)).alias("flood"),
+    return (
+        sums.select("zone_id", *keys, "flood_area", F.explode(rows).alias("x")).select("zone_id", *keys, "flood_area", "x.*")
+        .join(zones, "zone_id")
+        .select(
+            "zone_id", *keys, "horizon_h",
+            clip01(ratio(F.col("flooded_m2"), land)).alias("surge"),
+            clip01(ratio(F.col("wind_area"), land)).alias("wind"),
+            clip01(ratio(F.col("flood_area"), land)).alias("flood"),
+        )
     )
 
 

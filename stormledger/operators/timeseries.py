@@ -13,27 +13,34 @@ from stormledger.functions.geo import forward_azimuth, haversine_m
 from stormledger.functions.numeric import round_to
 
 
+def ahead_columns(
+    df: DataFrame, keys: list[str], step: str, values: list[str], horizon_h: int = 24, step_h: int = 3
+) -> DataFrame:
+    """<value>_ahead: each value's maximum over this step and the ones within the horizon, capped at
+    the last step; every value column on its own."""
+    w = Window.partitionBy(*keys).orderBy(step).rangeBetween(0, horizon_h // step_h)
+    return df.withColumns({f"{v}_ahead": F.max(v).over(w) for v in values})
+
+
+def unfold_horizons(df: DataFrame, values: list[str], horizon_h: int = 24) -> DataFrame:
+    """Rows at horizon 0 and at `horizon_h` from values and their _ahead columns."""
+    others = [c for c in df.columns if c not in values and c not in [f"{v}_ahead" for v in values]]
+    now = F.struct(F.lit(0).alias("horizon_h"), *[F.col(v) for v in values])
+    later = F.struct(F.lit(horizon_h).alias("horizon_h"), *[F.col(f"{v}_ahead").alias(v) for v in values])
+    return df.select(*others, F.explode(F.array(now, later)).alias("x")).select(
+        *others, "x.horizon_h", *[f"x.{v}" for v in values]
+    )
+
+
 def expected_max(
     df: DataFrame, keys: list[str], step: str, values: list[str], horizon_h: int = 24,
     step_h: int = 3,
 ) -> DataFrame:
     """Each row at horizon 0 as it is, and at `horizon_h` with the maximum over the steps ahead.
 
-    Every value column takes its own maximum; the window is capped at the last step. One window,
-    one pass: both horizons are unfolded from the same row.
+    One window, one pass: both horizons are unfolded from the same row.
     """
-    w = Window.partitionBy(*keys).orderBy(step).rangeBetween(0, horizon_h // step_h)
-    ahead = df
-    for v in values:
-        ahead = ahead.withColumn(f"{v}__ahead", F.max(v).over(w))
-    others = [c for c in df.columns if c not in values]
-    now = F.struct(F.lit(0).alias("horizon_h"), *[F.col(v) for v in values])
-    later = F.struct(
-        F.lit(horizon_h).alias("horizon_h"), *[F.col(f"{v}__ahead").alias(v) for v in values]
-    )
-    return ahead.select(*others, F.explode(F.array(now, later)).alias("x")).select(
-        *others, "x.horizon_h", *[f"x.{v}" for v in values]
-    )
+    return unfold_horizons(ahead_columns(df, keys, step, values, horizon_h, step_h), values, horizon_h)
 
 
 def whole_event_max(df: DataFrame, keys: list[str], values: list[str]) -> DataFrame:

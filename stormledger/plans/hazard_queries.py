@@ -97,6 +97,11 @@ def hazard_cells(spark, sf):
     )
 
 
+def hazard_wide(spark, sf):
+    """wind, surge and their 24 h maxima per cell and step."""
+    return TS.ahead_columns(hazard_cells(spark, sf), ["cell_id", "event"], "step", ["wind", "surge"])
+
+
 def hazard_ahead(spark, sf):
     return TS.expected_max(hazard_cells(spark, sf), ["cell_id", "event"], "step", ["wind", "surge"])
 

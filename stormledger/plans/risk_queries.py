@@ -12,9 +12,10 @@ from stormledger.operators import quantile as Q
 from stormledger.operators import risk as R
 from stormledger.operators import timeseries as TS
 from stormledger.plans import inputs as I
-from stormledger.plans.hazard_queries import flood_cells, hazard_ahead, hazard_cells
+from stormledger.plans.hazard_queries import flood_cells, hazard_ahead, hazard_cells, hazard_wide
 from stormledger.plans.inputs import CTE, r_sql, with_ctes
 from stormledger.plans.registry import query
+from stormledger.session import materialise
 
 # --- Payouts -------------------------------------------------------------------------------------
 
@@ -58,8 +59,7 @@ CTE["released"] = (
 
 def zone_readings(spark, sf):
     return P.readings(
-        hazard_ahead(spark, sf), I.overlap(spark, sf).drop("event"), I.zones(spark, sf),
-        ["event", "step", "horizon_h"],
+        hazard_wide(spark, sf), I.overlap(spark, sf).drop("event"), I.zones(spark, sf), ["event", "step"],
     )
 
 
@@ -284,11 +284,13 @@ def zone_scores(spark, sf):
     """All parts, components and scores per (zone, event, step, horizon)."""
     keys = ["event", "step", "horizon_h"]
     z, o = I.zones(spark, sf), I.overlap(spark, sf).drop("event")
-    ahead = hazard_ahead(spark, sf).drop("zone_id")
+    # The layer is read twice (zones and features), so it is stored once.
+    wide = materialise(hazard_wide(spark, sf).drop("zone_id"), "hazard-layer")
     flood = flood_cells(spark, sf).select("cell_id", round_to(F.col("flood"), 2).alias("flood_severity"))
     cap = R.capacity(infra(spark, sf))
+    ahead = TS.unfold_horizons(wide, ["wind", "surge"])
     parts = (
-        R.hazard_parts(ahead.join(flood, "cell_id"), o, z, keys)
+        R.hazard_parts(wide.join(flood, "cell_id"), o, z, ["event", "step"])
         .join(R.exposure_parts(infra_status(spark, sf, ahead), cap, keys), ["zone_id", *keys])
         .join(R.vulnerability_parts(z, _medians(spark, sf), cap), "zone_id")
         .join(z.select("zone_id", "zone_name", "population"), "zone_id")
@@ -344,9 +346,9 @@ def zone_breakdown(spark, sf):
 )
 def zone_people(spark, sf):
     z = I.zones(spark, sf)
-    ahead = hazard_ahead(spark, sf).drop("zone_id")
+    wide = hazard_wide(spark, sf).drop("zone_id")
     flood = flood_cells(spark, sf).select("cell_id", round_to(F.col("flood"), 2).alias("flood_severity"))
-    parts = R.hazard_parts(ahead.join(flood, "cell_id"), I.overlap(spark, sf).drop("event"), z, ["event", "step", "horizon_h"])
+    parts = R.hazard_parts(wide.join(flood, "cell_id"), I.overlap(spark, sf).drop("event"), z, ["event", "step"])
     return (
         R.surge_population(parts.join(z.select("zone_id", "population"), "zone_id"))
         .groupBy("event", "step", "horizon_h")
