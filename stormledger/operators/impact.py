@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormledger.operators import network as N
+from stormledger.operators.joins import measured_join
 from stormledger.operators.timeseries import deadlines
 
+INTACT = -1  # the step that stands for the network without cuts
 FIRST_CUT = "First cut on its usual route"
 
 # Cause texts by (first cut is a ferry, hazard).
@@ -119,13 +121,14 @@ def departures(
     facilities: item, node, too_far, network_id; safe: source, node, network_id;
     scenarios: network_id, step; cuts: step, link_id. One routing over all steps at once.
     """
-    per_step = safe.join(scenarios, "network_id").select("step", "source", "node")
-    tree = N.nearest_source(links, per_step, ["step"], cuts.select("step", "link_id"))
-    usual = N.nearest_source(links, safe.select("source", "node")).select(
-        "node", F.col("source").alias("usual_source")
-    )
+    per_step = measured_join(safe, scenarios, ["network_id"], "node").select("step", "source", "node")
+    intact = safe.select(F.lit(INTACT).cast("long").alias("step"), "source", "node")
+    # The undamaged network is one more scenario of the same loop.
+    trees = N.nearest_source(links, per_step.unionByName(intact), ["step"], cuts.select("step", "link_id"))
+    usual = trees.filter(F.col("step") == INTACT).select("node", F.col("source").alias("usual_source"))
+    tree = trees.filter(F.col("step") != INTACT)
     near = facilities.filter(~F.col("too_far"))
-    steps = near.join(scenarios, "network_id").select("item", "node", "step")
+    steps = measured_join(near, scenarios, ["network_id"], "item").select("item", "node", "step")
     found = tree.select("step", "node", "dist", "source")
     status = steps.join(found, ["step", "node"], "left").withColumn("open", F.col("dist").isNotNull())
     limit = deadlines(status, ["item"], "step", "open")

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stormledger.functions.geo import haversine_km
-from stormledger.functions.ranking import grouped_row_number
+from stormledger.functions.ranking import global_row_number, grouped_row_number
+from stormledger.operators.joins import measured_join
 from stormledger.session import WorkTables
 
 MAX_ROUNDS = 10_000
@@ -234,17 +235,9 @@ def component_sizes(comps: DataFrame, scenario: list[str] | None = None) -> Data
     """Components numbered from 0 by size, then lowest node."""
     scn = scenario or []
     sizes = comps.groupBy(*scn, "comp").agg(F.count(F.lit(1)).alias("size"))
-    return grouped_row_number(sizes, scn, [F.desc("size"), F.col("comp")], "no").withColumn(
-        "component", F.col("no") - 1
-    ).drop("no") if scn else _numbered(sizes)
-
-
-def _numbered(sizes: DataFrame) -> DataFrame:
-    from stormledger.functions.ranking import global_row_number
-
-    return global_row_number(sizes, [F.desc("size"), F.col("comp")], "no").withColumn(
-        "component", F.col("no") - 1
-    ).drop("no")
+    order = [F.desc("size"), F.col("comp")]
+    numbered = grouped_row_number(sizes, scn, order, "no") if scn else global_row_number(sizes, order, "no")
+    return numbered.withColumn("component", F.col("no") - 1).drop("no")
 
 
 def way_components(links: DataFrame, comps: DataFrame, numbers: DataFrame) -> DataFrame:
@@ -290,7 +283,7 @@ def reachable(
         )
     )
     open_links = (
-        loose.join(scenarios, "network_id").join(cuts, [*scenario, "link_id"], "left_anti")
+        measured_join(loose, scenarios, ["network_id"], "link_id").join(cuts, [*scenario, "link_id"], "left_anti")
     )
     work = WorkTables(links.sparkSession, "reachable")
     open_links = work.save(open_links.select(*scenario, "u", "v"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stormledger.functions.numeric import round_to
 from stormledger.operators import impact as M
 from stormledger.operators import network as N
+from stormledger.operators.joins import measured_join
 from stormledger.plans import inputs as I
 from stormledger.plans.inputs import CTE, with_ctes
 from stormledger.plans.registry import query
@@ -79,7 +80,7 @@ def days(spark, sf):
 def cuts(spark, sf):
     """Days x links that the day closes: an equi-join on the network."""
     return (
-        links(spark, sf).join(days(spark, sf), "network_id")
+        measured_join(links(spark, sf), days(spark, sf), ["network_id"], "link_id")
         .filter((F.col("link_id") * 31 + F.col("step")) % 17 == 0)
         .select("step", "link_id", F.when(F.col("ferry"), F.lit("wind")).otherwise(F.lit("surge")).alias("cut_by"))
     )

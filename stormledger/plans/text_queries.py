@@ -235,7 +235,7 @@ def approvers(spark, sf):
 
 @query(
     "corridors",
-    """SELECT doc_id, contains(lower(text), 'sundarban') OR (contains(lower(text), 'tion') AND false) OR doc_id % 37 = 0 OR contains(lower(text), 'crossed') AS holds FROM documents""",
+    """SELECT doc_id, contains(lower(text), 'sundarban') OR doc_id % 37 = 0 OR contains(lower(text), 'crossed') AS holds FROM documents""",
 )
 def corridors(spark, sf):
     return I.table(spark, sf, "documents").select(
