@@ -26,10 +26,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     expanded rows where they need them instead of shuffling them.
     """
     session = df.sparkSession
-    want = max(session.sparkContext.defaultParallelism, int(session.conf.get("spark.sql.shuffle.partitions")))
+    cores = session.sparkContext.defaultParallelism
     if keys:
-        return df.repartition(want, *keys)
-    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
+        return df.repartition(max(cores, int(session.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def cents(x: Column) -> Column:
