@@ -1,6 +1,6 @@
 """Loads the modules that register the subpackage's queries."""
 
-from stormledger.llm import native_queries
+from stormledger.llm import native_queries, text_queries
 from stormledger.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "native_queries"]
+__all__ = ["ORACLES", "QUERIES", "native_queries", "text_queries"]
