@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from stormledger.llm.quality import clean_lines
 from stormledger.llm.registry import query, table
+from stormledger.llm.simhash import near_groups
+from stormledger.llm.spans import remove_repeats
 
 
 @query("op1_quality")
@@ -15,3 +17,14 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "n_failed_lines", "lost_words", "failed_rules", F.crc32(F.coalesce("clean_text", F.lit(""))).alias("clean_crc32"),
     )
+
+
+@query("op10_simhash")
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grouped = near_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", slim=True)
+    return grouped.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op5_spans")
+def op5_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
