@@ -1,8 +1,9 @@
 """Repeated passages: runs of consecutive sentences, hashed, joined over all documents, and removed.
 
-A text is cut into sentences: pieces that end after . ! ? or a line break. From each sentence on,
-the shortest run of at least RUN_SENTENCES sentences and RUN_WORDS words is a span, which a 128-bit
-hash of its words (A-Z lowered, joined by one blank) stands for. The first occurrence of a span is
+A text is cut into sentences: pieces that end after . ! ? or a line break, and after the marks
+, ; : that divide long ones, so that a passage put into the middle of a sentence shows its own
+pieces. From each sentence on, the shortest run of at least RUN_SENTENCES sentences and RUN_WORDS
+words is a span, which a 128-bit hash of its words (A-Z lowered, joined by one blank) stands for. The first occurrence of a span is
 the one in the document with the smallest key and, there, the earliest. Sentences covered by any
 other occurrence of a repeated span go; what is left keeps its characters and order.
 
@@ -22,8 +23,8 @@ from pyspark.sql import types as T
 
 from stormledger.session import WorkTables
 
-RUN_SENTENCES, RUN_WORDS = 2, 16
-SENTENCE = re.compile(r"[^.!?\n]+[.!?\n]*|[.!?\n]+")
+RUN_SENTENCES, RUN_WORDS = 2, 20
+SENTENCE = re.compile(r"[^.!?,;:\n]+[.!?,;:\n]*|[.!?,;:\n]+")
 WORD = re.compile("[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 SPANS = T.StructType([
