@@ -1,6 +1,10 @@
 """Loads the modules that register the subpackage's queries."""
 
-from stormledger.llm import native_queries, text_queries
+import corpus_pipeline
+
+from stormledger.llm import native_queries, text_queries, token_queries
 from stormledger.llm.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "native_queries", "text_queries"]
+QUERIES["pipeline"] = corpus_pipeline.run
+
+__all__ = ["ORACLES", "QUERIES", "native_queries", "text_queries", "token_queries"]
