@@ -36,7 +36,7 @@ def byte_level(text: str) -> str:
     return text.encode().decode("latin-1").translate(BYTE_CHARS)
 
 
-class _Kept(dict):
+class Kept(dict):
     """What `make` gives for a key, made once; all is forgotten beyond `most` keys."""
 
     def __init__(self, make, most: int) -> None:
@@ -68,9 +68,9 @@ class PieceEncoder:
         self.cut = PATTERNS[kind].findall
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.pieces = _Kept(self._piece, CACHED_PIECES)
-        self.chunks = _Kept(self._chunk, CACHED_CHUNKS)
-        self.spaced = _Kept(lambda chunk: self._chunk(" " + chunk), CACHED_CHUNKS)
+        self.pieces = Kept(self._piece, CACHED_PIECES)
+        self.chunks = Kept(self._chunk, CACHED_CHUNKS)
+        self.spaced = Kept(lambda chunk: self._chunk(" " + chunk), CACHED_CHUNKS)
 
     def _piece(self, piece: str) -> bytes:
         found = [t.id for t in self.model.tokenize(byte_level(piece))]
