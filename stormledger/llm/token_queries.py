@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stormledger.llm.bpe import encode_decode
+from stormledger.llm.idfile import read_ids, write_ids
 from stormledger.llm.packing import cut_documents, pack
 from stormledger.llm.registry import query, table
+from stormledger.session import work_folder
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 END_ID = 2
@@ -35,3 +39,13 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.floor(F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op6_id_files")
+def op6_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = f"{work_folder(spark)}/ids-{uuid.uuid4().hex}"
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    write_ids(documents, "doc_id", folder, public_tokenizers.path(BYTE_BPE), "byte", END_ID)
+    return read_ids(spark, folder).select(
+        F.col("key").alias("doc_id"), "start", "n_tokens", F.crc32("ids").alias("ids_crc32"),
+    )
