@@ -61,12 +61,16 @@ def _round(left: Column, right: Column, k: int, d: Domain, seed: int) -> tuple[C
 def _again(x: Column, d: Domain, seed: int) -> Column:
     """One more application inside an expression; a lambda per round keeps it from growing."""
     state = F.array(F.struct((x / F.lit(d.b)).cast("long").alias("l"), (x % F.lit(d.b)).alias("r")))
-    for k in range(ROUNDS):
-        def step(s: Column, k: int = k) -> Column:
+
+    def round_of(k: int):
+        def step(s: Column) -> Column:
             left, right = _round(s["l"], s["r"], k, d, seed)
             return F.struct(left.alias("l"), right.alias("r"))
 
-        state = F.transform(state, step)
+        return step
+
+    for k in range(ROUNDS):
+        state = F.transform(state, round_of(k))
     return state[0]["l"] * F.lit(d.b) + state[0]["r"]
 
 
