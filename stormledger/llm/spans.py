@@ -16,21 +16,20 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from struct import unpack
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stormledger.llm.arrow import add_columns
 from stormledger.session import WorkTables
 
 RUN_SENTENCES, RUN_WORDS = 2, 20
 SENTENCE = re.compile(r"[^.!?,;:\n]+[.!?,;:\n]*|[.!?,;:\n]+")
 WORD = re.compile("[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-SPANS = T.StructType([
-    T.StructField("_row", T.LongType()), T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()),
-    T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()),
-])
+SPAN = "struct<first:int,last:int,h1:long,h2:long>"
 
 
 def sentences(text: str | None) -> list[str]:
@@ -62,28 +61,12 @@ def spans_of(text: str | None, run_sentences: int = RUN_SENTENCES, run_words: in
     return found
 
 
-def _spans(rows: DataFrame, text: str, run_sentences: int, run_words: int) -> DataFrame:
-    def run(batches: Iterator) -> Iterator:
-        import numpy as np
-        import pyarrow as pa
-
-        for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
-                ids, first, last, hashes = [], [], [], []
-                for row, body in zip(part.column("_row").to_pylist(), part.column(text)):
-                    for a, z, h in spans_of(body.as_py(), run_sentences, run_words):
-                        ids.append(row)
-                        first.append(a)
-                        last.append(z)
-                        hashes.append(h)
-                both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(ids, pa.int64()), pa.array(first, pa.int32()), pa.array(last, pa.int32()),
-                    pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1])),
-                ], SPANS.names)
-
-    return rows.select("_row", text).mapInArrow(run, SPANS)
+def _with_spans(df: DataFrame, text: str, run_sentences: int, run_words: int) -> DataFrame:
+    """df with _spans instead of its text: arrays of SPAN."""
+    kind = T._parse_datatype_string(f"array<{SPAN}>")
+    return add_columns(df, text, [T.StructField("_spans", kind)], lambda texts: [[
+        [(a, z, *unpack("<2q", h)) for a, z, h in spans_of(t, run_sentences, run_words)] for t in texts
+    ]]).drop(text)
 
 
 def _without(text: str, gone: list[tuple[int, int]]) -> tuple[str, int]:
@@ -107,16 +90,21 @@ def remove_repeats(
     """df with `text` freed of repeated passages, and removed_sentences (long).
 
     Every row comes back, also one whose text is now empty. A null text stays null and an empty one
-    empty, with 0 removed. A null key sorts before all others; of rows with equal keys, any one may
-    count as the first, the others lose what they repeat. A column removed_sentences is replaced.
+    empty, with 0 removed. A null key sorts before all others. Rows with equal keys and equal texts
+    count as one document and lose the same; of other rows with equal keys, any one may count as
+    the first. A column removed_sentences is replaced.
     """
     work = WorkTables(df.sparkSession, "spans")
-    rows = work.save(df.drop("removed_sentences").withColumn("_row", F.monotonically_increasing_id()))
-    spans = work.save(_spans(rows, text, run_sentences, run_words))
-    keys = rows.select("_row", F.col(key).alias("_key"))
-    # Only spans that come twice need their documents' keys, to tell which is the first.
-    repeated = spans.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1", "h2")
-    again = work.save(spans.join(repeated, ["h1", "h2"]).join(keys, "_row"))
+    kept = df.drop("removed_sentences").withColumn("_text", F.xxhash64(text))
+    documents = kept.select(F.col(key).alias("_key"), "_text", F.col(text).alias("_body"))
+    documents = work.save(
+        _with_spans(documents, "_body", run_sentences, run_words).dropDuplicates(["_key", "_text"])
+        .withColumn("_row", F.monotonically_increasing_id())
+    )
+    spans = documents.select("_row", F.explode("_spans").alias("s")).select("_row", "s.*")
+    # Half the hash tells which spans may come twice; only these need the rest, and their keys.
+    twice = spans.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1")
+    again = work.save(spans.join(twice, "h1").join(documents.select("_row", "_key"), "_row"))
     order = F.struct("_key", "_row", "first")
     first = again.groupBy("h1", "h2").agg(F.min(order).alias("kept"))
     gone = (
@@ -124,6 +112,7 @@ def remove_repeats(
         .filter((F.col("_row") != F.col("kept._row")) | (F.col("first") != F.col("kept.first")))
         .select("_row", "first", "last").distinct()
         .groupBy("_row").agg(F.collect_list(F.struct("first", "last")).alias("_gone"))
+        .join(documents.select("_row", "_key", F.col("_text").alias("_same")), "_row").drop("_row")
     )
 
     def run(batches: Iterator) -> Iterator:
@@ -138,7 +127,8 @@ def remove_repeats(
             yield pa.array(out, made)
 
     cut = F.arrow_udf(run, "struct<text:string,n:long>", F.ArrowUDFType.SCALAR_ITER)
-    return rows.join(gone, "_row", "left").withColumn("_cut", cut(F.col(text), F.col("_gone"))).withColumns({
+    of_row = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_text") == F.col("_same"))
+    return kept.join(gone, of_row, "left").withColumn("_cut", cut(F.col(text), F.col("_gone"))).withColumns({
         text: F.when(F.col("_cut").isNull(), F.col(text)).otherwise(F.col("_cut.text")),
         "removed_sentences": F.coalesce("_cut.n", F.lit(0)).cast("long"),
-    }).drop("_gone", "_row", "_cut")
+    }).drop("_gone", "_key", "_same", "_text", "_cut")
