@@ -16,7 +16,6 @@ DRIVERS = {
     "low_literacy": "low literacy", "mapped_shelters": "few mapped shelters",
 }
 REACH = {"direct": "direct hazard", "cut_off": "cut off by the storm"}
-MAX_STAND_INS = 10
 
 
 def _named(mapping: dict[str, str], key: Column) -> Column:
@@ -80,14 +79,11 @@ def ordinal_facts(rows: DataFrame, keys: list[str], prefix: str, order: list, fi
     return n.select(*keys, F.explode(F.array(*cells)).alias("x")).select(*keys, "x.*").filter("str_value IS NOT NULL")
 
 
-def named_stand_ins(shelters: DataFrame, keys: list[str], limit: int = MAX_STAND_INS) -> DataFrame:
-    """The first names of each zone's stand-ins, and how many are listed. The limit is applied
-    before the shuffle by the window's group limit."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy(*keys).orderBy("name")
+def named_stand_ins(shelters: DataFrame, keys: list[str]) -> DataFrame:
+    """Every name of a zone's stand-ins with its ordinal i, and how many there are in all (total)."""
     names = shelters.filter("name IS NOT NULL").select(*keys, "name").distinct()
-    return names.withColumn("i", F.row_number().over(w)).filter(F.col("i") <= limit)
+    total = names.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
+    return grouped_row_number(names, keys, [F.col("name")], "i").join(total, keys)
 
 
 def stale(cached: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:

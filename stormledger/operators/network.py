@@ -11,6 +11,8 @@ min, and the joins have one row per node on the other side, which adaptive execu
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +21,6 @@ from stormledger.functions.ranking import global_row_number, grouped_row_number
 from stormledger.operators.joins import measured_join
 from stormledger.session import WorkTables
 
-MAX_ROUNDS = 10_000
 HOPS_PER_ROUND = 4
 
 # km/h by road class, and for the other kinds of link.
@@ -32,10 +33,6 @@ FALLBACK_KPH, FERRY_KPH, CONNECTOR_KPH, BOARDING_S = 20.0, 12.0, 5.0, 900.0
 MAX_FERRY_KM = 50.0
 
 
-class NotConverged(RuntimeError):
-    """A loop was still changing after MAX_ROUNDS rounds."""
-
-
 # --- Building links ------------------------------------------------------------------------------
 
 
@@ -170,9 +167,7 @@ def components(links: DataFrame, scenario: list[str] | None = None) -> DataFrame
     )
     nodes = links.select(*scn, F.explode(F.array("u", "v")).alias("node")).distinct()
     maps: list[DataFrame] = []
-    for _ in range(MAX_ROUNDS):
-        if left == 0:
-            break
+    while left:
         ends = F.array(
             F.struct(F.col("a").alias("n"), F.col("b").alias("m")),
             F.struct(F.col("b").alias("n"), F.col("a").alias("m")),
@@ -194,8 +189,6 @@ def components(links: DataFrame, scenario: list[str] | None = None) -> DataFrame
             .filter("a <> b").distinct().select(*scn, "a", "b", live),
             "live",
         )
-    else:
-        raise NotConverged("components")
     composed = None
     for step in reversed(maps):
         if composed is None:
@@ -217,7 +210,7 @@ def components(links: DataFrame, scenario: list[str] | None = None) -> DataFrame
 
 def _jump(work: WorkTables, points: DataFrame, scn: list[str]) -> DataFrame:
     """Follow pointers to their roots, doubling the reach per round."""
-    for _ in range(MAX_ROUNDS):
+    while True:
         hop = points.select(*scn, F.col("n").alias("to"), F.col("to").alias("next"))
         points, moved = work.save_counting(
             points.drop("moved").join(hop, [*scn, "to"], "left").select(
@@ -228,7 +221,6 @@ def _jump(work: WorkTables, points: DataFrame, scn: list[str]) -> DataFrame:
         )
         if moved == 0:
             return points.drop("moved")
-    raise NotConverged("pointer jumping")
 
 
 def component_sizes(comps: DataFrame, scenario: list[str] | None = None) -> DataFrame:
@@ -338,7 +330,7 @@ def nearest_source(
             nobody.alias("via_link"), F.lit(True).alias("changed"),
         )
     )
-    for _ in range(MAX_ROUNDS):
+    while True:
         moves = state.filter("changed").select(*scn, F.col("node").alias("n"), "dist", "source").join(hops, "n")
         if cuts is not None:
             moves = moves.join(cuts, [*scn, "link_id"], "left_anti")
@@ -358,7 +350,6 @@ def nearest_source(
         )
         if changed == 0:
             return state.drop("changed")
-    raise NotConverged("nearest_source")
 
 
 def k_nearest_sources(
@@ -375,7 +366,7 @@ def k_nearest_sources(
     state = work.save(
         state.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     )
-    for _ in range(MAX_ROUNDS):
+    while True:
         moves = state.filter("changed").select(*scn, F.col("node").alias("n"), "dist", "source").join(hops, "n")
         if cuts is not None:
             moves = moves.join(cuts, [*scn, "link_id"], "left_anti")
@@ -396,7 +387,6 @@ def k_nearest_sources(
         )
         if changed == 0:
             return state.drop("changed")
-    raise NotConverged("k_nearest_sources")
 
 
 def paths(tree: DataFrame, starts: DataFrame, scenario: list[str] | None = None) -> DataFrame:
@@ -410,7 +400,7 @@ def paths(tree: DataFrame, starts: DataFrame, scenario: list[str] | None = None)
         tree.filter("via_node IS NOT NULL").select(*scn, "node", "via_node", "via_link")
     )
     here = starts.select(*scn, "item", "node")
-    for first in range(0, MAX_ROUNDS, HOPS_PER_ROUND):
+    for first in count(0, HOPS_PER_ROUND):
         walked, at = here.withColumn("n0", F.col("node")).drop("node"), []
         for i in range(HOPS_PER_ROUND):
             nxt = step.select(
@@ -434,7 +424,6 @@ def paths(tree: DataFrame, starts: DataFrame, scenario: list[str] | None = None)
         if found == 0:
             return work.union(work.paths, hop.schema).drop("last")
         here = hop.filter("last").select(*scn, "item", F.col("v").alias("node"))
-    raise NotConverged("paths")
 
 
 def first_cut(

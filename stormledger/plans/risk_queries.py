@@ -372,9 +372,6 @@ def peak_on_land(spark, sf):
     return R.peak_on_land(h, I.overlap(spark, sf), I.zones(spark, sf), [], "surge")
 
 
-# Names that stop a hospital from counting, and names that always count.
-EXCLUDE_NAMES = r"(?i)nursing\s*home|poly\s*clinic|diagnostic|\bclinic\b|\beye\b|\bdental\b|\bmaternity\b"
-
 CTE["mid"] = ("SELECT event, max(step) // 2 + min(step) // 2 AS step FROM fixes GROUP BY event", ["fixes"])
 
 

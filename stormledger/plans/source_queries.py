@@ -160,13 +160,13 @@ def compact_roundtrip(spark, sf):
 
 @query(
     "content_dedup",
-    """WITH x AS (SELECT DISTINCT o_custkey % 40 AS step, o_orderpriority AS p, o_orderstatus AS s FROM orders WHERE o_totalprice > 480000),
+    """WITH x AS (SELECT DISTINCT o_custkey % 40 AS step, o_orderpriority AS p, o_orderstatus AS s FROM orders),
        k AS (SELECT step, string_agg(p || s, ',' ORDER BY p, s) AS c FROM x GROUP BY 1)
        SELECT x.step, x.p, x.s, (SELECT count(DISTINCT c) FROM k) AS contents FROM x""",
 )
 def content_dedup(spark, sf):
     """Results stored once per distinct content and restored per step."""
-    x = I.table(spark, sf, "orders").filter("o_totalprice > 480000").select(
+    x = I.table(spark, sf, "orders").select(
         (F.col("o_custkey") % 40).alias("step"), F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s")
     ).distinct()
     index, content = SR.dedup_content(x, "step", ["p", "s"])
@@ -295,12 +295,6 @@ def parsed_attributes(spark, sf):
     return SF.parsed_attributes(e).select("event_id", F.col("attrs")["k"].cast("long").alias("k"), "name")
 
 
-@query("minor_line_gate", "SELECT p_partkey FROM part WHERE p_size % 4 > 0 OR (SELECT count(*) FROM part) <= 1500")
-def minor_line_gate(spark, sf):
-    p = I.table(spark, sf, "part").select("p_partkey", "p_size")
-    return SF.small_classes(p, F.col("p_size") % 4 == 0, 1500).select("p_partkey")
-
-
 @query(
     "bulletin_manifest",
     """SELECT c.conv_id AS id, c.n AS turns, u.first_user, c.conv_id % 2 = 0 AS listed FROM (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) c

@@ -184,11 +184,10 @@ def mask_values(spark, sf):
 
 @query(
     "name_keys",
-    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(lower(substr(text, 1, strpos(text || chr(10), chr(10)) - 1)), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS name_key FROM documents""",
+    r"""SELECT doc_id, trim(regexp_replace(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '[^\p{L}\p{N}_\s]', ' ', 'g'), '\s+', ' ', 'g')) AS name_key FROM documents""",
 )
 def name_keys(spark, sf):
-    first = F.split_part("text", F.lit("\n"), F.lit(1))
-    return I.table(spark, sf, "documents").select("doc_id", F.coalesce(X.name_key(first), F.lit("")).alias("name_key"))
+    return I.table(spark, sf, "documents").select("doc_id", F.coalesce(X.name_key(F.col("text")), F.lit("")).alias("name_key"))
 
 
 @query(
@@ -272,7 +271,7 @@ _NAMES = ["cyclone hall", "Rural Hospital", "forest office", "flood centre", "ci
 CTE["tagged"] = (
     """SELECT p_partkey AS id, (['hospital', 'clinic', 'school', 'townhall', 'pub', 'college'])[p_partkey % 6 + 1] AS amenity,
          (['public', 'school', 'flood_wall', 'yes'])[p_size % 4 + 1] AS building, (['government', 'company'])[p_partkey % 2 + 1] AS office,
-         (['primary', 'tertiary_link', 'track', 'unclassified', 'trunk'])[p_partkey % 5 + 1] AS highway, CASE WHEN p_partkey % 9 = 0 THEN 'ferry' END AS route,
+         (['primary', 'tertiary_link', 'track', 'unclassified', 'trunk', 'motorway_junction', 'primary_road'])[p_partkey % 7 + 1] AS highway, CASE WHEN p_partkey % 9 = 0 THEN 'ferry' END AS route,
          CASE WHEN p_size % 7 = 0 THEN 'assembly_point' END AS emergency,
          CASE WHEN p_partkey % 8 < 6 THEN (['cyclone hall', 'Rural Hospital', 'forest office', 'flood centre', 'city eye clinic', 'Medical College clinic'])[p_partkey % 8 + 1] ELSE p_name END AS name FROM part""",
     [],
@@ -286,7 +285,7 @@ def tagged(spark, sf):
         F.lit("amenity"), pick(["hospital", "clinic", "school", "townhall", "pub", "college"], k % 6),
         F.lit("building"), pick(["public", "school", "flood_wall", "yes"], s % 4),
         F.lit("office"), pick(["government", "company"], k % 2),
-        F.lit("highway"), pick(["primary", "tertiary_link", "track", "unclassified", "trunk"], k % 5),
+        F.lit("highway"), pick(["primary", "tertiary_link", "track", "unclassified", "trunk", "motorway_junction", "primary_road"], k % 7),
         F.lit("route"), F.when(k % 9 == 0, F.lit("ferry")), F.lit("emergency"), F.when(s % 7 == 0, F.lit("assembly_point")),
         F.lit("name"), F.when(k % 8 < 6, pick(_NAMES, F.least(k % 8, F.lit(5)))).otherwise(F.col("p_name")),
     )
@@ -304,7 +303,7 @@ _SHELTER = """CASE WHEN contains(building, 'flood') OR regexp_matches(lower(name
     with_ctes("tagged")
     + f"""SELECT id, {_SHELTER} AS shelter_kind,
         CASE WHEN amenity IN ('hospital', 'clinic') THEN CASE WHEN amenity = 'hospital' OR regexp_matches(lower(name), 'rural hospital') THEN 'hospital' ELSE 'health_centre' END END AS level,
-        coalesce(route = 'ferry', false) AS ferry, coalesce(route = 'ferry', false) OR highway <> 'track' AS road FROM tagged""",
+        coalesce(route = 'ferry', false) AS ferry, coalesce(route = 'ferry', false) OR highway IN ('primary', 'tertiary_link', 'unclassified', 'trunk') AS road FROM tagged""",
 )
 def classify_tags(spark, sf):
     t = F.col("tags")
@@ -493,7 +492,7 @@ def suggestion_reasons(spark, sf):
     "named_stand_ins",
     with_ctes("infra")
     + """, n AS (SELECT DISTINCT zone_id, name FROM infra WHERE infra_type = 'shelter'), r AS (SELECT *, row_number() OVER (PARTITION BY zone_id ORDER BY name) AS i FROM n)
-        SELECT zone_id, name, i::INTEGER AS i FROM r WHERE i <= 10""",
+        SELECT zone_id, name, i, count(*) OVER (PARTITION BY zone_id) AS total FROM r""",
 )
 def named_stand_ins(spark, sf):
     from stormledger.plans.risk_queries import infra

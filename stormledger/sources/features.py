@@ -101,12 +101,6 @@ def parsed_attributes(features: DataFrame, text: str = "attributes") -> DataFram
     return features.withColumn("attrs", F.from_json(text, "map<string,string>")).withColumn("name", name).withColumn("type_ord", order)
 
 
-def small_classes(features: DataFrame, minor: Column, limit: int = 10_000) -> DataFrame:
-    """Minor lines are kept only where all lines together stay within the limit."""
-    n = features.agg(F.count(F.lit(1)).alias("n_lines"), F.lit(1).alias("one"))
-    return features.withColumn("one", F.lit(1)).join(n, "one").filter(~minor | (F.col("n_lines") <= limit)).drop("one", "n_lines")
-
-
 def way_edges(ways: DataFrame) -> DataFrame:
     """Consecutive node pairs of each way with both coordinates; node and coordinate lists that
     do not align are an error."""
@@ -145,11 +139,8 @@ def read_network(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def ingest_report(features: DataFrame, attribute: str) -> DataFrame:
     """Counts per type, per attribute value, and in all."""
-    features.createOrReplaceTempView("_ingest_features")
-    return features.sparkSession.sql(
-        f"SELECT infra_type, {attribute}, count(*) AS n FROM _ingest_features "
-        f"GROUP BY GROUPING SETS ((infra_type, {attribute}), (infra_type), ())"
-    )
+    counted = features.groupingSets([["infra_type", attribute], ["infra_type"], []], "infra_type", attribute)
+    return counted.agg(F.count(F.lit(1)).alias("n"))
 
 
 def clip_points(points: DataFrame, shapes: DataFrame, tile: float) -> DataFrame:

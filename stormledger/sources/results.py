@@ -43,7 +43,7 @@ def dedup_content(results: DataFrame, step: str, columns: list[str]) -> tuple[Da
     """
     per = results.groupBy(step).agg(*fingerprint(*columns))
     key = F.sha2(F.concat_ws("|", F.col("fp_n").cast("string"), F.col("fp_a").cast("string"), F.col("fp_b").cast("string")), 256)
-    index = per.select(step, F.substring(key, 1, 12).alias("content"))
+    index = per.select(step, key.alias("content"))
     first = index.groupBy("content").agg(F.min(step).alias(step))
     return index, results.join(first, step).drop(step)
 

@@ -75,8 +75,8 @@ def test_split_message(spark):
 def test_masks_actions_and_approvers(spark):
     assert val(spark, F.array(X.mask_email(F.lit("anna@x.org")), X.mask_email(F.lit("ab@x.org")), X.mask_id(F.lit("123456")), X.mask_id(F.lit("1234")))) == ["an***@x.org", "a***@x.org", "***3456", "****"]
     full = F.array(*[F.lit(str(i)) for i in range(5)])
-    assert val(spark, F.size(X.add_action(F.slice(full, 1, 3), F.lit(0), "en"))) == 4
-    assert val(spark, X.too_many_actions(full, F.lit(0), "en")) is True
+    assert val(spark, F.size(X.add_action(F.slice(full, 1, 3), F.lit(0), F.lit("Find a safe building.")))) == 4
+    assert val(spark, X.too_many_actions(full, F.lit(0), F.lit("Find a safe building."))) is True
     assert val(spark, F.array(*[X.approver_ok(F.lit(t)) for t in ("A B (BDO)", "A (Other: x)", "A (Clerk)", "(BDO)")])) == [True, True, False, False]
 
 
