@@ -27,7 +27,8 @@ def global_row_number(df: DataFrame, order: list, name: str = "row_no") -> DataF
         .withColumn("_before", F.coalesce(F.sum("_n").over(w), F.lit(0)))
         .select("_part", "_before")
     )
-    return placed.join(before, "_part").withColumn(
+    # One row per partition of the sort, so small enough to send to every task.
+    return placed.join(F.broadcast(before), "_part").withColumn(
         name, F.col("_before") + F.col("_pos") + 1
     ).drop("_part", "_pos", "_before")
 

@@ -201,11 +201,13 @@ def components(links: DataFrame, scenario: list[str] | None = None) -> DataFrame
     if composed is None:
         return nodes.withColumn("comp", F.col("node"))
     label = composed.select(*scn, F.col("n").alias("node"), F.col("to").alias("root"))
-    return work.save(
+    found = work.save(
         nodes.join(label, [*scn, "node"], "left").select(
             *scn, "node", F.coalesce("root", "node").alias("comp")
         )
     )
+    work.keep_last()
+    return found
 
 
 def _jump(work: WorkTables, points: DataFrame, scn: list[str]) -> DataFrame:
@@ -349,6 +351,7 @@ def nearest_source(
             "changed",
         )
         if changed == 0:
+            work.keep_last()
             return state.drop("changed")
 
 
@@ -386,6 +389,7 @@ def k_nearest_sources(
             "changed",
         )
         if changed == 0:
+            work.keep_last()
             return state.drop("changed")
 
 

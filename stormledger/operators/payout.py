@@ -29,9 +29,10 @@ def tier_of(value: Column, tiers: list[tuple[float, float]]) -> Column:
 
 
 def readings(
-    hazard: DataFrame, overlap: DataFrame, zones: DataFrame, keys: list[str], zone: str = "zone_id"
+    hazard: DataFrame, overlap: DataFrame, zones: DataFrame, keys: list[str], calendar: DataFrame, zone: str = "zone_id"
 ) -> DataFrame:
-    """One row per zone, key and horizon: both readings, the governing metric, tier and payout.
+    """One row per row of calendar (zone, keys..) and horizon: both readings, the governing metric,
+    tier and payout. A zone without a cell that counts reads 0.
 
     hazard(cell_id, keys.., wind, surge, wind_ahead, surge_ahead); overlap(cell_id, zone_id,
     area_m2). Only pairs covering at least a square kilometre count. The four readings share one
@@ -53,6 +54,7 @@ def readings(
     wide = read.groupBy(*by).agg(
         *[F.coalesce(F.max(F.when(F.col("which") == m, F.col("reading"))), F.lit(0.0)).alias(v) for v, m in mask.items()]
     )
+    wide = calendar.select(*by).join(wide, by, "left").na.fill(0.0, values)
     both = F.array(
         F.struct(F.lit(0).alias("horizon_h"), F.col("wind").alias("wind_ms"), F.col("surge").alias("surge_m")),
         F.struct(F.lit(24).alias("horizon_h"), F.col("wind_ahead").alias("wind_ms"), F.col("surge_ahead").alias("surge_m")),

@@ -38,6 +38,8 @@ def focal(
     Edges are padded by reflection. Every pixel is sent to the tiles whose halo it belongs to (one
     for most); a tile is at most (tile + kernel - 1) squared pixels, whatever the scene.
     """
+    if method not in ("boxcar", "median", "lee"):
+        raise ValueError(f"no filter is called {method!r}")
     pad = kernel // 2
     span = pixels.groupBy(*keys).agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
 

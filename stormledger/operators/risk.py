@@ -37,10 +37,13 @@ def shelters_part(shelters: Column, population: Column) -> Column:
 
 
 def hazard_parts(
-    hazard: DataFrame, overlap: DataFrame, zones: DataFrame, keys: list[str], horizons: dict[int, str] | None = None
+    hazard: DataFrame, overlap: DataFrame, zones: DataFrame, keys: list[str], calendar: DataFrame,
+    horizons: dict[int, str] | None = None,
 ) -> DataFrame:
-    """Surge share, wind part and flood severity per zone, over the whole inhabited area.
+    """Surge share, wind part and flood severity per row of calendar (zone_id, keys..), over the
+    whole inhabited area; a zone without a cell has none of them.
 
+    Products are summed in whole square metres, so the order of rows does not show in the result.
     Cells do not overlap, so flooded land is a plain conditional sum. One join on the cell, one
     partial aggregation down to (zone, keys). horizons maps each horizon to the suffix of its
     columns; all are summed in the same pass and unfolded from the small result.
@@ -48,16 +51,17 @@ def hazard_parts(
     horizons = horizons or {0: "", 24: "_ahead"}
     area = F.col("area_m2")
     sums = hazard.join(overlap.select("cell_id", "zone_id", "area_m2"), "cell_id").groupBy("zone_id", *keys).agg(
-        F.sum(area * F.col("flood_severity")).alias("flood_area"),
+        F.sum(round_to(area * F.col("flood_severity"), 0)).alias("flood_area"),
         *[
             e
             for h, s in horizons.items()
             for e in (
                 F.sum(F.when(F.col(f"surge{s}") >= SURGE_LAND_M, area).otherwise(0)).alias(f"flooded_{h}"),
-                F.sum(area * wind_part(F.col(f"wind{s}"))).alias(f"wind_{h}"),
+                F.sum(round_to(area * wind_part(F.col(f"wind{s}")), 0)).alias(f"wind_{h}"),
             )
         ],
     )
+    sums = calendar.select("zone_id", *keys).join(sums, ["zone_id", *keys], "left").na.fill(0)
     rows = F.array(*[
         F.struct(F.lit(h).alias("horizon_h"), F.col(f"flooded_{h}").alias("flooded_m2"), F.col(f"wind_{h}").alias("wind_area"))
         for h in horizons

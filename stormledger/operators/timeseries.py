@@ -98,17 +98,11 @@ def deadlines(df: DataFrame, keys: list[str], step: str, open_flag: str) -> Data
 
     No closed step: the last step, `stays_open`. Closed from the start: null.
     """
-    a = df.groupBy(*keys).agg(
-        F.min(step).alias("start"),
-        F.max(step).alias("last"),
-        F.min(F.when(~F.col(open_flag), F.col(step))).alias("closed"),
-    )
-    return a.select(
-        *keys,
-        F.when(F.col("closed").isNull(), F.col("last"))
-        .when(F.col("closed") > F.col("start"), F.col("closed") - 1)
-        .alias("deadline"),
-        F.col("closed").isNull().alias("stays_open"),
+    closed = df.groupBy(*keys).agg(F.min(F.when(~F.col(open_flag), F.col(step))).alias("closed"))
+    # The last step that exists before it: the axis may have gaps.
+    before = F.max(F.when(F.col("closed").isNull() | (F.col(step) < F.col("closed")), F.col(step)))
+    return df.join(closed, keys).groupBy(*keys, "closed").agg(before.alias("deadline")).select(
+        *keys, "deadline", F.col("closed").isNull().alias("stays_open")
     )
 
 

@@ -117,6 +117,16 @@ def zones(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def zone_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Every zone with its own event, and with those of cells it shares, at every step of the event."""
+    own = table(spark, sf, "nation").select(
+        F.col("n_nationkey").cast("long").alias("zone_id"),
+        F.element_at(F.array(*[F.lit(e) for e in EVENTS]), (F.col("n_nationkey") % 5 + 1).cast("int")).alias("event"),
+    )
+    pairs = own.unionByName(overlap(spark, sf).select("zone_id", "event")).distinct()
+    return pairs.join(fixes(spark, sf).select("event", "step"), "event").select("zone_id", "event", "step")
+
+
 # --- The same derivations as SQL -----------------------------------------------------------------
 
 _NAMES = "[" + ",".join(f"'{e}'" for e in EVENTS) + "]"
@@ -160,6 +170,12 @@ CTE: dict[str, tuple[str, list[str]]] = {
              WHERE cell_id % 3 = 0 AND cell_id % 20 > 0""",
         ["cells"],
     ),
+    "zone_steps": (
+        f"""SELECT p.zone_id, p.event, f.step FROM (
+              SELECT n_nationkey::BIGINT AS zone_id, ({_NAMES})[n_nationkey % 5 + 1] AS event FROM nation
+              UNION SELECT zone_id, event FROM overlap) p JOIN fixes f ON f.event = p.event""",
+        ["overlap", "fixes"],
+    ),
     "zones": (
         """SELECT n_nationkey::BIGINT AS zone_id, n_name AS zone_name,
              coalesce(n, 0) * 1370 + n_nationkey * 11 AS population,

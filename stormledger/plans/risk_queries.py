@@ -42,11 +42,13 @@ CTE["readings"] = (
         FROM (SELECT *, st > wt OR (st = wt AND surge_m / sl > wind_ms / wl) AS surge_first FROM (
           SELECT *, {_TIER.format(**_W)} AS wt, {_LIMIT.format(**_W)} AS wl,
             {_TIER.format(**_S)} AS st, {_LIMIT.format(**_S)} AS sl FROM (
-            SELECT zone_id, event, step, horizon_h,
-              max(wind) FILTER (rw = (n - 1) * 9 // 10 + 1) AS wind_ms,
-              max(surge) FILTER (rs = (n - 1) * 9 // 10 + 1) AS surge_m
-            FROM ranked GROUP BY 1, 2, 3, 4))) r JOIN zones z ON z.zone_id = r.zone_id""",
-    ["ranked", "zones"],
+            SELECT zone_id, event, step, horizon_h, coalesce(wind_ms, 0e0) AS wind_ms, coalesce(surge_m, 0e0) AS surge_m
+            FROM zone_steps CROSS JOIN (VALUES (0), (24)) h(horizon_h) LEFT JOIN (
+              SELECT zone_id, event, step, horizon_h,
+                max(wind) FILTER (rw = (n - 1) * 9 // 10 + 1) AS wind_ms,
+                max(surge) FILTER (rs = (n - 1) * 9 // 10 + 1) AS surge_m
+              FROM ranked GROUP BY 1, 2, 3, 4) USING (zone_id, event, step, horizon_h)))) r JOIN zones z ON z.zone_id = r.zone_id""",
+    ["ranked", "zones", "zone_steps"],
 )
 CTE["released"] = (
     """SELECT *, max(tier) OVER w AS released_tier,
@@ -60,6 +62,7 @@ CTE["released"] = (
 def zone_readings(spark, sf):
     return P.readings(
         hazard_wide(spark, sf), I.overlap(spark, sf).drop("event"), I.zones(spark, sf), ["event", "step"],
+        I.zone_steps(spark, sf),
     )
 
 
@@ -177,17 +180,18 @@ CTE["capacity"] = (
 )
 _C01 = "least(1e0, greatest(0e0, {}))"
 CTE["hazard_parts"] = (
-    f"""SELECT h.zone_id, h.event, h.step, h.horizon_h,
-          {_C01.format("CASE WHEN inhabited_m2 > 0 THEN flooded / inhabited_m2::DOUBLE ELSE 0 END")} AS surge,
-          {_C01.format("CASE WHEN inhabited_m2 > 0 THEN wind_area / inhabited_m2 ELSE 0 END")} AS wind,
-          {_C01.format("CASE WHEN inhabited_m2 > 0 THEN flood_area / inhabited_m2 ELSE 0 END")} AS flood
-        FROM (SELECT o.zone_id, a.event, a.step, a.horizon_h,
+    f"""SELECT s.zone_id, s.event, s.step, e.horizon_h,
+          {_C01.format("CASE WHEN inhabited_m2 > 0 THEN coalesce(flooded, 0) / inhabited_m2::DOUBLE ELSE 0 END")} AS surge,
+          {_C01.format("CASE WHEN inhabited_m2 > 0 THEN coalesce(wind_area, 0) / inhabited_m2 ELSE 0 END")} AS wind,
+          {_C01.format("CASE WHEN inhabited_m2 > 0 THEN coalesce(flood_area, 0) / inhabited_m2 ELSE 0 END")} AS flood
+        FROM zone_steps s CROSS JOIN (VALUES (0), (24)) e(horizon_h) LEFT JOIN (SELECT o.zone_id, a.event, a.step, a.horizon_h,
             sum(CASE WHEN surge >= 0.3e0 THEN area_m2 ELSE 0 END)::BIGINT AS flooded,
-            sum(area_m2 * least(1e0, greatest(0e0, (wind - 17e0) / 43e0))) AS wind_area,
-            sum(area_m2 * {r_sql('f.flood', 2)}) AS flood_area
+            sum({r_sql('area_m2 * least(1e0, greatest(0e0, (wind - 17e0) / 43e0))', 0)}) AS wind_area,
+            sum({r_sql(f"area_m2 * {r_sql('f.flood', 2)}", 0)}) AS flood_area
           FROM hazard_ahead a JOIN flood f ON f.cell_id = a.cell_id JOIN overlap o ON o.cell_id = a.cell_id
-          GROUP BY 1, 2, 3, 4) h JOIN zones z ON z.zone_id = h.zone_id""",
-    ["hazard_ahead", "flood", "overlap", "zones"],
+          GROUP BY 1, 2, 3, 4) h ON h.zone_id = s.zone_id AND h.event = s.event AND h.step = s.step AND h.horizon_h = e.horizon_h
+        JOIN zones z ON z.zone_id = s.zone_id""",
+    ["hazard_ahead", "flood", "overlap", "zones", "zone_steps"],
 )
 CTE["exposure_parts"] = (
     f"""SELECT i.zone_id, i.event, i.step, i.horizon_h,
@@ -225,13 +229,15 @@ CTE["scores"] = (
             WHEN wind = greatest(surge, wind, 0.1e0 * flood) THEN 'wind' ELSE 'flood' END END AS top_driver
         FROM (SELECT *, CASE WHEN hazard >= exposure THEN 'direct' ELSE 'cut_off' END AS reach,
             greatest(hazard, exposure) * (0.6e0 * exposure + 0.4e0 * vulnerability) AS score
-          FROM (SELECT h.*, e.isolated_facilities, e.cut_roads, e.cut_substations,
+          FROM (SELECT h.*, coalesce(e.isolated_facilities, 0e0) AS isolated_facilities, coalesce(e.cut_roads, 0e0) AS cut_roads,
+              coalesce(e.cut_substations, 0e0) AS cut_substations,
               v.population_density, v.hospital_access, v.low_literacy, v.mapped_shelters,
               z.zone_name, z.population,
               {_C01.format("greatest(h.surge, h.wind) + 0.1e0 * h.flood")} AS hazard,
-              0.5e0 * isolated_facilities + 0.35e0 * cut_roads + 0.15e0 * cut_substations AS exposure,
+              0.5e0 * coalesce(e.isolated_facilities, 0e0) + 0.35e0 * coalesce(e.cut_roads, 0e0)
+                + 0.15e0 * coalesce(e.cut_substations, 0e0) AS exposure,
               0.375e0 * population_density + 0.5e0 * hospital_access + 0e0 * low_literacy + 0.125e0 * mapped_shelters AS vulnerability
-            FROM hazard_parts h JOIN exposure_parts e ON e.zone_id = h.zone_id AND e.event = h.event
+            FROM hazard_parts h LEFT JOIN exposure_parts e ON e.zone_id = h.zone_id AND e.event = h.event
               AND e.step = h.step AND e.horizon_h = h.horizon_h
             JOIN vulnerability_parts v ON v.zone_id = h.zone_id JOIN zones z ON z.zone_id = h.zone_id))""",
     ["hazard_parts", "exposure_parts", "vulnerability_parts"],
@@ -290,8 +296,9 @@ def zone_scores(spark, sf):
     cap = R.capacity(infra(spark, sf))
     ahead = TS.unfold_horizons(wide, ["wind", "surge"])
     parts = (
-        R.hazard_parts(wide.join(flood, "cell_id"), o, z, ["event", "step"])
-        .join(R.exposure_parts(infra_status(spark, sf, ahead), cap, keys), ["zone_id", *keys])
+        R.hazard_parts(wide.join(flood, "cell_id"), o, z, ["event", "step"], I.zone_steps(spark, sf))
+        .join(R.exposure_parts(infra_status(spark, sf, ahead), cap, keys), ["zone_id", *keys], "left")
+        .na.fill(0.0, list(R.EXPOSURE_WEIGHTS))
         .join(R.vulnerability_parts(z, _medians(spark, sf), cap), "zone_id")
         .join(z.select("zone_id", "zone_name", "population"), "zone_id")
     )
@@ -348,7 +355,7 @@ def zone_people(spark, sf):
     z = I.zones(spark, sf)
     wide = hazard_wide(spark, sf).drop("zone_id")
     flood = flood_cells(spark, sf).select("cell_id", round_to(F.col("flood"), 2).alias("flood_severity"))
-    parts = R.hazard_parts(wide.join(flood, "cell_id"), I.overlap(spark, sf).drop("event"), z, ["event", "step"])
+    parts = R.hazard_parts(wide.join(flood, "cell_id"), I.overlap(spark, sf).drop("event"), z, ["event", "step"], I.zone_steps(spark, sf))
     return (
         R.surge_population(parts.join(z.select("zone_id", "population"), "zone_id"))
         .groupBy("event", "step", "horizon_h")
@@ -554,8 +561,8 @@ def first_moment(spark, sf):
 @query(
     "deadline_step",
     with_ctes("months")
-    + """SELECT k, CASE WHEN closed IS NULL THEN hi WHEN closed > lo THEN closed - 1 END AS deadline, closed IS NULL AS stays_open
-        FROM (SELECT k, min(step) AS lo, max(step) AS hi, min(step) FILTER (isolated) AS closed FROM months GROUP BY 1)""",
+    + """SELECT k, max(step) FILTER (closed IS NULL OR step < closed) AS deadline, closed IS NULL AS stays_open
+        FROM months JOIN (SELECT k, min(step) FILTER (isolated) AS closed FROM months GROUP BY 1) USING (k) GROUP BY k, closed""",
 )
 def deadline_step(spark, sf):
     return TS.deadlines(months(spark, sf).withColumn("open", ~F.col("isolated")), ["k"], "step", "open")

@@ -27,14 +27,18 @@ def local_session(app: str, cores: int | str = "*", partitions: int = 8) -> Spar
 def work_folder(spark: SparkSession) -> str:
     """The shared folder for lineage-cutting tables.
 
-    The cluster names it in spark.checkpoint.dir. A private temporary folder is used only where
-    that setting and the context's own checkpoint folder are both unset, as in local tests.
+    The cluster names it in spark.checkpoint.dir. Where that setting and the context's own
+    checkpoint folder are both unset, a session that is one process, as in local tests, gets a
+    private temporary folder; on a cluster each machine would write to its own, so that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = current.get() if current.isDefined() else None
     if not folder:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"name a folder that all machines of {master} share in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -51,10 +55,12 @@ class WorkTables:
         self.spark = spark
         self.root = f"{work_folder(spark)}/{label}-{uuid.uuid4().hex}"
         self.paths: list[str] = []
+        self.saved = 0
 
     def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self.paths):05d}"
+        path = f"{self.root}/{self.saved:05d}"
         df.write.parquet(path)
+        self.saved += 1
         self.paths.append(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
@@ -67,6 +73,20 @@ class WorkTables:
     def union(self, paths: list[str], schema) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths)
 
+    def stored_bytes(self) -> int:
+        """The size of the table saved last."""
+        path = self._hadoop_path(self.paths[-1])
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+
+    def keep_last(self) -> None:
+        """At a loop's end: deletes all its tables but the one saved last."""
+        for path in map(self._hadoop_path, self.paths[:-1]):
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        self.paths = self.paths[-1:]
+
+    def _hadoop_path(self, path: str):
+        return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write `df` once and read it back."""

@@ -161,3 +161,42 @@ def test_grouped_row_number_matches_the_window(spark):
     want = {r.id: r.n for r in spark.sql("select id, row_number() over (partition by k order by v, id) n from ranked_rows").collect()}
     got = {r.id: r.n for r in grouped_row_number(df, ["k"], [F.col("v"), F.col("id")], "n").collect()}
     assert got == want
+
+
+def test_loops_leave_one_table(spark):
+    import glob
+
+    from stormledger.session import work_folder
+
+    before = set(glob.glob(f"{work_folder(spark)}/components-*/*"))
+    chain = spark.createDataFrame([(i, i, i + 1, 1.0) for i in range(20)], "link_id long, u long, v long, tt double")
+    assert N.components(chain).select("comp").distinct().count() == 1
+    assert len(set(glob.glob(f"{work_folder(spark)}/components-*/*")) - before) == 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    import pytest
+
+    from stormledger.session import work_folder
+
+    class Jvm:
+        def sc(self):
+            return self
+
+        def getCheckpointDir(self):
+            return self
+
+        def isDefined(self):
+            return False
+
+    class Session:
+        master = "spark://somewhere:7077"
+        _jsc = Jvm()
+        conf = {}
+
+        @property
+        def sparkContext(self):
+            return self
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        work_folder(Session())
