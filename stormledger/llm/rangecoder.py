@@ -27,16 +27,16 @@ from typing import NamedTuple
 import numpy as np
 
 MAGIC = b"IDS1"
-BLOCK = 8192
+BLOCK = 2048
 TOTAL_BITS = 24  # of the mixed distribution
 ORDER0_BITS = 20  # of the order-0 frequencies; at most 2^19 distinct ids in a segment
 TOTAL = 1 << TOTAL_BITS
-ONE_BITS, TWO_BITS = 12, 13  # slots of the order-1 and order-2 tables of a block
+ONE_BITS, TWO_BITS = 11, 11  # slots of the order-1 and order-2 tables of a block
 SURE = 15  # the highest confidence
 MOST_TWO, MOST_ONE, LEAST = TOTAL // 4 * 3, TOTAL // 16 * 3, 1 << 10
 RATE = 4
 LOW_BITS = 40  # the coder's range stays above 2^40 and below 2^56
-U64 = np.uint64
+FACTOR, PAIR_FACTOR = np.int32(-1640531535), np.int32(30011)
 
 
 class CorruptBlock(ValueError):
@@ -60,49 +60,48 @@ def _order0(ids: np.ndarray, counts: np.ndarray) -> _Order0:
 
 
 def _table(ids: np.ndarray, freq: np.ndarray) -> _Order0:
-    return _Order0(ids, freq.astype(U64), (np.cumsum(freq) - freq).astype(U64))
+    freq = freq.astype(np.int64)
+    return _Order0(ids, freq, np.cumsum(freq) - freq)
 
 
 class _Models:
     """The state of all blocks of a segment, a column each, and what one id does to it."""
 
     def __init__(self, blocks: int) -> None:
-        self.lane = np.arange(blocks, dtype=np.int64)
-        self.one = np.zeros(blocks << ONE_BITS, np.uint32)  # (id's number << 4) + confidence
-        self.two = np.zeros(blocks << TWO_BITS, np.uint32)
+        lane = np.arange(blocks, dtype=np.int32)
+        self.one = np.zeros(blocks << ONE_BITS, np.int32)  # (id's number << 4) + confidence
+        self.two = np.zeros(blocks << TWO_BITS, np.int32)
         contexts = 2 << 8
-        self.weight_two = np.full(blocks * contexts, TOTAL // 8, np.int64)
-        self.weight_one = np.full(blocks * contexts, TOTAL // 16, np.int64)
-        self.lane_one, self.lane_two, self.lane_mix = self.lane << ONE_BITS, self.lane << TWO_BITS, self.lane * contexts
-        self.last = np.zeros(blocks, np.int64)
-        self.before = np.zeros(blocks, np.int64)
+        self.weight_two = np.full(blocks * contexts, TOTAL // 8, np.int32)
+        self.weight_one = np.full(blocks * contexts, TOTAL // 16, np.int32)
+        self.lane_one, self.lane_two, self.lane_mix = lane << ONE_BITS, lane << TWO_BITS, lane * contexts
+        self.last = np.zeros(blocks, np.int32)
+        self.before = np.zeros(blocks, np.int32)
 
     def predict(self, n: int) -> None:
         """For the first n blocks: the ids orders 2 and 1 expect, and their shares of TOTAL."""
-        last, before = self.last[:n], self.before[:n]
-        self.at_one = self.lane_one[:n] + ((last * 40503 >> 4) & ((1 << ONE_BITS) - 1))
-        self.at_two = self.lane_two[:n] + (((before * 30011 + last) * 40503 >> 5) & ((1 << TWO_BITS) - 1))
-        one, two = self.one[self.at_one], self.two[self.at_two]
+        last = self.last[:n]
+        # 32-bit products wrap around, alike on any machine.
+        self.at_one = (last * FACTOR >> 15 & ((1 << ONE_BITS) - 1)) + self.lane_one[:n]
+        self.at_two = ((self.before[:n] * PAIR_FACTOR + last) * FACTOR >> 15 & ((1 << TWO_BITS) - 1)) + self.lane_two[:n]
+        one, two = self.one.take(self.at_one), self.two.take(self.at_two)
         self.id_one, self.id_two = one >> 4, two >> 4
         self.sure_one, self.sure_two = one & SURE, two & SURE
-        self.agree = self.id_one == self.id_two
-        self.at_mix = self.lane_mix[:n] + (self.sure_two.astype(np.int64) << 4 | self.sure_one) + (self.agree.astype(np.int64) << 8)
-        self.share_two = self.weight_two[self.at_mix]
-        self.own_one = self.weight_one[self.at_mix]
-        self.share_one = np.where(self.agree, 0, self.own_one)
+        agree = self.id_one == self.id_two
+        self.at_mix = self.lane_mix[:n] + (self.sure_two << 4) + self.sure_one + (agree.astype(np.int32) << 8)
+        self.share_two, self.own_one = self.weight_two.take(self.at_mix), self.weight_one.take(self.at_mix)
+        self.share_one = self.own_one * ~agree
 
-    def learn(self, n: int, number: np.ndarray) -> None:
+    def learn(self, n: int, number: np.ndarray, hit_two: np.ndarray, hit_one: np.ndarray) -> None:
         """number: the ids that came, as numbers among the segment's distinct ids."""
-        number32 = number.astype(np.uint32)
-        hit_two, hit_one = number32 == self.id_two, number32 == self.id_one
-        self.weight_two[self.at_mix] = self.share_two + ((np.where(hit_two, MOST_TWO, LEAST) - self.share_two) >> RATE)
-        goal = np.where(hit_one & ~hit_two, MOST_ONE, LEAST)
-        self.weight_one[self.at_mix] = self.own_one + ((goal - self.own_one) >> RATE)
+        self.weight_two[self.at_mix] = self.share_two + ((hit_two * (MOST_TWO - LEAST) + LEAST - self.share_two) >> RATE)
+        only_one = hit_one > hit_two
+        self.weight_one[self.at_mix] = self.own_one + ((only_one * (MOST_ONE - LEAST) + LEAST - self.own_one) >> RATE)
         for table, at, hit, sure, expected in (
             (self.one, self.at_one, hit_one, self.sure_one, self.id_one), (self.two, self.at_two, hit_two, self.sure_two, self.id_two),
         ):
-            kept = hit | (sure > 1)
-            table[at] = np.where(kept, expected, number32) << 4 | np.where(hit, np.minimum(sure + 1, SURE), np.maximum(sure >> 1, 1))
+            kept = np.where(hit | (sure > 1), expected, number)
+            table[at] = (kept << 4) + np.where(hit, np.minimum(sure + 1, SURE), np.maximum(sure >> 1, 1))
         self.before[:n] = self.last[:n]
         self.last[:n] = number
 
@@ -113,47 +112,52 @@ def _columns(n_ids: int) -> tuple[int, int]:
     return blocks, n_ids - (blocks - 1) * BLOCK
 
 
+def _interval(order0: _Order0, number: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and size of the ids' intervals in the `left` that order 0 has."""
+    cum = order0.cum.take(number)
+    start = cum * left >> ORDER0_BITS
+    return start, ((cum + order0.freq.take(number)) * left >> ORDER0_BITS) - start
+
+
 def encode(ids: np.ndarray) -> bytes:
     """A segment of these ids (unsigned, below 2^32); no ids give a segment without blocks."""
     ids = np.ascontiguousarray(ids, dtype="<u4")
     blocks, rest = _columns(len(ids))
     distinct, numbers, counts = np.unique(ids, return_inverse=True, return_counts=True)
     order0 = _order0(distinct, counts) if len(ids) else _table(distinct, np.zeros(0, np.int64))
-    padded = np.zeros(blocks * BLOCK, np.int64)
+    padded = np.zeros(blocks * BLOCK, np.int32)
     padded[: len(ids)] = numbers
     by_round = np.ascontiguousarray(padded.reshape(blocks, BLOCK).T)
     models = _Models(blocks)
-    low, size = np.zeros(blocks, U64), np.full(blocks, 1 << 56, U64)
+    low, size = np.zeros(blocks, np.int64), np.full(blocks, 1 << 56, np.int64)
     words = np.zeros((blocks, BLOCK * 3 // 2 + 8), np.uint32)  # 17 bits each, until carries are settled
     filled = np.zeros(blocks, np.int64)
 
     def put(which: np.ndarray) -> None:
-        words[which, filled[which]] = low[which] >> U64(LOW_BITS)
+        own = low[which]
+        words[which, filled[which]] = own >> LOW_BITS
         filled[which] += 1
-        low[which] = (low[which] & U64((1 << LOW_BITS) - 1)) << U64(16)
+        low[which] = (own & ((1 << LOW_BITS) - 1)) << 16
 
     for at in range(BLOCK if blocks > 1 else rest if blocks else 0):
         n = blocks if at < rest else blocks - 1
         number = by_round[at, :n]
         models.predict(n)
         two, both = models.share_two, models.share_two + models.share_one
-        left = (TOTAL - both).astype(U64)
-        cum, freq = order0.cum[number], order0.freq[number]
-        start = left * cum >> U64(ORDER0_BITS)
-        share = (left * (cum + freq) >> U64(ORDER0_BITS)) - start
-        hit_two = number == models.id_two
-        hit_one = (number == models.id_one) & ~hit_two
-        start = np.where(hit_two, 0, np.where(hit_one, two, start.astype(np.int64) + both)).astype(U64)
-        share = np.where(hit_two, two, np.where(hit_one, models.share_one, share.astype(np.int64))).astype(U64)
-        step = size[:n] >> U64(TOTAL_BITS)
+        hit_two, hit_one = number == models.id_two, number == models.id_one
+        start, share = _interval(order0, number, TOTAL - both)
+        start = np.where(hit_two, 0, np.where(hit_one, two, start + both))
+        share = np.where(hit_two, two, np.where(hit_one, models.share_one, share))
+        step = size[:n] >> TOTAL_BITS
         low[:n] += step * start
         size[:n] = step * share
-        narrow = np.flatnonzero(size[:n] < U64(1 << LOW_BITS))
+        narrow = np.flatnonzero(size[:n] < (1 << LOW_BITS))
         while len(narrow):
             put(narrow)
-            size[narrow] <<= U64(16)
-            narrow = narrow[size[narrow] < U64(1 << LOW_BITS)]
-        models.learn(n, number)
+            wider = size[narrow] << 16
+            size[narrow] = wider
+            narrow = narrow[wider < (1 << LOW_BITS)]
+        models.learn(n, number, hit_two, hit_one)
     for _ in range(4):
         put(np.arange(blocks))
     for at in range(int(filled.max(initial=0)) - 1, 0, -1):
@@ -181,49 +185,46 @@ def decode(segment: bytes) -> np.ndarray:
     data_at = 20 + head_size + 8 * blocks
     if len(segment) != data_at + 2 * int(sizes.sum()):
         raise CorruptBlock("a segment of another size than its head says")
-    data = np.concatenate([np.frombuffer(segment, "<u2", offset=data_at), np.zeros(8, np.uint16)]).astype(U64)
+    data = np.concatenate([np.frombuffer(segment, "<u2", offset=data_at), np.zeros(8, np.uint16)]).astype(np.int64)
     next_word = np.cumsum(sizes) - sizes
-    code = np.zeros(blocks, U64)
-    for part in range(4):  # 56 bits: three words and half of the fourth come at once
-        code = code << U64(16) | data[next_word + part]
-    next_word = next_word + 4
-    # code holds 64 bits here while low and size have 56: the extra 8 are kept apart until shifted in.
-    spare = code & U64(0xFF)
-    code >>= U64(8)
-    slots = np.repeat(np.arange(n_distinct), order0.freq.astype(np.int64)) if n_ids else np.zeros(0, np.int64)
+    code = np.zeros(blocks, np.int64)  # 56 bits, relative to low: three words and half of the fourth
+    for part in range(3):
+        code = code << 16 | data[next_word + part]
+    spare = data[next_word + 3]
+    code, spare = code << 8 | spare >> 8, spare & 0xFF
+    next_word += 4
+    slots = np.repeat(np.arange(n_distinct, dtype=np.int32), order0.freq)
     _, rest = _columns(n_ids)
-    by_round = np.zeros((BLOCK, blocks), np.int64)
+    by_round = np.zeros((BLOCK, blocks), np.int32)
     models = _Models(blocks)
-    size = np.full(blocks, 1 << 56, U64)  # code is relative to low
+    size = np.full(blocks, 1 << 56, np.int64)
     for at in range(BLOCK if blocks > 1 else rest if blocks else 0):
         n = blocks if at < rest else blocks - 1
         models.predict(n)
         two, both = models.share_two, models.share_two + models.share_one
-        left = (TOTAL - both).astype(U64)
-        step = size[:n] >> U64(TOTAL_BITS)
-        value = np.minimum(code[:n] // step, U64(TOTAL - 1)).astype(np.int64)
-        over = np.maximum(value - both, 0).astype(U64)
-        slot = np.minimum((((over + U64(1)) << U64(ORDER0_BITS)) - U64(1)) // left, U64((1 << ORDER0_BITS) - 1))
-        number = slots[slot.astype(np.int64)]
-        cum, freq = order0.cum[number], order0.freq[number]
-        start = left * cum >> U64(ORDER0_BITS)
-        share = (left * (cum + freq) >> U64(ORDER0_BITS)) - start
-        in_two, in_one = value < two, value < both
-        number = np.where(in_two, models.id_two, np.where(in_one, models.id_one, number)).astype(np.int64)
-        start = np.where(in_two, 0, np.where(in_one, two, start.astype(np.int64) + both)).astype(U64)
-        share = np.where(in_two, two, np.where(in_one, models.share_one, share.astype(np.int64))).astype(U64)
+        left = TOTAL - both
+        step = size[:n] >> TOTAL_BITS
+        value = np.minimum(code[:n] // step, TOTAL - 1)
+        in_two, in_both = value < two, value < both
+        slot = (((np.maximum(value - both, 0) + 1) << ORDER0_BITS) - 1) // left
+        number = slots.take(np.minimum(slot, (1 << ORDER0_BITS) - 1))
+        start, share = _interval(order0, number, left)
+        number = np.where(in_two, models.id_two, np.where(in_both, models.id_one, number))
+        start = np.where(in_two, 0, np.where(in_both, two, start + both))
+        share = np.where(in_two, two, np.where(in_both, models.share_one, share))
         code[:n] -= step * start
         size[:n] = step * share
-        narrow = np.flatnonzero(size[:n] < U64(1 << LOW_BITS))
+        narrow = np.flatnonzero(size[:n] < (1 << LOW_BITS))
         while len(narrow):
-            came = data[np.minimum(next_word[narrow], len(data) - 1)]
-            code[narrow] = code[narrow] << U64(16) | spare[narrow] << U64(8) | came >> U64(8)
-            spare[narrow] = came & U64(0xFF)
+            came = data.take(np.minimum(next_word[narrow], len(data) - 1))
+            code[narrow] = (code[narrow] << 16) + (spare[narrow] << 8) + (came >> 8)
+            spare[narrow] = came & 0xFF
             next_word[narrow] += 1
-            size[narrow] <<= U64(16)
-            narrow = narrow[size[narrow] < U64(1 << LOW_BITS)]
+            wider = size[narrow] << 16
+            size[narrow] = wider
+            narrow = narrow[wider < (1 << LOW_BITS)]
         by_round[at, :n] = number
-        models.learn(n, number)
+        models.learn(n, number, number == models.id_two, number == models.id_one)
     numbers = by_round.T.reshape(-1)[:n_ids]
     ids = order0.ids[numbers] if n_ids else np.zeros(0, "<u4")
     for block in range(blocks):
