@@ -98,21 +98,17 @@ def remove_repeats(
     kept = df.drop("removed_sentences").withColumn("_text", F.xxhash64(text))
     documents = kept.select(F.col(key).alias("_key"), "_text", F.col(text).alias("_body"))
     documents = work.save(
-        _with_spans(documents, "_body", run_sentences, run_words).dropDuplicates(["_key", "_text"])
-        .withColumn("_row", F.monotonically_increasing_id())
+        _with_spans(documents, "_body", run_sentences, run_words).withColumn("_row", F.monotonically_increasing_id())
     )
     spans = documents.select("_row", F.explode("_spans").alias("s")).select("_row", "s.*")
-    # Half the hash tells which spans may come twice; only these need the rest, and their keys.
+    # Half the hash tells which spans may come twice; only these need the rest, and their documents.
     twice = spans.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1")
-    again = work.save(spans.join(twice, "h1").join(documents.select("_row", "_key"), "_row"))
-    order = F.struct("_key", "_row", "first")
-    first = again.groupBy("h1", "h2").agg(F.min(order).alias("kept"))
-    gone = (
-        again.join(first, ["h1", "h2"])
-        .filter((F.col("_row") != F.col("kept._row")) | (F.col("first") != F.col("kept.first")))
-        .select("_row", "first", "last").distinct()
-        .groupBy("_row").agg(F.collect_list(F.struct("first", "last")).alias("_gone"))
-        .join(documents.select("_row", "_key", F.col("_text").alias("_same")), "_row").drop("_row")
+    named = documents.select("_row", "_key", F.col("_text").alias("_same"))
+    again = work.save(spans.join(twice, "h1").join(named, "_row").drop("_row"))
+    first = again.groupBy("h1", "h2").agg(F.min(F.struct("_key", "_same", "first")).alias("kept"))
+    is_first = F.struct("_key", "_same", "first").eqNullSafe(F.col("kept"))
+    gone = again.join(first, ["h1", "h2"]).filter(~is_first).groupBy("_key", "_same").agg(
+        F.collect_set(F.struct("first", "last")).alias("_gone")
     )
 
     def run(batches: Iterator) -> Iterator:
