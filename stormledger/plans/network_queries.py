@@ -326,7 +326,7 @@ def facility_access(spark, sf):
 
 # Distance and source as one number, so that the keyed recursion has a single minimum.
 CTE["ever"] = ("SELECT DISTINCT item FROM isolated", ["isolated"])
-CTE["safe"] = ("SELECT f.item AS source, f.node FROM facilities f WHERE hospital AND NOT too_far AND NOT EXISTS (SELECT 1 FROM ever e WHERE e.item = f.item)", ["ever"])
+CTE["safe"] = ("SELECT f.item AS source, f.node FROM facilities f WHERE hospital AND NOT too_far AND f.node IN (SELECT node FROM base) AND NOT EXISTS (SELECT 1 FROM ever e WHERE e.item = f.item)", ["ever", "base"])
 CTE["near"] = (
     """SELECT step, node, min(source) AS best FROM safe, days GROUP BY 1, 2 UNION
        SELECT s.step, a.m, min(s.best + a.tt * 1000000) FROM near s JOIN adj a ON a.n = s.node
@@ -341,7 +341,7 @@ CTE["departing"] = (
     ["near"],
 )
 CTE["departs"] = (
-    """SELECT f.item, d.node, CASE WHEN closed IS NULL THEN hi WHEN closed > lo THEN closed - 1 END AS deadline,
+    """SELECT f.item, d.node, CASE WHEN closed IS NULL THEN hi WHEN closed > lo THEN (SELECT max(step) FROM days WHERE step < closed) END AS deadline,
          coalesce(closed IS NULL AND d.item IS NOT NULL, false) AS stays_open
        FROM facilities f LEFT JOIN departing d ON d.item = f.item WHERE f.item IN (SELECT item FROM ever)""",
     ["departing"],
@@ -354,7 +354,10 @@ def departures(spark, sf):
     iso = N.WorkTables(spark, "ever").save(iso)
     f = facilities(spark, sf)
     leaving = f.join(iso, "item", "left_semi")
-    safe = f.filter("hospital AND NOT too_far").join(iso, "item", "left_anti").select(
+    # A place the anchor's network never reached is never cut off from it, but it is no refuge either.
+    comps = N.components(links(spark, sf))
+    home = comps.join(comps.filter(F.col("node") == ANCHOR).select("comp"), "comp", "left_semi").select("node")
+    safe = f.filter("hospital AND NOT too_far").join(iso, "item", "left_anti").join(home, "node", "left_semi").select(
         F.col("item").alias("source"), "node", "network_id"
     )
     return M.departures(leaving, links(spark, sf), cuts(spark, sf), safe, days(spark, sf))
