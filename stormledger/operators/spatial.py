@@ -272,19 +272,16 @@ def line_lengths(segments: DataFrame, shapes: DataFrame, tile: float) -> DataFra
     tiled = tiles_of_box(boxed, "bx0", "by0", "bx1", "by1", tile).select(
         "zone_id", "ring", "tx", "ty", "bx0", "by0", "bx1", "by1"
     )
-    numbered = segments.withColumn("sid", F.xxhash64("fid", "ax", "ay", "bx", "by"))
-    legs = numbered.withColumns({
+    legs = segments.withColumns({
         "lx": F.least("ax", "bx"), "ly": F.least("ay", "by"), "hx": F.greatest("ax", "bx"), "hy": F.greatest("ay", "by"),
     }).withColumnsRenamed({"ax": "px", "ay": "py", "bx": "qx", "by": "qy"})
     meets = (
         (F.col("hx") >= F.col("bx0")) & (F.col("lx") <= F.col("bx1"))
         & (F.col("hy") >= F.col("by0")) & (F.col("ly") <= F.col("by1"))
     )
-    pairs = (
-        tiles_of_box(legs, "lx", "ly", "hx", "hy", tile)
-        .join(tiled, ["tx", "ty"]).filter(meets)
-        .dropDuplicates(["sid", "zone_id"])
-    )
+    # A leg and a zone can share many tiles; the one with the lower corner of their common box counts.
+    owner = (F.col("tx") == grid_key(F.greatest("lx", "bx0"), tile)) & (F.col("ty") == grid_key(F.greatest("ly", "by0"), tile))
+    pairs = tiles_of_box(legs, "lx", "ly", "hx", "hy", tile).join(tiled, ["tx", "ty"]).filter(meets & owner)
     rx, ry = _xy(F.col("ring"))
     length = length_inside(rx, ry, F.col("px"), F.col("py"), F.col("qx"), F.col("qy"))
     return (

@@ -327,19 +327,20 @@ _GLAT = r_sql(f"({r_sql('21.5e0 + r * 0.24e0', 5)} + {r_sql(r_sql('21.5e0 + r *
 
 @query(
     "regular_grid",
-    f"""WITH g AS (SELECT p_partkey, p_size, 5 * p_partkey // (SELECT count(*) FROM part) AS r FROM part)
+    f"""WITH g AS (SELECT p_partkey, p_size, p_partkey // (((SELECT count(*) FROM part) + 4) // 5) AS r FROM part)
         SELECT p_partkey AS k, r, {_GLAT} AS lat, CASE WHEN p_size > 20 THEN p_size::DOUBLE END AS measured FROM g""",
 )
 def regular_grid(spark, sf):
     """A grid of five rows with a cell per part, heights from the table where it has them."""
     parts = I.table(spark, sf, "part").select("p_partkey", "p_size")
-    cols = parts.count() // 5
+    n = parts.count()
+    cols = -(-n // 5)  # the last row may be short
     k = F.col("p_partkey")
     cell = F.format_string("c%02d%02d", F.floor(k / cols).cast("int"), (k % cols).cast("int"))
     heights = parts.filter("p_size > 20").select(cell.alias("cell_id"), F.col("p_size").cast("double").alias("elevation"))
     grid = OH.regular_grid(spark, 5, cols, 88.0, 21.5, 89.1, 22.7, heights)
     known = heights.select("cell_id", F.lit(True).alias("known"))
-    return grid.join(known, "cell_id", "left").select(
+    return grid.filter(F.col("r") * cols + F.col("c") < n).join(known, "cell_id", "left").select(
         (F.col("r") * cols + F.col("c")).cast("long").alias("k"), F.col("r").cast("long").alias("r"), "lat",
         F.when(F.col("known"), F.col("elevation")).alias("measured"),
     )
