@@ -490,3 +490,31 @@ def rate_window(spark, sf):
     return trailing_count(I.table(spark, sf, "events"), "user_id", "ts", "event_id", 3600).select(
         "event_id", "user_id", "in_hour", (F.col("in_hour") > 1).alias("limited")
     )
+
+
+@query(
+    "dq_falling_totals",
+    """SELECT o_custkey, o_orderkey, o_totalprice, before FROM (
+         SELECT o_custkey, o_orderkey, o_totalprice, lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS before FROM orders)
+       WHERE o_totalprice < before""",
+)
+def dq_falling_totals(spark, sf):
+    """Orders that cost less than the customer's one before."""
+    orders = I.table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return Q.falling_totals(orders, ["o_custkey"], "o_orderkey", "o_totalprice")
+
+
+@query(
+    "dq_results",
+    """SELECT 'ok_without_pathway' AS rule, o_orderkey AS key FROM orders WHERE o_orderstatus = 'F' AND o_custkey % 3 > 0
+       UNION ALL SELECT 'approver_named', o_orderkey FROM orders WHERE o_orderstatus <> 'F' AND o_custkey % 4 = 0""",
+)
+def dq_results(spark, sf):
+    """Clean results with a pathway, and advisories sent without an approver."""
+    k = F.col("o_custkey")
+    results = I.table(spark, sf, "orders").select(
+        "o_orderkey", F.when(F.col("o_orderstatus") == "F", "ok").when(F.col("o_orderstatus") == "O", "approved").otherwise("sent").alias("status"),
+        F.slice(F.array(F.lit("bridge"), F.lit("ferry")), F.lit(1), (k % 3).cast("int")).alias("pathway"),
+        F.when(k % 4 != 0, F.col("o_orderpriority")).alias("approved_by"),
+    )
+    return Q.violations(results, F.col("o_orderkey"), Q.result_rules())

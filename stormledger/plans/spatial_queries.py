@@ -283,3 +283,23 @@ def stand_in_filter(spark, sf):
     marked = s.select("pid").join(inside.withColumn("covered", F.lit(True)), "pid", "left")
     stand_in = F.col("pid") % 2 == 0
     return marked.select("pid", stand_in.alias("stand_in"), (F.coalesce("covered", F.lit(False)) & stand_in).alias("dropped"))
+
+
+@query(
+    "zone_cells",
+    with_ctes("overlap", "spots", "boxes")
+    + """, got AS (SELECT DISTINCT zone_id, cell_id FROM overlap WHERE zone_id % 5 <> 0)
+        SELECT zone_id, cell_id FROM got UNION ALL
+        SELECT b.zone_id::BIGINT, s.pid FROM boxes b JOIN spots s ON s.x BETWEEN x0 AND x1 AND s.y BETWEEN y0 AND y1
+        WHERE b.zone_id NOT IN (SELECT zone_id FROM got)""",
+)
+def zone_cells(spark, sf):
+    """Cells of a zone by overlap; zones without any take those whose centre lies in their box."""
+    k = F.col("n_nationkey")
+    zones = I.table(spark, sf, "nation").select(
+        k.cast("long").alias("zone_id"), ((k % 5) * 8000 + 250.0).alias("bx0"), (F.floor(k / 5) * 8000 + 250.0).alias("by0"),
+        ((k % 5) * 8000 + 6500.0).alias("bx1"), (F.floor(k / 5) * 8000 + 5000.0).alias("by1"),
+    )
+    c = F.col("c_custkey")
+    cells = I.table(spark, sf, "customer").select(c.alias("cell_id"), (c * 7919 % 40000).alias("x"), (c * 104729 % 40000).alias("y"))
+    return S.zone_cells(I.overlap(spark, sf).filter("zone_id % 5 <> 0"), zones, cells, 2000.0)

@@ -500,3 +500,17 @@ def named_stand_ins(spark, sf):
     return FX.named_stand_ins(infra(spark, sf).filter("infra_type = 'shelter'"), ["zone_id"])
 
 
+
+
+@query(
+    "fixed_action",
+    """SELECT p_partkey, array_to_string(['a1', 'a2', 'a3', 'a4', 'a5'][:p_size % 6] || CASE WHEN p_partkey % 3 = 0 AND p_size % 6 < 5 THEN ['Find a safe building'] ELSE [] END, '|') AS actions,
+         p_partkey % 3 = 0 AND p_size % 6 = 5 AS too_many FROM part""",
+)
+def fixed_action(spark, sf):
+    """The action for zones without a shelter, appended where the list has room."""
+    some = F.slice(F.array(*[F.lit(f"a{i}") for i in range(1, 6)]), F.lit(1), (F.col("p_size") % 6).cast("int"))
+    action, standins = F.lit("Find a safe building"), F.col("p_partkey") % 3
+    return I.table(spark, sf, "part").select(
+        "p_partkey", F.array_join(X.add_action(some, standins, action), "|").alias("actions"), X.too_many_actions(some, standins, action).alias("too_many"),
+    )
