@@ -110,18 +110,26 @@ class CentroidGraph:
             more += 1
         return found[:more]
 
-    def homes(self, vector) -> list[int]:
-        """The vector's lists, its own first."""
+    def homes(self, vectors) -> list[list[int]]:
+        """The lists of each vector (rows), its own first; all distances of a block at once."""
         import numpy as np
 
-        chosen: list[int] = []
-        for d, c in self.near(vector, REPLICA_RATIO):
-            if len(chosen) == REPLICAS:
-                break
-            between = np.sqrt(((self.centroids[chosen] - self.centroids[c]) ** 2).sum(axis=1)) if chosen else ()
-            if not chosen or d <= (1 + REPLICA_RATIO) * float(np.min(between)):
-                chosen.append(c)
-        return chosen
+        squares = (vectors ** 2).sum(axis=1)[:, None] + (self.centroids ** 2).sum(axis=1)[None]
+        d = np.sqrt(np.maximum(squares - 2 * vectors @ self.centroids.T, 0))
+        few = min(4 * REPLICAS, d.shape[1])
+        near = np.argpartition(d, few - 1, axis=1)[:, :few]
+        near = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+        found = []
+        for own, order in zip(d, near):
+            chosen = [int(order[0])]
+            for c in order[1:][own[order[1:]] <= (1 + REPLICA_RATIO) * own[order[0]]].tolist():
+                if len(chosen) == REPLICAS:
+                    break
+                between = np.sqrt(((self.centroids[chosen] - self.centroids[c]) ** 2).sum(axis=1))
+                if own[c] <= (1 + REPLICA_RATIO) * between.min():
+                    chosen.append(c)
+            found.append(chosen)
+        return found
 
 
 def _usable(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -141,7 +149,7 @@ def _matrix(column):
 
 
 def _placed(rows: DataFrame, places, extra: str) -> DataFrame:
-    """rows (entry, vector) once per list of places(vector), with the list's number and place."""
+    """rows (entry, vector) once per list that places(vectors) gives, with the list's number and place."""
     schema = f"{extra} long, vector array<double>, list int, place int"
 
     def run(batches):
@@ -151,7 +159,7 @@ def _placed(rows: DataFrame, places, extra: str) -> DataFrame:
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                found = [places(v) for v in _matrix(part.column(1))]
+                found = places(_matrix(part.column(1)))
                 rows_of = np.repeat(np.arange(len(found)), [len(f) for f in found])
                 taken = part.take(pa.array(rows_of))
                 lists = pa.array([c for f in found for c in f], pa.int32())
@@ -190,15 +198,18 @@ def nearest(df: DataFrame, key: str, vector: str, is_query: Column, k: int = 10)
     sample = np.array([r["vector"] for r in picked.select("vector").collect()], np.float64)
     lists = max(1, min(MAX_LISTS, -(-n // LIST_VECTORS), max(1, len(sample) // 8)))
     graph = spark.sparkContext.broadcast(CentroidGraph(balanced_centroids(sample, lists)))
-    postings = work.save(_placed(entries, lambda v: graph.value.homes(v), "entry"))
+    postings = work.save(_placed(entries, lambda vectors: graph.value.homes(vectors), "entry"))
     sizes = postings.groupBy("list").agg(
         F.count(F.lit(1)).alias("size"), F.count_if(F.col("place") == 0).alias("own")
     ).collect()  # at most MAX_LISTS rows
     own = {r["list"]: r["own"] for r in sizes}
     part_rows = [(r["list"], -(-r["size"] // PART)) for r in sizes]
 
-    def lists_of(v) -> list[int]:
-        return [c for _, c in graph.value.near(v, SEARCH_RATIO, enough=lambda found: sum(own.get(c, 0) for c in found) > k)]
+    def enough(found: list[int]) -> bool:
+        return sum(own.get(c, 0) for c in found) > k
+
+    def lists_of(vectors) -> list[list[int]]:
+        return [[c for _, c in graph.value.near(v, SEARCH_RATIO, enough=enough)] for v in vectors]
 
     queries = work.save(rows.filter(is_query).join(entries.select("vector", "entry"), "vector").select(F.col("id").alias("query_id"), "entry"))
     searched = entries.join(queries.select("entry").distinct(), "entry").select(F.col("entry").alias("query"), "vector")
