@@ -19,13 +19,14 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
 from itertools import count
 from operator import eq
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from stormledger.llm.arrow import add_columns
+
 WORD = re.compile("[^\x20\x09-\x0D]+")
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEATED_PCT = 20, 8, 30
@@ -138,21 +139,4 @@ def clean_lines(df: DataFrame, text: str = "text") -> DataFrame:
     A null or empty text has no words and is not kept; its clean_text equals it. Every row is
     judged alone, so repeated rows get equal verdicts. Columns named as in VERDICT are replaced.
     """
-    import pyarrow as pa
-
-    names = [f.name for f in VERDICT]
-    inputs = df.drop(*[c for c in names if c != text])
-    schema = T.StructType([*inputs.schema.fields, *VERDICT])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        types = to_arrow_schema(T.StructType(VERDICT))
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):  # pieces of a batch, so that results stay small
-                part = batch.slice(at, 500)
-                rows = [judge(t.as_py()) for t in part.column(part.schema.get_field_index(text))]
-                made = [pa.array([r[k] for r in rows], types.field(k).type) for k in range(len(names))]
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*part.schema.names, *names])
-
-    return inputs.mapInArrow(run, schema)
+    return add_columns(df, text, VERDICT, lambda texts: [list(v) for v in zip(*map(judge, texts))])
