@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 
@@ -100,7 +101,7 @@ def id_rows(rows):
 def test_id_files(spark, odd, documents):
     got = QUERIES["op6_id_files"](spark, SF).select("doc_id", "start", "n_tokens", "ids_crc32").orderBy("start").collect()
     assert [tuple(r) for r in got] == id_rows(documents)
-    folder = f"{work_folder(spark)}/odd-ids"
+    folder = f"{work_folder(spark)}/odd-ids-{uuid.uuid4().hex}"
     idfile.write_ids(odd.filter("doc_id > 1"), "doc_id", folder, FILES["byte"], "byte", 2, segment_ids=20)
     read = idfile.read_ids(spark, folder).withColumn("crc", F.crc32("ids")).orderBy("start").collect()
     assert [(r["key"], r["start"], r["n_tokens"], r["crc"]) for r in read] == id_rows([(k, t) for k, t in enumerate(ODD) if k > 1])
