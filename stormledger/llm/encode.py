@@ -12,7 +12,7 @@ import re
 from functools import lru_cache
 from struct import pack
 
-CACHED_PIECES, CACHED_CHUNKS = 800_000, 300_000  # bounds on a worker's memory; a full cache starts anew
+CACHED_PIECES, CACHED_CHUNKS = 200_000, 60_000  # bounds on a worker's memory; a full cache starts anew
 
 #: Printable Latin letters and signs, without those that are numbers but not digits, and white space.
 PLAIN = re.compile("[\t\n\r -~¡-±´-¸º»¿-įı-ɏ]*")
