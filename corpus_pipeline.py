@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stormledger.llm.jaccard import without_near_copies
 from stormledger.llm.quality import clean_lines
 from stormledger.llm.secrets import redact
 from stormledger.llm.simhash import near_groups
@@ -44,8 +45,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group, the document with the smallest doc_id stays."""
-    return _restored(docs, near_groups(_carried(docs), "doc_id").filter("stays"))
+    """Of each group, the document with the smallest doc_id stays.
+
+    Groups are those of op10_simhash; what they leave is then freed of texts that share 80 % of
+    their five-word shingles, which mostly differ in more bits than op10's contract links.
+    """
+    left = near_groups(_carried(docs), "doc_id").filter("stays").drop("fingerprint", "component_id", "stays")
+    return _restored(docs, without_near_copies(left, "doc_id"))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

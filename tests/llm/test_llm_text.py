@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from stormledger.llm import quality, secrets, simhash, spans
+from stormledger.llm import jaccard, quality, secrets, simhash, spans
 from stormledger.llm.queries import QUERIES
 from stormledger.session import WorkTables
 
@@ -222,6 +222,37 @@ def test_redaction(spark):
     assert got == {1: "use [SECRET] now", 2: None, 3: "", 4: "nothing here", 5: "[SECRET] and [SECRET]"}
 
 
+def test_near_copies_with_changed_words_go(spark):
+    import random
+
+    import corpus_pipeline
+
+    rng, rows = random.Random(7), []
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/../sf0.01/documents.parquet").orderBy("doc_id").collect()]
+    for k, text in enumerate([t for t in dict.fromkeys(texts) if 150 < len(t.split()) < 1500][:60]):
+        words = text.split(" ")
+        for at in rng.sample(range(len(words)), max(1, len(words) // 70)):
+            words[at] = f"other{rng.randrange(10**6)}"
+        rows += [(k, text, "en", "s", 0), (1000 + k, " ".join(words), "en", "s", 0)]
+    rows += [(5000 + k, " ".join(f"w{k}x{rng.randrange(50)}" for _ in range(60)), "en", "s", 0) for k in range(20)]
+    sets = {r[0]: jaccard.shingles(r[1]) for r in rows}
+    pairs = [k for k in range(60) if 1000 + k in sets and jaccard.near(sets[k], sets[1000 + k])]
+    assert len(pairs) > 40
+    left = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, DOCS), SF).collect()}
+    assert not any(1000 + k in left for k in pairs) and {5000 + k for k in range(20)} <= left
+    assert not any(jaccard.near(sets[a], sets[b]) for a, b in combinations(sorted(left), 2))
+
+
+def test_near_copies_meet_in_crowded_buckets(spark, monkeypatch):
+    base = [f"w{k}" for k in range(400)]
+    rows = [(0, " ".join(base))] + [(k, " ".join(base[:5 * k] + [f"new{k}"] * 4 + base[5 * k + 4:])) for k in range(1, 60)]
+    rows += [(100 + k, " ".join(base[:200] + [f"own{k}x{i}" for i in range(200)])) for k in range(30)]
+    rows += [(None, " ".join(base)), (300, ""), (301, None), (302, "one two")]
+    monkeypatch.setattr(jaccard, "ROWS", 1)
+    got = jaccard.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()
+    assert sorted(r["doc_id"] for r in got) == [0, *range(100, 130), 300, 301, 302]
+
+
 def test_pipeline_stages(spark, odd):
     import corpus_pipeline
 
