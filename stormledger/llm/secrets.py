@@ -10,6 +10,10 @@ enters and the one that leaves. Its entropy is log2(WINDOW) - sum / WINDOW. The
 candidate's character class: hexadecimal strings have 16 symbols and reach less than others.
 c * log2(c) is kept in whole millionths, so a sum updated a million times is exact.
 Strings on the allow list (UUIDs, placeholders, alphabets, paths of plain words) are suppressed.
+
+That is op7's contract, by which a string that touches a span or holds an allowed word is not walked
+at all. With parts=True, which redact() uses, spans and allowed words are cut out of a candidate and
+each part left is walked as a candidate of its own; other candidates give the same spans either way.
 """
 
 from __future__ import annotations
@@ -30,12 +34,14 @@ LEAST_ASSIGNED = 6
 WINDOW = 20
 CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-ALLOWED = (
-    "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
-    "|[eE][xX][aA][mM][pP][lL][eE]|[pP][lL][aA][cC][eE][hH][oO][lL][dD][eE][rR]|[cC][hH][aA][nN][gG][eE][mM][eE]"
-    "|[aA][bB][cC][dD][eE][fF][gG][hH]|01234567|12345678"
-    "|^[+/_=-]*[A-Za-z]+[0-9]{0,4}([+/_=-]+[A-Za-z]*[0-9]{0,4})*$"
+#: Allowed as a whole string, by words anywhere in it, and as a whole string again.
+ALLOWED_UUID = "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$"
+ALLOWED_WORDS = (
+    "[eE][xX][aA][mM][pP][lL][eE]", "[pP][lL][aA][cC][eE][hH][oO][lL][dD][eE][rR]", "[cC][hH][aA][nN][gG][eE][mM][eE]",
+    "[aA][bB][cC][dD][eE][fF][gG][hH]", "01234567", "12345678",
 )
+ALLOWED_PATH = "^[+/_=-]*[A-Za-z]+[0-9]{0,4}([+/_=-]+[A-Za-z]*[0-9]{0,4})*$"
+ALLOWED = "|".join([ALLOWED_UUID, *ALLOWED_WORDS, ALLOWED_PATH])
 #: Least bits of a window that count as a secret, by the class of the candidate.
 BITS = {"hex": 3.2, "other": 3.9}
 SCALE = 1_000_000
@@ -121,11 +127,37 @@ def _hot_windows(hit: Column) -> Column:
     )
 
 
-def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
+def _parts(x: Column) -> Column:
+    """array<struct(start, hit)>: candidates in what base spans and allowed words leave of a candidate."""
+    end = x["start"] + F.length(x["hit"])
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    touching = F.filter("base_spans", lambda b: (b["start"] < end) & (x["start"] < b["end"]))
+
+    def step(s: Column, b: Column) -> Column:
+        gap = F.array(F.struct(s["at"].alias("start"), b["start"].alias("end")))
+        return F.struct(
+            F.greatest(s["at"], b["end"]).alias("at"), F.when(b["start"] >= s["at"] + WINDOW, F.concat(s["gaps"], gap)).otherwise(s["gaps"]).alias("gaps"),
+        )
+
+    def cut(g: Column) -> Column:
+        part = F.substring(x["hit"], g["start"] - x["start"] + 1, g["end"] - g["start"])
+        blanked = part
+        for word in ALLOWED_WORDS:
+            blanked = F.regexp_replace(blanked, word, " " * (len(word) if word.isdigit() else word.count("[")))
+        inner = F.transform(_located(blanked, CANDIDATE), lambda y: F.struct((g["start"] + y["start"]).alias("start"), y["hit"].alias("hit")))
+        return F.when(~part.rlike(f"{ALLOWED_UUID}|{ALLOWED_PATH}"), inner).otherwise(F.array().cast("array<struct<start:int,hit:string>>"))
+
+    first = F.struct(x["start"].alias("at"), none.alias("gaps"))
+    gaps = F.aggregate(touching, first, step, lambda s: F.concat(s["gaps"], F.array(F.struct(s["at"].alias("start"), end.alias("end")))))
+    return F.flatten(F.transform(F.filter(gaps, lambda g: g["end"] >= g["start"] + WINDOW), cut))
+
+
+def find_secrets(df: DataFrame, text: str = "text", parts: bool = False) -> DataFrame:
     """df with `base_spans` and `secret_spans`, arrays of struct(start, kind_no, end) by (start, kind).
 
     base_spans holds the three fixed kinds, which may overlap each other; secret_spans adds the
     entropy spans, from the first to the last hot window of a candidate, none touching a base span.
+    parts: what base spans and allowed words leave of a candidate is walked too.
     A null or empty text has no spans. Rows stand for themselves: repeated rows, ties and other
     columns change nothing. Columns of the two names are replaced.
     """
@@ -142,8 +174,18 @@ def find_secrets(df: DataFrame, text: str = "text") -> DataFrame:
         clear = ~F.exists("base_spans", lambda b: (b["start"] < x["start"] + F.length(x["hit"])) & (x["start"] < b["end"]))
         return clear & x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]") & ~x["hit"].rlike(ALLOWED)
 
+    def mixed(x: Column) -> Column:
+        return x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]")
+
+    found = _located(body, CANDIDATE)
+    if parts:
+        # Kept from the tests after it, so that what was cut is not cut anew for each of them.
+        cut = F.flatten(F.transform(F.filter(found, mixed), _parts))
+        found = F.transform(F.array(cut), lambda c: F.filter(c, lambda x: mixed(x) & ~x["hit"].rlike(f"{ALLOWED_UUID}|{ALLOWED_PATH}")))[0]
+    else:
+        found = F.filter(found, candidate)
     walked = F.transform(
-        F.filter(_located(body, CANDIDATE), candidate), lambda x: F.struct(x["start"].alias("start"), _hot_windows(x["hit"]).alias("w"))
+        found, lambda x: F.struct(x["start"].alias("start"), _hot_windows(x["hit"]).alias("w"))
     )
     hot = F.transform(
         F.filter(walked, lambda x: x["w"]["first"] >= 0),
@@ -164,11 +206,11 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
-    """df with every secret in `text` replaced by `mark`; overlapping spans become one mark.
+    """df with every secret in `text`, also in parts of strings, replaced by `mark`; overlapping spans become one mark.
 
     Texts without a secret, null and empty ones among them, stay as they are.
     """
-    found = find_secrets(df, text)
+    found = find_secrets(df, text, parts=True)
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(s: Column, x: Column) -> Column:
