@@ -26,7 +26,7 @@ from stormledger.session import WorkTables
 
 SHINGLE_WORDS, LEAST_PCT = 5, 80
 BANDS, ROWS = 24, 5
-SLOTS = 16  # leaders of a bucket from the second round on; the first takes one, as most groups are of copies
+MORE_SLOTS = 4  # so many times the leaders of a bucket by the round; the first takes one, as most groups are of copies
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -123,7 +123,7 @@ def without_near_copies(df: DataFrame, key: str, text: str = "text") -> DataFram
         left = members.join(leaders.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti")
         left = left.join(dropped, "node", "left_anti").withColumn("_one", F.lit(True))
         members, n = work.save_counting(left, "_one")
-        members, slots = members.drop("_one"), SLOTS
+        members, slots = members.drop("_one"), MORE_SLOTS * slots
         if not n:
             break
     lost = nodes.join(work.union(gone, "node long"), "node", "left_semi").select("_row")
