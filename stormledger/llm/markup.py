@@ -1,7 +1,8 @@
 """HTML as a stream of tokens with roles: start and end tags of a closed tree, and the texts between.
 
 A token's role is a 64-bit number of its path: the elements around it, each with its class, id and
-role words (digits count as one sign). End tags that HTML implies, and those missing at the end of
+role words (digits count as one sign). Containers that look alike under one parent are told apart by
+their number there, up to ALIKE; so a page laid out in bare boxes still has roles. End tags that HTML implies, and those missing at the end of
 a page, are put in, so starts and ends always pair up.
 """
 
@@ -38,6 +39,8 @@ CLOSES = {
     "th": ({"td", "th"}, {"table"}), "tbody": ({"thead", "tbody"}, {"table"}), "tfoot": ({"thead", "tbody"}, {"table"}),
     "body": ({"head"}, {"html"}),
 }
+CONTAINERS = frozenset("div section table ul ol dl fieldset form details".split())
+ALIKE = 8
 P_SCOPE = frozenset("button td th caption table object".split())
 
 # Labels of what an element is for.
@@ -78,11 +81,11 @@ def _set_apart(names: str, tag: str) -> bool:
 
 
 @lru_cache(maxsize=100_000)
-def _element(parent: int, flags: int, tag: str, names: str, hidden: bool) -> tuple[int, int]:
+def _element(parent: int, flags: int, tag: str, names: str, hidden: bool, number: int) -> tuple[int, int]:
     """Role and flags of an element."""
     from xxhash import xxh64_intdigest
 
-    role = xxh64_intdigest(f"{tag} {names}", parent)
+    role = xxh64_intdigest(f"{tag} {number} {names}", parent)
     if tag in BESIDE_TAGS:
         flags |= ASIDE
     if tag in MAIN_TAGS or MAIN_WORDS.intersection(names.split()):
@@ -107,11 +110,11 @@ def _named(attributes: str) -> tuple[str, bool]:
 def tokens(html: str) -> list[Token]:
     """The page's tokens in order. Scripts, styles, titles and the like, comments and markup are left out."""
     made: list[Token] = []
-    stack: list[tuple[str, int, int]] = [("", 0, 0)]
+    stack: list[tuple[str, int, int, dict]] = [("", 0, 0, {})]
 
     def close(down_to: int) -> None:
         while len(stack) > down_to:
-            tag, role, _ = stack.pop()
+            tag, role, *_ = stack.pop()
             made.append(Token(END, role ^ 1, stack[-1][2], tag))
 
     at, size = 0, len(html)
@@ -152,10 +155,14 @@ def tokens(html: str) -> list[Token]:
             at = end.end() if end else size
             continue
         names, hidden = _named(found[3])
-        role, flags = _element(stack[-1][1], stack[-1][2], tag, names, hidden)
+        number = 0
+        if tag in CONTAINERS:
+            alike = stack[-1][3]
+            number = alike[tag, names] = min(alike.get((tag, names), 0) + 1, ALIKE)
+        role, flags = _element(stack[-1][1], stack[-1][2], tag, names, hidden, number)
         if found[3].endswith("/") and flags & ASIDE and tag not in ("nav", "footer", "aside", "form"):
             continue  # a drawing that closes itself
-        stack.append((tag, role, flags))
+        stack.append((tag, role, flags, {}))
         made.append(Token(START, role, flags, tag))
     close(1)
     return made

@@ -218,7 +218,7 @@ def read_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
                     known[host] = Template(batch.column(names.index("classes"))[k].as_py() or [])
                 template, page = known[host], tokens(html or "")
                 for what, name, right in template.read(page):
-                    sums.add((host, what, name, None), 1, not right, 0, 0)
+                    sums.add((host, what, name, None), 1, int(not right), 0, 0)
                 texts: dict[int, list] = {}
                 for slot, flags, text, _, _ in slots(page, template.tag):
                     row = texts.setdefault(slot, [0, 0, 0])
