@@ -12,6 +12,8 @@ import re
 from functools import lru_cache
 from typing import NamedTuple
 
+from xxhash import xxh64_intdigest
+
 TAG = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z>][^>]*+(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|"
     r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?+)*+)(?:>|\Z)",
@@ -83,8 +85,6 @@ def _set_apart(names: str, tag: str) -> bool:
 @lru_cache(maxsize=100_000)
 def _element(parent: int, flags: int, tag: str, names: str, hidden: bool, number: int) -> tuple[int, int]:
     """Role and flags of an element."""
-    from xxhash import xxh64_intdigest
-
     role = xxh64_intdigest(f"{tag} {number} {names}", parent)
     if tag in BESIDE_TAGS:
         flags |= ASIDE
@@ -100,13 +100,18 @@ def _element(parent: int, flags: int, tag: str, names: str, hidden: bool, number
 
 
 def _named(attributes: str) -> tuple[str, bool]:
-    if not attributes or attributes.isspace():
-        return "", False
+    if "=" not in attributes:
+        return "", "hidden" in attributes.lower().split()
     found = NAMES.findall(attributes)
     names = " ".join(sorted({w for f in found for w in DIGITS.sub("#", "".join(f).lower()).split()})) if found else ""
     return names, bool(HIDDEN.search(attributes))
 
 
+def _plain_link(tag: str, attributes: str) -> bool:
+    """<a href="..">, by far the commonest tag with an attribute, names nothing."""
+    return tag == "a" and attributes.count("=") == 1 and attributes.startswith(' href="') and attributes.endswith('"')
+
+
 def tokens(html: str) -> list[Token]:
     """The page's tokens in order. Scripts, styles, titles and the like, comments and markup are left out."""
     made: list[Token] = []
@@ -119,18 +124,19 @@ def tokens(html: str) -> list[Token]:
 
     at, size = 0, len(html)
     while at < size:
-        found = TAG.search(html, at)
-        if not found:
-            made.append(Token(TEXT, stack[-1][1], stack[-1][2], html[at:]))
+        start = html.find("<", at)
+        while start >= 0 and not (found := TAG.match(html, start)):
+            start = html.find("<", start + 1)
+        if start != at:
+            made.append(Token(TEXT, stack[-1][1], stack[-1][2], html[at:start] if start > 0 else html[at:]))
+        if start < 0:
             break
-        if found.start() > at:
-            made.append(Token(TEXT, stack[-1][1], stack[-1][2], html[at:found.start()]))
         at = found.end()
         if found[2] is None:
             continue
         tag = found[2].lower()
         if found[1]:
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
+            depth = len(stack) - 1 if stack[-1][0] == tag else next((k for k in range(len(stack) - 1, 0, -1) if stack[k][0] == tag), 0)
             if depth:
                 close(depth)
             elif tag in ("br", "p"):
@@ -154,7 +160,7 @@ def tokens(html: str) -> list[Token]:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = end.end() if end else size
             continue
-        names, hidden = _named(found[3])
+        names, hidden = ("", False) if not found[3] or _plain_link(tag, found[3]) else _named(found[3])
         number = 0
         if tag in CONTAINERS:
             alike = stack[-1][3]

@@ -27,10 +27,12 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
+from itertools import chain
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
 from stormledger.llm.arrow import pieces
 from stormledger.llm.markup import ASIDE, BREAK, END, HEADER, HINTED, INLINE, LINK, MAIN, START, TEXT, Token, tokens
@@ -52,8 +54,6 @@ def _signed(x: int) -> int:
 
 
 def _word_role(path: int, word: str) -> int:
-    from xxhash import xxh64_intdigest
-
     return xxh64_intdigest(word, path ^ WORD_BITS)
 
 
@@ -83,42 +83,56 @@ class Sums:
                 [pa.array(v, self.types.get(n, pa.int64())) for n, v in zip(self.names, keys + values)], self.names)
 
 
+def page_tokens(page: list[Token]) -> tuple[dict, dict]:
+    """Counts and first places by (role, is_tag) of a page's tags and of the words that may share their element's vector.
+
+    The innermost class around a word is that of its element, so only words that occur as often as
+    their element does can belong to a class without breaking its nesting.
+    """
+    times: dict[tuple[int, bool], int] = {}
+    place: dict[tuple[int, bool], int] = {}
+    texts: dict[int, list[tuple[int, list[str]]]] = {}
+    for k, t in enumerate(page):
+        if t.kind == TEXT:
+            texts.setdefault(t.role, []).append((k, t.text.split()))
+        elif t.kind != BREAK:
+            key = _signed(t.role), True
+            times[key] = times.get(key, 0) + 1
+            place.setdefault(key, k)
+    for path, said in texts.items():
+        elements = times.get((_signed(path), True), 1)
+        counted = Counter(chain.from_iterable(words for _, words in said))
+        often = {w for w, c in counted.items() if c == elements}
+        for w in often:
+            key = _signed(_word_role(path, w)), False
+            times[key], place[key] = elements, next(k for k, words in said if w in words)
+    return times, place
+
+
 def count_tokens(pages: DataFrame) -> DataFrame:
-    """(host, role, is_tag, pages, times, a, b, place) per token; role null: the host's pages."""
+    """(host, role, is_tag, pages, times, a, b, place) per token of LEAST_PAGES or more; role null: the host's pages."""
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
 
         sums = Sums(["host", "role", "is_tag"], ["pages", "times", "a", "b", "place"], {"host": pa.string(), "is_tag": pa.bool_()})
         low = (1 << 30) - 1
         for batch in pieces(batches, "html"):
             for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
                 page = xxh64_intdigest(html or "")
-                times: Counter = Counter()
-                place: dict[tuple, int] = {}
-                for t in tokens(html or ""):
-                    if t.kind == TEXT:
-                        found = [(_word_role(t.role, w), False) for w in t.text.split()]
-                    elif t.kind == BREAK:
-                        continue
-                    else:
-                        found = [(t.role, True)]
-                    for key in found:
-                        if key not in place:
-                            place[key] = len(place)
-                    times.update(found)
+                times, place = page_tokens(tokens(html or ""))
                 vector = {c: xxh64_intdigest(c.to_bytes(8, "little"), page) for c in set(times.values())}
-                for (role, is_tag), c in times.items():
+                for key, c in times.items():
                     v = vector[c]
-                    sums.add((host, _signed(role), is_tag), 1, c, v & low, v >> 34, place[role, is_tag])
+                    sums.add((host, *key), 1, c, v & low, v >> 34, place[key])
                 sums.add((host, None, True), 1, 0, 0, 0, 0)
             yield from sums.passed_on(HELD)
         yield from sums.passed_on()
 
     counted = pages.select("host", "html").mapInArrow(
         run, "host string, role long, is_tag boolean, pages long, times long, a long, b long, place long")
-    return counted.groupBy("host", "role", "is_tag").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "a", "b", "place")])
+    totals = counted.groupBy("host", "role", "is_tag").agg(*[F.sum(c).alias(c) for c in ("pages", "times", "a", "b", "place")])
+    return totals.filter(F.col("role").isNull() | (F.col("pages") >= LEAST_PAGES))
 
 
 def classes(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -127,8 +141,7 @@ def classes(counted: DataFrame) -> tuple[DataFrame, DataFrame]:
     least = F.when(
         F.col("is_tag"), F.greatest(F.lit(LEAST_PAGES), F.ceil(F.col("n") * TAG_SHARE))
     ).when(F.col("n") >= LEAST_WORDED, F.ceil(F.col("n") * WORD_SHARE))
-    common = counted.filter(F.col("role").isNotNull() & (F.col("pages") >= LEAST_PAGES))
-    frequent = measured_join(common, hosts, ["host"], "role").filter(F.col("pages") >= least)
+    frequent = measured_join(counted.filter("role is not null"), hosts, ["host"], "role").filter(F.col("pages") >= least)
     member = F.struct("place", "is_tag", "role")
     found = frequent.groupBy("host", "pages", "times", "a", "b").agg(F.sort_array(F.collect_list(member)).alias("members"))
     found = found.filter(F.exists("members", lambda m: m["is_tag"]) & (F.size("members") > 1))
@@ -143,6 +156,7 @@ class Template:
     def __init__(self, classes: list[dict]) -> None:
         self.tag: dict[int, tuple[int, int, int]] = {}  # role: class (by its first tag), number among its tags, last number
         self.word: dict[int, tuple[int, int]] = {}  # role: class, number of the tag before it
+        self.worded = {c["roles"][c["tags"].index(True)] for c in classes if not all(c["tags"])}  # classes with words
         for c in classes:
             own = [r for r, is_tag in zip(c["roles"], c["tags"]) if is_tag]
             last, number = len(own) - 1, -1
@@ -158,7 +172,8 @@ class Template:
         stack: list[list[int]] = []
         for t in page:
             if t.kind == TEXT:
-                for w in t.text.split():
+                around = self.tag.get(_signed(t.role))
+                for w in t.text.split() if around and around[0] in self.worded else ():
                     role = _signed(_word_role(t.role, w))
                     if role in self.word:
                         yield "word", role, bool(stack) and tuple(stack[-1]) == self.word[role]
@@ -186,15 +201,15 @@ class Template:
             yield "class", name, False
 
 
-def slots(page: list[Token], tags) -> Iterator[tuple[int, int, str, list[str], int]]:
-    """(slot, flags, text, words' roles, number of the token): every text of the page, decoded."""
+def slots(page: list[Token], tags) -> Iterator[tuple[int, Token, int]]:
+    """(slot, token, its number): every text of the page."""
     slot = 0
     for k, t in enumerate(page):
         if t.kind in (START, END):
             if _signed(t.role) in tags:
                 slot = _signed(t.role)
         elif t.kind == TEXT and not t.text.isspace():
-            yield slot, t.flags, unescape(t.text), [_signed(_word_role(t.role, w)) for w in t.text.split()], k
+            yield slot, t, k
 
 
 def read_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
@@ -206,7 +221,6 @@ def read_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
-        from xxhash import xxh64_intdigest
 
         sums = Sums(["host", "what", "id", "said"], ["seen", "wrong", "letters", "in_links"], {"host": pa.string(), "what": pa.string()})
         known: dict[str, Template] = {}
@@ -220,12 +234,11 @@ def read_templates(pages: DataFrame, templates: DataFrame) -> DataFrame:
                 for what, name, right in template.read(page):
                     sums.add((host, what, name, None), 1, int(not right), 0, 0)
                 texts: dict[int, list] = {}
-                for slot, flags, text, _, _ in slots(page, template.tag):
+                for slot, t, _ in slots(page, template.tag):
                     row = texts.setdefault(slot, [0, 0, 0])
-                    size = len("".join(text.split()))
-                    row[0] += size
-                    row[1] += size if flags & LINK else 0
-                    row[2] = xxh64_intdigest(text, row[2])
+                    row[0] += len(t.text)
+                    row[1] += len(t.text) if t.flags & LINK else 0
+                    row[2] = xxh64_intdigest(t.text, row[2])
                 for slot, (letters, in_links, said) in texts.items():
                     sums.add((host, "slot", slot, _signed(said)), 1, 0, letters, in_links)
             yield from sums.passed_on(HELD)
@@ -275,13 +288,13 @@ def _own_text(page: list[Token], tags, words, barred) -> str:
         blocks += t.kind == BREAK or t.kind != TEXT and t.text not in INLINE
         if t.kind == TEXT:
             block[number] = blocks
-    fixed: dict[int, bool] = {}
-    for _, _, _, roles, number in found:
-        fixed[block[number]] = fixed.get(block[number], True) and all(r in words for r in roles)
+    fixed: dict[int, bool] = {}  # blocks of template words alone
+    for _, t, number in found if words else ():
+        fixed[block[number]] = fixed.get(block[number], True) and all(_signed(_word_role(t.role, w)) in words for w in t.text.split())
 
     def left(away: int) -> list[tuple[int, str, int]]:
-        kept = [(number, text, flags) for slot, flags, text, _, number in found
-                if not flags & away and slot not in barred and not fixed[block[number]]]
+        kept = [(number, unescape(t.text), t.flags) for slot, t, number in found
+                if not t.flags & away and slot not in barred and not fixed.get(block[number])]
         main = [x for x in kept if x[2] & MAIN]
         return main or _region(page, kept)
 
