@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stormledger.functions.ranking import grouped_row_number
 from stormledger.operators import network as N
-from stormledger.operators.joins import measured_join
-from stormledger.operators.timeseries import deadlines
+from stormledger.operators import repair as R
+from stormledger.session import WorkTables
 
 INTACT = -1  # the step that stands for the network without cuts
 FIRST_CUT = "First cut on its usual route"
@@ -64,12 +65,29 @@ def isolation(
     the first cuts, and the reached ones are taken out: no facility-by-scenario product.
     cuts carry `cut_by`, the hazard a link's cut is attributed to.
     """
-    first = N.first_cut(hops, links, cuts, scenario)
-    near = facilities.filter(~F.col("too_far")).select("item", "node")
+    first = N.first_cut(hops, links, cuts, scenario).join(_near(facilities), "item")
+    return _with_cause(first.join(reach, [*scenario, "node"], "left_anti"), links, cuts, scenario)
+
+
+def isolation_by_repair(
+    facilities: DataFrame, links: DataFrame, cuts: DataFrame, tree: DataFrame, hops: DataFrame, scenario: list[str],
+) -> DataFrame:
+    """isolation() from the anchor's stored tree: what cuts take off it is found, nothing is reached anew.
+
+    The candidates, first cuts of facilities' usual paths, meet the nodes that are cut off.
+    """
+    first = N.first_cut(hops, links, cuts, scenario).join(_near(facilities), "item")
+    off = R.cut_off(links, tree, cuts, scenario)
+    return _with_cause(first.join(off, [*scenario, "node"], "left_semi"), links, cuts, scenario)
+
+
+def _near(facilities: DataFrame) -> DataFrame:
+    return facilities.filter(~F.col("too_far")).select("item", "node")
+
+
+def _with_cause(off: DataFrame, links: DataFrame, cuts: DataFrame, scenario: list[str]) -> DataFrame:
     return (
-        first.join(near, "item")
-        .join(reach, [*scenario, "node"], "left_anti")
-        .join(cuts.select(*scenario, "link_id", F.col("cut_by").alias("hazard")), [*scenario, "link_id"])
+        off.join(cuts.select(*scenario, "link_id", F.col("cut_by").alias("hazard")), [*scenario, "link_id"])
         .join(links.select("link_id", "way_id", "ferry"), "link_id")
         .select(*scenario, "item", "node", "hazard", "link_id", "way_id", "ferry")
     )
@@ -119,25 +137,30 @@ def departures(
     """(departures, hops): the last step each facility can still reach a safe destination.
 
     facilities: item, node, too_far, network_id; safe: source, node, network_id;
-    scenarios: network_id, step; cuts: step, link_id. One routing over all steps at once.
+    scenarios: network_id, step; cuts: step, link_id. The undamaged network is routed once; per
+    step only what its cuts take off is routed anew (see repair).
     """
-    per_step = measured_join(safe, scenarios, ["network_id"], "node").select("step", "source", "node")
-    intact = safe.select(F.lit(INTACT).cast("long").alias("step"), "source", "node")
-    # The undamaged network is one more scenario of the same loop.
-    trees = N.nearest_source(links, per_step.unionByName(intact), ["step"], cuts.select("step", "link_id"))
-    usual = trees.filter(F.col("step") == INTACT).select("node", F.col("source").alias("usual_source"))
-    tree = trees.filter(F.col("step") != INTACT)
-    near = facilities.filter(~F.col("too_far"))
-    steps = measured_join(near, scenarios, ["network_id"], "item").select("item", "node", "step")
-    found = tree.select("step", "node", "dist", "source")
-    status = steps.join(found, ["step", "node"], "left").withColumn("open", F.col("dist").isNotNull())
-    limit = deadlines(status, ["item"], "step", "open")
-    at = limit.join(near.select("item", "node"), "item").join(
-        tree.select(F.col("step").alias("deadline"), "node", "dist", "source"), ["deadline", "node"], "left"
+    work = WorkTables(links.sparkSession, "departures")
+    cuts = cuts.select("step", "link_id")
+    tree = N.nearest_source(links, safe.select("source", "node"))
+    usual = tree.select("node", F.col("source").alias("usual_source"))
+    lost = R.lost_nodes(tree, cuts, ["step"])
+    anew = R.repaired(links, tree, cuts, lost, ["step"])
+    near = facilities.filter(~F.col("too_far")).select("item", "node", "network_id")
+    known = near.join(tree.select("node", F.lit(False).alias("always_closed")), "node", "left").withColumn(
+        "always_closed", F.coalesce("always_closed", F.lit(True)))
+    here = near.join(lost.select("step", "node"), "node").join(scenarios, ["network_id", "step"], "left_semi")
+    closed = here.join(anew.select("step", "node"), ["step", "node"], "left_anti").select("item", "step")
+    limit = work.save(R.last_open_step(known, closed, scenarios))
+    at = work.save(
+        limit.join(near.select("item", "node"), "item")
+        .join(anew.select(F.col("step").alias("deadline"), "node", F.struct("dist", "source").alias("anew")), ["deadline", "node"], "left")
+        .join(tree.select("node", F.struct("dist", "source").alias("stored")), "node", "left")
+        .withColumn("route", F.when(F.col("deadline").isNotNull(), F.coalesce("anew", "stored")))
+        .select("item", "node", "deadline", "stays_open", "route.dist", "route.source")
     )
     starts = at.filter("deadline IS NOT NULL").select(F.col("deadline").alias("step"), "item", "node")
-    tree_used = tree.join(starts.select("step").distinct(), "step", "left_semi")
-    hops = N.paths(tree_used, starts, ["step"])
+    hops = R.repaired_paths(tree, anew, starts, ["step"])
     used = hops.join(links.select("link_id", "ferry"), "link_id")
     if at_risk is not None:
         used = used.join(at_risk.select("step", "link_id", F.lit(True).alias("risk")), ["step", "link_id"], "left")
@@ -180,58 +203,65 @@ def routes(hops: DataFrame, links: DataFrame) -> DataFrame:
     )
 
 
-def eligible(departs: DataFrame, first_step: DataFrame, horizon_steps: int = 8) -> DataFrame:
-    """(step, horizon_h, item, deadline): where a departure counts.
-
-    Horizon 0: every step up to the deadline. Horizon 24: only the steps the deadline is within
-    reach of, and only routes that do close. The interval is unfolded per departure, so no
-    departure-by-step comparison is made. first_step: one row, the start of the axis.
-    """
-    d = departs.filter("deadline IS NOT NULL").select("item", "deadline", "stays_open", "network_id")
-    d = d.join(first_step, "network_id")
-    now = d.select("item", "deadline", F.lit(0).alias("horizon_h"), F.explode(F.sequence("start", "deadline")).alias("step"))
-    soon = d.filter(~F.col("stays_open")).select(
-        "item", "deadline", F.lit(24).alias("horizon_h"),
-        F.explode(F.sequence(F.greatest(F.col("start"), F.col("deadline") - horizon_steps), F.col("deadline"))).alias("step"),
-    )
-    return now.unionByName(soon)
-
+def use_intervals(
+    route: DataFrame, departs: DataFrame, axis: DataFrame, keys: list[str], horizon_steps: int = 8
+) -> DataFrame:
+    """(keys.., horizon_h, from_step, to_step, facilities, earliest, f1, f2): who depends on a way, and from when to when.
 
-def way_users(route: DataFrame, elig: DataFrame) -> DataFrame:
-    """(step, horizon_h, way_id): facilities, earliest deadline, and a fingerprint of their set.
+    route: item + keys; departs: item, deadline, stays_open, network_id; axis: network_id, start.
+    At horizon 0 a departure counts from the start of the axis to its deadline, at horizon 24 on
+    the last horizon_steps before it, if its route does close. Each gives a row where it begins to
+    count and one where it ends; running sums over a way's own changes give the sets in between.
+    Nothing is unfolded over steps. Sets are compared by count and two independent hash sums, which
+    combine map-side.
 
-    The set is compared by count and two independent hash sums, which combine map-side; a way
-    every route uses is never gathered into one list.
+    Departures end in the order in which they begin, so the next end after a step belongs to the
+    earliest deadline that counts there.
     """
     wide = F.xxhash64("item").cast("decimal(20,0)")
     other = F.xxhash64(F.lit(7), F.col("item")).cast("decimal(20,0)")
-    return (
-        elig.join(route.select("item", "way_id"), "item")
-        .groupBy("step", "horizon_h", "way_id")
-        .agg(
-            F.count(F.lit(1)).alias("facilities"), F.min("deadline").alias("earliest"),
-            F.sum(wide).alias("f1"), F.sum(other).alias("f2"),
-        )
-    )
-
-
-def critical_links(route: DataFrame, elig: DataFrame, ways: DataFrame) -> DataFrame:
+    d = departs.filter("deadline IS NOT NULL").select("item", "deadline", "stays_open", "network_id").join(axis, "network_id")
+    soon = F.greatest(F.col("start"), F.col("deadline") - horizon_steps)
+    sign = lambda at, horizon, s: F.struct(
+        F.lit(horizon).alias("horizon_h"), at.alias("at"), F.lit(s).alias("n"), F.lit(s < 0).alias("ends"),
+        (F.lit(s) * wide).alias("f1"), (F.lit(s) * other).alias("f2"))
+    end = F.col("deadline") + 1
+    both = [sign(F.col("start"), 0, 1), sign(end, 0, -1)]
+    later = [F.when(~F.col("stays_open"), x) for x in (sign(soon, 24, 1), sign(end, 24, -1))]
+    marks = d.select("item", F.explode(F.filter(F.array(*both, *later), lambda x: x.isNotNull())).alias("m"))
+    changes = route.select("item", *keys).join(marks.select("item", "m.*"), "item").groupBy(*keys, "horizon_h", "at").agg(
+        F.sum("n").alias("n"), F.sum("f1").alias("f1"), F.sum("f2").alias("f2"), F.bool_or("ends").alias("ends"))
+    so_far = Window.partitionBy(*keys, "horizon_h").orderBy("at")
+    after = so_far.rowsBetween(1, Window.unboundedFollowing)
+    return changes.select(
+        *keys, "horizon_h", F.col("at").alias("from_step"), (F.lead("at").over(so_far) - 1).alias("to_step"),
+        F.sum("n").over(so_far).alias("facilities"), (F.min(F.when(F.col("ends"), F.col("at"))).over(after) - 1).alias("earliest"),
+        F.sum("f1").over(so_far).alias("f1"), F.sum("f2").over(so_far).alias("f2"),
+    ).filter("facilities > 0")
+
+
+def by_step(intervals: DataFrame) -> DataFrame:
+    """Intervals as one row per step, which is what is reported."""
+    return intervals.withColumn("step", F.explode(F.sequence("from_step", "to_step"))).drop("from_step", "to_step")
+
+
+def critical_links(route: DataFrame, departs: DataFrame, axis: DataFrame, ways: DataFrame) -> DataFrame:
     """Ranked links to keep open per (step, horizon_h): consecutive ways of a route with equal
-    name, type and facility set are one link. ways: way_id, name, link_type."""
-    users = way_users(route, elig).join(ways, "way_id")
-    users = N.WorkTables(users.sparkSession, "way-users").save(users)
+    name, type and facility set are one link. ways: way_id, name, link_type.
+
+    Ways and pairs of consecutive ways have their intervals of use; only these, not the facilities
+    behind them, are unfolded over the steps that are reported.
+    """
+    work = WorkTables(route.sparkSession, "way-users")
+    users = work.save(by_step(use_intervals(route, departs, axis, ["way_id"])).join(ways, "way_id"))
     w = Window.partitionBy("item").orderBy("ord")
-    pairs = (
-        route.withColumn("next_way", F.lead("way_id").over(w))
-        .filter("next_way IS NOT NULL")
-        .select("item", "way_id", "next_way")
-    )
+    pairs = route.withColumn("next_way", F.lead("way_id").over(w)).filter("next_way IS NOT NULL").select("item", "way_id", "next_way")
+    used = by_step(use_intervals(pairs, departs, axis, ["way_id", "next_way"])).select("step", "horizon_h", "way_id", "next_way")
     key = ["name", "link_type", "facilities", "f1", "f2"]
     a = users.select("step", "horizon_h", "way_id", F.struct(*key).alias("ka"))
     b = users.select("step", "horizon_h", F.col("way_id").alias("next_way"), F.struct(*key).alias("kb"))
-    joined = (
-        elig.join(pairs, "item").select("step", "horizon_h", "way_id", "next_way").distinct()
-        .join(a, ["step", "horizon_h", "way_id"])
+    joined = work.save(
+        used.join(a, ["step", "horizon_h", "way_id"])
         .join(b, ["step", "horizon_h", "next_way"])
         .filter(F.col("ka").eqNullSafe(F.col("kb")))
         .select("step", "horizon_h", F.col("way_id").alias("u"), F.col("next_way").alias("v"))
@@ -284,37 +314,42 @@ def grouped_links(links: DataFrame, facilities: DataFrame) -> DataFrame:
 def block_order(sequences: DataFrame) -> DataFrame:
     """(road, pos, block) in travel order from partial sequences: sequences(road, seq_no, i, block).
 
-    Reduced first to each road's distinct blocks (with first sighting) and distinct precedences:
-    as many rows as a road has blocks, whatever the number of sequences. Only that reaches the
-    per-road ordering.
+    Of the blocks not yet placed, the one seen first that has no predecessor left comes next; if
+    all have one (a cycle), the one seen first. Roads run in step: a round places every block up to
+    the first that has a predecessor seen later than itself, which is what placing them one by one
+    would do; if that is the very next one, the block seen first without a predecessor. A road's
+    order takes as many rounds as it has such turns, and no road is gathered.
     """
+    work = WorkTables(sequences.sparkSession, "block-order")
     w = Window.partitionBy("road", "seq_no").orderBy("i")
-    pairs = (
+    pairs = work.save(
         sequences.withColumn("after", F.lead("block").over(w))
         .filter(F.col("after").isNotNull() & (F.col("after") != F.col("block")))
-        .select("road", "block", "after").distinct()
+        .select("road", F.col("block").alias("before"), F.col("after").alias("block")).distinct()
     )
-    seen = sequences.groupBy("road", "block").agg(F.min(F.struct("seq_no", "i")).alias("s")).select(
-        "road", "block", F.col("s.seq_no").alias("seq_no"), F.col("s.i").alias("i")
-    )
-    table = seen.select("road", "block", "seq_no", "i", F.lit(None).cast("string").alias("after")).unionByName(
-        pairs.select("road", "block", F.lit(0).cast("long").alias("seq_no"), F.lit(0).cast("long").alias("i"), "after")
-    )
-
-    def order(pdf):
-        import pandas as pd
-
-        road = pdf["road"].iloc[0]
-        first = pdf[pdf["after"].isna()].sort_values(["seq_no", "i"])["block"].tolist()
-        edges = set(map(tuple, pdf[pdf["after"].notna()][["block", "after"]].to_numpy()))
-        placed: list[str] = []
-        while len(placed) < len(first):
-            rest = [b for b in first if b not in placed]
-            blocked = {b for a, b in edges if a in rest}
-            placed.append(next((b for b in rest if b not in blocked), rest[0]))
-        return pd.DataFrame({"road": road, "pos": range(len(placed)), "block": placed})
-
-    return table.groupBy("road").applyInPandas(order, "road string, pos long, block string")
+    left = work.save(sequences.groupBy("road", "block").agg(F.min(F.struct("seq_no", "i")).alias("seen")))
+    placed = WorkTables(sequences.sparkSession, "block-rounds")
+    while True:
+        before = left.select("road", F.col("block").alias("before"), F.col("seen").alias("earlier"))
+        held = pairs.join(before, ["road", "before"]).groupBy("road", "block").agg(F.max("earlier").alias("latest"))
+        state = left.join(held, ["road", "block"], "left")
+        turn = state.groupBy("road").agg(
+            F.min("seen").alias("head"), F.min(F.when(F.col("latest") > F.col("seen"), F.col("seen"))).alias("stop"),
+            F.min(F.when(F.col("latest").isNull(), F.col("seen"))).alias("free"))
+        goes = (
+            F.when(F.col("stop").isNull(), F.lit(True)).when(F.col("head") < F.col("stop"), F.col("seen") < F.col("stop"))
+            .otherwise(F.col("seen") == F.coalesce("free", "head"))
+        )
+        told, waiting = placed.save_counting(
+            state.join(turn, "road").select("road", "block", "seen", (~goes).alias("waits"), F.lit(placed.saved).alias("round")),
+            "waits",
+        )
+        if not waiting:
+            break
+        left = told.filter("waits").select("road", "block", "seen")
+    rounds = placed.union(placed.paths, told.schema).filter("not waits")
+    ranked = grouped_row_number(rounds, ["road"], [F.col("round"), F.col("seen")], "no")
+    return ranked.select("road", (F.col("no") - 1).alias("pos"), "block")
 
 
 # --- Countdown -----------------------------------------------------------------------------------

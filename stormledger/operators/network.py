@@ -22,6 +22,7 @@ from stormledger.operators.joins import measured_join
 from stormledger.session import WorkTables
 
 HOPS_PER_ROUND = 4
+STEPS_PER_ROUND = 3  # relaxations between two written states
 
 # km/h by road class, and for the other kinds of link.
 CLASS_KPH = [
@@ -332,7 +333,8 @@ def nearest_source(
             nobody.alias("via_link"), F.lit(True).alias("changed"),
         )
     )
-    while True:
+
+    def relaxed(state: DataFrame) -> DataFrame:
         moves = state.filter("changed").select(*scn, F.col("node").alias("n"), "dist", "source").join(hops, "n")
         if cuts is not None:
             moves = moves.join(cuts, [*scn, "link_id"], "left_anti")
@@ -343,13 +345,18 @@ def nearest_source(
         offers = moves.select(*scn, F.col("m").alias("node"), offer.alias("pick"), F.lit(None).alias("old"))
         known = state.select(*scn, "node", F.struct(*best).alias("pick"), F.struct(*best).alias("old"))
         # State and offers meet in one aggregation: offers combine map-side, nothing is joined.
-        state, changed = work.save_counting(
+        return (
             known.unionByName(offers).groupBy(*scn, "node")
             .agg(F.min("pick").alias("pick"), F.min("old").alias("old"))
             .withColumn("changed", F.coalesce(F.col("pick") < F.col("old"), F.lit(True)))
-            .select(*scn, "node", *[F.col(f"pick.{c}").alias(c) for c in best], "changed"),
-            "changed",
+            .select(*scn, "node", *[F.col(f"pick.{c}").alias(c) for c in best], "changed")
         )
+
+    while True:
+        # What the first step changed has made its offers in the second; only the last step's changes wait.
+        for _ in range(STEPS_PER_ROUND):
+            state = relaxed(state)
+        state, changed = work.save_counting(state, "changed")
         if changed == 0:
             work.keep_last()
             return state.drop("changed")

@@ -7,6 +7,8 @@ the event stream; day s closes the links with (link_id * 31 + s) % 17 = 0.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import functions as F
 
 from stormledger.functions.numeric import round_to
@@ -234,8 +236,50 @@ def usual_hops(spark, sf):
 
 
 def isolated(spark, sf):
-    c = cuts(spark, sf)
-    return M.isolation(facilities(spark, sf), links(spark, sf), c, reach(spark, sf), usual_hops(spark, sf), ["step"])
+    return Net(spark, sf).isolated()
+
+
+class Net:
+    """One query's network: the tables that several of its operators read, each stored once."""
+
+    def __init__(self, spark, sf):
+        self.spark, self.sf, self.work = spark, sf, N.WorkTables(spark, "net")
+        self.facilities = facilities(spark, sf)
+
+    @cached_property
+    def links(self):
+        return self.work.save(links(self.spark, self.sf))
+
+    @cached_property
+    def days(self):
+        return self.work.save(days(self.spark, self.sf))
+
+    @cached_property
+    def cuts(self):
+        return self.work.save(cuts(self.spark, self.sf))
+
+    @cached_property
+    def tree(self):
+        return N.nearest_source(self.links, self.spark.createDataFrame([(0, ANCHOR)], "source long, node long"))
+
+    def isolated(self):
+        hops = N.paths(self.tree, self.facilities.select("item", "node"))
+        return M.isolation_by_repair(self.facilities, self.links, self.cuts, self.tree, hops, ["step"])
+
+    def departures(self):
+        ever = self.work.save(self.isolated().select("item").distinct())
+        leaving = self.facilities.join(ever, "item", "left_semi")
+        # A place the anchor's network never reached is never cut off from it, but it is no refuge either.
+        safe = self.facilities.filter("hospital AND NOT too_far").join(ever, "item", "left_anti").join(
+            self.tree.select("node"), "node", "left_semi").select(F.col("item").alias("source"), "node", "network_id")
+        return M.departures(leaving, self.links, self.cuts, safe, self.days)
+
+    def critical(self):
+        """(routes by way, departures, start of the axis)."""
+        found, hops = self.departures()
+        route = self.work.save(M.routes(hops, self.links))
+        departs = self.work.save(found.select("item", "deadline", "stays_open", F.lit("net").alias("network_id")))
+        return route, departs, self.days.groupBy("network_id").agg(F.min("step").alias("start"))
 
 
 @query("baseline_times", recursive("base_tree", using_key=_BASE) + "SELECT node, dist::DOUBLE AS dist, via AS via_node FROM base_tree")
@@ -349,20 +393,6 @@ CTE["departs"] = (
 _NEAR = {"base": "(node, dist) USING KEY (node)", "near": "(step, node, best) USING KEY (step, node)"}
 
 
-def departures(spark, sf):
-    iso = isolated(spark, sf).select("item").distinct()
-    iso = N.WorkTables(spark, "ever").save(iso)
-    f = facilities(spark, sf)
-    leaving = f.join(iso, "item", "left_semi")
-    # A place the anchor's network never reached is never cut off from it, but it is no refuge either.
-    comps = N.components(links(spark, sf))
-    home = comps.join(comps.filter(F.col("node") == ANCHOR).select("comp"), "comp", "left_semi").select("node")
-    safe = f.filter("hospital AND NOT too_far").join(iso, "item", "left_anti").join(home, "node", "left_semi").select(
-        F.col("item").alias("source"), "node", "network_id"
-    )
-    return M.departures(leaving, links(spark, sf), cuts(spark, sf), safe, days(spark, sf))
-
-
 @query(
     "last_departure",
     recursive("departs", using_key=_NEAR)
@@ -371,7 +401,7 @@ def departures(spark, sf):
         FROM departs d LEFT JOIN near n ON n.step = d.deadline AND n.node = d.node""",
 )
 def last_departure(spark, sf):
-    d, _ = departures(spark, sf)
+    d, _ = Net(spark, sf).departures()
     return d.select("item", "deadline", "stays_open", "source", "travel_time_s", "note")
 
 
@@ -401,22 +431,14 @@ CTE["elig"] = (
 )
 
 
-def _routes_and_eligible(spark, sf):
-    d, hops = departures(spark, sf)
-    route = N.WorkTables(spark, "routes").save(M.routes(hops, links(spark, sf)))
-    start = days(spark, sf).groupBy("network_id").agg(F.min("step").alias("start"))
-    elig = M.eligible(d.withColumn("network_id", F.lit("net")), start)
-    return route, N.WorkTables(spark, "eligible").save(elig)
-
-
 @query(
     "critical_ways",
     recursive("elig", "route_ways", using_key=_NEAR)
     + """SELECT e.step, e.horizon_h, r.way_id, count(*) AS facilities, min(e.deadline) AS earliest FROM elig e JOIN route_ways r ON r.item = e.item GROUP BY 1, 2, 3""",
 )
 def critical_ways(spark, sf):
-    route, elig = _routes_and_eligible(spark, sf)
-    return M.way_users(route, elig).drop("f1", "f2")
+    users = M.by_step(M.use_intervals(*Net(spark, sf).critical(), ["way_id"]))
+    return users.select("step", "horizon_h", "way_id", "facilities", "earliest")
 
 
 def ways(spark, sf):
@@ -447,8 +469,7 @@ def ways(spark, sf):
         FROM keyed k JOIN grp g ON g.step = k.step AND g.horizon_h = k.horizon_h AND g.way_id = k.way_id GROUP BY 1, 2, 3""",
 )
 def critical_links(spark, sf):
-    route, elig = _routes_and_eligible(spark, sf)
-    return M.critical_links(route, elig, ways(spark, sf))
+    return M.critical_links(*Net(spark, sf).critical(), ways(spark, sf))
 
 
 @query(

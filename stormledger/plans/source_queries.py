@@ -382,7 +382,20 @@ def ferry_connectors(spark, sf):
     return N.connectors(ends).select("u", "v", round_to(F.col("length"), 6).alias("length"))
 
 
-@query("block_order")
+@query(
+    "block_order",
+    """WITH RECURSIVE s AS (SELECT l_returnflag AS road, l_orderkey AS seq_no, l_linenumber AS i, 'block ' || (l_suppkey % 12) AS block FROM lineitem),
+       f AS (SELECT road, block, min((seq_no, i)) AS seen FROM s GROUP BY 1, 2),
+       b AS (SELECT road, list(block ORDER BY seen) AS blocks FROM f GROUP BY 1),
+       n AS (SELECT road, block, lead(block) OVER (PARTITION BY road, seq_no ORDER BY i) AS after FROM s),
+       e AS (SELECT road, list(DISTINCT {'a': block, 'z': after}) AS edges FROM n WHERE after <> block GROUP BY 1),
+       o(road, blocks, edges, placed) AS (
+         SELECT b.road, blocks, coalesce(edges, []), []::VARCHAR[] FROM b LEFT JOIN e ON e.road = b.road
+         UNION ALL SELECT road, blocks, edges, list_append(placed, coalesce(
+             list_filter(rest, lambda x: NOT list_contains(list_transform(list_filter(edges, lambda y: list_contains(rest, y.a)), lambda y: y.z), x))[1], rest[1]))
+         FROM (SELECT *, list_filter(blocks, lambda x: NOT list_contains(placed, x)) AS rest FROM o WHERE len(placed) < len(blocks)))
+       SELECT road, unnest(range(len(blocks))) AS pos, unnest(placed) AS block FROM o WHERE len(placed) = len(blocks)""",
+)
 def block_order(spark, sf):
     """Zones of each region in travel order, from the orders' partial sequences."""
     li = I.table(spark, sf, "lineitem")
