@@ -2,22 +2,21 @@
 
 Coordinates are planar metres (functions.geo.to_metres). A shape is first unfolded into the grid
 tiles of its box; the equi-join on the tile gives candidates and an exact predicate decides. Tiles
-holding a large share of the points meet only the few shapes of that tile, so one side of the
-join stays small per key and adaptive execution splits the other.
+that hold many points are cut into quarters by their counts, and what stays crowded is dealt over
+parts, so no key of the join grows with the data. All predicates are Column expressions.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from stormledger.functions.geo import grid_key
+from stormledger.operators.joins import measured_join
 from stormledger.session import WorkTables
 
 POINT = "struct<x:double,y:double>"
+MOST_POINTS, MAX_DEPTH = 50_000, 12  # points of a tile that meet its shapes in one task
 
 
 # --- Tiles ---------------------------------------------------------------------------------------
@@ -52,8 +51,8 @@ def _edges(ring: Column) -> Column:
     )
 
 
-def in_ring(x: Column, y: Column, ring: Column, boundary: bool = False) -> Column:
-    """Even-odd containment; `boundary` says whether points on the outline count."""
+def _within(x: Column, y: Column, edges: Column, boundary: bool = False) -> Column:
+    """Even-odd containment from the edges that a ray from (x, y) towards larger x can meet."""
 
     def crosses(e: Column) -> Column:
         ax, ay, bx, by = e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"]
@@ -69,28 +68,91 @@ def in_ring(x: Column, y: Column, ring: Column, boundary: bool = False) -> Colum
             & (y >= F.least(ay, by)) & (y <= F.greatest(ay, by))
         )
 
-    edges = _edges(ring)
     odd = F.size(F.filter(edges, crosses)) % 2 == 1
     edge = F.exists(edges, on)
     return (odd | edge) if boundary else (odd & ~edge)
 
 
+def in_ring(x: Column, y: Column, ring: Column, boundary: bool = False) -> Column:
+    """Even-odd containment; `boundary` says whether points on the outline count."""
+    return _within(x, y, _edges(ring), boundary)
+
+
+def deal_points(points: DataFrame, tile: float, most: int = MOST_POINTS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(points with depth, tx, ty, part; splits: tx, ty, depth; parts: depth, tx, ty, parts).
+
+    Tiles with more than `most` points are cut into quarters as often as their count asks for
+    (depth); the quarters that are still too full, as where points share one spot, are dealt over
+    parts. Both tables have a row per `most` points at most, so their size is bounded by the count.
+    """
+    work = WorkTables(points.sparkSession, "tiles")
+    at = points.withColumn("tx", grid_key(F.col("x"), tile)).withColumn("ty", grid_key(F.col("y"), tile))
+    full = at.groupBy("tx", "ty").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    depth = F.least(F.lit(MAX_DEPTH), F.ceil(F.log2(F.col("n") / F.lit(most)) / 2)).cast("int")
+    splits, n = work.save_counting(full.select("tx", "ty", depth.alias("depth"), F.lit(True).alias("full")), "full")
+    splits = splits.drop("full")
+    if not n:
+        none = points.sparkSession.createDataFrame([], "depth int, tx long, ty long, parts long")
+        return at.withColumn("depth", F.lit(0)).withColumn("part", F.lit(0).cast("long")), splits, none
+    size = F.lit(tile) / F.pow(F.lit(2.0), F.col("depth"))
+    fine = at.join(F.broadcast(splits), ["tx", "ty"], "left").withColumn("depth", F.coalesce("depth", F.lit(0))).withColumns({
+        "tx": grid_key(F.col("x"), size), "ty": grid_key(F.col("y"), size)})
+    crowded = fine.filter("depth > 0").groupBy("depth", "tx", "ty").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > most)
+    parts = work.save(crowded.select("depth", "tx", "ty", F.ceil(F.col("n") / F.lit(most)).cast("long").alias("parts")))
+    dealt = fine.join(F.broadcast(parts), ["depth", "tx", "ty"], "left").withColumn(
+        "part", F.pmod(F.xxhash64("pid"), F.coalesce("parts", F.lit(1).cast("long")))).drop("parts")
+    return dealt, splits, parts
+
+
 def containing(
-    points: DataFrame, shapes: DataFrame, tile: float, boundary: bool = False
+    points: DataFrame, shapes: DataFrame, tile: float, boundary: bool = False, most: int = MOST_POINTS
 ) -> DataFrame:
     """All (point, shape) pairs with the point inside. points: pid, x, y; shapes: zone_id, ord,
-    ring, and optionally holes (array of rings)."""
+    ring, and optionally holes (array of rings).
+
+    Of a ring a tile gets the edges beside or to the right of it, which is all that a ray from
+    within it can meet. A tile that no edge touches lies wholly inside or outside: one test of its
+    middle settles it, and its points are not tested.
+    """
+    dealt, splits, parts = deal_points(points, tile, most)
     x0, y0, x1, y1 = ring_box(F.col("ring"))
     boxed = shapes.withColumns({"bx0": x0, "by0": y0, "bx1": x1, "by1": y1})
-    tiled = tiles_of_box(boxed, "bx0", "by0", "bx1", "by1", tile)
-    p = points.withColumn("tx", grid_key(F.col("x"), tile)).withColumn("ty", grid_key(F.col("y"), tile))
+    tiled = tiles_of_box(boxed, "bx0", "by0", "bx1", "by1", tile).join(F.broadcast(splits), ["tx", "ty"], "left")
+    tiled = tiled.withColumn("depth", F.coalesce("depth", F.lit(0)))
+    fold = F.pow(F.lit(2.0), F.col("depth")).cast("long")
+    size = F.lit(tile) / fold
+
+    def within_tile(key: str, low: str, high: str) -> Column:
+        first = F.greatest(F.col(key) * fold, grid_key(F.col(low), size))
+        last = F.least(F.col(key) * fold + fold - 1, grid_key(F.col(high), size))
+        return F.when(F.col("depth") == 0, F.array(F.col(key))).when(first <= last, F.sequence(first, last))
+
+    tiled = (
+        tiled.withColumn("sx", within_tile("tx", "bx0", "bx1")).withColumn("sy", within_tile("ty", "by0", "by1"))
+        .withColumn("tx", F.explode("sx")).withColumn("ty", F.explode("sy")).drop("sx", "sy")
+    )
+    pad = size * F.lit(1e-9)
+    left, low, right, high = F.col("tx") * size - pad, F.col("ty") * size - pad, (F.col("tx") + 1) * size + pad, (F.col("ty") + 1) * size + pad
+    met = lambda e: (
+        (F.greatest(e["a"]["y"], e["b"]["y"]) >= low) & (F.least(e["a"]["y"], e["b"]["y"]) <= high)
+        & (F.greatest(e["a"]["x"], e["b"]["x"]) >= left))
+    near = lambda e: segment_meets_box(e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"], left, low, right, high)
+    tiled = (
+        tiled.withColumn("edges", F.filter(_edges(F.col("ring")), met))
+        .withColumn("settled", ~F.exists("edges", near))
+        .withColumn("inside", F.col("settled") & _within((F.col("tx") + 0.5) * size, (F.col("ty") + 0.5) * size, F.col("edges")))
+        .filter("inside OR NOT settled")
+        .withColumn("edges", F.when(~F.col("settled"), F.col("edges"))).drop("ring", "inside", "settled")
+        .join(F.broadcast(parts), ["depth", "tx", "ty"], "left")
+        .withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1).cast("long")) - 1))).drop("parts")
+    )
     x, y = F.col("x"), F.col("y")
-    hit = p.join(tiled, ["tx", "ty"]).filter(
+    hit = dealt.join(tiled, ["depth", "tx", "ty", "part"]).filter(
         x.between(F.col("bx0"), F.col("bx1")) & y.between(F.col("by0"), F.col("by1"))
-    ).filter(in_ring(x, y, F.col("ring"), boundary))
+    ).filter(F.col("edges").isNull() | _within(x, y, F.col("edges"), boundary))
     if "holes" in shapes.columns:
         hit = hit.filter(~F.exists("holes", lambda h: in_ring(x, y, h)))
-    return hit.drop("tx", "ty", "bx0", "by0", "bx1", "by1", "ring", "holes")
+    return hit.drop("depth", "tx", "ty", "part", "bx0", "by0", "bx1", "by1", "edges", "holes")
 
 
 def first_zone(points: DataFrame, shapes: DataFrame, tile: float, boundary: bool = False) -> DataFrame:
@@ -178,79 +240,75 @@ def ring_area(ring: Column) -> Column:
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda acc, t: acc + t)) / F.lit(2.0)
 
 
-@F.pandas_udf(DoubleType())
-def clipped_area(
-    rx: pd.Series, ry: pd.Series, x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series
-) -> pd.Series:
-    """Area of a ring inside a rectangle: four half-plane clips, then the shoelace sum."""
-
-    def clip(xs: np.ndarray, ys: np.ndarray, axis: int, bound: float, keep_above: bool):
-        """One half-plane of a rectangle clip."""
-        c = xs if axis == 0 else ys
-        inside = c >= bound if keep_above else c <= bound
-        nx, ny = np.roll(xs, -1), np.roll(ys, -1)
-        nc, n_in = np.roll(c, -1), np.roll(inside, -1)
-        cross = inside != n_in
-        t = np.where(cross, (bound - c) / np.where(cross, nc - c, 1.0), 0.0)
-        points = np.stack([np.stack([xs, ys], 1), np.stack([xs + t * (nx - xs), ys + t * (ny - ys)], 1)], 1)
-        mask = np.stack([inside, cross], 1)
-        kept = points[mask]
-        return kept[:, 0], kept[:, 1]
-
-    out = np.zeros(len(rx))
-    for i, (xs, ys, a, b, c, d) in enumerate(zip(rx, ry, x0, y0, x1, y1)):
-        xs, ys = np.asarray(xs, float), np.asarray(ys, float)
-        for axis, bound, above in ((0, a, True), (0, c, False), (1, b, True), (1, d, False)):
-            if len(xs) == 0:
-                break
-            xs, ys = clip(xs, ys, axis, bound, above)
-        if len(xs) > 2:
-            out[i] = abs(np.dot(xs, np.roll(ys, -1)) - np.dot(np.roll(xs, -1), ys)) / 2.0
-    return pd.Series(out)
-
-
-@F.pandas_udf(DoubleType())
-def length_inside(
-    rx: pd.Series, ry: pd.Series, ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series
-) -> pd.Series:
-    """Length of a segment inside a ring: split where it crosses the outline, keep inner pieces."""
-    out = np.zeros(len(rx))
-    for i, (xs, ys, px, py, qx, qy) in enumerate(zip(rx, ry, ax, ay, bx, by)):
-        xs, ys = np.asarray(xs, float), np.asarray(ys, float)
-        ex, ey = np.roll(xs, -1) - xs, np.roll(ys, -1) - ys
-        dx, dy = qx - px, qy - py
-        den = dx * ey - dy * ex
-        with np.errstate(divide="ignore", invalid="ignore"):
-            t = ((xs - px) * ey - (ys - py) * ex) / den
-            u = ((xs - px) * dy - (ys - py) * dx) / den
-        hit = (den != 0) & (u >= 0) & (u <= 1) & (t > 0) & (t < 1)
-        cuts = np.concatenate([[0.0], np.sort(t[hit]), [1.0]])
-        mid = (cuts[:-1] + cuts[1:]) / 2
-        mx, my = px + mid * dx, py + mid * dy
-        nx, ny = xs + ex, ys + ey
-        spans = (ys[None, :] > my[:, None]) != (ny[None, :] > my[:, None])
-        at = xs + (my[:, None] - ys) * ex / np.where(ey == 0, 1.0, ey)
-        inside = (spans & (mx[:, None] < at)).sum(1) % 2 == 1
-        out[i] = float((np.diff(cuts) * inside).sum() * np.hypot(dx, dy))
-    return pd.Series(out)
+def clipped_area(edges: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
+    """Area of a ring inside a rectangle, from the ring's edges.
 
+    Over the rectangle's width every edge adds the integral of its height, held between the
+    rectangle's bottom and top, with the sign of its direction. Held so, an edge is three straight
+    pieces at most: they part where it crosses bottom and top.
+    """
+    zero, one = F.lit(0.0), F.lit(1.0)
+    hold = lambda v, low, high: F.least(F.greatest(v, low), high)
+
+    def part(e: Column) -> Column:
+        ax, bx = hold(e["a"]["x"], x0, x1), hold(e["b"]["x"], x0, x1)
+        run = e["b"]["x"] - e["a"]["x"]
+        slope = (e["b"]["y"] - e["a"]["y"]) / F.when(run != 0, run).otherwise(one)
+        # Heights at the held ends; an end that lies within the width keeps its own.
+        height = lambda own, held: F.when(own["x"] == held, own["y"]).otherwise(e["a"]["y"] + (held - e["a"]["x"]) * slope)
+        ay, by = height(e["a"], ax), height(e["b"], bx)
+        rise = F.when(by != ay, by - ay)
+        cross = lambda level: F.coalesce(hold((level - ay) / rise, zero, one), zero)
+        first, second = F.least(cross(y0), cross(y1)), F.greatest(cross(y0), cross(y1))
+        at = lambda t: hold(ay + t * (by - ay), y0, y1) - y0
+        start, end = hold(ay, y0, y1) - y0, hold(by, y0, y1) - y0
+        mean = (start + at(first)) * first + (at(first) + at(second)) * (second - first) + (at(second) + end) * (one - second)
+        return F.when(ax == bx, zero).otherwise((bx - ax) * mean / 2)
+
+    return F.abs(F.aggregate(F.transform(edges, part), zero, lambda acc, v: acc + v))
+
+
+def spans_inside(ax: Column, ay: Column, bx: Column, by: Column, edges: Column) -> Column:
+    """The parts of a segment inside a ring as (low, high) shares of its way: it is split where it
+    crosses an edge, and each piece is judged by its middle."""
+    dx, dy = bx - ax, by - ay
+
+    def crossing(e: Column) -> Column:
+        px, py = e["a"]["x"] - ax, e["a"]["y"] - ay
+        ex, ey = e["b"]["x"] - e["a"]["x"], e["b"]["y"] - e["a"]["y"]
+        den = dx * ey - dy * ex
+        den = F.when(den != 0, den)
+        t, u = (px * ey - py * ex) / den, (px * dy - py * dx) / den
+        return F.when((u >= 0) & (u <= 1) & (t > 0) & (t < 1), t)
 
-def _xy(ring: Column) -> tuple[Column, Column]:
-    return F.transform(ring, lambda p: p["x"]), F.transform(ring, lambda p: p["y"])
+    met = F.filter(F.transform(edges, crossing), lambda t: t.isNotNull())
+    stops = F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), met)))
+    pieces = F.transform(
+        F.sequence(F.lit(1), F.size(stops) - 1),
+        lambda k: F.struct(F.element_at(stops, k).alias("low"), F.element_at(stops, k + 1).alias("high")))
+    middle = lambda p: (p["low"] + p["high"]) / 2
+    return F.filter(pieces, lambda p: _within(ax + middle(p) * dx, ay + middle(p) * dy, edges))
 
 
 def overlap(shapes: DataFrame, cells: DataFrame, size: float) -> DataFrame:
-    """zone_id, cell_id, area_m2 of every zone with every grid cell it really overlaps."""
+    """zone_id, cell_id, area_m2 of every zone with every grid cell it really overlaps.
+
+    A cell gets the ring's edges beside or above it, the only ones that add to its area; areas of
+    under a billionth of the cell are rounding.
+    """
     x0, y0, x1, y1 = ring_box(F.col("ring"))
     boxed = shapes.withColumns({"bx0": x0, "by0": y0, "bx1": x1, "by1": y1})
-    tiled = tiles_of_box(boxed, "bx0", "by0", "bx1", "by1", size).select("zone_id", "ring", "tx", "ty")
-    rx, ry = _xy(F.col("ring"))
     s = F.lit(size)
-    area = clipped_area(rx, ry, F.col("tx") * s, F.col("ty") * s, (F.col("tx") + 1) * s, (F.col("ty") + 1) * s)
+    left, low, right, high = F.col("tx") * s, F.col("ty") * s, (F.col("tx") + 1) * s, (F.col("ty") + 1) * s
+    adds = lambda e: (
+        (F.greatest(e["a"]["x"], e["b"]["x"]) > left) & (F.least(e["a"]["x"], e["b"]["x"]) < right)
+        & (F.greatest(e["a"]["y"], e["b"]["y"]) > low))
+    tiled = tiles_of_box(boxed, "bx0", "by0", "bx1", "by1", size).select(
+        "zone_id", "tx", "ty", F.filter(_edges(F.col("ring")), adds).alias("edges")).filter(F.size("edges") > 0)
     return (
         tiled.join(cells.select("cell_id", "tx", "ty"), ["tx", "ty"])
-        .select("zone_id", "cell_id", area.alias("area_m2"))
-        .filter("area_m2 > 0")
+        .select("zone_id", "cell_id", clipped_area(F.col("edges"), left, low, right, high).alias("area_m2"))
+        .filter(F.col("area_m2") > 1e-9 * size * size)
     )
 
 
@@ -265,16 +323,14 @@ def zone_cells(overlap_df: DataFrame, zones: DataFrame, cells: DataFrame, tile:
     return got.unionByName(c.join(tiled, ["tx", "ty"]).filter(inside).select("zone_id", "cell_id"))
 
 
-def line_lengths(segments: DataFrame, shapes: DataFrame, tile: float) -> DataFrame:
-    """fid, zone_id, length_m of lines inside zones. segments: fid, ax, ay, bx, by (one per leg)."""
+def _legs_in_zones(segments: DataFrame, shapes: DataFrame, tile: float) -> DataFrame:
+    """(the legs' columns, zone_id, edges): legs whose box meets the zone's; rings join last, once per pair."""
     x0, y0, x1, y1 = ring_box(F.col("ring"))
-    boxed = shapes.withColumns({"bx0": x0, "by0": y0, "bx1": x1, "by1": y1})
-    tiled = tiles_of_box(boxed, "bx0", "by0", "bx1", "by1", tile).select(
-        "zone_id", "ring", "tx", "ty", "bx0", "by0", "bx1", "by1"
-    )
+    boxed = shapes.select("zone_id", x0.alias("bx0"), y0.alias("by0"), x1.alias("bx1"), y1.alias("by1"))
+    tiled = tiles_of_box(boxed, "bx0", "by0", "bx1", "by1", tile)
     legs = segments.withColumns({
         "lx": F.least("ax", "bx"), "ly": F.least("ay", "by"), "hx": F.greatest("ax", "bx"), "hy": F.greatest("ay", "by"),
-    }).withColumnsRenamed({"ax": "px", "ay": "py", "bx": "qx", "by": "qy"})
+    })
     meets = (
         (F.col("hx") >= F.col("bx0")) & (F.col("lx") <= F.col("bx1"))
         & (F.col("hy") >= F.col("by0")) & (F.col("ly") <= F.col("by1"))
@@ -282,14 +338,93 @@ def line_lengths(segments: DataFrame, shapes: DataFrame, tile: float) -> DataFra
     # A leg and a zone can share many tiles; the one with the lower corner of their common box counts.
     owner = (F.col("tx") == grid_key(F.greatest("lx", "bx0"), tile)) & (F.col("ty") == grid_key(F.greatest("ly", "by0"), tile))
     pairs = tiles_of_box(legs, "lx", "ly", "hx", "hy", tile).join(tiled, ["tx", "ty"]).filter(meets & owner)
-    rx, ry = _xy(F.col("ring"))
-    length = length_inside(rx, ry, F.col("px"), F.col("py"), F.col("qx"), F.col("qy"))
+    rings = shapes.select("zone_id", _edges(F.col("ring")).alias("edges"))
+    return measured_join(pairs.select(*segments.columns, "zone_id"), rings, ["zone_id"], "fid")
+
+
+def line_lengths(segments: DataFrame, shapes: DataFrame, tile: float) -> DataFrame:
+    """fid, zone_id, length_m of lines inside zones. segments: fid, ax, ay, bx, by (one per leg)."""
+    ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
+    share = F.aggregate(spans_inside(*ends, F.col("edges")), F.lit(0.0), lambda acc, p: acc + p["high"] - p["low"])
+    length = share * F.hypot(ends[2] - ends[0], ends[3] - ends[1])
     return (
-        pairs.select("fid", "zone_id", length.alias("m"))
+        _legs_in_zones(segments, shapes, tile).select("fid", "zone_id", length.alias("m"))
         .groupBy("fid", "zone_id").agg(F.sum("m").alias("length_m")).filter("length_m > 0")
     )
 
 
+def clip_lines(lines: DataFrame, shapes: DataFrame, tile: float) -> DataFrame:
+    """fid, zone_id, piece, seq, ax, ay, bx, by: lines cut to zones, their pieces numbered in order.
+
+    lines: fid, seq (whole numbers without gaps along a line), ax, ay, bx, by. Parts that touch
+    within the zone are one piece; what runs along the outline itself counts by even-odd.
+    """
+    ends = [F.col(c) for c in ("ax", "ay", "bx", "by")]
+    kept = _legs_in_zones(lines, shapes, tile).select(
+        "fid", "zone_id", "seq", "ax", "ay", "bx", "by", F.inline(spans_inside(*ends, F.col("edges"))))
+    w = Window.partitionBy("fid", "zone_id").orderBy("seq", "low")  # a line's own legs in one zone
+    last_seq, last_high = F.lag("seq").over(w), F.lag("high").over(w)
+    follows = ((last_seq == F.col("seq")) & (last_high == F.col("low"))) | (
+        (last_seq == F.col("seq") - 1) & (last_high == 1) & (F.col("low") == 0))
+    along = lambda p, q, t: F.when(F.col(t) == 0, F.col(p)).when(F.col(t) == 1, F.col(q)).otherwise(
+        F.col(p) + (F.col(q) - F.col(p)) * F.col(t))
+    return (
+        kept.withColumn("begins", F.when(F.coalesce(follows, F.lit(False)), 0).otherwise(1))
+        .withColumn("piece", F.sum("begins").over(w))
+        .select(
+            "fid", "zone_id", "piece", "seq", along("ax", "bx", "low").alias("ax"), along("ay", "by", "low").alias("ay"),
+            along("ax", "bx", "high").alias("bx"), along("ay", "by", "high").alias("by"),
+        )
+    )
+
+
+def centroids(lines: DataFrame) -> DataFrame:
+    """fid, x, y: the middle of mass of each line of legs; of its points where it has no length."""
+    length = F.hypot(F.col("bx") - F.col("ax"), F.col("by") - F.col("ay"))
+    middle = lambda p, q: (F.col(p) + F.col(q)) / 2
+    sums = lines.groupBy("fid").agg(
+        F.sum(length).alias("l"), F.sum(length * middle("ax", "bx")).alias("sx"), F.sum(length * middle("ay", "by")).alias("sy"),
+        F.avg(middle("ax", "bx")).alias("mx"), F.avg(middle("ay", "by")).alias("my"))
+    whole = F.when(F.col("l") > 0, F.col("l"))
+    return sums.select("fid", F.coalesce(F.col("sx") / whole, "mx").alias("x"), F.coalesce(F.col("sy") / whole, "my").alias("y"))
+
+
+def nearest_zone(points: DataFrame, shapes: DataFrame, tile: float, extent_m: float = 4.1e7) -> DataFrame:
+    """pid, zone_id, distance_m: the zone nearest to each point, 0 inside; ties to a micrometre go to the lowest ord.
+
+    Edges lie in the tiles they touch. A point looks at the tiles around its own; a distance within
+    the tile size is final, and only the rest looks again, in tiles four times as large.
+    """
+    work = WorkTables(points.sparkSession, "nearest-zone")
+    held = containing(points.select("pid", "x", "y"), shapes, tile, True).groupBy("pid").agg(F.min_by("zone_id", "ord").alias("zone_id"))
+    held = work.save(held.withColumn("distance_m", F.lit(0.0)))
+    edge = shapes.select("zone_id", "ord", F.posexplode(_edges(F.col("ring")))).select(
+        F.struct("ord", "zone_id", "pos").alias("fid"), F.col("col.a.x").alias("ax"), F.col("col.a.y").alias("ay"),
+        F.col("col.b.x").alias("bx"), F.col("col.b.y").alias("by"))
+    edge = WorkTables(points.sparkSession, "zone-edges").save(edge)
+    left, done = points.select("pid", "x", "y").join(held, "pid", "left_anti"), held
+    around = F.sequence(F.lit(-1), F.lit(1))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    square = dx * dx + dy * dy
+    t = F.coalesce(((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / F.when(square > 0, square), F.lit(0.0))
+    t = F.least(F.greatest(t, F.lit(0.0)), F.lit(1.0))
+    away = F.hypot(F.col("ax") + t * dx - F.col("x"), F.col("ay") + t * dy - F.col("y"))
+    size = tile
+    while True:
+        placed = cells_touched(edge, size).join(edge, "fid")
+        asked = left.withColumn("i", F.explode(around)).withColumn("j", F.explode(around)).withColumns({
+            "tx": grid_key(F.col("x"), size) + F.col("i"), "ty": grid_key(F.col("y"), size) + F.col("j")}).drop("i", "j")
+        best = F.min(F.struct(F.round(away, 6).alias("d"), F.col("fid.ord").alias("ord"), F.col("fid.zone_id").alias("zone_id"))).alias("b")
+        found = asked.join(placed, ["tx", "ty"]).groupBy("pid").agg(best)
+        final = F.lit(True) if size >= extent_m else F.coalesce(F.col("b.d") <= size, F.lit(False))
+        table, open_rows = work.save_counting(left.join(found, "pid", "left").withColumn("open", ~final), "open")
+        done = done.unionByName(
+            table.filter("NOT open AND b IS NOT NULL").select("pid", "b.zone_id", F.col("b.d").alias("distance_m")))
+        if not open_rows:
+            return done
+        left, size = table.filter("open").select("pid", "x", "y"), size * 4
+
+
 def densify(lines: DataFrame, step: float) -> DataFrame:
     """fid, pos, x, y: points at most `step` apart along each line of (fid, seq, ax, ay, bx, by)."""
     ax, ay, bx, by = F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")
@@ -308,7 +443,8 @@ def densify(lines: DataFrame, step: float) -> DataFrame:
 
 def blocks_along(lines: DataFrame, shapes: DataFrame, step: float, tile: float, min_share: float = 0.05) -> DataFrame:
     """fid, zone_id, first_pos, share: zones a line runs through in order, slivers left out (the
-    largest one is kept when all are slivers)."""
+    largest one is kept when all are slivers). A line through none has the zone nearest to its
+    middle, with no first_pos and a share of 0."""
     pts = densify(lines, step)
     n = pts.groupBy("fid").agg(F.count(F.lit(1)).alias("total"))
     keyed = pts.withColumn("pid", F.struct("fid", "pos"))
@@ -316,8 +452,13 @@ def blocks_along(lines: DataFrame, shapes: DataFrame, step: float, tile: float,
     seen = inside.groupBy(F.col("pid.fid").alias("fid"), "zone_id").agg(
         F.min("pid.pos").alias("first_pos"), F.count(F.lit(1)).alias("n")
     )
+    seen = WorkTables(lines.sparkSession, "blocks").save(seen)
     best = seen.groupBy("fid").agg(F.max(F.struct("n", "zone_id")).alias("top"), F.max("n").alias("most"))
-    return (
+    lone = lines.join(seen.select("fid").distinct(), "fid", "left_anti")
+    near = nearest_zone(centroids(lone).withColumnRenamed("fid", "pid"), shapes, tile).select(
+        F.col("pid").alias("fid"), "zone_id", F.lit(None).cast(seen.schema["first_pos"].dataType).alias("first_pos"),
+        F.lit(0.0).alias("share"))
+    through = (
         seen.join(n, "fid").join(best, "fid")
         .withColumn("share", F.col("n") / F.col("total"))
         .filter(
@@ -326,6 +467,7 @@ def blocks_along(lines: DataFrame, shapes: DataFrame, step: float, tile: float,
         )
         .select("fid", "zone_id", "first_pos", "share")
     )
+    return through.unionByName(near)
 
 
 # --- Nearest -------------------------------------------------------------------------------------

@@ -384,7 +384,7 @@ def ferry_connectors(spark, sf):
 
 @query(
     "block_order",
-    """WITH RECURSIVE s AS (SELECT l_returnflag AS road, l_orderkey AS seq_no, l_linenumber AS i, 'block ' || (l_suppkey % 12) AS block FROM lineitem),
+    """WITH RECURSIVE s AS (SELECT l_returnflag AS road, l_orderkey AS seq_no, l_linenumber * 1000000 + l_suppkey AS i, 'block ' || (l_suppkey % 12) AS block FROM lineitem),
        f AS (SELECT road, block, min((seq_no, i)) AS seen FROM s GROUP BY 1, 2),
        b AS (SELECT road, list(block ORDER BY seen) AS blocks FROM f GROUP BY 1),
        n AS (SELECT road, block, lead(block) OVER (PARTITION BY road, seq_no ORDER BY i) AS after FROM s),
@@ -400,7 +400,8 @@ def block_order(spark, sf):
     """Zones of each region in travel order, from the orders' partial sequences."""
     li = I.table(spark, sf, "lineitem")
     seq = li.select(
-        F.col("l_returnflag").alias("road"), F.col("l_orderkey").alias("seq_no"), F.col("l_linenumber").cast("long").alias("i"),
+        F.col("l_returnflag").alias("road"), F.col("l_orderkey").alias("seq_no"),
+        (F.col("l_linenumber") * F.lit(1_000_000).cast("long") + F.col("l_suppkey")).alias("i"),
         F.concat(F.lit("block "), (F.col("l_suppkey") % 12).cast("string")).alias("block"),
     )
     return M.block_order(seq)

@@ -122,17 +122,35 @@ def overlap_area(spark, sf):
 @query(
     "line_in_zone",
     with_ctes("sites", "boxes")
-    + """SELECT pid AS fid, zone_id, least(x + p_size * 100, x1) - greatest(x, x0) AS length_m FROM sites, boxes
-        WHERE y > y0 AND y < y1 AND least(x + p_size * 100, x1) > greatest(x, x0)""",
+    + """, l AS (SELECT pid, y, least(x, x + p_size * 100) AS lo, greatest(x, x + p_size * 100) AS hi FROM sites)
+        SELECT pid AS fid, zone_id, least(hi, x1) - greatest(lo, x0) AS length_m FROM l, boxes
+        WHERE y > y0 AND y < y1 AND least(hi, x1) > greatest(lo, x0)""",
 )
 def line_in_zone(spark, sf):
-    seg = sites(spark, sf).filter("p_size > 0").select(
+    seg = sites(spark, sf).select(
         F.col("pid").alias("fid"), F.col("x").alias("ax"), F.col("y").alias("ay"),
         (F.col("x") + F.col("p_size") * 100).alias("bx"), F.col("y").alias("by"),
     )
     return S.line_lengths(seg, boxes(spark, sf), 2000.0).withColumn("length_m", round_to(F.col("length_m"), 6))
 
 
+@query(
+    "clipped_lines",
+    with_ctes("sites", "boxes")
+    + """, l AS (SELECT pid, y, 0::BIGINT AS seq, x AS ax, x + p_size * 50 AS bx FROM sites
+                 UNION ALL SELECT pid, y, 1, x + p_size * 50, x + p_size * 100 FROM sites),
+        c AS (SELECT pid AS fid, zone_id, seq, y, ax <= bx AS ahead, greatest(least(ax, bx), x0) AS lo, least(greatest(ax, bx), x1) AS hi FROM l, boxes WHERE y > y0 AND y < y1)
+        SELECT fid, zone_id, 1::BIGINT AS piece, seq, CASE WHEN ahead THEN lo ELSE hi END::DOUBLE AS ax, CASE WHEN ahead THEN hi ELSE lo END::DOUBLE AS bx, y::DOUBLE AS y FROM c WHERE hi > lo""",
+)
+def clipped_lines(spark, sf):
+    """Lines of two legs cut to boxes; slanted lines and rings with several pieces are covered by unit tests."""
+    x, y, half = F.col("x"), F.col("y"), F.col("p_size") * 50
+    leg = lambda seq, a, b: F.struct(F.lit(seq).cast("long").alias("seq"), a.alias("ax"), y.alias("ay"), b.alias("bx"), y.alias("by"))
+    lines = sites(spark, sf).select(F.col("pid").alias("fid"), F.inline(F.array(leg(0, x, x + half), leg(1, x + half, x + 2 * half))))
+    return S.clip_lines(lines, boxes(spark, sf), 2000.0).select(
+        "fid", "zone_id", "piece", "seq", round_to(F.col("ax"), 6).alias("ax"), round_to(F.col("bx"), 6).alias("bx"), F.col("ay").alias("y"))
+
+
 @query("shape_area", "SELECT p_partkey AS k, p_size * (p_size + 3.5e0) * 1.5e0 AS area_m2 FROM part")
 def shape_area(spark, sf):
     """Parallelograms of base p_size + 3.5 and height 1.5 p_size, slanted by the key."""
@@ -191,7 +209,16 @@ def dedupe_named(spark, sf):
     with_ctes("sites", "diamonds")
     + """, q AS (SELECT pid, p_size * 2 AS n, unnest(generate_series(0, greatest(p_size * 2, 1))) AS i, x, y, p_size FROM sites),
         p AS (SELECT pid, i, x + i * 50e0 AS x, y, greatest(n, 1) + 1 AS total FROM q),
-        c AS (SELECT p.pid AS fid, d.zone_id, min(p.i) AS first_i, count(*) AS n, any_value(total) AS total FROM p JOIN diamonds d ON """ + _IN + """ GROUP BY 1, 2)
+        c AS (SELECT p.pid AS fid, d.zone_id, min(p.i) AS first_i, count(*) AS n, any_value(total) AS total FROM p JOIN diamonds d ON """ + _IN + """ GROUP BY 1, 2),
+        lone AS (SELECT pid AS fid, x + greatest(p_size, 0) * 50 AS x, y FROM sites WHERE pid NOT IN (SELECT fid FROM c)),
+        corner AS (SELECT zone_id, unnest([0, 1, 2, 3]) AS k, cx, cy, h FROM diamonds),
+        side AS (SELECT zone_id, cx + h * ([-1, 0, 1, 0])[k + 1] AS ax, cy + h * ([0, 1, 0, -1])[k + 1] AS ay,
+                 cx + h * ([-1, 0, 1, 0])[(k + 1) % 4 + 1] AS bx, cy + h * ([0, 1, 0, -1])[(k + 1) % 4 + 1] AS by FROM corner),
+        seen AS (SELECT fid, zone_id, x, y, ax, ay, bx - ax AS dx, by - ay AS dy, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay)), 0e0), 1e0) AS t FROM lone, side),
+        away AS (SELECT fid, zone_id, min(round(sqrt((ax + t * dx - x) * (ax + t * dx - x) + (ay + t * dy - y) * (ay + t * dy - y)), 6)) AS d FROM seen GROUP BY 1, 2),
+        inside AS (SELECT p.fid, min(d.zone_id) AS zone_id FROM lone p JOIN diamonds d ON """ + _IN + """ GROUP BY 1),
+        nearest AS (SELECT a.fid, coalesce(any_value(i.zone_id), arg_min(a.zone_id, (a.d, a.zone_id))) AS zone_id FROM away a LEFT JOIN inside i ON i.fid = a.fid GROUP BY 1)
+        SELECT fid, zone_id, NULL::BIGINT AS first_i, 0e0 AS share FROM nearest UNION ALL
         SELECT fid, zone_id, first_i, floor(n / total::DOUBLE * 1e6 + 0.5e0) / 1e6 AS share FROM (SELECT *, row_number() OVER (PARTITION BY fid ORDER BY n DESC, zone_id DESC) AS best, max(n) OVER (PARTITION BY fid) AS most FROM c) WHERE n / total::DOUBLE >= 0.05e0 OR (most < total * 0.05e0 AND best = 1)""",
 )
 def blocks_along(spark, sf):

@@ -97,3 +97,91 @@ def test_unscored_land_pieces(spark):
     zone = spark.createDataFrame([(1, 3, y) for y in range(2)], "zone_id int, tx long, ty long")
     got = [r.area_m2 for r in S.unscored_pieces(land, zone, 1.0, 1.0).collect()]
     assert got == [6.0, 4.0]
+
+
+def even_odd(x, y, pts):
+    inside = False
+    for (ax, ay), (bx, by) in zip(pts, pts[1:] + pts[:1]):
+        if (ay > y) != (by > y) and x < ax + (y - ay) * (bx - ax) / (by - ay):
+            inside = not inside
+    return inside
+
+
+STAR = [(50, 5), (60, 40), (95, 45), (62, 58), (70, 95), (50, 65), (25, 92), (38, 55), (4, 40), (42, 38)]
+
+
+def test_crowded_tiles_are_dealt_evenly(spark):
+    """Nine tenths of the points in one tile, a third of them on one spot."""
+    r = random.Random(2)
+    pts = [(40 + r.random() * 9, 40 + r.random() * 9) for _ in range(2400)] + [(45.5, 44.25)] * 1200 + [(r.random() * 100, r.random() * 100) for _ in range(400)]
+    rows = [(k, x, y) for k, (x, y) in enumerate(pts)]
+    df = spark.createDataFrame(rows, "pid long, x double, y double").repartition(4)
+    zones = ring(spark, STAR, 1).unionByName(ring(spark, [(41, 41), (47, 41), (47, 47), (41, 47)], 2))
+    got = {(p.pid, p.zone_id) for p in S.containing(df, zones, 10.0, most=50).collect()}
+    want = {(k, z) for k, x, y in rows for z, shape in ((1, STAR), (2, [(41, 41), (47, 41), (47, 47), (41, 47)])) if even_odd(x, y, shape)}
+    assert got == want
+    dealt, splits, parts = S.deal_points(df, 10.0, 50)
+    assert splits.count() >= 1 and parts.count() >= 1 and dealt.count() == len(rows)
+    keys = dealt.groupBy("depth", "tx", "ty", "part").count().collect()
+    assert max(k["count"] for k in keys) <= 2 * 50
+    tasks = [r["count"] for r in dealt.repartition(8, "depth", "tx", "ty", "part").groupBy(F.spark_partition_id()).count().collect()]
+    assert max(tasks) <= 3 * sorted(tasks)[len(tasks) // 2]
+
+
+def test_containing_is_the_same_for_any_tiles(spark):
+    r = random.Random(8)
+    rows = [(k, r.randrange(0, 101) * 1.0, r.randrange(0, 101) * 1.0) for k in range(600)]
+    df, zone = spark.createDataFrame(rows, "pid long, x double, y double"), ring(spark, STAR)
+    whole = {p.pid for p in df.join(zone, F.lit(True)).filter(S.in_ring(F.col("x"), F.col("y"), F.col("ring"), True)).collect()}
+    for tile, most in ((7.0, 1000), (25.0, 20), (1000.0, 5)):
+        assert {p.pid for p in S.containing(df, zone, tile, True, most).collect()} == whole
+
+
+def clip_by_hand(a, b, pts):
+    """Shares of a segment inside a ring, by crossing every edge."""
+    (ax, ay), (bx, by) = a, b
+    stops = {0.0, 1.0}
+    for (px, py), (qx, qy) in zip(pts, pts[1:] + pts[:1]):
+        den = (bx - ax) * (qy - py) - (by - ay) * (qx - px)
+        if den:
+            t = ((px - ax) * (qy - py) - (py - ay) * (qx - px)) / den
+            u = ((px - ax) * (by - ay) - (py - ay) * (bx - ax)) / den
+            if 0 <= u <= 1 and 0 < t < 1:
+                stops.add(t)
+    stops = sorted(stops)
+    return [(s, e) for s, e in zip(stops, stops[1:]) if even_odd(ax + (s + e) / 2 * (bx - ax), ay + (s + e) / 2 * (by - ay), pts)]
+
+
+def test_lines_cut_to_a_star(spark):
+    r = random.Random(4)
+    lines = [(f, [(r.random() * 100, r.random() * 100) for _ in range(5)]) for f in range(30)]
+    legs = [(f, k, *a, *b) for f, pts in lines for k, (a, b) in enumerate(zip(pts, pts[1:]))]
+    df = spark.createDataFrame(legs, "fid long, seq long, ax double, ay double, bx double, by double").repartition(3)
+    got = {}
+    for p in S.clip_lines(df, ring(spark, STAR), 15.0).orderBy("fid", "seq", "piece", "ax").collect():
+        got.setdefault(p.fid, []).append((p.piece, p.seq, p.ax, p.ay, p.bx, p.by))
+    for f, pts in lines:
+        spans = [(k, s, e) for k, (a, b) in enumerate(zip(pts, pts[1:])) for s, e in clip_by_hand(a, b, STAR)]
+        rows = sorted(got.get(f, []), key=lambda x: x[0])
+        assert len(rows) == len(spans)
+        n_pieces = sum(1 for i, (k, s, e) in enumerate(spans) if i == 0 or not (
+            spans[i - 1][0] == k and spans[i - 1][2] == s or spans[i - 1][0] == k - 1 and spans[i - 1][2] == 1 and s == 0))
+        assert not rows or (rows[-1][0] == n_pieces and [x[0] for x in rows] == sorted(x[0] for x in rows))
+        length = sum(math.hypot(x[4] - x[2], x[5] - x[3]) for x in rows)
+        want = sum((e - s) * math.dist(pts[k], pts[k + 1]) for k, s, e in spans)
+        assert abs(length - want) < 1e-9
+    total = {p.fid: p.length_m for p in S.line_lengths(df.drop("seq"), ring(spark, STAR), 15.0).collect()}
+    assert all(abs(total[f] - sum(math.hypot(x[4] - x[2], x[5] - x[3]) for x in rows)) < 1e-9 for f, rows in got.items())
+
+
+def test_lines_through_no_zone_take_the_nearest(spark):
+    zones = ring(spark, [(0, 0), (10, 0), (10, 10), (0, 10)], 1).unionByName(ring(spark, [(500, 0), (510, 0), (510, 10), (500, 10)], 2))
+    legs = [(1, 0, 200.0, 5.0, 220.0, 5.0), (2, 0, 300.0, 5.0, 420.0, 5.0), (3, 0, 2.0, 2.0, 8.0, 2.0), (4, 0, 255.0, 5.0, 255.0, 5.0), (5, 0, -3.0, 5.0, 13.0, 5.0)]
+    df = spark.createDataFrame(legs, "fid long, seq long, ax double, ay double, bx double, by double")
+    got = {r.fid: (r.zone_id, r.share > 0) for r in S.blocks_along(df, zones, 100.0, 20.0).collect()}
+    assert got == {1: (1, False), 2: (2, False), 3: (1, True), 4: (1, False), 5: (1, False)}
+    pts = spark.createDataFrame([(1, 210.0, 5.0), (2, 5.0, 5.0), (3, 13.0, 14.0)], "pid long, x double, y double")
+    near = {r.pid: (r.zone_id, r.distance_m) for r in S.nearest_zone(pts, zones, 20.0).collect()}
+    assert near == {1: (1, 200.0), 2: (1, 0.0), 3: (1, 5.0)}
+    nobody = S.blocks_along(df.limit(0), zones, 100.0, 20.0)
+    assert nobody.count() == 0
