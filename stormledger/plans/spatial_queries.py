@@ -213,8 +213,8 @@ def dedupe_named(spark, sf):
         lone AS (SELECT pid AS fid, x + greatest(p_size, 0) * 50 AS x, y FROM sites WHERE pid NOT IN (SELECT fid FROM c)),
         corner AS (SELECT zone_id, unnest([0, 1, 2, 3]) AS k, cx, cy, h FROM diamonds),
         side AS (SELECT zone_id, cx + h * ([-1, 0, 1, 0])[k + 1] AS ax, cy + h * ([0, 1, 0, -1])[k + 1] AS ay,
-                 cx + h * ([-1, 0, 1, 0])[(k + 1) % 4 + 1] AS bx, cy + h * ([0, 1, 0, -1])[(k + 1) % 4 + 1] AS by FROM corner),
-        seen AS (SELECT fid, zone_id, x, y, ax, ay, bx - ax AS dx, by - ay AS dy, least(greatest(((x - ax) * (bx - ax) + (y - ay) * (by - ay)) / ((bx - ax) * (bx - ax) + (by - ay) * (by - ay)), 0e0), 1e0) AS t FROM lone, side),
+                 cx + h * ([-1, 0, 1, 0])[(k + 1) % 4 + 1] AS ex, cy + h * ([0, 1, 0, -1])[(k + 1) % 4 + 1] AS ey FROM corner),
+        seen AS (SELECT fid, zone_id, x, y, ax, ay, ex - ax AS dx, ey - ay AS dy, least(greatest(((x - ax) * (ex - ax) + (y - ay) * (ey - ay)) / ((ex - ax) * (ex - ax) + (ey - ay) * (ey - ay)), 0e0), 1e0) AS t FROM lone, side),
         away AS (SELECT fid, zone_id, min(round(sqrt((ax + t * dx - x) * (ax + t * dx - x) + (ay + t * dy - y) * (ay + t * dy - y)), 6)) AS d FROM seen GROUP BY 1, 2),
         inside AS (SELECT p.fid, min(d.zone_id) AS zone_id FROM lone p JOIN diamonds d ON """ + _IN + """ GROUP BY 1),
         nearest AS (SELECT a.fid, coalesce(any_value(i.zone_id), arg_min(a.zone_id, (a.d, a.zone_id))) AS zone_id FROM away a LEFT JOIN inside i ON i.fid = a.fid GROUP BY 1)
