@@ -15,6 +15,7 @@ DRIVERS = {
     "population_density": "population density", "hospital_access": "hospital access",
     "low_literacy": "low literacy", "mapped_shelters": "few mapped shelters",
 }
+NAMED_STAND_INS = 10  # fixed value: stand-ins named in a text
 REACH = {"direct": "direct hazard", "cut_off": "cut off by the storm"}
 
 
@@ -41,10 +42,11 @@ def unfold(df: DataFrame, keys: list[str], entries: list[tuple[str, Column, bool
 
 def zone_facts(scores: DataFrame, keys: list[str]) -> DataFrame:
     """The figures of each zone: scores holds one row per (keys) with both horizons' scores and the
-    zone's peaks and counts beside them."""
+    zone's peaks and counts beside them. An access time that is null or endless gives no row."""
     c = F.col
     entries = [
         ("block_name", c("zone_name"), True, None, "reference"),
+        ("timestep_utc", F.date_format("time", "dd MMM yyyy, HH:mm"), True, None, "replay"),
         ("hours_to_landfall", c("hours"), False, "h", "replay"),
         ("risk_score", round_to(c("score"), 4), False, None, "risk"),
         ("risk_score_24h", round_to(c("score_24h"), 4), False, None, "risk"),
@@ -53,7 +55,8 @@ def zone_facts(scores: DataFrame, keys: list[str]) -> DataFrame:
         ("risk_vulnerability", round_to(c("vulnerability"), 4), False, None, "risk"),
         ("reach", _named(REACH, c("reach")), True, None, "risk"),
         ("top_driver", _named(DRIVERS, c("top_driver")), True, None, "risk"),
-        ("peak_surge_m", c("peak_surge"), False, "m", "hazard"),
+        ("hospital_median_min", F.when(c("median_s") < float("inf"), F.floor(c("median_s") / 60 + 0.5)), False, "min", "risk"),
+        ("peak_surge_m", round_to(c("peak_surge"), 2), False, "m", "hazard"),
         ("peak_wind_ms", F.floor(c("peak_wind") + 0.5), False, "m/s", "hazard"),
         ("isolated_count", c("isolated"), False, None, "impact"),
         ("isolated_hospital_count", c("isolated_hospitals"), False, None, "impact"),
@@ -62,6 +65,7 @@ def zone_facts(scores: DataFrame, keys: list[str]) -> DataFrame:
         ("cut_road_km", round_to(c("cut_m") / 1000.0, 1), False, "km", "impact"),
         ("cut_substation_count", c("substations"), False, None, "impact"),
         ("standin_count", c("shelters"), False, None, "exposure"),
+        ("standin_named_count", F.least(c("named"), F.lit(NAMED_STAND_INS)), False, None, "exposure"),
     ]
     return unfold(scores, keys, entries)
 

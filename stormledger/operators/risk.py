@@ -43,21 +43,23 @@ def hazard_parts(
     """Surge share, wind part and flood severity per row of calendar (zone_id, keys..), over the
     whole inhabited area; a zone without a cell has none of them.
 
-    Products are summed in whole square metres, so the order of rows does not show in the result.
+    Products are summed as decimals of a square millimetre, so the order of rows does not show in
+    the result and no cell is too small to count.
     Cells do not overlap, so flooded land is a plain conditional sum. One join on the cell, one
     partial aggregation down to (zone, keys). horizons maps each horizon to the suffix of its
     columns; all are summed in the same pass and unfolded from the small result.
     """
     horizons = horizons or {0: "", 24: "_ahead"}
     area = F.col("area_m2")
+    exact = lambda v: F.sum(round_to(v, 6).cast("decimal(24,6)")).cast("double")
     sums = hazard.join(overlap.select("cell_id", "zone_id", "area_m2"), "cell_id").groupBy("zone_id", *keys).agg(
-        F.sum(round_to(area * F.col("flood_severity"), 0)).alias("flood_area"),
+        exact(area * F.col("flood_severity")).alias("flood_area"),
         *[
             e
             for h, s in horizons.items()
             for e in (
                 F.sum(F.when(F.col(f"surge{s}") >= SURGE_LAND_M, area).otherwise(0)).alias(f"flooded_{h}"),
-                F.sum(round_to(area * wind_part(F.col(f"wind{s}")), 0)).alias(f"wind_{h}"),
+                exact(area * wind_part(F.col(f"wind{s}"))).alias(f"wind_{h}"),
             )
         ],
     )

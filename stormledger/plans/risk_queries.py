@@ -186,8 +186,8 @@ CTE["hazard_parts"] = (
           {_C01.format("CASE WHEN inhabited_m2 > 0 THEN coalesce(flood_area, 0) / inhabited_m2 ELSE 0 END")} AS flood
         FROM zone_steps s CROSS JOIN (VALUES (0), (24)) e(horizon_h) LEFT JOIN (SELECT o.zone_id, a.event, a.step, a.horizon_h,
             sum(CASE WHEN surge >= 0.3e0 THEN area_m2 ELSE 0 END)::BIGINT AS flooded,
-            sum({r_sql('area_m2 * least(1e0, greatest(0e0, (wind - 17e0) / 43e0))', 0)}) AS wind_area,
-            sum({r_sql(f"area_m2 * {r_sql('f.flood', 2)}", 0)}) AS flood_area
+            sum({r_sql('area_m2 * least(1e0, greatest(0e0, (wind - 17e0) / 43e0))', 6)}::DECIMAL(24,6))::DOUBLE AS wind_area,
+            sum({r_sql(f"area_m2 * {r_sql('f.flood', 2)}", 6)}::DECIMAL(24,6))::DOUBLE AS flood_area
           FROM hazard_ahead a JOIN flood f ON f.cell_id = a.cell_id JOIN overlap o ON o.cell_id = a.cell_id
           GROUP BY 1, 2, 3, 4) h ON h.zone_id = s.zone_id AND h.event = s.event AND h.step = s.step AND h.horizon_h = e.horizon_h
         JOIN zones z ON z.zone_id = s.zone_id""",
@@ -299,13 +299,13 @@ def zone_scores(spark, sf):
         R.hazard_parts(wide.join(flood, "cell_id"), o, z, ["event", "step"], I.zone_steps(spark, sf))
         .join(R.exposure_parts(infra_status(spark, sf, ahead), cap, keys), ["zone_id", *keys], "left")
         .na.fill(0.0, list(R.EXPOSURE_WEIGHTS))
-        .join(R.vulnerability_parts(z, _medians(spark, sf), cap), "zone_id")
+        .join(R.vulnerability_parts(z, medians(spark, sf), cap), "zone_id")
         .join(z.select("zone_id", "zone_name", "population"), "zone_id")
     )
     return R.surge_population(R.composite(parts))
 
 
-def _medians(spark, sf):
+def medians(spark, sf):
     k = F.col("cell_id")
     nodes = I.cells(spark, sf).select("zone_id", F.when(k % 11 != 0, k * 7919 % 9000).alias("seconds"))
     return R.access_median(nodes)
@@ -365,7 +365,7 @@ def zone_people(spark, sf):
 
 @query("zone_access_median", with_ctes("access") + "SELECT zone_id, median_s FROM access")
 def zone_access_median(spark, sf):
-    return _medians(spark, sf)
+    return medians(spark, sf)
 
 
 @query(

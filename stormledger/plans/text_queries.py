@@ -11,10 +11,11 @@ from stormledger.operators import impact as M
 from stormledger.operators import risk as R
 from stormledger.operators import timeseries as TS
 from stormledger.plans import inputs as I
-from stormledger.plans.hazard_queries import hazard_ahead, hazard_cells
+from stormledger.plans.hazard_queries import hazard_cells
 from stormledger.plans.inputs import CTE, r_sql, with_ctes
 from stormledger.plans.registry import query
-from stormledger.plans.risk_queries import infra_status, zone_scores
+from stormledger.plans.risk_queries import infra, infra_status, medians, zone_scores
+from stormledger.session import materialise
 
 # Templates: documents with some words turned into placeholders.
 _SWAPS = [
@@ -402,58 +403,87 @@ def names_and_more(spark, sf):
 # --- Facts ---------------------------------------------------------------------------------------
 
 CTE["fact_rows"] = (
-    f"""SELECT s.zone_id, s.event, s.step, s.zone_name, (l.hi - s.step) * 3 AS hours, {r_sql('s.score', 4)} AS score, {r_sql('a.score', 4)} AS score_24h, s.reach, s.top_driver,
-          i.isolated, a2.ahead - i.isolated AS expected, floor(i.cut_m / 1000e0 * 10e0 + 0.5e0) / 10e0 AS cut_km
+    f"""SELECT s.zone_id, s.event, s.step, s.zone_name, (l.hi - s.step) * 3 AS hours, {r_sql('s.score', 4)} AS score, {r_sql('a.score', 4)} AS score_24h,
+          {r_sql('s.hazard', 4)} AS hazard, {r_sql('s.exposure', 4)} AS exposure, {r_sql('s.vulnerability', 4)} AS vulnerability, s.reach, s.top_driver,
+          coalesce(i.isolated, 0) AS isolated, coalesce(a2.ahead, 0) - coalesce(i.isolated, 0) AS expected, coalesce(i.hospitals, 0) AS hospitals,
+          coalesce(i.havens, 0) AS havens, coalesce(i.substations, 0) AS substations, floor(coalesce(i.cut_m, 0) / 1000e0 * 10e0 + 0.5e0) / 10e0 AS cut_km,
+          {r_sql('coalesce(p.surge, 0e0)', 2)} AS peak_surge, floor(coalesce(p.wind, 0e0) + 0.5e0) AS peak_wind,
+          CASE WHEN m.median_s < 'infinity'::DOUBLE THEN floor(m.median_s / 60 + 0.5e0) END AS median_min, coalesce(c.shelters, 0) AS shelters, coalesce(n.named, 0) AS named
         FROM scores s JOIN scores a ON a.zone_id = s.zone_id AND a.event = s.event AND a.step = s.step AND a.horizon_h = 24
         JOIN (SELECT event, max(step) AS hi FROM fixes GROUP BY 1) l ON l.event = s.event
-        JOIN (SELECT zone_id, event, step, count_if(status = 'isolated')::BIGINT AS isolated, sum(CASE WHEN infra_type = 'road' AND status = 'cut' THEN length_m ELSE 0 END)::BIGINT AS cut_m FROM infra_hazard WHERE horizon_h = 0 GROUP BY 1, 2, 3) i
+        LEFT JOIN (SELECT zone_id, event, step, count_if(status = 'isolated')::BIGINT AS isolated, count_if(status = 'isolated' AND infra_type = 'hospital')::BIGINT AS hospitals,
+            count_if(status = 'isolated' AND infra_type = 'shelter')::BIGINT AS havens, count_if(status = 'cut' AND infra_type = 'substation')::BIGINT AS substations,
+            sum(CASE WHEN infra_type = 'road' AND status = 'cut' THEN length_m ELSE 0 END)::BIGINT AS cut_m FROM infra_hazard WHERE horizon_h = 0 GROUP BY 1, 2, 3) i
           ON i.zone_id = s.zone_id AND i.event = s.event AND i.step = s.step
-        JOIN (SELECT zone_id, event, step, count_if(status = 'isolated')::BIGINT AS ahead FROM infra_hazard WHERE horizon_h = 24 GROUP BY 1, 2, 3) a2
-          ON a2.zone_id = s.zone_id AND a2.event = s.event AND a2.step = s.step WHERE s.horizon_h = 0""",
-    ["scores"],
+        LEFT JOIN (SELECT zone_id, event, step, count_if(status = 'isolated')::BIGINT AS ahead FROM infra_hazard WHERE horizon_h = 24 GROUP BY 1, 2, 3) a2
+          ON a2.zone_id = s.zone_id AND a2.event = s.event AND a2.step = s.step
+        LEFT JOIN (SELECT o.zone_id, h.event, h.step, max(h.surge) AS surge, max(h.wind) AS wind FROM hazard h JOIN overlap o ON o.cell_id = h.cell_id WHERE o.area_m2 > 0 GROUP BY 1, 2, 3) p
+          ON p.zone_id = s.zone_id AND p.event = s.event AND p.step = s.step
+        LEFT JOIN access m ON m.zone_id = s.zone_id LEFT JOIN capacity c ON c.zone_id = s.zone_id
+        LEFT JOIN (SELECT zone_id, count(DISTINCT name) AS named FROM infra WHERE infra_type = 'shelter' GROUP BY 1) n ON n.zone_id = s.zone_id
+        WHERE s.horizon_h = 0""",
+    ["scores", "hazard", "overlap"],
 )
 _KEYS = ["zone_id", "event", "step"]
+_TEXTS = {
+    "block_name": "zone_name", "timestep_utc": "strftime(TIMESTAMP '2024-01-01' + to_hours((step * 3)::INTEGER), '%d %b %Y, %H:%M')",
+    "reach": "CASE reach WHEN 'direct' THEN 'direct hazard' ELSE 'cut off by the storm' END",
+    "top_driver": "CASE top_driver WHEN 'surge' THEN 'storm surge' WHEN 'flood' THEN 'flood susceptibility' WHEN 'mapped_shelters' THEN 'few mapped shelters' ELSE replace(top_driver, '_', ' ') END",
+}
+_FIGURES = {
+    "hours_to_landfall": "hours", "risk_score": "score", "risk_score_24h": "score_24h", "risk_hazard": "hazard", "risk_exposure": "exposure",
+    "risk_vulnerability": "vulnerability", "hospital_median_min": "median_min", "peak_surge_m": "peak_surge", "peak_wind_ms": "peak_wind",
+    "isolated_count": "isolated", "isolated_hospital_count": "hospitals", "isolated_shelter_count": "havens", "expected_isolated_count": "expected",
+    "cut_road_km": "cut_km", "cut_substation_count": "substations", "standin_count": "shelters", "standin_named_count": "least(named, 10)",
+}
+_FACTS = ", ".join(
+    [f"{{'key': '{k}', 'num_value': NULL::DOUBLE, 'str_value': {v}}}" for k, v in _TEXTS.items()]
+    + [f"{{'key': '{k}', 'num_value': ({v})::DOUBLE, 'str_value': NULL}}" for k, v in _FIGURES.items()]
+)
+_TRIVIAL = " OR ".join(f"(f.key = '{k}' AND f.num_value < {v!r})" for k, v in X.TRIVIAL_BELOW.items())
 
 
 @query(
     "zone_facts",
     with_ctes("fact_rows")
-    + """SELECT zone_id, event, step, f.key, f.num_value, f.str_value FROM (SELECT *, unnest([
-          {'key': 'block_name', 'num_value': NULL::DOUBLE, 'str_value': zone_name}, {'key': 'hours_to_landfall', 'num_value': hours::DOUBLE, 'str_value': NULL},
-          {'key': 'risk_score', 'num_value': score, 'str_value': NULL}, {'key': 'risk_score_24h', 'num_value': score_24h, 'str_value': NULL},
-          {'key': 'reach', 'num_value': NULL, 'str_value': CASE reach WHEN 'direct' THEN 'direct hazard' ELSE 'cut off by the storm' END},
-          {'key': 'top_driver', 'num_value': NULL, 'str_value': CASE top_driver WHEN 'surge' THEN 'storm surge' WHEN 'flood' THEN 'flood susceptibility' WHEN 'mapped_shelters' THEN 'few mapped shelters' ELSE replace(top_driver, '_', ' ') END},
-          {'key': 'isolated_count', 'num_value': isolated::DOUBLE, 'str_value': NULL}, {'key': 'expected_isolated_count', 'num_value': expected::DOUBLE, 'str_value': NULL},
-          {'key': 'cut_road_km', 'num_value': cut_km, 'str_value': NULL}]) AS f FROM fact_rows)
-        WHERE (f.num_value IS NOT NULL OR f.str_value IS NOT NULL) AND f.key NOT IN ('risk_score', 'risk_score_24h')
-          AND NOT (f.key = 'cut_road_km' AND f.num_value < 1e-9) AND NOT (f.key = 'hours_to_landfall' AND f.num_value < 0.5e0)""",
+    + f"""SELECT zone_id, event, step, f.key, f.num_value, f.str_value,
+          f.key NOT IN ({", ".join(f"'{k}'" for k in X.SCORE_KEYS)}) AND NOT coalesce({_TRIVIAL}, false) AS offered
+        FROM (SELECT *, unnest([{_FACTS}]) AS f FROM fact_rows) WHERE f.num_value IS NOT NULL OR f.str_value IS NOT NULL""",
 )
 def zone_facts(spark, sf):
-    """Facts of every zone and step that may be offered as placeholders."""
+    """Every fact of every zone and step; `offered` tells those that may be used as placeholders."""
     both = zone_scores(spark, sf)
-    status = infra_status(spark, sf, hazard_ahead(spark, sf).drop("zone_id", "event"))
-    cut = (F.col("infra_type") == "road") & (F.col("status") == "cut") & (F.col("horizon_h") == 0)
+    layer = materialise(hazard_cells(spark, sf).select("cell_id", "event", "step", "wind", "surge"), "hazard-now")
+    status = infra_status(spark, sf, TS.expected_max(layer, ["cell_id", "event"], "step", ["wind", "surge"]).drop("event"))
+    now = F.col("horizon_h") == 0
+    cut = (F.col("status") == "cut") & now
     iso = F.col("status") == "isolated"
-    now_iso = iso & (F.col("horizon_h") == 0)
+    now_iso = iso & now
     counts = status.groupBy(*_KEYS).agg(
-        F.count_if(now_iso).alias("isolated"), (F.count_if(iso & (F.col("horizon_h") == 24)) - F.count_if(now_iso)).alias("expected"),
+        F.count_if(now_iso).alias("isolated"), (F.count_if(iso & ~now) - F.count_if(now_iso)).alias("expected"),
         F.count_if(now_iso & (F.col("infra_type") == "hospital")).alias("isolated_hospitals"),
         F.count_if(now_iso & (F.col("infra_type") == "shelter")).alias("isolated_shelters"),
-        F.sum(F.when(cut, F.col("length_m")).otherwise(0)).alias("cut_m"),
-        F.count_if((F.col("infra_type") == "substation") & (F.col("status") == "cut") & (F.col("horizon_h") == 0)).alias("substations"),
+        F.sum(F.when(cut & (F.col("infra_type") == "road"), F.col("length_m")).otherwise(0)).alias("cut_m"),
+        F.count_if((F.col("infra_type") == "substation") & cut).alias("substations"),
     )
+    land = I.overlap(spark, sf).filter("area_m2 > 0").select("cell_id", "zone_id")
+    peaks = layer.join(land, "cell_id").groupBy(*_KEYS).agg(F.max("surge").alias("peak_surge"), F.max("wind").alias("peak_wind"))
+    havens = infra(spark, sf).filter("infra_type = 'shelter'").groupBy("zone_id").agg(
+        F.count(F.lit(1)).alias("shelters"), F.count_distinct("name").alias("named"))
     last = I.event_buckets(spark, sf).groupBy("event").agg(F.max("step").alias("hi"))
     wide = both.groupBy(*_KEYS, "zone_name").agg(
         F.max(F.when(F.col("horizon_h") == 24, F.col("score"))).alias("score_24h"),
         *[F.max(F.when(F.col("horizon_h") == 0, F.col(c))).alias(c) for c in ["score", "hazard", "exposure", "vulnerability", "reach", "top_driver"]],
     )
-    rows = wide.join(counts, _KEYS).join(last, "event").withColumn("hours", (F.col("hi") - F.col("step")) * 3).withColumns(
-        {"peak_surge": F.lit(None).cast("double"), "peak_wind": F.lit(None).cast("double"), "shelters": F.lit(None).cast("long")}
+    rows = (
+        wide.join(counts, _KEYS, "left").join(peaks, _KEYS, "left").join(havens, "zone_id", "left")
+        .na.fill(0, [*counts.columns[3:], "peak_surge", "peak_wind", "shelters", "named"])
+        .join(medians(spark, sf), "zone_id", "left").join(last, "event")
+        .withColumn("hours", (F.col("hi") - F.col("step")) * 3)
+        .withColumn("time", F.lit("2024-01-01").cast("timestamp_ntz") + F.make_dt_interval(hours=(F.col("step") * 3).cast("int")))
     )
     facts = FX.zone_facts(rows, _KEYS)
-    return facts.filter(X.offered(F.col("key"), F.col("num_value"))).filter(
-        ~F.col("key").isin("risk_hazard", "isolated_hospital_count", "isolated_shelter_count", "cut_substation_count")
-    ).drop("unit", "source")
+    return facts.select(*_KEYS, "key", "num_value", "str_value", X.offered(F.col("key"), F.col("num_value")).alias("offered"))
 
 
 @query(
