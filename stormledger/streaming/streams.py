@@ -21,12 +21,13 @@ def ratchet_processor():
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timers) -> Iterator[pd.DataFrame]:
             known = self.best.get() if self.best.exists() else (0, 0.0, None)
-            batch = pd.concat(list(rows))
-            top = batch.sort_values(["tier", "step"], ascending=[False, True]).iloc[0]
-            tier, payout, step = int(top["tier"]), float(top["payout"]), int(top["step"])
-            earlier = tier == known[0] and known[2] is not None and step < known[2]
-            if tier > known[0] or earlier or known[2] is None:
-                known = (tier, payout, step)
+            before = known
+            for batch in rows:  # one Arrow batch of the key at a time
+                top = batch.sort_values(["tier", "step"], ascending=[False, True]).iloc[0]
+                tier, payout, step = int(top["tier"]), float(top["payout"]), int(top["step"])
+                if known[2] is None or tier > known[0] or (tier == known[0] and step < known[2]):
+                    known = (tier, payout, step)
+            if known != before:
                 self.best.update(known)
             yield pd.DataFrame(
                 {"zone_id": [key[0]], "released_tier": [known[0]], "released_payout": [known[1]], "first_step": [known[2]]}
