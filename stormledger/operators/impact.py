@@ -311,6 +311,12 @@ def grouped_links(links: DataFrame, facilities: DataFrame) -> DataFrame:
     )
 
 
+def top_links(entries: DataFrame, n: int = 5) -> DataFrame:
+    """The n presentation groups that most facilities depend on; ties by deadline, ferries first, then name."""
+    order = [F.desc("facility_count"), "earliest_deadline", F.col("link_type") != "ferry", "label", "entry"]
+    return entries.orderBy(*order).limit(n)
+
+
 def block_order(sequences: DataFrame) -> DataFrame:
     """(road, pos, block) in travel order from partial sequences: sequences(road, seq_no, i, block).
 

@@ -159,3 +159,11 @@ def total_mismatch(parts: DataFrame, totals: DataFrame, keys: list[str], value:
     return summed.join(totals, keys, "full_outer").filter(
         F.abs(F.coalesce("parts_total", F.lit(0)) - F.coalesce("total", F.lit(0))) > tolerance
     )
+
+
+def largest_expected(triggers: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, zone_id, expected_tier: of the zones without a release yet, the one with the largest expected
+    tier (then payout, then the lower id). triggers: keys, zone_id, released_tier, expected_tier, payout."""
+    open_rows = triggers.filter((F.col("released_tier") == 0) & (F.col("expected_tier") > 0))
+    best = F.max_by(F.struct("zone_id", "expected_tier"), F.struct("expected_tier", "payout", (-F.col("zone_id")).alias("z"))).alias("x")
+    return open_rows.groupBy(*keys).agg(best).select(*keys, "x.*")

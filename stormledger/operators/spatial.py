@@ -658,6 +658,21 @@ def greedy_dedupe(df: DataFrame, key: str, priority: str, radius: float) -> Data
     return base.join(keeper.select("k", "x", "y", F.col("b.rid").alias("keeper")), ["k", "x", "y"]).select("id", "keeper")
 
 
+def dedupe_stand_ins(records: DataFrame, ranks: dict[str, int], radius: float = 50.0) -> DataFrame:
+    """The records without stand-ins near another of the same name or, both unnamed, of the same kind.
+
+    records: id, kind, name_key (null or empty: unnamed), is_area, x, y; ranks: the stand-in kinds,
+    the lowest first. Of two, the lower rank stays, then an area over a node, then the lower id.
+    Kinds without a rank are real and always stay.
+    """
+    rank = F.element_at(F.create_map(*[F.lit(v) for kv in ranks.items() for v in kv]), F.col("kind"))
+    stand_ins = records.filter(F.col("kind").isin(*ranks)).select(
+        "id", F.when(F.length("name_key") > 0, F.concat(F.lit("name:"), "name_key")).otherwise(F.concat(F.lit("kind:"), "kind")).alias("key"),
+        F.struct(rank.alias("rank"), (~F.col("is_area")).alias("node"), F.col("id").alias("own")).alias("priority"), "x", "y")
+    dropped = greedy_dedupe(stand_ins, "key", "priority", radius).filter("keeper <> id").select("id")
+    return records.join(dropped, "id", "left_anti")
+
+
 # --- Cell-set algebra ----------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from importlib import import_module
 
 MODULES = [
     "hazard_queries", "risk_queries", "network_queries", "spatial_queries", "text_queries", "check_queries", "source_queries",
-    "stream_queries",
+    "stream_queries", "report_queries",
 ]
 
 

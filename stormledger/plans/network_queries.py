@@ -313,17 +313,20 @@ def isolated_by_step(spark, sf):
           WHEN way_id % 2 = 0 THEN 'Road ' || way_id WHEN ferry THEN 'Unnamed ferry route' ELSE 'Unnamed road' END AS cut_label FROM isolated""",
 )
 def isolation_pathway(spark, sf):
+    return isolation_pathways(spark, sf).select(
+        "step", "item", F.array_join(F.transform("pathway", lambda x: x["id"]), " > ").alias("ids"),
+        F.element_at("pathway", 2)["label"].alias("cut_label"),
+    )
+
+
+def isolation_pathways(spark, sf):
     way = F.col("way_id")
     roads = links(spark, sf).select("way_id").distinct().filter(way % 3 == 0).select(
         "way_id", F.concat(F.lit("road-"), way.cast("string")).alias("road_id"),
         F.when(way % 2 == 0, F.concat(F.lit("Road "), way.cast("string"))).alias("road_name"),
     )
     iso = isolated(spark, sf).withColumn("value", F.lit(0.3)).withColumn("label", F.col("item").cast("string"))
-    p = M.pathway(iso, roads)
-    return p.select(
-        "step", "item", F.array_join(F.transform("pathway", lambda x: x["id"]), " > ").alias("ids"),
-        F.element_at("pathway", 2)["label"].alias("cut_label"),
-    )
+    return M.pathway(iso, roads)
 
 
 CTE["two"] = (

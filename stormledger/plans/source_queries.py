@@ -311,17 +311,6 @@ def bulletin_manifest(spark, sf):
     return b.select("id", "body.turns", F.col("body.first.value").alias("first_user"), F.coalesce("listed", F.lit(False)).alias("listed"))
 
 
-@query("file_hashes", "SELECT s_suppkey AS k, true AS matches FROM supplier")
-def file_hashes(spark, sf):
-    """One file per supplier, hashed again from its bytes and compared with the manifest."""
-    path = scratch(spark, "files")
-    n = I.table(spark, sf, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_name").alias("value"))
-    n.write.partitionBy("k").text(path)
-    stored = SR.file_hashes(spark, path, "k=([0-9]+)/").select(F.col("key").cast("long").alias("k"), F.col("sha256").alias("got"))
-    want = n.select("k", F.sha2(F.concat("value", F.lit("\n")).cast("binary"), 256).alias("sha256"))
-    return want.join(stored, "k", "left").select("k", F.col("sha256").eqNullSafe(F.col("got")).alias("matches"))
-
-
 _GLAT = r_sql(f"({r_sql('21.5e0 + r * 0.24e0', 5)} + {r_sql(r_sql('21.5e0 + r * 0.24e0', 5) + ' + 0.24e0', 5)}) / 2e0", 5)
 
 
@@ -417,6 +406,11 @@ def block_order(spark, sf):
        FROM e JOIN lineitem ON l_partkey = link GROUP BY 1""",
 )
 def grouped_links(spark, sf):
+    return M.grouped_links(*link_users(spark, sf))
+
+
+def link_users(spark, sf):
+    """(links, facilities) of parts and the suppliers that deliver them."""
     p = I.table(spark, sf, "part").select(
         F.col("p_partkey").alias("link"), F.when(F.col("p_size") % 3 > 0, F.concat("p_name", F.lit(";x"))).alias("name"),
         F.when(F.col("p_type") == "LARGE", F.lit("ferry")).otherwise(F.lit("road")).alias("link_type"),
@@ -425,7 +419,7 @@ def grouped_links(spark, sf):
     f = I.table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("link"), F.col("l_suppkey").alias("item"), (F.col("l_suppkey") % 20).alias("deadline")
     ).distinct()
-    return M.grouped_links(p.join(f.select("link").distinct(), "link", "left_semi"), f)
+    return p.join(f.select("link").distinct(), "link", "left_semi"), f
 
 
 @query(

@@ -110,3 +110,24 @@ def file_hashes(spark: SparkSession, path: str, key_pattern: str = "([^/]+)$") -
     """(key, length, sha256) of every file under a folder; the key is cut from its path."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!_.]*").load(path)
     return files.select(F.regexp_extract("path", key_pattern, 1).alias("key"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+def write_manifests(rows: DataFrame, chunk: str, order: str, line: str, path: str) -> DataFrame:
+    """One text file per chunk of rows, its lines in order; returns (chunk, body) as written. A chunk is as large as its key makes it."""
+    lines = F.transform(F.sort_array(F.collect_list(F.struct(order, line))), lambda x: x[line])
+    bodies = rows.groupBy(chunk).agg(F.array_join(lines, "\n").alias("value"))
+    bodies.write.partitionBy(chunk).text(path)
+    return bodies.select(chunk, F.concat("value", F.lit("\n")).alias("body"))
+
+
+def held_against(files: DataFrame, listed: DataFrame) -> DataFrame:
+    """Files with a verdict: ok, changed (another hash is listed), unlisted; listed files that are absent are missing.
+
+    files: key, length, sha256; listed: key, listed.
+    """
+    both = files.join(listed, "key", "full")
+    return both.withColumn(
+        "verdict",
+        F.when(F.col("sha256").isNull(), "missing").when(F.col("listed").isNull(), "unlisted")
+        .when(F.col("sha256") != F.col("listed"), "changed").otherwise("ok"),
+    )
