@@ -98,10 +98,10 @@ def deadlines(df: DataFrame, keys: list[str], step: str, open_flag: str) -> Data
 
     No closed step: the last step, `stays_open`. Closed from the start: null.
     """
-    closed = df.groupBy(*keys).agg(F.min(F.when(~F.col(open_flag), F.col(step))).alias("closed"))
+    first = F.min(F.when(~F.col(open_flag), F.col(step))).over(Window.partitionBy(*keys))  # an entity's steps
     # The last step that exists before it: the axis may have gaps.
     before = F.max(F.when(F.col("closed").isNull() | (F.col(step) < F.col("closed")), F.col(step)))
-    return df.join(closed, keys).groupBy(*keys, "closed").agg(before.alias("deadline")).select(
+    return df.withColumn("closed", first).groupBy(*keys, "closed").agg(before.alias("deadline")).select(
         *keys, "deadline", F.col("closed").isNull().alias("stays_open")
     )
 
