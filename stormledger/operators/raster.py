@@ -15,6 +15,7 @@ from stormledger.operators.spatial import pack
 
 # Radar thresholds.
 MIN_DB, CHANGE_DB, WATER_DB, PERMANENT_PCT, LOOKS, FLOODED_SHARE = -30.0, -2.5, -15.5, 20.0, 4.4, 0.1
+MAX_SLOPE, MIN_CLUSTER = 5.0, 5  # degrees, pixels
 
 
 def mask_noise(pixels: DataFrame, value: str = "db", floor: float = MIN_DB) -> DataFrame:
@@ -272,10 +273,23 @@ def burn(cells: DataFrame, keys: list[str], label: str) -> DataFrame:
     )
 
 
+def flat_only(mask: DataFrame, slope: DataFrame, keys: list[str], max_slope: float = MAX_SLOPE) -> DataFrame:
+    """The mask without steep pixels; they stay in the table, so the scene keeps its border. slope: keys, row, col, slope."""
+    on = [*keys, "row", "col"]
+    steep = slope.filter(F.col("slope") > max_slope).select(*on, F.lit(True).alias("steep"))
+    flat = F.col("steep").isNull()
+    return mask.join(steep, on, "left").select(*on, (F.col("flooded") & flat).alias("flooded"))
+
+
 def flood_pipeline(
     before: DataFrame, after: DataFrame, water: DataFrame | None, keys: list[str], kernel: int = 7,
-    method: str = "median", tile: int = 256,
+    method: str = "median", tile: int = 256, slope: DataFrame | None = None, max_slope: float = MAX_SLOPE, min_pixels: int = MIN_CLUSTER,
 ) -> DataFrame:
-    """Noise mask, speckle filter, change detection and opening, one chain over all scenes."""
+    """(keys, row, col) of flooded pixels: noise mask, speckle filter, change detection, slope mask, opening, and
+    clusters of min_pixels at least; one chain over all scenes. keys: one column, the scene."""
     prepared = [focal(mask_noise(p).dropna(subset=["db"]), keys, method, kernel, tile) for p in (before, after)]
-    return opening(change_mask(prepared[0], prepared[1], water, keys), keys)
+    mask = change_mask(prepared[0], prepared[1], water, keys)
+    if slope is not None:
+        mask = flat_only(mask, slope, keys, max_slope)
+    (scene,) = keys
+    return drop_small(opening(mask, keys), scene, min_pixels)

@@ -182,11 +182,41 @@ def burned_cells(spark, sf):
     return RA.burn(c, ["brand"], "label")
 
 
-@query("flood_pipeline")
+_POWER = "10e0 * log10(greatest(1e-5, avg(pow(10e0, ({} + 20e0 * {}) / 10e0))))"
+
+
+@query(
+    "flood_pipeline",
+    "WITH RECURSIVE " + with_ctes("px").removeprefix("WITH ") + _NEAR.replace("q.e FROM", "q.e, q.m FROM")
+    + f""", z AS (SELECT row, col, {_POWER.format("-12e0", "e")} AS was, {_POWER.format("-16e0", "m")} AS now FROM k GROUP BY 1, 2),
+        wet AS (SELECT row, col FROM z WHERE now - was <= -2.5e0 AND now <= -15.5e0 AND (row // 16 * 3 + col // 16 * 5) % 9 <= 5 AND row // 8 % 6 < 5),
+        er AS (SELECT row + dr AS row, col + dc AS col FROM wet, o GROUP BY 1, 2 HAVING count(*) = 9),
+        w AS (SELECT DISTINCT row + dr AS row, col + dc AS col, (row + dr) * 64 + col + dc AS id FROM er, o
+              WHERE row + dr > (SELECT min(row) FROM px) AND row + dr < (SELECT max(row) FROM px) AND col + dc > 0 AND col + dc < 63),
+        n AS (SELECT a.id AS a, b.id AS b FROM w a JOIN (SELECT row + d AS nr, row, col, id FROM w, (SELECT unnest([-1, 0, 1]) AS d)) b ON b.nr = a.row AND abs(a.col - b.col) <= 1 AND a.id <> b.id),
+        f(id, lab) USING KEY (id) AS (SELECT id, id FROM w UNION SELECT n.b, min(f.lab) FROM f JOIN n ON n.a = f.id JOIN recurring.f r ON r.id = n.b WHERE f.lab < r.lab GROUP BY n.b),
+        big AS (SELECT lab FROM f GROUP BY 1 HAVING count(*) >= 12)
+        SELECT w.row, w.col FROM w JOIN f ON f.id = w.id JOIN big ON big.lab = f.lab""",
+)
 def flood_pipeline(spark, sf):
+    """The whole chain with slopes and standing water by blocks of pixels; clusters of 12 pixels and more."""
     px = pixels(spark, sf)
     a, b = _db(px, "e", -12.0), _db(px, "m", -16.0)
-    return RA.flood_pipeline(a, b, None, ["scene"], 3, "boxcar", 128).drop("scene")
+    block = lambda c, n: F.floor(F.col(c) / n).cast("long")
+    at = ["scene", "row", "col"]
+    slope = px.select(*at, ((block("row", 16) * 3 + block("col", 16) * 5) % 9).cast("double").alias("slope"))
+    water = px.select(*at, F.when(block("row", 8) % 6 < 5, 0).otherwise(30).alias("occurrence"))
+    return RA.flood_pipeline(a, b, water, ["scene"], 3, "boxcar", 128, slope, 5.0, 12).drop("scene")
+
+
+@query(
+    "permanent_water",
+    "SELECT vec_id AS k, coalesce(label * 10 >= 20, false) AS permanent FROM embeddings",
+)
+def permanent_water(spark, sf):
+    """Positions seen under water in a fifth of the images or more."""
+    e = I.table(spark, sf, "embeddings").select(F.col("vec_id").alias("k"), (F.col("label") * 10).alias("occurrence"))
+    return RA.permanent_water(e).drop("occurrence")
 
 
 @query(
