@@ -2,19 +2,26 @@
 
 Candidates come from MinHash bands: texts of Jaccard similarity s share one of BANDS buckets with
 probability 1 - (1 - s^ROWS)^BANDS, 99.99 % at 0.8. Every candidate pair is then verified on the
-shingles themselves, so no pair below the limit is linked.
+hashes of the shingles, so no pair below the limit is linked. Groups are the connected components of
+the links; of each, the row that comes first stays.
 
-A bucket is not paired as a whole. In rounds, each bucket names leaders (the smallest of a slot);
-all its texts are verified against them, and one that is near a smaller text is gone, from all
-buckets. Leaders then leave their bucket, and the rest goes on until none is left. Two texts that
-stay have met in every bucket they share: the first of them to lead was verified against the other.
-A large group of near copies thus costs its size, not its square.
+A bucket is not paired as a whole. In rounds, each bucket names one leader, the smallest text in it
+that is near no earlier leader, and all others are verified against it: a round makes at most one
+pair per text and bucket. A bucket is done when each text was a leader or is near one, so a large
+group of near copies costs its size, not its square, and one round.
+
+Buckets that are not done after OPEN_ROUNDS hold many unlike texts, such as those that share a long
+passage. Their texts are filed anew, exactly: if the two sets overlap by the least share, they have
+a shingle in common among the n - ceil(share * n) + 1 rarest of each (any order common to all texts
+will do). A passage that many share is never among them, so such texts no longer meet at all. The
+lists of these shingles then go through the same rounds until all are done.
+
+Which pairs are verified follows from the order of the keys alone, not from partitions or rounds.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -22,11 +29,13 @@ from pyspark.sql import types as T
 
 from stormledger.llm.arrow import add_columns
 from stormledger.llm.simhash import LOWER, SEED
+from stormledger.operators.network import components
 from stormledger.session import WorkTables
 
 SHINGLE_WORDS, LEAST_PCT = 5, 80
 BANDS, ROWS = 24, 5
-MORE_SLOTS = 4  # so many times the leaders of a bucket by the round; the first takes one, as most groups are of copies
+OPEN_ROUNDS = 4  # leaders of a bucket before its texts are filed under their rarest shingles
+DEALT = 64  # parts over which the pairs of one leader, or the texts with one shingle, are dealt
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -38,12 +47,12 @@ def shingles(text: str | None, shingle_words: int = SHINGLE_WORDS) -> set[bytes]
     return {b" ".join(words[i:i + shingle_words]) for i in range(max(1, len(words) - shingle_words + 1))}
 
 
-def near(a: set, b: set, least_pct: int = LEAST_PCT) -> bool:
-    """Whether the sets' Jaccard similarity is at least least_pct hundredths."""
-    if 100 * min(len(a), len(b)) < least_pct * max(len(a), len(b)):
-        return False
-    both = len(a & b)
-    return 100 * both >= least_pct * (len(a) + len(b) - both)
+def hashed(found: set[bytes]):
+    """The shingles' XXH64 as signed 64-bit integers, each once."""
+    import numpy as np
+    from xxhash import xxh64_digest
+
+    return np.unique(np.frombuffer(b"".join([xxh64_digest(s, SEED) for s in found]), ">i8").astype(np.int64))
 
 
 def buckets(found: set[bytes]) -> list[int]:
@@ -62,36 +71,85 @@ def buckets(found: set[bytes]) -> list[int]:
     return [k - (1 << 64) if k >> 63 else k for k in keys]
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame) -> DataFrame:
-    """pairs (u, v) that are near."""
+def _verified(pairs: DataFrame, prints: DataFrame, least_pct: int = LEAST_PCT) -> DataFrame:
+    """pairs (u, v), each once, whose sets overlap by least_pct hundredths. prints: node, n, hashes."""
+    dealt = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(DEALT)))
+    left = prints.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("hashes").alias("a"))
+    right = prints.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("hashes").alias("b"))
+    heads = dealt.select("u", "part").distinct().join(left, "u")
+    both = F.size(F.array_intersect("a", "b"))
+    alike = (100 * F.least("n_u", "n_v") >= least_pct * F.greatest("n_u", "n_v")) & (
+        100 * both >= least_pct * (F.col("n_u") + F.col("n_v") - both)
+    )
+    return dealt.join(right, "v").join(heads, ["u", "part"]).filter(alike).select("u", "v")
 
-    def run(batches: Iterator) -> Iterator:
-        import pyarrow as pa
 
-        for left, right in batches:
-            said, own, out = None, set(), []
-            for a, b in zip(left, right):
-                if a.as_py() != said:
-                    said = a.as_py()
-                    own = shingles(said)
-                out.append(near(own, shingles(b.as_py())))
-            yield pa.array(out, pa.bool_())
+def _rarest(prints: DataFrame, work: WorkTables, least_pct: int = LEAST_PCT) -> DataFrame:
+    """(bucket, node): each text under those of its shingles of which a near one must hold one, the rarest.
 
-    check = F.arrow_udf(run, T.BooleanType(), F.ArrowUDFType.SCALAR_ITER)
-    both = pairs.join(bodies.select(F.col("node").alias("v"), F.col("body").alias("b")), "v").join(
-        bodies.select(F.col("node").alias("u"), F.col("body").alias("a")), "u"
-    )
-    return both.withColumn("near", check("a", "b")).filter("near").select("u", "v")
+    Shingles that no other text holds are the rarest and lead nowhere; they only fill their places.
+    """
+    held = work.save(prints.select("node", "n", F.explode("hashes").alias("h")).withColumn(
+        "part", F.pmod(F.xxhash64("node"), F.lit(DEALT)),
+    ))
+    parts = held.groupBy("h", "part").agg(F.count(F.lit(1)).alias("c"))
+    total = parts.groupBy("h").agg(F.sum("c").alias("times")).filter("times > 1")
+    told = held.join(parts.select("h", "part").join(total, "h"), ["h", "part"])
+    ordered = told.groupBy("node").agg(
+        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "h"))).alias("shared"),
+    )  # a row holds one text's shingles
+    places = F.col("n") - F.floor((least_pct * F.col("n") + 99) / 100) + 1 - (F.col("n") - F.size("shared"))
+    first = F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))
+    return ordered.select(F.explode(first).alias("s"), "node").select(F.col("s.h").alias("bucket"), "node")
+
+
+class _Rounds:
+    """Links between texts that share a bucket, gathered over several filings."""
+
+    PAIR = "u long, v long"
+
+    def __init__(self, prints: DataFrame, work: WorkTables) -> None:
+        self.prints, self.work = prints, work
+        self.tried: list[str] = []
+        self.near: list[str] = []
+
+    def links(self) -> DataFrame:
+        return self.work.union(self.near, self.PAIR)
+
+    def run(self, filed: DataFrame, most: int | None = None) -> DataFrame:
+        """Rounds over filed (bucket, node) until all buckets are done, or so many. Gives the texts of the others."""
+        work = self.work
+        members, rounds = work.save(filed.withColumn("open", F.lit(True))), 0
+        while True:
+            leaders = work.save(members.filter("open").groupBy("bucket").agg(F.min("node").alias("leader")))
+            met = work.save(members.join(leaders, "bucket").filter("node <> leader").select(
+                "bucket", "node", "open", F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"),
+            ))
+            pairs = met.select("u", "v").distinct()
+            if self.tried:
+                pairs = pairs.join(work.union(self.tried, self.PAIR), ["u", "v"], "left_anti")
+            pairs = work.save(pairs)
+            self.tried.append(work.paths[-1])
+            work.save(_verified(pairs, self.prints))
+            self.near.append(work.paths[-1])
+            told = met.join(self.links().withColumn("near", F.lit(True)), ["u", "v"], "left")
+            members, n = work.save_counting(told.select("bucket", "node", (F.col("open") & F.col("near").isNull()).alias("open")), "open")
+            rounds += 1
+            if not n or rounds == most:
+                undone = members.filter("open").select("bucket").distinct()
+                return members.join(undone, "bucket", "left_semi").select("node").distinct()
 
 
 def without_near_copies(df: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """df without the rows whose text is near that of a row with a smaller key, and so on along chains.
+    """df without the rows whose group, linked by near texts, holds a row with a smaller key.
 
-    Of the rows left no two are near that share a bucket. Null keys come after all others, ties in
-    any order; rows without a word stay.
+    Null keys come after all others, ties in any order. Null and empty texts, and those of blanks,
+    have no shingle and stay, repeated or not; repeated rows with words are near and one stays.
+    Texts of any length are taken whole. An empty table gives an empty one; all columns are kept.
     """
-    work = WorkTables(df.sparkSession, "jaccard")
-    rows = work.save(df.withColumn("_row", F.monotonically_increasing_id()))
+    spark = df.sparkSession
+    rows = WorkTables(spark, "jaccard-rows").save(df.withColumn("_row", F.monotonically_increasing_id()))
+    work = WorkTables(spark, "jaccard")
     signed = add_columns(
         rows.select("_row", F.col(key).alias("_key"), F.col(text).alias("_body")), "_body",
         [T.StructField("buckets", T.ArrayType(T.LongType()))], lambda texts: [[buckets(shingles(t)) for t in texts]],
@@ -101,30 +159,22 @@ def without_near_copies(df: DataFrame, key: str, text: str = "text") -> DataFram
     nodes = work.save(signed.orderBy(F.col("_key").asc_nulls_last(), "_row").select(
         F.monotonically_increasing_id().alias("node"), "_row", "buckets",
     ))
-    filed = nodes.select("node", F.explode("buckets").alias("bucket"))
+    filed = nodes.select(F.explode("buckets").alias("bucket"), "node")
     shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = work.save(filed.join(shared, "bucket"))
     used = members.select("node").distinct().join(nodes.select("node", "_row"), "node")
-    bodies = work.save(used.join(rows.select("_row", F.col(text).alias("body")), "_row").select("node", "body"))
-
-    gone, tried, slots = [], [], 1
-    while True:
-        slot = F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")
-        leaders = work.save(members.groupBy("bucket", slot).agg(F.min("node").alias("leader")).drop("slot"))
-        met = members.join(leaders, "bucket").filter("node <> leader").select(
-            F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"),
-        ).distinct()
-        if tried:
-            met = met.join(work.union(tried, "u long, v long"), ["u", "v"], "left_anti")
-        met = work.save(met)
-        tried.append(work.paths[-1])
-        dropped = work.save(_verified(met, bodies).select(F.col("v").alias("node")).distinct())
-        gone.append(work.paths[-1])
-        left = members.join(leaders.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti")
-        left = left.join(dropped, "node", "left_anti").withColumn("_one", F.lit(True))
-        members, n = work.save_counting(left, "_one")
-        members, slots = members.drop("_one"), MORE_SLOTS * slots
-        if not n:
-            break
-    lost = nodes.join(work.union(gone, "node long"), "node", "left_semi").select("_row")
+    bodies = used.join(rows.select("_row", F.col(text).alias("body")), "_row").select("node", "body")
+    prints = add_columns(
+        bodies, "body", [T.StructField("hashes", T.ArrayType(T.LongType()))],
+        lambda texts: [[hashed(shingles(t)) for t in texts]],
+    )
+    prints = work.save(prints.select("node", F.size("hashes").alias("n"), "hashes"))
+
+    rounds = _Rounds(prints, work)
+    crowd, many = work.save_counting(rounds.run(members, OPEN_ROUNDS).withColumn("_one", F.lit(True)), "_one")
+    if many:
+        rounds.run(_rarest(prints.join(crowd.select("node"), "node", "left_semi"), work))
+    gone = components(rounds.links()).filter("comp < node").select("node")
+    lost = work.save(nodes.join(gone, "node", "left_semi").select("_row"))
+    work.keep_last()
     return rows.join(lost, "_row", "left_anti").drop("_row")
