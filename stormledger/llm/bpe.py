@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from stormledger.llm.arrow import add_columns
-from stormledger.llm.encode import BYTE_CHARS, CACHED_CHUNKS, CACHED_PIECES, PATTERNS, PLAIN, Kept
+from stormledger.llm.encode import BYTE_CHARS, CACHED_PIECES, PATTERNS, PLAIN, Kept
 
-CACHED_PAIRS = 400_000
+CACHED_PAIRS, CACHED_CHUNKS = 400_000, 60_000
 LAST = 256  # symbol number of a byte that ends a word: byte + LAST
 ENCODED = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
 
