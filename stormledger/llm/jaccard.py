@@ -35,6 +35,7 @@ from stormledger.session import WorkTables
 SHINGLE_WORDS, LEAST_PCT = 5, 80
 BANDS, ROWS = 24, 5
 OPEN_ROUNDS = 4  # leaders of a bucket before its texts are filed under their rarest shingles
+LIST_LEADERS = 32  # at most so many a round in a list of rare shingles
 DEALT = 64  # parts over which the pairs of one leader, or the texts with one shingle, are dealt
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -116,12 +117,13 @@ class _Rounds:
     def links(self) -> DataFrame:
         return self.work.union(self.near, self.PAIR)
 
-    def run(self, filed: DataFrame, most: int | None = None) -> DataFrame:
+    def run(self, filed: DataFrame, most: int | None = None, slots: int = 1) -> DataFrame:
         """Rounds over filed (bucket, node) until all buckets are done, or so many. Gives the texts of the others."""
         work = self.work
         members, rounds = work.save(filed.withColumn("open", F.lit(True))), 0
         while True:
-            leaders = work.save(members.filter("open").groupBy("bucket").agg(F.min("node").alias("leader")))
+            slot = F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")
+            leaders = work.save(members.filter("open").groupBy("bucket", slot).agg(F.min("node").alias("leader")).drop("slot"))
             met = work.save(members.join(leaders, "bucket").filter("node <> leader").select(
                 "bucket", "node", "open", F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"),
             ))
@@ -133,7 +135,9 @@ class _Rounds:
             work.save(_verified(pairs, self.prints))
             self.near.append(work.paths[-1])
             told = met.join(self.links().withColumn("near", F.lit(True)), ["u", "v"], "left")
-            members, n = work.save_counting(told.select("bucket", "node", (F.col("open") & F.col("near").isNull()).alias("open")), "open")
+            told = told.groupBy("bucket", "node").agg(F.bool_and(F.col("open") & F.col("near").isNull()).alias("open"))
+            told = told.join(leaders.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti")
+            members, n = work.save_counting(told, "open")
             rounds += 1
             if not n or rounds == most:
                 undone = members.filter("open").select("bucket").distinct()
@@ -173,7 +177,7 @@ def without_near_copies(df: DataFrame, key: str, text: str = "text") -> DataFram
     rounds = _Rounds(prints, work)
     crowd, many = work.save_counting(rounds.run(members, OPEN_ROUNDS).withColumn("_one", F.lit(True)), "_one")
     if many:
-        rounds.run(_rarest(prints.join(crowd.select("node"), "node", "left_semi"), work))
+        rounds.run(_rarest(prints.join(crowd.select("node"), "node", "left_semi"), work), slots=LIST_LEADERS)
     gone = components(rounds.links()).filter("comp < node").select("node")
     lost = work.save(nodes.join(gone, "node", "left_semi").select("_row"))
     work.keep_last()
