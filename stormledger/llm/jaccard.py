@@ -14,7 +14,7 @@ Buckets that are not done after OPEN_ROUNDS hold many unlike texts, such as thos
 passage. Their texts are filed anew, exactly: if the two sets overlap by the least share, they have
 a shingle in common among the n - ceil(share * n) + 1 rarest of each (any order common to all texts
 will do). A passage that many share is never among them, so such texts no longer meet at all. The
-lists of these shingles then go through the same rounds until all are done.
+lists of these shingles then go through the same rounds, with up to LIST_LEADERS leaders each, until all are done.
 
 Which pairs are verified follows from the order of the keys alone, not from partitions or rounds.
 """
