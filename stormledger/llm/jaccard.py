@@ -11,19 +11,25 @@ pair per text and bucket. A bucket is done when each text was a leader or is nea
 group of near copies costs its size, not its square, and one round.
 
 Buckets that are not done after OPEN_ROUNDS hold many unlike texts, such as those that share a long
-passage. Their texts are filed anew, exactly: if the two sets overlap by the least share, they have
-a shingle in common among the n - ceil(share * n) + 1 rarest of each (any order common to all texts
-will do). A passage that many share is never among them, so such texts no longer meet at all. The
-lists of these shingles then go through the same rounds, with up to LIST_LEADERS leaders each, until all are done.
-
-Which pairs are verified follows from the order of the keys alone, not from partitions or rounds.
+passage, or surround a group of near copies at a similarity below the limit. Their texts are settled
+exactly and without pairing members of one group (`across`). Write q for (100 - least) / (100 + least):
+two sets of sizes n and m are near if and only if they differ in at most q * (n + m) shingles.
+
+* Which groups a text meets. With shingles in one order for all texts, the rarest first, two near sets
+  have a first common shingle, at places i and k, and i + k <= q * (n + m). Groups meet by the best
+  place of their members; a passage that many share lies too far back in the order.
+* Whether it is near a member of a group it meets. It is verified against the group's head first. If
+  that fails, all sets are replaced by their differences from the head, in which what the group has in
+  common cancels out and the distance of two sets stays as it was. A near member then shares more than
+  (1 - q) / 2 of its difference with the text's, so one shingle of the rarer part of it at least.
+  Only such pairs are verified.
 """
 
 from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,8 +40,7 @@ from stormledger.session import WorkTables
 
 SHINGLE_WORDS, LEAST_PCT = 5, 80
 BANDS, ROWS = 24, 5
-OPEN_ROUNDS = 4  # leaders of a bucket before its texts are filed under their rarest shingles
-LIST_LEADERS = 32  # at most so many a round in a list of rare shingles
+OPEN_ROUNDS = 4  # leaders of a bucket before its texts are settled by groups
 DEALT = 64  # parts over which the pairs of one leader, or the texts with one shingle, are dealt
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -72,36 +77,112 @@ def buckets(found: set[bytes]) -> list[int]:
     return [k - (1 << 64) if k >> 63 else k for k in keys]
 
 
-def _verified(pairs: DataFrame, prints: DataFrame, least_pct: int = LEAST_PCT) -> DataFrame:
-    """pairs (u, v), each once, whose sets overlap by least_pct hundredths. prints: node, n, hashes."""
+def _both(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """pairs (u, v, ..) with n_u and n_v, the sizes, and a and b, the hashes of both. u may be in many pairs."""
     dealt = pairs.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(DEALT)))
     left = prints.select(F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("hashes").alias("a"))
     right = prints.select(F.col("node").alias("v"), F.col("n").alias("n_v"), F.col("hashes").alias("b"))
     heads = dealt.select("u", "part").distinct().join(left, "u")
+    return dealt.join(right, "v").join(heads, ["u", "part"]).drop("part")
+
+
+def _verified(pairs: DataFrame, prints: DataFrame, least_pct: int = LEAST_PCT) -> DataFrame:
+    """pairs (u, v), each once, whose sets overlap by least_pct hundredths. prints: node, n, hashes."""
     both = F.size(F.array_intersect("a", "b"))
     alike = (100 * F.least("n_u", "n_v") >= least_pct * F.greatest("n_u", "n_v")) & (
         100 * both >= least_pct * (F.col("n_u") + F.col("n_v") - both)
     )
-    return dealt.join(right, "v").join(heads, ["u", "part"]).filter(alike).select("u", "v")
+    return _both(pairs, prints).filter(alike).select("u", "v")
+
+
+def _placed(held: DataFrame, counts: DataFrame, keys: list[str], texts: list[str]) -> DataFrame:
+    """texts columns and, in `placed`, struct(h, at): places of a text's shingles, the rarest first.
+
+    held: texts, n_held (shingles of the text), h, part (a text's share of a crowded shingle), and
+    counts: keys and part, c. Shingles of which counts has none come first and are left out.
+    """
+    total = counts.groupBy(*keys).agg(F.sum("c").alias("times"))
+    told = held.join(counts.select(*keys, "part").join(total, keys), [*keys, "part"])
+    ordered = told.groupBy(*texts, "n_held").agg(F.sort_array(F.collect_list(F.struct("times", "h"))).alias("shared"))
+    # a row holds one text's shingles
+    before = F.col("n_held") - F.size("shared")
+    return ordered.withColumn("placed", F.transform("shared", lambda x, i: F.struct(
+        x["h"].alias("h"), x["times"].alias("times"), (before + i).alias("at"),
+    ))).drop("shared", "n_held")
+
+
+def _part(node: str) -> Column:
+    return F.pmod(F.xxhash64(node), F.lit(DEALT)).alias("part")
 
 
 def _rarest(prints: DataFrame, work: WorkTables, least_pct: int = LEAST_PCT) -> DataFrame:
-    """(bucket, node): each text under those of its shingles of which a near one must hold one, the rarest.
+    """(h, node, at): each text under those of its shingles of which a near one must hold one, with their places.
 
     Shingles that no other text holds are the rarest and lead nowhere; they only fill their places.
     """
-    held = work.save(prints.select("node", "n", F.explode("hashes").alias("h")).withColumn(
-        "part", F.pmod(F.xxhash64("node"), F.lit(DEALT)),
+    held = work.save(prints.select("node", F.col("n").alias("n_held"), F.explode("hashes").alias("h"), _part("node")))
+    placed = _placed(held, held.groupBy("h", "part").agg(F.count(F.lit(1)).alias("c")), ["h"], ["node"])
+    n = prints.select("node", "n")
+    return placed.join(n, "node").select("node", "n", F.explode("placed").alias("x")).filter(
+        (F.col("x.times") > 1) & (F.col("x.at") <= F.col("n") - F.ceil(least_pct * F.col("n") / 100))
+    ).select("x.h", "node", "n", "x.at")
+
+
+def _groups_met(rare: DataFrame, groups: DataFrame, work: WorkTables, least_pct: int = LEAST_PCT) -> DataFrame:
+    """(node, head, many), each once: texts and the heads of groups, not their own, that may hold a near text.
+
+    groups: node, head, size. Of two groups the larger is the host, whose head is given with the
+    other's texts; many tells a host of more than one text.
+    """
+    over = (100 + least_pct) * F.col("at") - (100 - least_pct) * F.col("n")  # two near texts: their sum is 0 or less
+    entries = work.save(rare.join(groups, "node").select("h", "node", "head", "size", over.alias("over")))
+    hosts = entries.groupBy("h", "head", "size").agg(F.min("over").alias("host_over")).select(
+        "h", F.col("head").alias("host"), F.col("size").alias("host_size"), "host_over",
+    )
+    larger = F.struct("host_size", "host") > F.struct("size", "head")
+
+    def met(texts: DataFrame, in_list: DataFrame) -> DataFrame:
+        found = texts.join(in_list, "h").filter(larger & (F.col("over") + F.col("host_over") <= 0))
+        return found.select("node", F.col("host").alias("head"), (F.col("host_size") > 1).alias("many"))
+
+    # One of the two lies at 0 or less, so texts beyond it never meet each other.
+    near = met(entries, hosts.filter("host_over <= 0")).union(met(entries.filter("over <= 0"), hosts.filter("host_over > 0")))
+    return near.distinct()
+
+
+def _by_difference(guests: DataFrame, members: DataFrame, prints: DataFrame, work: WorkTables, least_pct: int = LEAST_PCT) -> DataFrame:
+    """(u, v): pairs of a guest and a member that may be near, where no guest is near its head.
+
+    guests, members: head, node; members without the heads themselves.
+    """
+    apart, alike = 100 - least_pct, 100 + least_pct
+    pairs = members.withColumn("member", F.lit(True)).union(guests.withColumn("member", F.lit(False)))
+    differing = F.concat(F.array_except("a", "b"), F.array_except("b", "a"))
+    found = _both(pairs.withColumnsRenamed({"head": "u", "node": "v"}), prints).select(
+        F.col("u").alias("head"), F.col("v").alias("node"), "member", F.col("n_u").alias("n_head"), F.col("n_v").alias("n"),
+        differing.alias("diff"),
+    )
+    texts = ["head", "node", "member", "n_head", "n", "m"]
+    held = work.save(found.withColumn("m", F.size("diff")).select(
+        *texts, F.col("m").alias("n_held"), F.explode("diff").alias("h"), _part("node"),
     ))
-    parts = held.groupBy("h", "part").agg(F.count(F.lit(1)).alias("c"))
-    total = parts.groupBy("h").agg(F.sum("c").alias("times")).filter("times > 1")
-    told = held.join(parts.select("h", "part").join(total, "h"), ["h", "part"])
-    ordered = told.groupBy("node").agg(
-        F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("times", "h"))).alias("shared"),
-    )  # a row holds one text's shingles
-    places = F.col("n") - F.floor((least_pct * F.col("n") + 99) / 100) + 1 - (F.col("n") - F.size("shared"))
-    first = F.slice("shared", F.lit(1), F.greatest(places, F.lit(0)).cast("int"))
-    return ordered.select(F.explode(first).alias("s"), "node").select(F.col("s.h").alias("bucket"), "node")
+    counts = held.groupBy("head", "h", "part").agg(F.count_if("member").alias("c"))
+    placed = _placed(held, counts, ["head", "h"], texts).select(*texts, F.explode("placed").alias("x")).filter("x.times > 0")
+    left = F.col("m") - F.col("x.at")  # the most that the two differences share from this place on
+    enough = F.when(F.col("member"), alike * left >= least_pct * F.col("m")).otherwise(
+        2 * alike * left >= alike * F.col("m") - apart * (F.col("n") + F.col("n_head"))
+    )
+    filed = work.save(placed.filter(enough).select("head", "x.h", "member", "node", "n", "m", left.alias("left")))
+
+    def side(member: bool, mark: str) -> DataFrame:
+        return filed.filter(F.col("member") == member).select(
+            "head", "h", *[F.col(c).alias(f"{c}_{mark}") for c in ("node", "n", "m", "left")],
+        )
+
+    needed = alike * (F.col("m_a") + F.col("m_b")) - apart * (F.col("n_a") + F.col("n_b"))
+    return side(True, "a").join(side(False, "b"), ["head", "h"]).filter(
+        2 * alike * F.least("left_a", "left_b") >= needed
+    ).select(F.least("node_a", "node_b").alias("u"), F.greatest("node_a", "node_b").alias("v")).distinct()
 
 
 class _Rounds:
@@ -117,32 +198,52 @@ class _Rounds:
     def links(self) -> DataFrame:
         return self.work.union(self.near, self.PAIR)
 
-    def run(self, filed: DataFrame, most: int | None = None, slots: int = 1) -> DataFrame:
+    def _verify(self, pairs: DataFrame) -> None:
+        """Verifies pairs (u, v), each once, that were not tried before."""
+        if self.tried:
+            pairs = pairs.join(self.work.union(self.tried, self.PAIR), ["u", "v"], "left_anti")
+        pairs = self.work.save(pairs)
+        self.tried.append(self.work.paths[-1])
+        self.work.save(_verified(pairs, self.prints))
+        self.near.append(self.work.paths[-1])
+
+    def run(self, filed: DataFrame, most: int) -> DataFrame:
         """Rounds over filed (bucket, node) until all buckets are done, or so many. Gives the texts of the others."""
         work = self.work
         members, rounds = work.save(filed.withColumn("open", F.lit(True))), 0
         while True:
-            slot = F.pmod(F.xxhash64("node"), F.lit(slots)).alias("slot")
-            leaders = work.save(members.filter("open").groupBy("bucket", slot).agg(F.min("node").alias("leader")).drop("slot"))
+            leaders = work.save(members.filter("open").groupBy("bucket").agg(F.min("node").alias("leader")))
             met = work.save(members.join(leaders, "bucket").filter("node <> leader").select(
                 "bucket", "node", "open", F.least("node", "leader").alias("u"), F.greatest("node", "leader").alias("v"),
             ))
-            pairs = met.select("u", "v").distinct()
-            if self.tried:
-                pairs = pairs.join(work.union(self.tried, self.PAIR), ["u", "v"], "left_anti")
-            pairs = work.save(pairs)
-            self.tried.append(work.paths[-1])
-            work.save(_verified(pairs, self.prints))
-            self.near.append(work.paths[-1])
-            told = met.join(self.links().withColumn("near", F.lit(True)), ["u", "v"], "left")
-            told = told.groupBy("bucket", "node").agg(F.bool_and(F.col("open") & F.col("near").isNull()).alias("open"))
-            told = told.join(leaders.withColumnRenamed("leader", "node"), ["bucket", "node"], "left_anti")
+            self._verify(met.select("u", "v").distinct())
+            told = met.join(self.links().withColumn("near", F.lit(True)), ["u", "v"], "left").select(
+                "bucket", "node", (F.col("open") & F.col("near").isNull()).alias("open"),
+            )
             members, n = work.save_counting(told, "open")
             rounds += 1
             if not n or rounds == most:
                 undone = members.filter("open").select("bucket").distinct()
                 return members.join(undone, "bucket", "left_semi").select("node").distinct()
 
+    def across(self, crowd: DataFrame) -> None:
+        """Adds links, so that all near texts of crowd (node) are in one group of the links."""
+        work = self.work
+        prints = work.save(self.prints.join(crowd, "node", "left_semi"))
+        comps = components(self.links())
+        grouped = prints.select("node").join(comps, "node", "left").select("node", F.coalesce("comp", "node").alias("comp"))
+        grouped = work.save(grouped)
+        sizes = grouped.groupBy("comp").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("size"))
+        groups = work.save(grouped.join(sizes, "comp").select("node", "head", "size"))
+        met = work.save(_groups_met(_rarest(prints, work), groups, work))
+        ends = [F.least("node", "head").alias("u"), F.greatest("node", "head").alias("v")]
+        self._verify(met.select(*ends))
+        guests = met.filter("many").select("head", "node", *ends).join(self.links(), ["u", "v"], "left_anti").select("head", "node")
+        guests = work.save(guests)
+        hosts = guests.select("head").distinct()
+        members = groups.filter("node <> head").join(hosts, "head", "left_semi").select("head", "node")
+        self._verify(_by_difference(guests, members, prints, work))
+
 
 def without_near_copies(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     """df without the rows whose group, linked by near texts, holds a row with a smaller key.
@@ -177,7 +278,7 @@ def without_near_copies(df: DataFrame, key: str, text: str = "text") -> DataFram
     rounds = _Rounds(prints, work)
     crowd, many = work.save_counting(rounds.run(members, OPEN_ROUNDS).withColumn("_one", F.lit(True)), "_one")
     if many:
-        rounds.run(_rarest(prints.join(crowd.select("node"), "node", "left_semi"), work), slots=LIST_LEADERS)
+        rounds.across(crowd.select("node"))
     gone = components(rounds.links()).filter("comp < node").select("node")
     lost = work.save(nodes.join(gone, "node", "left_semi").select("_row"))
     work.keep_last()

@@ -320,6 +320,36 @@ def test_near_groups_do_not_follow_partitions(spark):
         assert sorted(r["doc_id"] for r in got.collect()) == expected
 
 
+def test_texts_around_a_large_group_are_settled_exactly(spark, monkeypatch):
+    """Copies with few changes near a middle, texts beyond the limit around it, and pairs that only a member joins."""
+    import random
+
+    rng, rows, made = random.Random(5), [], []
+    base = [f"b{k}" for k in range(150)]
+
+    def edited(words, times):
+        out = list(words)
+        for at in rng.sample(range(len(out)), times):
+            out[at] = f"e{rng.randrange(10**9)}"
+        return out
+
+    verified = jaccard._verified
+    monkeypatch.setattr(jaccard, "_verified", lambda pairs, prints: made.append(pairs.count()) or verified(pairs, prints))
+    monkeypatch.setattr(jaccard, "OPEN_ROUNDS", 1)
+    near_ones = [edited(base, rng.choice((1, 2))) for _ in range(90)]
+    far = [edited(base, rng.choice((6, 7, 8))) for _ in range(60)]
+    beside = [edited(edited(near_ones[k], 2), 2) for k in range(30)] + [edited(far[k], 1) for k in range(20)]
+    for words in near_ones + far + beside + [base[:20], base[:22]]:
+        rows.append((len(rows), " ".join(words)))
+    numbers = rng.sample(range(1000), len(rows))
+    rows = [(n, t) for n, (_, t) in zip(numbers, rows)]
+    expected = groups_by_brute_force(rows)
+    assert 40 < len(expected) < 120
+    got = jaccard.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id")
+    assert sorted(r["doc_id"] for r in got.collect()) == expected
+    assert sum(made) < len(rows) * (len(rows) - 1) // 4
+
+
 def test_pipeline_stages(spark, odd):
     import corpus_pipeline
 
