@@ -42,6 +42,7 @@ SHINGLE_WORDS, LEAST_PCT = 5, 80
 BANDS, ROWS = 24, 5
 OPEN_ROUNDS = 4  # leaders of a bucket before its texts are settled by groups
 DEALT = 64  # parts over which the pairs of one leader, or the texts with one shingle, are dealt
+HASHED_AT_ONCE = 2048  # bounds the table of hash values of a long text
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -61,6 +62,15 @@ def hashed(found: set[bytes]):
     return np.unique(np.frombuffer(b"".join([xxh64_digest(s, SEED) for s in found]), ">i8").astype(np.int64))
 
 
+def _hash_functions():
+    """Factors and offsets of the BANDS * ROWS functions, the same in every worker."""
+    import numpy as np
+
+    rng = np.random.default_rng(SEED)
+    factors = rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+    return factors, rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+
+
 def buckets(found: set[bytes]) -> list[int]:
     """One signed 64-bit bucket per band; none without shingles."""
     import numpy as np
@@ -68,11 +78,14 @@ def buckets(found: set[bytes]) -> list[int]:
 
     if not found:
         return []
-    rng = np.random.default_rng(SEED)
-    factors = rng.integers(1, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
-    offsets = rng.integers(0, 1 << 63, BANDS * ROWS, np.uint64)
+    factors, offsets = _hash_functions()
     hashes = np.frombuffer(b"".join([xxh64_digest(s, SEED) for s in found]), np.uint64)
-    least = np.array([((hashes * f + o) >> np.uint64(8)).min() for f, o in zip(factors, offsets)], np.uint64)
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(hashes), HASHED_AT_ONCE):
+        values = factors[:, None] * hashes[at:at + HASHED_AT_ONCE]
+        values += offsets[:, None]
+        np.minimum(least, values.min(axis=1), out=least)
+    least >>= np.uint64(8)
     keys = [xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(least.reshape(BANDS, ROWS))]
     return [k - (1 << 64) if k >> 63 else k for k in keys]
 
