@@ -186,8 +186,8 @@ def segment_meets_box(ax, ay, bx, by, x0, y0, x1, y1) -> Column:
     return boxes & ~((F.least(*s) > 0) | (F.greatest(*s) < 0))
 
 
-def cells_touched(segments: DataFrame, size: float) -> DataFrame:
-    """fid, tx, ty for every grid cell a feature's segments touch (a point is a zero segment).
+def _cells_met(segments: DataFrame, size: float) -> DataFrame:
+    """fid, tx, ty for every grid cell a feature's segments touch (a point is a zero segment); a cell may come twice.
 
     Long segments are first cut into pieces no longer than a cell, so a slanted line unfolds into
     the cells along it, not into its whole box.
@@ -218,17 +218,24 @@ def cells_touched(segments: DataFrame, size: float) -> DataFrame:
                 F.col("tx") * s, F.col("ty") * s, (F.col("tx") + 1) * s, (F.col("ty") + 1) * s,
             )
         )
-        .select("fid", "tx", "ty").distinct()
+        .select("fid", "tx", "ty")
     )
 
 
+def cells_touched(segments: DataFrame, size: float) -> DataFrame:
+    """fid, tx, ty for every grid cell a feature's segments touch, once each."""
+    return _cells_met(segments, size).distinct()
+
+
 def sample_max(segments: DataFrame, cells: DataFrame, size: float, value: str, keys: list[str] | None = None) -> DataFrame:
     """Per feature the highest value over the cells it touches, 0 where none. cells: tx, ty, value."""
     keys = keys or []
-    hit = cells_touched(segments, size).join(cells, ["tx", "ty"]).groupBy("fid", *keys).agg(F.max(value).alias(value))
+    # A maximum needs no distinct cells, and features without a hit join the same aggregation.
+    hit = _cells_met(segments, size).join(cells, ["tx", "ty"]).select("fid", *keys, value)
     if keys:
-        return hit
-    return segments.select("fid").distinct().join(hit, "fid", "left").withColumn(value, F.coalesce(value, F.lit(0.0)))
+        return hit.groupBy("fid", *keys).agg(F.max(value).alias(value))
+    every = segments.select("fid", F.lit(None).cast(cells.schema[value].dataType).alias(value))
+    return every.unionByName(hit).groupBy("fid").agg(F.coalesce(F.max(value), F.lit(0.0)).alias(value))
 
 
 # --- Overlay kernels -----------------------------------------------------------------------------
@@ -427,18 +434,21 @@ def nearest_zone(points: DataFrame, shapes: DataFrame, tile: float, extent_m: fl
 
 def densify(lines: DataFrame, step: float) -> DataFrame:
     """fid, pos, x, y: points at most `step` apart along each line of (fid, seq, ax, ay, bx, by)."""
+    return _leg_points(_mark_last(lines), step).select("fid", F.struct("seq", "i").alias("pos"), "x", "y")
+
+
+def _mark_last(lines: DataFrame) -> DataFrame:
+    """lines with is_last: the legs that end their line."""
+    return lines.withColumn("is_last", F.col("seq") == F.max("seq").over(Window.partitionBy("fid")))  # a line's own legs
+
+
+def _leg_points(legs: DataFrame, step: float) -> DataFrame:
+    """legs with i, x, y: points at most `step` apart from a leg's start; its end only where is_last."""
     ax, ay, bx, by = F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")
     n = F.greatest(F.lit(1), F.ceil(F.hypot(bx - ax, by - ay) / F.lit(step)).cast("int"))
     last = F.when(F.col("is_last"), F.col("n")).otherwise(F.col("n") - 1)
-    w = Window.partitionBy("fid")  # a line's own legs
-    return (
-        lines.withColumn("n", n).withColumn("is_last", F.col("seq") == F.max("seq").over(w))
-        .withColumn("i", F.explode(F.sequence(F.lit(0), last)))
-        .select(
-            "fid", F.struct("seq", "i").alias("pos"),
-            (ax + (bx - ax) * F.col("i") / F.col("n")).alias("x"), (ay + (by - ay) * F.col("i") / F.col("n")).alias("y"),
-        )
-    )
+    return legs.withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), last))).withColumns({
+        "x": ax + (bx - ax) * F.col("i") / F.col("n"), "y": ay + (by - ay) * F.col("i") / F.col("n")}).drop("n")
 
 
 def blocks_along(lines: DataFrame, shapes: DataFrame, step: float, tile: float, min_share: float = 0.05) -> DataFrame:
@@ -556,13 +566,14 @@ def nearest(
 ) -> DataFrame:
     """pid, tid, distance_m: the exact nearest target (lowest id on ties), within max_m if given.
 
-    points: pid, x, y; targets: tid, tx, ty. Co-located targets are one. An answer is final once
-    its distance is within the cell size searched; only the rest is searched again, four times
-    coarser.
+    points: pid, x, y; targets: tid, tx, ty. Co-located targets are one, and so are co-located
+    points: each spot is asked for once and its points get the answer by one join at the end. An
+    answer is final once its distance is within the cell size searched; only the rest is searched
+    again, four times coarser.
     """
     work = WorkTables(points.sparkSession, "nearest-target")
     distinct = work.save(targets.groupBy("tx", "ty").agg(F.min("tid").alias("tid")).select("tid", "tx", "ty"))
-    left = points.select("pid", "x", "y")
+    left = work.save(points.select("x", "y").distinct().withColumn("pid", F.monotonically_increasing_id()))
     done: DataFrame | None = None
     limit = max_m if max_m is not None else extent_m
     while True:
@@ -572,10 +583,11 @@ def nearest(
         table, open_rows = work.save_counting(
             left.join(found, "pid", "left").withColumn("open", ~final), "open"
         )
-        good = table.filter("NOT open AND tid IS NOT NULL").select("pid", "tid", "distance_m")
+        good = table.filter("NOT open AND tid IS NOT NULL").select("x", "y", "tid", "distance_m")
         done = good if done is None else done.unionByName(good)
         if open_rows == 0:
-            return done if max_m is None else done.filter(F.col("distance_m") <= max_m)
+            done = done if max_m is None else done.filter(F.col("distance_m") <= max_m)
+            return points.select("pid", "x", "y").join(done, ["x", "y"]).select("pid", "tid", "distance_m")
         left = table.filter("open").select("pid", "x", "y")
         size *= 4.0
 
@@ -590,13 +602,22 @@ def snap(points: DataFrame, nodes: DataFrame, size: float, max_m: float = 2000.0
 
 def nearest_outline(unnamed: DataFrame, named: DataFrame, max_m: float, step: float = 5.0) -> DataFrame:
     """fid, kept, distance_m: each unnamed outline's nearest named one within max_m, outline to
-    outline at `step` resolution. Both: fid, seq, ax, ay, bx, by (a point is a zero leg)."""
-    p = densify(unnamed, step).select(F.struct("fid", "pos").alias("pid"), "x", "y")
-    t = densify(named, step).select(F.col("fid").alias("tid"), F.col("x").alias("tx"), F.col("y").alias("ty"))
+    outline at `step` resolution. Both: fid, seq, ax, ay, bx, by (a point is a zero leg).
+
+    Legs that several outlines share are cut into points once, so copies of an outline add no points.
+    """
+    leg = ["ax", "ay", "bx", "by", "is_last"]
+    work = WorkTables(unnamed.sparkSession, "outline-legs")
+    own = work.save(_mark_last(unnamed).select("fid", *leg))
+    legs = work.save(own.select(*leg).distinct().withColumn("leg", F.monotonically_increasing_id()))
+    p = _leg_points(legs, step).select(F.struct("leg", "i").alias("pid"), "x", "y")
+    held = work.save(_mark_last(named).groupBy(*leg).agg(F.min("fid").alias("tid")))
+    t = _leg_points(held, step).select("tid", F.col("x").alias("tx"), F.col("y").alias("ty"))
     near = nearest(p, t, max_m, max_m=max_m)
+    best = near.groupBy(F.col("pid.leg").alias("leg")).agg(F.min(F.struct("distance_m", "tid")).alias("b"))
     return (
-        near.groupBy(F.col("pid.fid").alias("fid"))
-        .agg(F.min(F.struct("distance_m", "tid")).alias("b"))
+        own.join(legs.join(best, "leg").drop("leg"), leg)
+        .groupBy("fid").agg(F.min("b").alias("b"))
         .select("fid", F.col("b.tid").alias("kept"), F.col("b.distance_m").alias("distance_m"))
     )
 

@@ -27,16 +27,16 @@ _IN = "abs(p.x - d.cx) + abs(p.y - d.cy) < d.h"
 
 def spots(spark, sf):
     k = F.col("c_custkey")
-    return I.table(spark, sf, "customer").select(
+    return I.spread(I.table(spark, sf, "customer").select(
         k.alias("pid"), (k * 7919 % 40000).cast("double").alias("x"), (k * 104729 % 40000).cast("double").alias("y")
-    )
+    ))
 
 
 def sites(spark, sf):
     k = F.col("p_partkey")
-    return I.table(spark, sf, "part").select(
+    return I.spread(I.table(spark, sf, "part").select(
         k.alias("pid"), (k * 6151 % 40000).cast("double").alias("x"), (k * 3079 % 40000).cast("double").alias("y"), "p_size"
-    )
+    ))
 
 
 def _pt(x, y):

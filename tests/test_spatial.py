@@ -185,3 +185,54 @@ def test_lines_through_no_zone_take_the_nearest(spark):
     assert near == {1: (1, 200.0), 2: (1, 0.0), 3: (1, 5.0)}
     nobody = S.blocks_along(df.limit(0), zones, 100.0, 20.0)
     assert nobody.count() == 0
+
+
+def _searched(monkeypatch, run):
+    """How many points each search of `run` was asked for."""
+    asked, search = [], S._search
+    monkeypatch.setattr(S, "_search", lambda work, points, *rest: asked.append(points.count()) or search(work, points, *rest))
+    return asked, run()
+
+
+def test_points_of_one_spot_are_searched_once(spark, monkeypatch):
+    points = spark.createDataFrame([(i, float(i % 3), 0.0) for i in range(300)], "pid long, x double, y double")
+    targets = spark.createDataFrame([(7, 0.0, 1.0), (5, 0.0, 1.0), (9, 2.0, 0.5)], "tid long, tx double, ty double")
+    asked, got = _searched(monkeypatch, lambda: S.nearest(points, targets, 10.0))
+    assert asked == [3]
+    want = {0: (5, 1.0), 1: (9, 1.25**0.5), 2: (9, 0.5)}
+    assert {r["pid"]: (r["tid"], r["distance_m"]) for r in got.collect()} == {i: want[i % 3] for i in range(300)}
+
+
+def test_copies_of_an_outline_add_no_points(spark, monkeypatch):
+    def square(fid, x, size):
+        corner = [(x, 0.0), (x + size, 0.0), (x + size, size), (x, size)]
+        return [(fid, i, *corner[i], *corner[(i + 1) % 4]) for i in range(4)]
+
+    kind = "fid long, seq int, ax double, ay double, bx double, by double"
+    one = spark.createDataFrame(square(1, 0.0, 20.0), kind)
+    copies = spark.createDataFrame([leg for i in range(1, 8) for leg in square(i, 0.0, 20.0)], kind)
+    named = spark.createDataFrame([leg for i in (12, 11) for leg in square(i, 30.0, 20.0)], kind)
+    few, _ = _searched(monkeypatch, lambda: S.nearest_outline(one, named, 50.0))
+    monkeypatch.undo()
+    many, got = _searched(monkeypatch, lambda: S.nearest_outline(copies, named, 50.0))
+    assert few == many
+    assert sorted(map(tuple, got.collect())) == [(i, 11, 10.0) for i in range(1, 8)]
+
+
+def test_sites_are_spread_over_the_cores(spark):
+    from conftest import SF
+
+    from stormledger.plans.spatial_queries import sites, spots
+
+    cores = spark.sparkContext.defaultParallelism
+    assert sites(spark, SF).rdd.getNumPartitions() >= cores
+    assert spots(spark, SF).rdd.getNumPartitions() >= cores
+
+
+def test_highest_value_needs_no_distinct_cells(spark):
+    segments = spark.createDataFrame([(1, 0.0, 5.0, 35.0, 5.0), (2, 95.0, 95.0, 95.0, 95.0)], "fid long, ax double, ay double, bx double, by double")
+    cells = spark.createDataFrame([(0, 0, 1.0), (2, 0, 4.0)], "tx long, ty long, value double")
+    got = S.sample_max(segments, cells, 10.0, "value")
+    assert sorted(map(tuple, got.collect())) == [(1, 4.0), (2, 0.0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1 and "LeftOuter" not in plan
