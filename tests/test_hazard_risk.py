@@ -110,3 +110,31 @@ def test_formats(spark):
     assert one(d, F.array(*[L.people(F.lit(n)) for n in (0, 420, 8400, 123456)])) == [["0", "<1,000", "~8,000", "~1.2 lakh"]]
     assert one(d, F.array(L.duration(F.lit(3900)), L.duration(F.lit(420)))) == [["1 h 05 min", "7 min"]]
     assert one(d, L.voltage(F.lit("132000;33000;n/a"))) == ["132 kV / 33 kV / n/a"]
+
+
+def test_exact_sums_hold_in_any_order_and_need_no_decimals_a_row(spark):
+    from stormledger.operators import risk as R
+
+    values = [(k % 3, v) for k, v in enumerate([3.4e6, 0.1234565, 2.5e-7, 1e9 + 1 / 3, 0.0, 17.0, 8e12, 4.4e-7, 123456.789012])]
+    df = spark.createDataFrame(values, "g int, v double")
+    made = df.groupBy("g").agg(R._exact_sum(F.col("v")).alias("s"))
+    want = df.groupBy("g").agg(F.sum((F.floor(F.col("v") * 1e6 + 0.5) / 1e6).cast("decimal(24,6)")).cast("double").alias("s"))
+    assert sorted(map(tuple, made.collect())) == sorted(map(tuple, want.collect()))
+    assert "sum(cast" not in made._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_status_unfolds_horizons_after_the_join(spark):
+    from conftest import SF
+
+    from stormledger.operators import timeseries as TS
+    from stormledger.plans.risk_queries import infra_status
+
+    layer = spark.range(40).select(
+        F.col("id").alias("cell_id"), F.lit(1).alias("step"), (F.col("id") * 1.0).alias("wind"), (F.col("id") % 7 / 10).alias("surge"),
+        (F.col("id") * 2.0).alias("wind_ahead"), (F.col("id") % 9 / 10).alias("surge_ahead"))
+    names = ["infra_id", "step", "horizon_h", "status"]
+    late = infra_status(spark, SF, layer).select(names)
+    early = infra_status(spark, SF, TS.unfold_horizons(layer, ["wind", "surge"])).select(names)
+    assert sorted(map(tuple, late.collect())) == sorted(map(tuple, early.collect()))
+    plan = late._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")
