@@ -147,14 +147,21 @@ class History:
         return found
 
 
+def _scores(weights, rows):
+    """(tokens, CLASSES): added up weights, 0 for the best class. rows[0] is the bias, which all tokens share."""
+    scores = weights[rows[1]]
+    scores += weights[0]
+    for own in rows[2:]:
+        scores += weights[own]
+    scores -= scores.max(axis=1, keepdims=True)
+    return scores
+
+
 def _log_classes(weights, rows):
     """(tokens, CLASSES): log probabilities."""
     import numpy as np
 
-    scores = weights[rows[0]]
-    for own in rows[1:]:
-        scores += weights[own]
-    scores -= scores.max(axis=1, keepdims=True)
+    scores = _scores(weights, rows)
     scores -= np.log(np.exp(scores).sum(axis=1, keepdims=True))
     return scores
 
@@ -164,16 +171,20 @@ def _step(weights, squares, seen, history: History, at) -> None:
     import numpy as np
 
     rows = history.rows(at)
-    slope = np.exp(_log_classes(weights, rows))
+    slope = _scores(weights, rows)
+    np.exp(slope, out=slope)
+    slope /= slope.sum(axis=1, keepdims=True)
     slope[np.arange(len(at)), history.target[at]] -= 1
-    flat = rows.ravel()
+    flat = rows[1:].ravel()
     total = np.empty((CLASSES, ROWS), np.float32)
     for k, own in enumerate(np.ascontiguousarray(slope.T, np.float64)):
-        total[k] = np.bincount(flat, np.tile(own, len(rows)), ROWS)
+        total[k] = np.bincount(flat, np.tile(own, len(rows) - 1), ROWS)
+    total[:, 0] = slope.sum(axis=0, dtype=np.float64)  # the bias
     total = np.ascontiguousarray(total.T)
     squares += total * total
     weights -= RATE * total / np.sqrt(squares + 1)
     seen += np.bincount(flat, minlength=ROWS)
+    seen[0] += len(at)
 
 
 def _read_chunk(row: dict, words: Words):
