@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from stormledger.llm.arrow import pieces
 from stormledger.llm.encode import encoder
 
-SEGMENT_IDS = 4 << 20
+SEGMENT_IDS = 2 << 20  # bounds a worker's memory while it codes a segment
 
 
 def write_ids(

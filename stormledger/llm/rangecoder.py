@@ -35,6 +35,7 @@ ONE_BITS, TWO_BITS = 11, 11  # slots of the order-1 and order-2 tables of a bloc
 SURE = 15  # the highest confidence
 MOST_TWO, MOST_ONE, LEAST = TOTAL // 4 * 3, TOTAL // 16 * 3, 1 << 10
 RATE = 4
+MOST_COUNTED = 1 << 22  # ids below it are numbered by a table of counts, without a sort
 LOW_BITS = 40  # the coder's range stays above 2^40 and below 2^56
 FACTOR, PAIR_FACTOR = np.int32(-1640531535), np.int32(30011)
 
@@ -112,6 +113,18 @@ def _columns(n_ids: int) -> tuple[int, int]:
     return blocks, n_ids - (blocks - 1) * BLOCK
 
 
+def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct ids, every id's number among them, and their counts."""
+    if not len(ids) or int(ids.max()) >= MOST_COUNTED:
+        distinct, numbers, counts = np.unique(ids, return_inverse=True, return_counts=True)
+        return distinct, numbers.astype(np.int32), counts
+    counts = np.bincount(ids)
+    distinct = np.flatnonzero(counts)
+    place = np.zeros(len(counts), np.int32)
+    place[distinct] = np.arange(len(distinct), dtype=np.int32)
+    return distinct.astype("<u4"), place.take(ids), counts[distinct]
+
+
 def _interval(order0: _Order0, number: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and size of the ids' intervals in the `left` that order 0 has."""
     cum = order0.cum.take(number)
@@ -123,11 +136,11 @@ def encode(ids: np.ndarray) -> bytes:
     """A segment of these ids (unsigned, below 2^32); no ids give a segment without blocks."""
     ids = np.ascontiguousarray(ids, dtype="<u4")
     blocks, rest = _columns(len(ids))
-    distinct, numbers, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    distinct, numbers, counts = _numbered(ids)
     order0 = _order0(distinct, counts) if len(ids) else _table(distinct, np.zeros(0, np.int64))
-    padded = np.zeros(blocks * BLOCK, np.int32)
-    padded[: len(ids)] = numbers
-    by_round = np.ascontiguousarray(padded.reshape(blocks, BLOCK).T)
+    numbers.resize(blocks * BLOCK, refcheck=False)
+    by_round = np.ascontiguousarray(numbers.reshape(blocks, BLOCK).T)
+    del numbers
     models = _Models(blocks)
     low, size = np.zeros(blocks, np.int64), np.full(blocks, 1 << 56, np.int64)
     words = np.zeros((blocks, BLOCK * 3 // 2 + 8), np.uint32)  # 17 bits each, until carries are settled

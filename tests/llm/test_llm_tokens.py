@@ -254,3 +254,44 @@ def test_class_probabilities_add_up():
     words = maxent.Words(["the", "of"])
     kinds = words.classes(["the", "of", "", "walking", "talking", "walking."])
     assert kinds[:3].tolist() == [1, 2, 0] and kinds[3] == kinds[4] and kinds[5] == kinds[3] + 1
+
+
+def test_numbers_by_counts_equal_a_sort():
+    rng = np.random.default_rng(5)
+    for ids in (rng.integers(0, 50_000, 30_000), rng.integers(0, 1 << 32, 5000), np.zeros(0, int)):
+        ids = ids.astype("<u4")
+        distinct, numbers, counts = rangecoder._numbered(ids)
+        want = np.unique(ids, return_inverse=True, return_counts=True)
+        assert numbers.dtype == np.int32
+        assert all(np.array_equal(a, b) for a, b in zip((distinct, numbers, counts), want))
+
+
+def test_a_segment_is_coded_in_bounded_memory():
+    import tracemalloc
+
+    ids = (np.random.default_rng(5).zipf(1.3, idfile.SEGMENT_IDS) % 50_000).astype("<u4")
+    tracemalloc.start()
+    rangecoder.encode(ids)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
+def test_training_step_moves_rows_by_their_slopes(monkeypatch):
+    rng = np.random.default_rng(3)
+    codes, sizes = rng.integers(0, 40, 60), np.array([20, 40])
+    history = maxent.History(codes, sizes, rng.integers(0, 1 << 32, 40), rng.integers(0, maxent.CLASSES, 40))
+    weights = rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
+    at, rows = np.arange(60), history.rows(np.arange(60))
+    shares = np.exp(weights[rows].sum(axis=0, dtype=np.float64))
+    shares /= shares.sum(axis=1, keepdims=True)
+    shares[at, history.target] -= 1
+    slope = np.zeros(weights.shape)
+    for own in rows:
+        np.add.at(slope, own, shares)
+    want = weights - maxent.RATE * slope / np.sqrt(slope**2 + 1)
+    monkeypatch.setattr(np, "tile", lambda own, n: np.concatenate([own] * n) if n == 5 else pytest.fail("the bias is summed as a column"))
+    seen = np.zeros(maxent.ROWS, np.float32)
+    maxent._step(weights, np.zeros_like(weights), seen, history, at)
+    assert np.allclose(weights, want, atol=1e-4)
+    assert seen[0] == 60 and seen.sum() == 360
