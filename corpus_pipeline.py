@@ -16,7 +16,7 @@ from stormledger.llm.secrets import redact
 from stormledger.llm.simhash import near_groups
 from stormledger.llm.spans import remove_repeats
 from stormledger.llm.token_queries import packed_documents
-from stormledger.session import materialise
+from stormledger.session import WorkTables, materialise
 
 
 def _carried(docs: DataFrame) -> DataFrame:
@@ -50,8 +50,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Groups are those of op10_simhash; what they leave is then freed of texts that share 80 % of
     their five-word shingles, which mostly differ in more bits than op10's contract links.
     """
-    left = near_groups(_carried(docs), "doc_id").filter("stays").drop("fingerprint", "component_id", "stays")
-    return _restored(docs, without_near_copies(left, "doc_id"))
+    work = WorkTables(spark, "simhash")
+    left = near_groups(_carried(docs), "doc_id", work=work).filter("stays").drop("fingerprint", "component_id", "stays")
+    kept = without_near_copies(left, "doc_id")  # has stored its rows
+    work.drop()
+    return _restored(docs, kept)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

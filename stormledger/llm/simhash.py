@@ -123,7 +123,7 @@ def links(prints: DataFrame, distinct: int, work: WorkTables, distance: int = DI
 
 def near_groups(
     df: DataFrame, key: str, text: str = "text", distance: int = DISTANCE, shingle_words: int = SHINGLE_WORDS,
-    slim: bool = False,
+    slim: bool = False, work: WorkTables | None = None,
 ) -> DataFrame:
     """df (slim: its key alone) with fingerprint, component_id and stays.
 
@@ -131,11 +131,12 @@ def near_groups(
     exactly one row of a component, one that holds this key. Null keys are never the smallest while
     another exists. Null and empty texts share fingerprint 0 and are linked like any other;
     repeated rows fall into one component, of which one row stays. An empty table gives an empty
-    one. Columns of the three names are replaced.
+    one. Columns of the three names are replaced. The result reads the tables of `work`; who gives
+    it may drop them when the result is stored.
     """
     if distance % 2:
         raise ValueError("distance must be even")
-    work = WorkTables(df.sparkSession, "simhash")
+    work = work or WorkTables(df.sparkSession, "simhash")
     kept = df.drop("fingerprint", "component_id", "stays")
     marked = with_fingerprint(kept, text, shingle_words)
     marked = marked.select(key, "fingerprint") if slim else marked

@@ -105,11 +105,15 @@ def remove_repeats(
     twice = spans.groupBy("h1").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h1")
     named = documents.select("_row", "_key", F.col("_text").alias("_same"))
     again = work.save(spans.join(twice, "h1").join(named, "_row").drop("_row"))
+    work.keep_last()
     first = again.groupBy("h1", "h2").agg(F.min(F.struct("_key", "_same", "first")).alias("kept"))
     is_first = F.struct("_key", "_same", "first").eqNullSafe(F.col("kept"))
     gone = again.join(first, ["h1", "h2"]).filter(~is_first).groupBy("_key", "_same").agg(
         F.collect_set(F.struct("first", "last")).alias("_gone")
     )
+    # Stored, its size is known: where few documents lose anything, no text is shuffled.
+    gone = work.save(gone)
+    work.keep_last()
 
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa

@@ -373,3 +373,33 @@ def test_pipeline_stages(spark, odd):
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in before.collect()}
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def _made(monkeypatch, name):
+    """The work tables that are made with this label."""
+    found, start = [], WorkTables.__init__
+
+    def noted(self, spark, label):
+        start(self, spark, label)
+        if label == name:
+            found.append(self)
+
+    monkeypatch.setattr(WorkTables, "__init__", noted)
+    return found
+
+
+def test_repeats_leave_one_small_work_table(spark, monkeypatch):
+    made = _made(monkeypatch, "spans")
+    df = spark.createDataFrame([(k, PROSE + f"Only text {k} says so.") for k in range(20)], "doc_id long, text string")
+    got = spans.remove_repeats(df, "doc_id")
+    assert [len(w.paths) for w in made] == [1]
+    assert sum(r["removed_sentences"] > 0 for r in got.collect()) == 19
+
+
+def test_near_duplicates_leave_no_table_of_groups(spark, monkeypatch):
+    import corpus_pipeline
+
+    made = _made(monkeypatch, "simhash")
+    docs = spark.createDataFrame([(k, PROSE * (1 + k % 2), None, "s", 0) for k in range(6)], DOCS)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) in ([0], [0, 1])
+    assert [w.paths for w in made] == [[]]
