@@ -14,11 +14,14 @@ its chunks' training documents (a share of them each round, so that each documen
 and returns its changed rows with the number of tokens behind them; per row, the changes are averaged
 by these numbers, in two steps so that no task collects all workers'. Scoring runs in numpy batches.
 
-What the driver holds has a fixed size: the weights, ROWS x CLASSES, the top words, class totals.
+The number of weight rows follows the number of distinct words learnt from, so that features of a
+larger corpus do not fall on the same rows; a worker holds them three times, which sets MOST_ROWS.
+The driver holds the weights, at most MOST_ROWS x CLASSES, the top words and class totals.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -28,14 +31,15 @@ from pyspark.sql import types as T
 
 from stormledger.session import WorkTables
 
-ROWS, CLASSES = 1 << 13, 64
+ROWS, MOST_ROWS, CLASSES = 1 << 13, 1 << 18, 64
+WORDS_PER_ROW = 128
 SUFFIXES = 16  # groups of other words: so many endings, with and without a sentence mark
 TOP_WORDS = CLASSES - 1 - 2 * SUFFIXES
 END, END_CLASS = "", 0  # the end of a text, written like a word that no text can hold
 ROUNDS, RATE, BATCH = 2, 0.2, 8192
 CHUNK_TOKENS, PART_TOKENS = 4_000_000, 500_000  # of a chunk, and of its part worked on at once
-BLOCK_ROWS, SPREAD = 512, 32
-WORKERS_PER_CORE = 4
+BLOCK_ROWS = 512
+WORKERS_PER_CORE = 2
 MARKS = ".!?"
 STRIPPED = "\"'()[]{}.,;:!?-_*#$%&<>|"
 CHUNK = "_words array<string>, _trained array<long>, _codes binary, _sizes array<int>, _held array<boolean>"
@@ -134,8 +138,8 @@ class History:
         self.words = [back(word, s) for s in (1, 2, 3)]
         self.kinds = [back(kind, s) for s in (1, 2)]
 
-    def rows(self, at):
-        """(features, tokens) of weight rows; row 0 is the bias."""
+    def rows(self, at, size: int = ROWS):
+        """(features, tokens) of weight rows, of which there are `size`; row 0 is the bias."""
         import numpy as np
 
         one, two, three = (w[at] for w in self.words)
@@ -143,7 +147,7 @@ class History:
         found = np.zeros((6, len(one)), np.int64)
         for k, value in enumerate((one, one * 0x9E3779B1 + two, two, three, near * (CLASSES + 1) + far)):
             mixed = (value.astype(np.uint64) + np.uint64((k + 1) * 0x85EBCA6B)) * np.uint64(0x9E3779B97F4A7C15)
-            found[k + 1] = 1 + ((mixed >> np.uint64(32)) % np.uint64(ROWS - 1)).astype(np.int64)
+            found[k + 1] = 1 + ((mixed >> np.uint64(32)) % np.uint64(size - 1)).astype(np.int64)
         return found
 
 
@@ -167,23 +171,33 @@ def _log_classes(weights, rows):
 
 
 def _step(weights, squares, seen, history: History, at) -> None:
-    """One AdaGrad step on the tokens `at`; the slopes of a row's tokens are added up class by class."""
+    """One AdaGrad step on the tokens `at`; the slopes of a row's tokens are added up class by class.
+
+    Only rows of these tokens are read or written, so a step costs the same for any number of rows.
+    """
     import numpy as np
 
-    rows = history.rows(at)
+    rows = history.rows(at, len(weights))
     slope = _scores(weights, rows)
     np.exp(slope, out=slope)
     slope /= slope.sum(axis=1, keepdims=True)
     slope[np.arange(len(at)), history.target[at]] -= 1
     flat = rows[1:].ravel()
-    total = np.empty((CLASSES, ROWS), np.float32)
+    met = np.zeros(len(weights), bool)
+    met[0] = met[flat] = True
+    moved = np.flatnonzero(met)
+    place = np.empty(len(weights), np.int32)
+    place[moved] = np.arange(len(moved))
+    place = place[flat].astype(np.int64)
+    total = np.empty((CLASSES, len(moved)), np.float32)
     for k, own in enumerate(np.ascontiguousarray(slope.T, np.float64)):
-        total[k] = np.bincount(flat, np.tile(own, len(rows) - 1), ROWS)
+        total[k] = np.bincount(place, np.tile(own, len(rows) - 1), len(moved))
     total[:, 0] = slope.sum(axis=0, dtype=np.float64)  # the bias
     total = np.ascontiguousarray(total.T)
-    squares += total * total
-    weights -= RATE * total / np.sqrt(squares + 1)
-    seen += np.bincount(flat, minlength=ROWS)
+    gone = squares[moved] + total * total
+    squares[moved] = gone
+    weights[moved] -= RATE * total / np.sqrt(gone + 1)
+    seen[moved] += np.bincount(place, minlength=len(moved))
     seen[0] += len(at)
 
 
@@ -207,16 +221,25 @@ def _parts(codes, sizes):
         at = stop
 
 
+def weight_rows(distinct: int) -> int:
+    """The number of weight rows for so many distinct words, a power of two."""
+    return min(MOST_ROWS, max(ROWS, 1 << (distinct // WORDS_PER_ROW).bit_length()))
+
+
 def _changes(chunks: DataFrame, words, weights, number: int) -> DataFrame:
     """block, weighted change and tokens of the rows that a round of training moves."""
 
+    workers = max(1, WORKERS_PER_CORE * chunks.sparkSession.sparkContext.defaultParallelism)
+    spread = math.isqrt(workers - 1) + 1
+
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
-        own = weights.value.copy()
-        squares, seen = np.zeros_like(own), np.zeros(ROWS, np.float32)
+        start = weights.value
+        own = start.copy()
+        squares, seen = np.zeros_like(own), np.zeros(len(own), np.float32)
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1).to_pylist()[0]
@@ -227,29 +250,37 @@ def _changes(chunks: DataFrame, words, weights, number: int) -> DataFrame:
                     used = np.flatnonzero(np.repeat(turn[first:first + len(part_sizes)], part_sizes))
                     for at in range(0, len(used), BATCH):
                         _step(own, squares, seen, history, used[at:at + BATCH])
-        change = (own - weights.value) * seen[:, None]
-        blocks = [b for b in range(ROWS // BLOCK_ROWS) if seen[b * BLOCK_ROWS:(b + 1) * BLOCK_ROWS].any()]
-        cut = [slice(b * BLOCK_ROWS, (b + 1) * BLOCK_ROWS) for b in blocks]
+        cut = {b: slice(b * BLOCK_ROWS, (b + 1) * BLOCK_ROWS) for b in range(len(own) // BLOCK_ROWS)}
+        cut = {b: c for b, c in cut.items() if seen[c].any()}
         yield pa.RecordBatch.from_arrays([
-            pa.array(blocks, pa.int32()), pa.array([TaskContext.get().partitionId() % SPREAD] * len(blocks), pa.int32()),
-            pa.array([change[c].tobytes() for c in cut], pa.binary()), pa.array([seen[c].tobytes() for c in cut], pa.binary()),
+            pa.array(list(cut), pa.int32()), pa.array([TaskContext.get().partitionId() % spread] * len(cut), pa.int32()),
+            pa.array([(own[c] - start[c]).astype(np.float16).tobytes() for c in cut.values()], pa.binary()),
+            pa.array([seen[c].tobytes() for c in cut.values()], pa.binary()),
         ], ["block", "part", "change", "seen"])
 
-    def add(table):
-        import numpy as np
-        import pyarrow as pa
+    def adding(kind):
+        """Changes of workers are weighted by their tokens, sums of them are added up."""
+
+        def add(table):
+            import numpy as np
+            import pyarrow as pa
+
+            change, tokens = np.zeros((BLOCK_ROWS, CLASSES)), np.zeros(BLOCK_ROWS)
+            for moved, seen in zip(table.column("change"), table.column("seen")):
+                own = np.frombuffer(seen.as_py(), np.float32)
+                rows = np.frombuffer(moved.as_py(), kind).reshape(-1, CLASSES).astype(np.float64)
+                change += rows * own[:, None] if kind == "float16" else rows
+                tokens += own
+            return pa.table({
+                "block": table.column("block")[:1], "part": table.column("part")[:1],
+                "change": pa.array([change.astype(np.float32).tobytes()], pa.binary()), "seen": pa.array([tokens.astype(np.float32).tobytes()], pa.binary()),
+            })
 
-        change = sum(np.frombuffer(c.as_py(), np.float32).astype(np.float64) for c in table.column("change"))
-        seen = sum(np.frombuffer(s.as_py(), np.float32).astype(np.float64) for s in table.column("seen"))
-        return pa.table({
-            "block": table.column("block")[:1], "part": table.column("part")[:1],
-            "change": pa.array([change.astype(np.float32).tobytes()], pa.binary()), "seen": pa.array([seen.astype(np.float32).tobytes()], pa.binary()),
-        })
+        return add
 
     kind = "block int, part int, change binary, seen binary"
-    few = chunks.coalesce(max(1, WORKERS_PER_CORE * chunks.sparkSession.sparkContext.defaultParallelism))
-    moved = few.select("_words", "_codes", "_sizes", "_held").mapInArrow(run, kind)
-    return moved.groupBy("block", "part").applyInArrow(add, kind).groupBy("block").applyInArrow(add, kind)
+    moved = chunks.coalesce(workers).select("_words", "_codes", "_sizes", "_held").mapInArrow(run, kind)
+    return moved.groupBy("block", "part").applyInArrow(adding("float16"), kind).groupBy("block").applyInArrow(adding("float32"), kind)
 
 
 def score_texts(df: DataFrame, key: str, held_out, text: str = "text") -> DataFrame:
@@ -286,12 +317,12 @@ def score_texts(df: DataFrame, key: str, held_out, text: str = "text") -> DataFr
     for r in seen.mapInArrow(classed, "class long, c long").groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         totals[r["class"]] = r["n"], r["v"]  # at most CLASSES rows
     n, v = int(totals[:, 0].sum()), int(totals[:, 1].sum())
-    start = np.zeros((ROWS, CLASSES), np.float32)
+    start = np.zeros((weight_rows(v), CLASSES), np.float32)
     start[0] = np.log((totals[:, 0] + 0.5) / (n + 0.5 * CLASSES))
     for number in range(ROUNDS):
         weights = spark.sparkContext.broadcast(start)
         start = start.copy()
-        for r in _changes(chunks, words, weights, number).collect():  # ROWS x CLASSES numbers
+        for r in _changes(chunks, words, weights, number).collect():  # as many numbers as weights
             at = slice(r["block"] * BLOCK_ROWS, (r["block"] + 1) * BLOCK_ROWS)
             tokens = np.frombuffer(r["seen"], np.float32)[:, None]
             start[at] += np.frombuffer(r["change"], np.float32).reshape(-1, CLASSES) / np.maximum(tokens, 1)
@@ -319,7 +350,7 @@ def score_texts(df: DataFrame, key: str, held_out, text: str = "text") -> DataFr
                 logs = np.empty(len(part))
                 for k in range(0, len(part), BATCH):
                     some = np.arange(k, min(k + BATCH, len(part)))
-                    logs[some] = _log_classes(weights.value, history.rows(some))[np.arange(len(some)), history.target[some]]
+                    logs[some] = _log_classes(weights.value, history.rows(some, len(weights.value)))[np.arange(len(some)), history.target[some]]
                 first, stop = history.ends - part_sizes, at + len(part_sizes)
                 values = [
                     row["_keys"][at:stop], row["_held"][at:stop], part_sizes, np.add.reduceat((c > 0)[part].astype(np.int64), first),

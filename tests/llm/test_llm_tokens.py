@@ -295,3 +295,36 @@ def test_training_step_moves_rows_by_their_slopes(monkeypatch):
     maxent._step(weights, np.zeros_like(weights), seen, history, at)
     assert np.allclose(weights, want, atol=1e-4)
     assert seen[0] == 60 and seen.sum() == 360
+
+
+def test_weight_rows_follow_the_words_learnt_from(spark, documents, monkeypatch):
+    assert maxent.weight_rows(0) == maxent.ROWS and maxent.weight_rows(1 << 40) == maxent.MOST_ROWS
+    assert maxent.weight_rows(maxent.WORDS_PER_ROW * 20_000) == 1 << 15
+    met = []
+    shown = maxent._changes
+    monkeypatch.setattr(maxent, "_changes", lambda c, words, weights, n: met.append(len(weights.value)) or shown(c, words, weights, n))
+    monkeypatch.setattr(maxent, "WORDS_PER_ROW", 1)
+    rows = QUERIES["op2_maxent"](spark, SF).collect()
+    assert met == [maxent.weight_rows(len(known_words(documents)))] * 2 and met[0] > maxent.ROWS
+    held = [r for r in rows if r["held_out"]]
+    assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+
+
+def known_words(documents):
+    """Distinct tokens of the documents learnt from; the end of a text is one."""
+    learnt = [t for d, t in documents if zlib.crc32(str(d).encode()) % 5 != 1]
+    return {w for t in learnt for w in WORD.findall((t or "").translate(LOWER))} | {""}
+
+
+def test_a_training_step_costs_what_its_tokens_cost():
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    history = maxent.History(rng.integers(0, 40, 60), np.array([20, 40]), rng.integers(0, 1 << 32, 40), rng.integers(0, maxent.CLASSES, 40))
+    weights = np.zeros((1 << 17, maxent.CLASSES), np.float32)
+    squares, seen = np.zeros_like(weights), np.zeros(len(weights), np.float32)
+    tracemalloc.start()
+    maxent._step(weights, squares, seen, history, np.arange(60))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20 and seen[0] == 60 and seen.sum() == 360
