@@ -156,7 +156,8 @@ def components(links: DataFrame, scenario: list[str] | None = None) -> DataFrame
 
     Contraction: every node points at its lowest neighbour, chains are shortened by pointer
     jumping, pointed-together nodes become one, and only links between different ones remain.
-    The link table shrinks by the round; the maps are composed at the end.
+    The link table shrinks by the round; the maps are composed at the end. The maps are as long as
+    the node table, so they are merged with, never sent through the driver.
     """
     scn = scenario or []
     work = WorkTables(links.sparkSession, "components")
@@ -185,7 +186,7 @@ def components(links: DataFrame, scenario: list[str] | None = None) -> DataFrame
         a = points.select(*scn, F.col("n").alias("a"), F.col("to").alias("a2"))
         b = points.select(*scn, F.col("n").alias("b"), F.col("to").alias("b2"))
         edges, left = work.save_counting(
-            edges.join(a, [*scn, "a"]).join(b, [*scn, "b"])
+            edges.join(a.hint("merge"), [*scn, "a"]).join(b.hint("merge"), [*scn, "b"])
             .select(*scn, F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b"))
             .filter("a <> b").distinct().select(*scn, "a", "b", live),
             "live",
@@ -196,14 +197,14 @@ def components(links: DataFrame, scenario: list[str] | None = None) -> DataFrame
             composed = step
         else:
             later = composed.select(*scn, F.col("n").alias("to"), F.col("to").alias("root"))
-            composed = step.join(later, [*scn, "to"], "left").select(
+            composed = step.join(later.hint("merge"), [*scn, "to"], "left").select(
                 *scn, "n", F.coalesce("root", "to").alias("to")
             )
     if composed is None:
         return nodes.withColumn("comp", F.col("node"))
     label = composed.select(*scn, F.col("n").alias("node"), F.col("to").alias("root"))
     found = work.save(
-        nodes.join(label, [*scn, "node"], "left").select(
+        nodes.join(label.hint("merge"), [*scn, "node"], "left").select(
             *scn, "node", F.coalesce("root", "node").alias("comp")
         )
     )
@@ -216,7 +217,7 @@ def _jump(work: WorkTables, points: DataFrame, scn: list[str]) -> DataFrame:
     while True:
         hop = points.select(*scn, F.col("n").alias("to"), F.col("to").alias("next"))
         points, moved = work.save_counting(
-            points.drop("moved").join(hop, [*scn, "to"], "left").select(
+            points.drop("moved").join(hop.hint("merge"), [*scn, "to"], "left").select(
                 *scn, "n", F.coalesce("next", "to").alias("to"),
                 (F.coalesce("next", "to") != F.col("to")).alias("moved"),
             ),
@@ -246,14 +247,27 @@ def way_components(links: DataFrame, comps: DataFrame, numbers: DataFrame) -> Da
     )
 
 
+def joined_nodes(links: DataFrame, anchor: int) -> DataFrame:
+    """(node): the anchor's component; none if no link has the anchor."""
+    c = components(links)
+    return c.join(c.filter(F.col("node") == anchor).select("comp"), "comp", "left_semi").select("node")
+
+
+def joined_links(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The links of a component. nodes: all its nodes, so both ends of a link are among them or neither."""
+    return links.join(nodes.select(F.col("node").alias("u")).hint("merge"), "u", "left_semi")
+
+
 def island_links(links: DataFrame, places: DataFrame, mainland: int) -> DataFrame:
-    """places(place, node): joined to the mainland at all, and only by ferry."""
+    """places(place, node): joined to the mainland at all, and only by ferry.
+
+    What is joined by road is joined, so roads are looked at in the mainland's component only.
+    """
+    joined = joined_nodes(links, mainland)
+    by_road = joined_nodes(joined_links(links, joined).filter("NOT ferry"), mainland)
     out = places
-    for name, part in (("joined", links), ("by_road", links.filter("NOT ferry"))):
-        c = components(part)
-        home = c.filter(F.col("node") == mainland).select("comp", F.lit(True).alias(name))
-        here = c.join(home, "comp", "left").select("node", F.coalesce(name, F.lit(False)).alias(name))
-        out = out.join(here, "node", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+    for name, nodes in (("joined", joined), ("by_road", by_road)):
+        out = out.join(nodes.withColumn(name, F.lit(True)).hint("merge"), "node", "left").withColumn(name, F.coalesce(name, F.lit(False)))
     return out.select("place", "node", "joined", (F.col("joined") & ~F.col("by_road")).alias("via_ferry"))
 
 
@@ -262,10 +276,13 @@ def reachable(
 ) -> DataFrame:
     """(scenario.., node) for every node still joined to the anchor.
 
-    Links no scenario cuts are contracted once. Only the few that some scenario cuts are repeated
-    per scenario, between the contracted parts. scenarios: scenario columns + network_id, joined
-    to links.network_id by equality.
+    Cuts only take links away, so all work is on the anchor's component in the whole network.
+    Links no scenario cuts are contracted once. Only the others are repeated per scenario, between
+    the contracted parts. scenarios: scenario columns + network_id, joined to links.network_id by
+    equality.
     """
+    work = WorkTables(links.sparkSession, "reachable")
+    links = work.save(joined_links(links, joined_nodes(links, anchor)))
     ever = cuts.select("link_id").distinct()
     base = components(links.join(ever, "link_id", "left_anti"))
     label_u = base.select(F.col("node").alias("u"), F.col("comp").alias("cu"))
@@ -280,7 +297,6 @@ def reachable(
     open_links = (
         measured_join(loose, scenarios, ["network_id"], "link_id").join(cuts, [*scenario, "link_id"], "left_anti")
     )
-    work = WorkTables(links.sparkSession, "reachable")
     open_links = work.save(open_links.select(*scenario, "u", "v"))
     parts = components(open_links, scenario)
     # Contracted parts without an open loose link in a scenario stay on their own.

@@ -81,8 +81,12 @@ def days(spark, sf):
 
 def cuts(spark, sf):
     """Days x links that the day closes: an equi-join on the network."""
+    return cuts_of(links(spark, sf), days(spark, sf))
+
+
+def cuts_of(links, days):
     return (
-        measured_join(links(spark, sf), days(spark, sf), ["network_id"], "link_id")
+        measured_join(links, days, ["network_id"], "link_id")
         .filter((F.col("link_id") * 31 + F.col("step")) % 17 == 0)
         .select("step", "link_id", F.when(F.col("ferry"), F.lit("wind")).otherwise(F.lit("surge")).alias("cut_by"))
     )
@@ -240,7 +244,11 @@ def isolated(spark, sf):
 
 
 class Net:
-    """One query's network: the tables that several of its operators read, each stored once."""
+    """One query's network: the tables that several of its operators read, each stored once.
+
+    What the anchor does not reach without cuts is never cut off from it, nor a refuge, so links
+    and cuts are those of its component.
+    """
 
     def __init__(self, spark, sf):
         self.spark, self.sf, self.work = spark, sf, N.WorkTables(spark, "net")
@@ -248,7 +256,8 @@ class Net:
 
     @cached_property
     def links(self):
-        return self.work.save(links(self.spark, self.sf))
+        whole = N.WorkTables(self.spark, "whole-net").save(links(self.spark, self.sf))
+        return self.work.save(N.joined_links(whole, N.joined_nodes(whole, ANCHOR)))
 
     @cached_property
     def days(self):
@@ -256,7 +265,7 @@ class Net:
 
     @cached_property
     def cuts(self):
-        return self.work.save(cuts(self.spark, self.sf))
+        return self.work.save(cuts_of(self.links, self.days))
 
     @cached_property
     def tree(self):

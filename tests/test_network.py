@@ -200,3 +200,28 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         work_folder(Session())
+
+
+def test_only_the_anchor_s_component_is_worked_on(spark, monkeypatch):
+    from stormledger.plans import network_queries as Q
+    from conftest import SF
+
+    whole = Q.links(spark, SF)
+    home = {r.node for r in N.joined_nodes(whole, Q.ANCHOR).collect()}
+    net = Q.Net(spark, SF)
+    kept = {r.link_id for r in net.links.collect()}
+    assert kept == {r.link_id for r in whole.collect() if r.u in home} and len(kept) < whole.count()
+    assert {r.link_id for r in net.cuts.collect()} <= kept
+    met, shown = [], N.components
+    monkeypatch.setattr(N, "components", lambda links, scenario=None: met.append(links) or shown(links, scenario))
+    Q.reach(spark, SF)
+    assert all({r.u for r in links.collect()} <= home for links in met[1:])
+    assert N.joined_nodes(whole, -5).count() == 0
+
+
+def test_maps_of_components_are_not_sent_through_the_driver(spark, monkeypatch):
+    plans, save = [], N.WorkTables.save
+    monkeypatch.setattr(N.WorkTables, "save", lambda self, df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or save(self, df))
+    chain = spark.range(40).selectExpr("id AS u", "id + 1 AS v")
+    assert {r.comp for r in N.components(chain).collect()} == {0}
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
