@@ -37,9 +37,10 @@ def readings(
     hazard(cell_id, keys.., wind, surge, wind_ahead, surge_ahead); overlap(cell_id, zone_id,
     area_m2). Only pairs covering at least a square kilometre count. The four readings share one
     join and one aggregation: grouping sets give each its own histogram of rounded values, and only
-    those are ordered.
+    those are ordered. A hazard without the columns of the next 24 hours gives horizon 0 only.
     """
-    values = ["wind", "surge", "wind_ahead", "surge_ahead"]
+    ahead = "wind_ahead" in hazard.columns
+    values = ["wind", "surge", "wind_ahead", "surge_ahead"][:4 if ahead else 2]
     by = [zone, *keys]
     pairs = overlap.filter(F.col("area_m2") >= MIN_OVERLAP_M2).select("cell_id", zone)
     joined = hazard.select("cell_id", *keys, *values).join(pairs, "cell_id")
@@ -49,17 +50,16 @@ def readings(
         .select(*by, "which", F.coalesce(*values).alias("value"), "n")
     )
     read = lower_percentile(hist, [*by, "which"], "value", weight="n")
-    # grouping_id sets a bit per column left out; the value columns are its last four bits.
-    mask = {v: 15 ^ (8 >> i) for i, v in enumerate(values)}
+    # grouping_id sets a bit per column left out; the value columns are its last bits.
+    n = len(values)
+    mask = {v: (1 << n) - 1 ^ (1 << n - 1 - i) for i, v in enumerate(values)}
     wide = read.groupBy(*by).agg(
         *[F.coalesce(F.max(F.when(F.col("which") == m, F.col("reading"))), F.lit(0.0)).alias(v) for v, m in mask.items()]
     )
     wide = calendar.select(*by).join(wide, by, "left").na.fill(0.0, values)
-    both = F.array(
-        F.struct(F.lit(0).alias("horizon_h"), F.col("wind").alias("wind_ms"), F.col("surge").alias("surge_m")),
-        F.struct(F.lit(24).alias("horizon_h"), F.col("wind_ahead").alias("wind_ms"), F.col("surge_ahead").alias("surge_m")),
-    )
-    rows = wide.select(*by, F.explode(both).alias("x")).select(*by, "x.*")
+    pair = lambda h, w, s: F.struct(F.lit(h).alias("horizon_h"), F.col(w).alias("wind_ms"), F.col(s).alias("surge_m"))
+    both = [pair(0, "wind", "surge"), *([pair(24, "wind_ahead", "surge_ahead")] if ahead else [])]
+    rows = wide.select(*by, F.explode(F.array(*both)).alias("x")).select(*by, "x.*")
     return govern(rows).join(zones.select(zone, "zone_name", "population"), zone).withColumn(
         "sum_insured", (F.col("population") * INSURED_PER_RESIDENT).cast("decimal(18,2)")
     ).withColumn(

@@ -138,3 +138,17 @@ def test_status_unfolds_horizons_after_the_join(spark):
     assert sorted(map(tuple, late.collect())) == sorted(map(tuple, early.collect()))
     plan = late._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate") < plan.index("Join")
+
+
+def test_readings_without_the_next_day_are_those_of_horizon_0(spark):
+    from conftest import SF
+    from stormledger.operators import payout
+    from stormledger.plans import inputs as I
+    from stormledger.plans import risk_queries as Q
+    from stormledger.plans.hazard_queries import hazard_cells
+
+    rest = (I.overlap(spark, SF).drop("event"), I.zones(spark, SF), ["event", "step"], I.zone_steps(spark, SF))
+    now = payout.readings(hazard_cells(spark, SF), *rest)
+    full = Q.zone_readings(spark, SF).filter("horizon_h = 0")
+    assert sorted(map(str, now.collect())) == sorted(map(str, full.collect())) and now.count() > 0
+    assert "wind_ahead" not in Q._released(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
