@@ -152,3 +152,17 @@ def test_readings_without_the_next_day_are_those_of_horizon_0(spark):
     full = Q.zone_readings(spark, SF).filter("horizon_h = 0")
     assert sorted(map(str, now.collect())) == sorted(map(str, full.collect())) and now.count() > 0
     assert "wind_ahead" not in Q._released(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_link_groups_count_repeated_users_once_in_one_aggregation(spark):
+    from stormledger.operators import impact
+    from conftest import SF
+    from stormledger.plans.source_queries import link_users
+
+    links = spark.createDataFrame(
+        [(1, "A;x", "road"), (2, "A", "road"), (3, None, "ferry"), (4, "B", "ferry")], "link long, name string, link_type string"
+    ).selectExpr("*", "'p' AS first_block", "'q' AS last_block", "0 AS f1")
+    users = spark.createDataFrame([(1, 7, 5), (2, 7, 3), (2, 8, 9), (2, 8, 9), (3, 7, 1), (4, 9, 2)], "link long, item long, deadline long")
+    got = {r.entry: (r.segments, r.facility_count, r.earliest_deadline) for r in impact.grouped_links(links, users).collect()}
+    assert got == {"road:A": (2, 2, 3), "unnamed|ferry|p|q|0": (1, 1, 1), "link:4": (1, 1, 2)}
+    assert "distinct" not in impact.grouped_links(*link_users(spark, SF))._jdf.queryExecution().analyzed().toString().lower()
