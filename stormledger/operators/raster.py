@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from stormledger.functions.grid import at, scatter
 from stormledger.operators.spatial import pack
+from stormledger.session import WorkTables, materialise
 
 # Radar thresholds.
 MIN_DB, CHANGE_DB, WATER_DB, PERMANENT_PCT, LOOKS, FLOODED_SHARE = -30.0, -2.5, -15.5, 20.0, 4.4, 0.1
@@ -132,13 +133,14 @@ def drop_small(mask: DataFrame, scene: str, min_pixels: int) -> DataFrame:
     """Flooded pixels in 8-connected clusters of at least min_pixels."""
     from stormledger.operators.network import components
 
-    wet = mask.select(scene, "row", "col").withColumn("id", pack(F.col("col").cast("long"), F.col("row").cast("long")))
+    work = WorkTables(mask.sparkSession, "flooded")  # the mask is read several times, and made once
+    wet = work.save(mask.select(scene, "row", "col").withColumn("id", pack(F.col("col").cast("long"), F.col("row").cast("long"))))
     before = [(-1, -1), (-1, 0), (-1, 1), (0, -1)]
     near = F.array(*[pack(F.col("col").cast("long") + dc, F.col("row").cast("long") + dr) for dr, dc in before])
     sides = wet.select(scene, F.col("id").alias("v"), F.explode(near).alias("u")).join(
         wet.select(scene, F.col("id").alias("u")), [scene, "u"], "left_semi"
     )
-    comp = components(sides, [scene]).select(scene, F.col("node").alias("id"), "comp")
+    comp = components(work.save(sides), [scene]).select(scene, F.col("node").alias("id"), "comp")
     labelled = wet.join(comp, [scene, "id"], "left").withColumn("comp", F.coalesce("comp", "id"))
     big = labelled.groupBy(scene, "comp").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pixels)
     return labelled.join(big.select(scene, "comp"), [scene, "comp"], "left_semi").select(scene, "row", "col")
@@ -292,4 +294,4 @@ def flood_pipeline(
     if slope is not None:
         mask = flat_only(mask, slope, keys, max_slope)
     (scene,) = keys
-    return drop_small(opening(mask, keys), scene, min_pixels)
+    return drop_small(opening(materialise(mask, "change-mask"), keys), scene, min_pixels)

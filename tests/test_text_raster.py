@@ -129,3 +129,17 @@ def test_small_clusters_and_isolines(spark):
     grid = spark.createDataFrame([(0, 0, 0.0), (0, 1, 2.0), (1, 0, 0.0), (1, 1, 2.0)], "r long, c long, v double")
     got = RA.isolines(grid, [], "v", [1.0]).collect()
     assert len(got) == 1 and {(got[0].x0, got[0].y0), (got[0].x1, got[0].y1)} == {(0.5, 0.0), (0.5, 1.0)}
+
+
+def test_the_flood_chain_is_run_once(spark, monkeypatch):
+    from conftest import SF
+    from stormledger.operators import network
+    from stormledger.plans import load_all
+    from stormledger.plans.registry import QUERIES
+
+    load_all()
+    met, shown = [], network.components
+    monkeypatch.setattr(network, "components", lambda links, scenario=None: met.append(links) or shown(links, scenario))
+    QUERIES["flood_pipeline"](spark, SF)
+    (sides,) = met
+    assert sides.inputFiles() and all("/flooded-" in f for f in sides.inputFiles())
