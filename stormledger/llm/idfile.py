@@ -48,23 +48,29 @@ def write_ids(
 
         types = to_arrow_schema(schema)
         shard = TaskContext.get().partitionId()
-        code, end = encoder(path, kind).ids, int(end_id).to_bytes(4, "little")
-        keys, ids, waiting, number, first = [], [], 0, 0, 0
+        coder = encoder(path, kind)
+        keys, ids, sizes, waiting, number, first = [], [], [], 0, 0, 0
 
         def segment() -> pa.RecordBatch:
-            payload = encode(np.frombuffer(b"".join(ids), "<u4"))
-            row = [shard, number, first, waiting, payload, keys, [len(i) // 4 for i in ids]]
+            row = [shard, number, first, waiting, encode(np.concatenate(ids)), keys, np.concatenate(sizes)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, types)], schema=types)
 
         for part in pieces(batches, "text"):
-            for own, body in zip(part.column(0).to_pylist(), part.column(1)):
-                keys.append(own)
-                ids.append(code(body.as_py()) + end)
-                waiting += len(ids[-1]) // 4
+            own, found, counts = part.column(0).to_pylist(), *coder.batch(part.column(1))
+            ends = np.cumsum(counts + 1)
+            found = np.insert(found, np.cumsum(counts), end_id)
+            at = before = 0
+            while at < len(own):
+                stop = min(len(own), 1 + int(np.searchsorted(ends, before + segment_ids - waiting)))
+                keys += own[at:stop]
+                ids.append(found[before:ends[stop - 1]])
+                sizes.append(counts[at:stop] + 1)
+                waiting += len(ids[-1])
+                at, before = stop, int(ends[stop - 1])
                 if waiting >= segment_ids:
                     yield segment()
                     number, first = number + 1, first + waiting
-                    keys, ids, waiting = [], [], 0
+                    keys, ids, sizes, waiting = [], [], [], 0
         if keys:
             yield segment()
 

@@ -26,18 +26,24 @@ from typing import NamedTuple
 
 import numpy as np
 
-MAGIC = b"IDS1"
+MAGIC = b"IDS2"
 BLOCK = 2048
 TOTAL_BITS = 24  # of the mixed distribution
 ORDER0_BITS = 20  # of the order-0 frequencies; at most 2^19 distinct ids in a segment
 TOTAL = 1 << TOTAL_BITS
-ONE_BITS, TWO_BITS = 11, 11  # slots of the order-1 and order-2 tables of a block
+SLOT_BITS = 11  # slots of the order-1 and of the order-2 table of a block
+HASH_SHIFT = np.uint32(32 - SLOT_BITS)
 SURE = 15  # the highest confidence
 MOST_TWO, MOST_ONE, LEAST = TOTAL // 4 * 3, TOTAL // 16 * 3, 1 << 10
 RATE = 4
+#: Where both weights move: nothing was right, order 1 only, order 2 (or both).
+TARGETS = np.array([two << 32 | one for two, one in ((LEAST, LEAST), (LEAST, MOST_ONE), (MOST_TWO, LEAST), (MOST_TWO, LEAST))])
+#: What is added to a confidence, by (hit << 4) + confidence.
+CONFIDENCE = np.array([max(k >> 1, 1) - k for k in range(SURE + 1)] + [int(k < SURE) for k in range(SURE + 1)], np.int32)
 MOST_COUNTED = 1 << 22  # ids below it are numbered by a table of counts, without a sort
-LOW_BITS = 40  # the coder's range stays above 2^40 and below 2^56
-FACTOR, PAIR_FACTOR = np.int32(-1640531535), np.int32(30011)
+LOW_BITS = 32  # the coder's range stays from 2^32 to 2^48: whole numbers that a double holds exactly, as do quotients
+RANGE = 1 << LOW_BITS + 16
+FACTOR, PAIR_FACTOR = np.uint32(2654435761), np.uint32(30011)
 
 
 class CorruptBlock(ValueError):
@@ -48,6 +54,7 @@ class _Order0(NamedTuple):
     ids: np.ndarray  # the distinct ids, ascending
     freq: np.ndarray
     cum: np.ndarray  # before each id
+    end: np.ndarray  # cum + freq
 
 
 def _order0(ids: np.ndarray, counts: np.ndarray) -> _Order0:
@@ -62,49 +69,48 @@ def _order0(ids: np.ndarray, counts: np.ndarray) -> _Order0:
 
 def _table(ids: np.ndarray, freq: np.ndarray) -> _Order0:
     freq = freq.astype(np.int64)
-    return _Order0(ids, freq, np.cumsum(freq) - freq)
+    end = np.cumsum(freq)
+    return _Order0(ids, freq, end - freq, end)
 
 
 class _Models:
-    """The state of all blocks of a segment, a column each, and what one id does to it."""
+    """The state of all blocks of a segment and what one id does to it; rows 0 and 1 are orders 1 and 2."""
 
     def __init__(self, blocks: int) -> None:
-        lane = np.arange(blocks, dtype=np.int32)
-        self.one = np.zeros(blocks << ONE_BITS, np.int32)  # (id's number << 4) + confidence
-        self.two = np.zeros(blocks << TWO_BITS, np.int32)
+        lane = np.arange(blocks)
+        self.slots = np.zeros(2 * blocks << SLOT_BITS, np.int32)  # (id's number << 4) + confidence
         contexts = 2 << 8
-        self.weight_two = np.full(blocks * contexts, TOTAL // 8, np.int32)
-        self.weight_one = np.full(blocks * contexts, TOTAL // 16, np.int32)
-        self.lane_one, self.lane_two, self.lane_mix = lane << ONE_BITS, lane << TWO_BITS, lane * contexts
-        self.last = np.zeros(blocks, np.int32)
-        self.before = np.zeros(blocks, np.int32)
+        # The weight of order 2 in the upper half, that of order 1 in the lower.
+        self.weights = np.full(blocks * contexts, TOTAL // 8 << 32 | TOTAL // 16, np.int64)
+        self.lanes, self.lane_mix = np.array([lane, lane + blocks]) << SLOT_BITS, lane * contexts
+        self.context = np.zeros((2, blocks), np.uint32)  # the last id, and the last two
 
     def predict(self, n: int) -> None:
-        """For the first n blocks: the ids orders 2 and 1 expect, and their shares of TOTAL."""
-        last = self.last[:n]
+        """For the first n blocks: the ids orders 1 and 2 expect, and their shares of TOTAL."""
         # 32-bit products wrap around, alike on any machine.
-        self.at_one = (last * FACTOR >> 15 & ((1 << ONE_BITS) - 1)) + self.lane_one[:n]
-        self.at_two = ((self.before[:n] * PAIR_FACTOR + last) * FACTOR >> 15 & ((1 << TWO_BITS) - 1)) + self.lane_two[:n]
-        one, two = self.one.take(self.at_one), self.two.take(self.at_two)
-        self.id_one, self.id_two = one >> 4, two >> 4
-        self.sure_one, self.sure_two = one & SURE, two & SURE
-        agree = self.id_one == self.id_two
-        self.at_mix = self.lane_mix[:n] + (self.sure_two << 4) + self.sure_one + (agree.astype(np.int32) << 8)
-        self.share_two, self.own_one = self.weight_two.take(self.at_mix), self.weight_one.take(self.at_mix)
-        self.share_one = self.own_one * ~agree
-
-    def learn(self, n: int, number: np.ndarray, hit_two: np.ndarray, hit_one: np.ndarray) -> None:
-        """number: the ids that came, as numbers among the segment's distinct ids."""
-        self.weight_two[self.at_mix] = self.share_two + ((hit_two * (MOST_TWO - LEAST) + LEAST - self.share_two) >> RATE)
-        only_one = hit_one > hit_two
-        self.weight_one[self.at_mix] = self.own_one + ((only_one * (MOST_ONE - LEAST) + LEAST - self.own_one) >> RATE)
-        for table, at, hit, sure, expected in (
-            (self.one, self.at_one, hit_one, self.sure_one, self.id_one), (self.two, self.at_two, hit_two, self.sure_two, self.id_two),
-        ):
-            kept = np.where(hit | (sure > 1), expected, number)
-            table[at] = (kept << 4) + np.where(hit, np.minimum(sure + 1, SURE), np.maximum(sure >> 1, 1))
-        self.before[:n] = self.last[:n]
-        self.last[:n] = number
+        self.at = (self.context[:, :n] * FACTOR >> HASH_SHIFT) + self.lanes[:, :n]
+        self.held = self.slots.take(self.at, mode="clip")
+        self.ids, self.sure = self.held >> 4, self.held & SURE
+        agree = (self.ids[0] == self.ids[1]).astype(np.int64)
+        self.at_mix = (self.sure[1] << 4 | self.sure[0]) + self.lane_mix[:n] + (agree << 8)
+        self.own = self.weights.take(self.at_mix, mode="clip")
+        self.two = self.own >> 32
+        self.one = self.own & (agree - 1) & 0xFFFFFFFF
+        self.both = self.two + self.one
+
+    def learn(self, n: int, number: np.ndarray, hit: np.ndarray) -> None:
+        """number: the ids that came, as numbers among the segment's distinct ids; hit: whether they were expected."""
+        flags = hit.view(np.int8)
+        halves = self.own.view(np.int32)
+        moved = ((TARGETS.take(flags[0] + (flags[1] << 1)).view(np.int32) - halves) >> RATE) + halves
+        self.weights[self.at_mix] = moved.view(np.int64)
+        case = (flags << 4) + self.sure
+        # A missed id of the least confidence gives way.
+        self.slots[self.at] = np.where(case <= 1, (number << 4) + 1, self.held + CONFIDENCE.take(case, mode="clip"))
+        last, pair = self.context[:, :n]
+        np.multiply(last, PAIR_FACTOR, out=pair)
+        last[:] = number
+        pair += last
 
 
 def _columns(n_ids: int) -> tuple[int, int]:
@@ -125,13 +131,6 @@ def _numbered(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return distinct.astype("<u4"), place.take(ids), counts[distinct]
 
 
-def _interval(order0: _Order0, number: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and size of the ids' intervals in the `left` that order 0 has."""
-    cum = order0.cum.take(number)
-    start = cum * left >> ORDER0_BITS
-    return start, ((cum + order0.freq.take(number)) * left >> ORDER0_BITS) - start
-
-
 def encode(ids: np.ndarray) -> bytes:
     """A segment of these ids (unsigned, below 2^32); no ids give a segment without blocks."""
     ids = np.ascontiguousarray(ids, dtype="<u4")
@@ -142,40 +141,52 @@ def encode(ids: np.ndarray) -> bytes:
     by_round = np.ascontiguousarray(numbers.reshape(blocks, BLOCK).T)
     del numbers
     models = _Models(blocks)
-    low, size = np.zeros(blocks, np.int64), np.full(blocks, 1 << 56, np.int64)
+    low, size = np.zeros(blocks, np.int64), np.full(blocks, RANGE, np.int64)
     words = np.zeros((blocks, BLOCK * 3 // 2 + 8), np.uint32)  # 17 bits each, until carries are settled
-    filled = np.zeros(blocks, np.int64)
+    flat, begin = words.reshape(-1), np.arange(blocks) * words.shape[1]
+    place = begin.copy()
 
     def put(which: np.ndarray) -> None:
         own = low[which]
-        words[which, filled[which]] = own >> LOW_BITS
-        filled[which] += 1
+        flat[place[which]] = own >> LOW_BITS
+        place[which] += 1
         low[which] = (own & ((1 << LOW_BITS) - 1)) << 16
 
     for at in range(BLOCK if blocks > 1 else rest if blocks else 0):
         n = blocks if at < rest else blocks - 1
         number = by_round[at, :n]
         models.predict(n)
-        two, both = models.share_two, models.share_two + models.share_one
-        hit_two, hit_one = number == models.id_two, number == models.id_one
-        start, share = _interval(order0, number, TOTAL - both)
-        start = np.where(hit_two, 0, np.where(hit_one, two, start + both))
-        share = np.where(hit_two, two, np.where(hit_one, models.share_one, share))
+        two, both = models.two, models.both
+        hit = models.ids == number
+        left = TOTAL - both
+        wide = number.astype(np.int64)
+        first = order0.cum.take(wide, mode="clip") * left >> ORDER0_BITS
+        share = (order0.end.take(wide, mode="clip") * left >> ORDER0_BITS) - first
+        start = np.where(hit[1], 0, np.where(hit[0], two, first + both))
+        share = np.where(hit[1], two, np.where(hit[0], models.one, share))
         step = size[:n] >> TOTAL_BITS
         low[:n] += step * start
         size[:n] = step * share
+        # Every block writes its word; only those whose range is narrow move on from it.
+        narrow = size[:n] < (1 << LOW_BITS)
+        flat[place[:n]] = low[:n] >> LOW_BITS
+        place[:n] += narrow
+        low[:n] = np.where(narrow, (low[:n] & ((1 << LOW_BITS) - 1)) << 16, low[:n])
+        size[:n] = np.where(narrow, size[:n] << 16, size[:n])
         narrow = np.flatnonzero(size[:n] < (1 << LOW_BITS))
         while len(narrow):
             put(narrow)
-            wider = size[narrow] << 16
-            size[narrow] = wider
-            narrow = narrow[wider < (1 << LOW_BITS)]
-        models.learn(n, number, hit_two, hit_one)
-    for _ in range(4):
+            size[narrow] <<= 16
+            narrow = narrow[size[narrow] < (1 << LOW_BITS)]
+        models.learn(n, number, hit)
+    for _ in range(3):
         put(np.arange(blocks))
-    for at in range(int(filled.max(initial=0)) - 1, 0, -1):
-        words[:, at - 1] += words[:, at] >> 16
-        words[:, at] &= 0xFFFF
+    filled = place - begin
+    for at in range(0, blocks, 64):
+        some = words[at:at + 64, : int(filled[at:at + 64].max())]
+        while (carry := some >> 16).any():
+            some &= 0xFFFF
+            some[:, :-1] += carry[:, 1:]
 
     head = zlib.compress(distinct.astype("<u4").tobytes() + order0.freq.astype("<u4").tobytes(), 6)
     out = [MAGIC, struct.pack("<4I", len(ids), len(distinct), blocks, len(head)), head]
@@ -198,46 +209,48 @@ def decode(segment: bytes) -> np.ndarray:
     data_at = 20 + head_size + 8 * blocks
     if len(segment) != data_at + 2 * int(sizes.sum()):
         raise CorruptBlock("a segment of another size than its head says")
-    data = np.concatenate([np.frombuffer(segment, "<u2", offset=data_at), np.zeros(8, np.uint16)]).astype(np.int64)
+    data = np.concatenate([np.frombuffer(segment, "<u2", offset=data_at), np.zeros(8, np.uint16)])
     next_word = np.cumsum(sizes) - sizes
-    code = np.zeros(blocks, np.int64)  # 56 bits, relative to low: three words and half of the fourth
-    for part in range(3):
-        code = code << 16 | data[next_word + part]
-    spare = data[next_word + 3]
-    code, spare = code << 8 | spare >> 8, spare & 0xFF
-    next_word += 4
-    slots = np.repeat(np.arange(n_distinct, dtype=np.int32), order0.freq)
+    code = np.zeros(blocks, np.int64)  # 48 bits, relative to low: three words
+    for _ in range(3):
+        code = code << 16 | data.take(next_word, mode="clip")
+        next_word += 1
+    slots = np.repeat(np.arange(n_distinct, dtype=np.uint16 if n_distinct <= 1 << 16 else np.int32), order0.freq)
     _, rest = _columns(n_ids)
     by_round = np.zeros((BLOCK, blocks), np.int32)
     models = _Models(blocks)
-    size = np.full(blocks, 1 << 56, np.int64)
+    size = np.full(blocks, RANGE, np.int64)
     for at in range(BLOCK if blocks > 1 else rest if blocks else 0):
         n = blocks if at < rest else blocks - 1
         models.predict(n)
-        two, both = models.share_two, models.share_two + models.share_one
+        two, both = models.two, models.both
         left = TOTAL - both
         step = size[:n] >> TOTAL_BITS
-        value = np.minimum(code[:n] // step, TOTAL - 1)
+        # Quotients of doubles, cut to whole numbers: exact, as all numbers are below 2^48.
+        value = (code[:n] / step).astype(np.int64)
         in_two, in_both = value < two, value < both
-        slot = (((np.maximum(value - both, 0) + 1) << ORDER0_BITS) - 1) // left
-        number = slots.take(np.minimum(slot, (1 << ORDER0_BITS) - 1))
-        start, share = _interval(order0, number, left)
-        number = np.where(in_two, models.id_two, np.where(in_both, models.id_one, number))
-        start = np.where(in_two, 0, np.where(in_both, two, start + both))
-        share = np.where(in_two, two, np.where(in_both, models.share_one, share))
+        slot = ((((value - both + 1) << ORDER0_BITS) - 1) / left).astype(np.int64)
+        number = slots.take(slot, mode="clip").astype(np.int32)
+        number = np.where(in_two, models.ids[1], np.where(in_both, models.ids[0], number))
+        wide = number.astype(np.int64)
+        first = order0.cum.take(wide, mode="clip") * left >> ORDER0_BITS
+        share = (order0.end.take(wide, mode="clip") * left >> ORDER0_BITS) - first
+        start = np.where(in_two, 0, np.where(in_both, two, first + both))
+        share = np.where(in_two, two, np.where(in_both, models.one, share))
         code[:n] -= step * start
         size[:n] = step * share
+        narrow = size[:n] < (1 << LOW_BITS)
+        code[:n] = np.where(narrow, code[:n] << 16 | data.take(next_word[:n], mode="clip"), code[:n])
+        next_word[:n] += narrow
+        size[:n] = np.where(narrow, size[:n] << 16, size[:n])
         narrow = np.flatnonzero(size[:n] < (1 << LOW_BITS))
         while len(narrow):
-            came = data.take(np.minimum(next_word[narrow], len(data) - 1))
-            code[narrow] = (code[narrow] << 16) + (spare[narrow] << 8) + (came >> 8)
-            spare[narrow] = came & 0xFF
+            code[narrow] = code[narrow] << 16 | data.take(next_word[narrow], mode="clip")
             next_word[narrow] += 1
-            wider = size[narrow] << 16
-            size[narrow] = wider
-            narrow = narrow[wider < (1 << LOW_BITS)]
+            size[narrow] <<= 16
+            narrow = narrow[size[narrow] < (1 << LOW_BITS)]
         by_round[at, :n] = number
-        models.learn(n, number, number == models.id_two, number == models.id_one)
+        models.learn(n, number, models.ids == number)
     numbers = by_round.T.reshape(-1)[:n_ids]
     ids = order0.ids[numbers] if n_ids else np.zeros(0, "<u4")
     for block in range(blocks):

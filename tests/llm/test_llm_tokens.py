@@ -10,6 +10,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from conftest import SF
 from hypothesis import given, settings
@@ -328,3 +329,20 @@ def test_a_training_step_costs_what_its_tokens_cost():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 8 << 20 and seen[0] == 60 and seen.sum() == 360
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.text(max_size=30), st.text("abelmrstv'' .,!-019\n\té×<", max_size=20)), max_size=12))
+def test_batches_are_cut_like_single_texts(texts):
+    texts = [*texts, "<|endoftext|>", "it's l's 'll", "x \n's"]
+    for kind in FILES:
+        ids, counts = encode.encoder(FILES[kind], kind).batch(pa.array(texts, pa.string()))
+        want = [library_ids(kind, t) for t in texts]
+        assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for own in want for i in own]
+
+
+def test_pieces_asked_for_last_are_kept():
+    kept = encode.Kept(str.encode, 3)
+    kept.renew(["a", "b", "c", "x" * 99], [b"1"] * 4)
+    kept.renew(["a", "d"], [b"1"] * 2)
+    assert list(kept) == ["c", "a", "d"]
