@@ -39,6 +39,8 @@ END, END_CLASS = "", 0  # the end of a text, written like a word that no text ca
 ROUNDS, RATE, BATCH = 2, 0.2, 8192
 CHUNK_TOKENS, PART_TOKENS = 4_000_000, 500_000  # of a chunk, and of its part worked on at once
 BLOCK_ROWS = 512
+FEW = 64  # tokens of a row in a step that are added one by one, for all rows at once
+CACHED_ROWS = 1024  # of CLASSES numbers, worked on while they are in a core's cache
 WORKERS_PER_CORE = 2
 MARKS = ".!?"
 STRIPPED = "\"'()[]{}.,;:!?-_*#$%&<>|"
@@ -153,11 +155,16 @@ class History:
 
 def _scores(weights, rows):
     """(tokens, CLASSES): added up weights, 0 for the best class. rows[0] is the bias, which all tokens share."""
-    scores = weights[rows[1]]
-    scores += weights[0]
-    for own in rows[2:]:
-        scores += weights[own]
-    scores -= scores.max(axis=1, keepdims=True)
+    import numpy as np
+
+    scores = np.empty((rows.shape[1], weights.shape[1]), weights.dtype)
+    for at in range(0, len(scores), CACHED_ROWS):
+        own = scores[at:at + CACHED_ROWS]
+        np.take(weights, rows[1, at:at + CACHED_ROWS], axis=0, out=own, mode="clip")
+        own += weights[0]
+        for feature in rows[2:, at:at + CACHED_ROWS]:
+            own += weights.take(feature, axis=0, mode="clip")
+        own -= own.max(axis=1, keepdims=True)
     return scores
 
 
@@ -186,18 +193,35 @@ def _step(weights, squares, seen, history: History, at) -> None:
     met = np.zeros(len(weights), bool)
     met[0] = met[flat] = True
     moved = np.flatnonzero(met)
-    place = np.empty(len(weights), np.int32)
+    place = np.empty(len(weights), np.min_scalar_type(len(moved)))
     place[moved] = np.arange(len(moved))
-    place = place[flat].astype(np.int64)
-    total = np.empty((CLASSES, len(moved)), np.float32)
-    for k, own in enumerate(np.ascontiguousarray(slope.T, np.float64)):
-        total[k] = np.bincount(place, np.tile(own, len(rows) - 1), len(moved))
-    total[:, 0] = slope.sum(axis=0, dtype=np.float64)  # the bias
-    total = np.ascontiguousarray(total.T)
-    gone = squares[moved] + total * total
-    squares[moved] = gone
-    weights[moved] -= RATE * total / np.sqrt(gone + 1)
-    seen[moved] += np.bincount(place, minlength=len(moved))
+    place = place[flat]
+    # A row's tokens stand together in `order`. Rows of most tokens come first, so that those with a token more to add
+    # are the first ones; the bias, which is no feature, is the last.
+    order = np.argsort(place, kind="stable") % len(at)
+    tokens = np.bincount(place, minlength=len(moved))
+    often = np.argsort(tokens, kind="stable")[::-1]
+    starts = (np.cumsum(tokens) - tokens)[often]
+    moved, tokens = moved[often], tokens[often]
+    more = len(moved) - np.searchsorted(tokens[::-1], np.arange(FEW + 1), "right")  # rows of more tokens than so many
+    total = slope.take(order.take(starts, mode="clip"), axis=0, mode="clip")
+    for rank in range(1, FEW):
+        if more[rank]:
+            total[:more[rank]] += slope.take(order.take(starts[:more[rank]] + rank), axis=0, mode="clip")
+    for k in range(more[FEW]):
+        total[k] += slope.take(order[starts[k] + FEW:starts[k] + tokens[k]], axis=0, mode="clip").sum(axis=0)
+    total[-1] = slope.sum(axis=0, dtype=np.float64)
+    for first in range(0, len(moved), CACHED_ROWS):
+        some = moved[first:first + CACHED_ROWS]
+        own = total[first:first + CACHED_ROWS]
+        gone = squares.take(some, axis=0) + own * own
+        squares[some] = gone
+        gone += 1
+        np.sqrt(gone, out=gone)
+        own *= RATE
+        own /= gone
+        weights[some] -= own
+    seen[moved] += tokens
     seen[0] += len(at)
 
 

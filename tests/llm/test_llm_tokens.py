@@ -346,3 +346,26 @@ def test_pieces_asked_for_last_are_kept():
     kept.renew(["a", "b", "c", "x" * 99], [b"1"] * 4)
     kept.renew(["a", "d"], [b"1"] * 2)
     assert list(kept) == ["c", "a", "d"]
+
+
+def test_slopes_of_frequent_rows_are_added_up_row_by_row(monkeypatch):
+    rng = np.random.default_rng(6)
+    n = 5 * maxent.FEW
+    history = maxent.History(rng.integers(0, 4, n), np.array([n]), rng.integers(0, 1 << 32, 4), rng.integers(0, 3, 4))
+    weights = rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
+    at = np.arange(n)
+    rows = history.rows(at)
+    shares = np.exp(weights[rows].sum(axis=0, dtype=np.float64))
+    shares /= shares.sum(axis=1, keepdims=True)
+    shares[at, history.target] -= 1
+    slope, want = np.zeros(weights.shape), np.zeros(len(weights))
+    for own in rows:
+        np.add.at(slope, own, shares)
+        np.add.at(want, own, 1)
+    count = np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, weights=None, minlength=0: pytest.fail("a pass per class") if weights is not None else count(x, minlength=minlength))
+    squares, seen = np.zeros_like(weights), np.zeros(len(weights), np.float32)
+    moved = weights - maxent.RATE * slope / np.sqrt(slope**2 + 1)
+    maxent._step(weights, squares, seen, history, at)
+    assert want.max() > maxent.FEW and np.array_equal(seen, want)
+    assert np.allclose(weights, moved, atol=1e-4) and np.allclose(squares, slope**2, rtol=1e-3, atol=1e-5)
