@@ -72,8 +72,13 @@ def _chunks(rows: DataFrame) -> DataFrame:
             codes[at_word] = coded.indices.to_numpy() + 1
             known = pa.concat_arrays([pa.array([END]), coded.dictionary])
             trained = np.bincount(codes[np.repeat(~is_held, counts + 1)], minlength=len(known))
-            row = [pa.concat_arrays(keys).to_pylist(), known.to_pylist(), trained.tolist(), zlib.compress(codes, 1), (counts + 1).tolist(), is_held.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, types)], schema=types)
+            lists = [pa.concat_arrays(keys), known, trained, None, counts + 1, is_held]
+            row = [
+                pa.array([zlib.compress(codes, 1)], f.type) if own is None
+                else pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), pa.array(own).cast(f.type.value_type))
+                for own, f in zip(lists, types)
+            ]
+            return pa.RecordBatch.from_arrays([own.cast(f.type) for own, f in zip(row, types)], schema=types)
 
         for part in pieces(batches, "text"):
             split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column(1), "")))
@@ -104,14 +109,19 @@ class Words:
         from xxhash import xxh32_intdigest
 
         first = 1 + TOP_WORDS
-        found = np.empty(len(words), np.int64)
-        for k, w in enumerate(words):
+        found, of_tail = [], {}
+        for w in words:
             own = self.own.get(w)
             if own is None:
-                ending = w.rstrip(STRIPPED)[-2:].encode()
-                own = first + 2 * (xxh32_intdigest(ending) % SUFFIXES) + (w[-1] in MARKS)
-            found[k] = own
-        return found
+                tail = w[-4:] if w[-1] in STRIPPED else w[-2:]
+                own = of_tail.get(tail)
+            if own is None:
+                ending = w.rstrip(STRIPPED)[-2:]
+                own = first + 2 * (xxh32_intdigest(ending.encode()) % SUFFIXES) + (w[-1] in MARKS)
+                if tail.rstrip(STRIPPED)[-2:] == ending and len(ending) == 2:  # any word of this tail ends alike
+                    of_tail[tail] = own
+            found.append(own)
+        return np.array(found, np.int64)
 
     def numbers(self, words: list[str]):
         import numpy as np
@@ -177,6 +187,18 @@ def _log_classes(weights, rows):
     return scores
 
 
+def _log_targets(weights, rows, target):
+    """The tokens' log probabilities of their own classes."""
+    import numpy as np
+
+    logs = np.empty(len(target), weights.dtype)
+    for at in range(0, len(target), CACHED_ROWS):
+        scores = _scores(weights, rows[:, at:at + CACHED_ROWS])
+        own = scores[np.arange(len(scores)), target[at:at + CACHED_ROWS]]
+        logs[at:at + CACHED_ROWS] = own - np.log(np.exp(scores, out=scores).sum(axis=1))
+    return logs
+
+
 def _step(weights, squares, seen, history: History, at) -> None:
     """One AdaGrad step on the tokens `at`; the slopes of a row's tokens are added up class by class.
 
@@ -225,12 +247,14 @@ def _step(weights, squares, seen, history: History, at) -> None:
     seen[0] += len(at)
 
 
-def _read_chunk(row: dict, words: Words):
+def _read_chunk(chunk, k: int, words: Words):
+    """The k-th chunk: its words' numbers by token, documents' sizes, whether they are held out, numbers and classes by word."""
     import numpy as np
 
-    codes = np.frombuffer(zlib.decompress(row["_codes"]), "<u4").astype(np.int64)
-    sizes = np.array(row["_sizes"], np.int64)
-    return codes, sizes, words.numbers(row["_words"]), words.classes(row["_words"])
+    codes = np.frombuffer(zlib.decompress(chunk["_codes"][k].as_py()), "<u4").astype(np.int64)
+    sizes, held, listed = (chunk[c][k].values.to_numpy(zero_copy_only=False) for c in ("_sizes", "_held", "_words"))
+    listed = listed.tolist()
+    return codes, sizes.astype(np.int64), held.astype(bool), words.numbers(listed), words.classes(listed)
 
 
 def _parts(codes, sizes):
@@ -266,9 +290,8 @@ def _changes(chunks: DataFrame, words, weights, number: int) -> DataFrame:
         squares, seen = np.zeros_like(own), np.zeros(len(own), np.float32)
         for batch in batches:
             for k in range(batch.num_rows):
-                row = batch.slice(k, 1).to_pylist()[0]
-                codes, sizes, numbers, classes = _read_chunk(row, words.value)
-                turn = (np.arange(len(sizes)) % ROUNDS == number) & ~np.array(row["_held"], bool)
+                codes, sizes, held, numbers, classes = _read_chunk(batch, k, words.value)
+                turn = (np.arange(len(sizes)) % ROUNDS == number) & ~held
                 for first, part_sizes, part_codes in _parts(codes, sizes):
                     history = History(part_codes, part_sizes, numbers, classes)
                     used = np.flatnonzero(np.repeat(turn[first:first + len(part_sizes)], part_sizes))
@@ -362,8 +385,9 @@ def score_texts(df: DataFrame, key: str, held_out, text: str = "text") -> DataFr
         from pyspark.sql.pandas.types import to_arrow_schema
 
         types, columns = to_arrow_schema(schema), [[] for _ in schema.fields]
-        for row in chunk.to_pylist():
-            codes, sizes, numbers, classes = _read_chunk(row, words.value)
+        for row in range(chunk.num_rows):
+            codes, sizes, held, numbers, classes = _read_chunk(chunk, row, words.value)
+            keys = chunk["_keys"][row].values
             c = np.zeros(len(classes), np.int64)
             c[counted.column("local").to_numpy()] = counted.column("c").to_numpy()
             base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
@@ -374,14 +398,14 @@ def score_texts(df: DataFrame, key: str, held_out, text: str = "text") -> DataFr
                 logs = np.empty(len(part))
                 for k in range(0, len(part), BATCH):
                     some = np.arange(k, min(k + BATCH, len(part)))
-                    logs[some] = _log_classes(weights.value, history.rows(some, len(weights.value)))[np.arange(len(some)), history.target[some]]
+                    logs[some] = _log_targets(weights.value, history.rows(some, len(weights.value)), history.target[some])
                 first, stop = history.ends - part_sizes, at + len(part_sizes)
                 values = [
-                    row["_keys"][at:stop], row["_held"][at:stop], part_sizes, np.add.reduceat((c > 0)[part].astype(np.int64), first),
+                    keys[at:stop].to_pylist(), held[at:stop].tolist(), part_sizes, np.add.reduceat((c > 0)[part].astype(np.int64), first),
                     np.full(len(part_sizes), n), np.add.reduceat(base[part], first), np.add.reduceat(logs + inside[part], first) / np.log(10),
                 ]
                 for own, made in zip(columns, values):
-                    own += list(made)
+                    own += made if isinstance(made, list) else made.tolist()
         return pa.table([pa.array(own, f.type) for own, f in zip(columns, types)], schema=types)
 
     known = listed.select("_chunk", "local", "word").join(counts, "word").select("_chunk", "local", "c")

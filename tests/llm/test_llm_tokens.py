@@ -369,3 +369,19 @@ def test_slopes_of_frequent_rows_are_added_up_row_by_row(monkeypatch):
     maxent._step(weights, squares, seen, history, at)
     assert want.max() > maxent.FEW and np.array_equal(seen, want)
     assert np.allclose(weights, moved, atol=1e-4) and np.allclose(squares, slope**2, rtol=1e-3, atol=1e-5)
+
+
+def test_targets_of_many_tokens_have_their_log_probabilities():
+    rng = np.random.default_rng(7)
+    n = 2 * maxent.CACHED_ROWS + 5
+    weights = rng.normal(size=(maxent.ROWS, maxent.CLASSES)).astype(np.float32)
+    rows, target = rng.integers(0, maxent.ROWS, (6, n)), rng.integers(0, maxent.CLASSES, n)
+    rows[0] = 0
+    want = maxent._log_classes(weights, rows)[np.arange(n), target]
+    assert np.allclose(maxent._log_targets(weights, rows, target), want, atol=1e-4)
+
+
+def test_classes_by_word_ends_equal_those_word_by_word():
+    words = ["walking", "talking", "ing", "g", "ng.", "king.!", "x*y", "...", "a.", "é.", "--ab", "ab--", "b--", "cab--", "", "the"] * 2
+    known = maxent.Words(["the"])
+    assert known.classes(words).tolist() == [int(known.classes([w])[0]) for w in words]
