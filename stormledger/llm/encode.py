@@ -13,7 +13,6 @@ from __future__ import annotations
 
 import re
 from functools import lru_cache
-from itertools import islice
 from struct import pack
 
 CACHED_PIECES, CACHED_CHARS = 400_000, 24  # bounds on a worker's memory: so many pieces, of so many characters each
@@ -56,15 +55,6 @@ class Kept(dict):
             self[key] = value
         return value
 
-    def renew(self, keys: list, values: list) -> None:
-        """These keys, the latest that were asked for, become the newest; the oldest beyond `most` go."""
-        for key, value in zip(keys, values):
-            if len(key) <= CACHED_CHARS:
-                self.pop(key, None)
-                self[key] = value
-        for key in list(islice(self, max(0, len(self) - self.most))):
-            del self[key]
-
 
 class PieceEncoder:
     """kind: "byte" (byte-level pieces) or "word" (lower-cased words, white space dropped)."""
@@ -80,7 +70,7 @@ class PieceEncoder:
         self.cut = PATTERNS[kind].findall
         specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, specials))) if specials else None
-        self.pieces = Kept(self._piece, CACHED_PIECES)
+        self.pieces, self.older = Kept(self._piece, CACHED_PIECES), {}
 
     def _piece(self, piece: str) -> bytes:
         found = [t.id for t in self.model.tokenize(byte_level(piece))]
@@ -119,19 +109,30 @@ class PieceEncoder:
         ).dictionary_encode()
         distinct = cut.dictionary.to_numpy(zero_copy_only=False).tolist()
         found = list(map(self.pieces.get, distinct))
-        missed = [k for k, own in enumerate(found) if own is None]
+        absent = [k for k, own in enumerate(found) if own is None]
+        for k in absent:
+            found[k] = self.older.get(distinct[k])
+        missed = [k for k in absent if found[k] is None]
         # One pass writes all of them byte by byte; no PLAIN text holds the character between them.
         shown = byte_level("\0".join(distinct[k] for k in missed)).split(BYTE_CHARS[0])
         for k, piece in zip(missed, shown):
             own = [t.id for t in self.model.tokenize(piece)]
             found[k] = pack(f"<{len(own)}I", *own)
-        self.pieces.renew(distinct, found)
+        for k in absent:
+            if len(distinct[k]) <= CACHED_CHARS:
+                self.pieces[distinct[k]] = found[k]
+        if len(self.pieces) > CACHED_PIECES // 4:  # what is not asked for until this happens again is forgotten
+            self.pieces, self.older = Kept(self._piece, CACHED_PIECES), self.pieces
         sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids, first = np.frombuffer(b"".join(found), "<u4"), np.cumsum(sizes) - sizes
         piece = cut.indices.to_numpy()
         taken = sizes.take(piece)
         ends = np.concatenate([[0], np.cumsum(taken)])  # ids before each piece, and all of them
-        ids = ids.take(np.repeat(first.take(piece) - ends[:-1], taken) + np.arange(ends[-1]))
+        small = np.int32 if ends[-1] < 1 << 31 else np.int64
+        at = np.repeat((first.take(piece) - ends[:-1]).astype(small), taken)
+        at += np.arange(ends[-1], dtype=small)
+        ids = ids.take(at)
+        del at
         before = ends[np.searchsorted(starts, text_at)]
         counts = np.diff(before)
         if whole:

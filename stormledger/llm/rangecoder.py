@@ -88,9 +88,10 @@ class _Models:
     def predict(self, n: int) -> None:
         """For the first n blocks: the ids orders 1 and 2 expect, and their shares of TOTAL."""
         # 32-bit products wrap around, alike on any machine.
-        self.at = (self.context[:, :n] * FACTOR >> HASH_SHIFT) + self.lanes[:, :n]
+        self.at = (self.context[:, :n] * FACTOR >> HASH_SHIFT).astype(np.int64)
+        self.at += self.lanes[:, :n]
         self.held = self.slots.take(self.at, mode="clip")
-        self.ids, self.sure = self.held >> 4, self.held & SURE
+        self.ids, self.sure = self.held >> 4, (self.held & SURE).astype(np.int64)
         agree = (self.ids[0] == self.ids[1]).astype(np.int64)
         self.at_mix = (self.sure[1] << 4 | self.sure[0]) + self.lane_mix[:n] + (agree << 8)
         self.own = self.weights.take(self.at_mix, mode="clip")
@@ -100,11 +101,13 @@ class _Models:
 
     def learn(self, n: int, number: np.ndarray, hit: np.ndarray) -> None:
         """number: the ids that came, as numbers among the segment's distinct ids; hit: whether they were expected."""
-        flags = hit.view(np.int8)
+        came = hit.astype(np.int64)
         halves = self.own.view(np.int32)
-        moved = ((TARGETS.take(flags[0] + (flags[1] << 1)).view(np.int32) - halves) >> RATE) + halves
+        moved = TARGETS.take(came[0] + (came[1] << 1), mode="clip").view(np.int32) - halves
+        moved >>= RATE
+        moved += halves
         self.weights[self.at_mix] = moved.view(np.int64)
-        case = (flags << 4) + self.sure
+        case = (came << 4) + self.sure
         # A missed id of the least confidence gives way.
         self.slots[self.at] = np.where(case <= 1, (number << 4) + 1, self.held + CONFIDENCE.take(case, mode="clip"))
         last, pair = self.context[:, :n]
@@ -240,7 +243,7 @@ def decode(segment: bytes) -> np.ndarray:
         code[:n] -= step * start
         size[:n] = step * share
         narrow = size[:n] < (1 << LOW_BITS)
-        code[:n] = np.where(narrow, code[:n] << 16 | data.take(next_word[:n], mode="clip"), code[:n])
+        code[:n] = np.where(narrow, code[:n] << 16 | data.take(next_word[:n], mode="clip").astype(np.int64), code[:n])
         next_word[:n] += narrow
         size[:n] = np.where(narrow, size[:n] << 16, size[:n])
         narrow = np.flatnonzero(size[:n] < (1 << LOW_BITS))

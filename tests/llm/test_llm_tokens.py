@@ -341,11 +341,14 @@ def test_batches_are_cut_like_single_texts(texts):
         assert counts.tolist() == list(map(len, want)) and ids.tolist() == [i for own in want for i in own]
 
 
-def test_pieces_asked_for_last_are_kept():
-    kept = encode.Kept(str.encode, 3)
-    kept.renew(["a", "b", "c", "x" * 99], [b"1"] * 4)
-    kept.renew(["a", "d"], [b"1"] * 2)
-    assert list(kept) == ["c", "a", "d"]
+def test_pieces_asked_for_again_are_kept(monkeypatch):
+    monkeypatch.setattr(encode, "CACHED_PIECES", 4)
+    coder = encode.PieceEncoder(FILES["byte"], "byte")
+    for text in ("a", " b c d", "a", " e f g", "a"):
+        coder.batch(pa.array([text]))
+        assert len(coder.pieces) + len(coder.older) <= 8
+    assert "a" in coder.pieces or "a" in coder.older
+    assert " b" not in coder.pieces and " b" not in coder.older
 
 
 def test_slopes_of_frequent_rows_are_added_up_row_by_row(monkeypatch):
