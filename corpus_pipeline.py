@@ -10,12 +10,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stormledger.llm.jaccard import without_near_copies
+from stormledger.llm.jaccard import near_copies
 from stormledger.llm.quality import clean_lines
 from stormledger.llm.secrets import redact
 from stormledger.llm.simhash import near_groups
 from stormledger.llm.spans import remove_repeats
 from stormledger.llm.token_queries import packed_documents
+from stormledger.operators.joins import join_numbers
 from stormledger.session import WorkTables, materialise
 
 
@@ -50,11 +51,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Groups are those of op10_simhash; what they leave is then freed of texts that share 80 % of
     their five-word shingles, which mostly differ in more bits than op10's contract links.
     """
-    work = WorkTables(spark, "simhash")
-    left = near_groups(_carried(docs), "doc_id", work=work).filter("stays").drop("fingerprint", "component_id", "stays")
-    kept = without_near_copies(left, "doc_id")  # has stored its rows
+    rows = WorkTables(spark, "near-rows").save(_carried(docs).withColumn("_no", F.monotonically_increasing_id()))
+    # The texts stay where they are stored; only the numbers of their rows travel.
+    work, lost = WorkTables(spark, "simhash"), WorkTables(spark, "near-lost")
+    groups = near_groups(rows.select("doc_id", "_no", "text"), "doc_id", slim=True, work=work)
+    first = lost.save(groups.filter("not stays").select("_no"))
     work.drop()
-    return _restored(docs, kept)
+    second = near_copies(rows, "_no", "doc_id", lost=first)
+    return _restored(docs, join_numbers(rows, first.union(second), "_no", "left_anti", lost))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

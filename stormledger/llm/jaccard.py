@@ -35,6 +35,7 @@ from pyspark.sql import types as T
 
 from stormledger.llm.arrow import add_columns
 from stormledger.llm.simhash import LOWER, SEED
+from stormledger.operators.joins import join_numbers
 from stormledger.operators.network import components
 from stormledger.session import WorkTables
 
@@ -265,14 +266,25 @@ def without_near_copies(df: DataFrame, key: str, text: str = "text") -> DataFram
     have no shingle and stay, repeated or not; repeated rows with words are near and one stays.
     Texts of any length are taken whole. An empty table gives an empty one; all columns are kept.
     """
-    spark = df.sparkSession
-    rows = WorkTables(spark, "jaccard-rows").save(df.withColumn("_row", F.monotonically_increasing_id()))
+    rows = WorkTables(df.sparkSession, "jaccard-rows").save(df.withColumn("_row", F.monotonically_increasing_id()))
+    work = WorkTables(df.sparkSession, "jaccard-lost")
+    return join_numbers(rows, near_copies(rows, "_row", key, text), "_row", "left_anti", work).drop("_row")
+
+
+def near_copies(rows: DataFrame, row: str, key: str, text: str = "text", lost: DataFrame | None = None) -> DataFrame:
+    """The numbers of the rows that without_near_copies leaves out, in a stored column `row`.
+
+    rows: a stored table; row: its column of distinct longs. Rows named in `lost` (row) count as absent.
+    """
+    spark = rows.sparkSession
     work = WorkTables(spark, "jaccard")
     signed = add_columns(
-        rows.select("_row", F.col(key).alias("_key"), F.col(text).alias("_body")), "_body",
+        rows.select(F.col(row).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_body")), "_body",
         [T.StructField("buckets", T.ArrayType(T.LongType()))], lambda texts: [[buckets(shingles(t)) for t in texts]],
     ).drop("_body")
     signed = work.save(signed)
+    if lost is not None:
+        signed = signed.join(lost.select(F.col(row).alias("_row")), "_row", "left_anti")
     # Numbers that follow the keys' order, so that a smaller node is a row that goes before.
     nodes = work.save(signed.orderBy(F.col("_key").asc_nulls_last(), "_row").select(
         F.monotonically_increasing_id().alias("node"), "_row", "buckets",
@@ -281,9 +293,9 @@ def without_near_copies(df: DataFrame, key: str, text: str = "text") -> DataFram
     shared = filed.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     members = work.save(filed.join(shared, "bucket"))
     used = members.select("node").distinct().join(nodes.select("node", "_row"), "node")
-    bodies = used.join(rows.select("_row", F.col(text).alias("body")), "_row").select("node", "body")
+    bodies = join_numbers(rows.select(F.col(row).alias("_row"), F.col(text).alias("body")), used, "_row", "inner", work)
     prints = add_columns(
-        bodies, "body", [T.StructField("hashes", T.ArrayType(T.LongType()))],
+        bodies.select("node", "body"), "body", [T.StructField("hashes", T.ArrayType(T.LongType()))],
         lambda texts: [[hashed(shingles(t)) for t in texts]],
     )
     prints = work.save(prints.select("node", F.size("hashes").alias("n"), "hashes"))
@@ -293,6 +305,6 @@ def without_near_copies(df: DataFrame, key: str, text: str = "text") -> DataFram
     if many:
         rounds.across(crowd.select("node"))
     gone = components(rounds.links()).filter("comp < node").select("node")
-    lost = work.save(nodes.join(gone, "node", "left_semi").select("_row"))
+    found = work.save(nodes.join(gone, "node", "left_semi").select(F.col("_row").alias(row)))
     work.keep_last()
-    return rows.join(lost, "_row", "left_anti").drop("_row")
+    return found

@@ -125,7 +125,7 @@ def near_groups(
     df: DataFrame, key: str, text: str = "text", distance: int = DISTANCE, shingle_words: int = SHINGLE_WORDS,
     slim: bool = False, work: WorkTables | None = None,
 ) -> DataFrame:
-    """df (slim: its key alone) with fingerprint, component_id and stays.
+    """df (slim: without its text) with fingerprint, component_id and stays.
 
     component_id is the smallest `key` among the rows reachable over links; stays is true for
     exactly one row of a component, one that holds this key. Null keys are never the smallest while
@@ -139,7 +139,7 @@ def near_groups(
     work = work or WorkTables(df.sparkSession, "simhash")
     kept = df.drop("fingerprint", "component_id", "stays")
     marked = with_fingerprint(kept, text, shingle_words)
-    marked = marked.select(key, "fingerprint") if slim else marked
+    marked = marked.drop(text) if slim else marked
     rows = work.save(marked.withColumn("_row", F.monotonically_increasing_id()))
     best = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_row").alias("row")))
     prints, distinct = work.save_counting(

@@ -403,3 +403,37 @@ def test_near_duplicates_leave_no_table_of_groups(spark, monkeypatch):
     docs = spark.createDataFrame([(k, PROSE * (1 + k % 2), None, "s", 0) for k in range(6)], DOCS)
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) in ([0], [0, 1])
     assert [w.paths for w in made] == [[]]
+
+
+def test_near_duplicates_store_texts_once_and_do_not_shuffle_them(spark, monkeypatch):
+    import corpus_pipeline
+
+    saved, save = [], WorkTables.save
+
+    def noted(self, df):
+        saved.append(df.columns)
+        return save(self, df)
+
+    monkeypatch.setattr(WorkTables, "save", noted)
+    other = [" ".join(f"{mark}{k}" for k in range(120)) for mark in "ab"]
+    texts = [PROSE, PROSE, other[0], other[0] + " more", other[1], "", None]
+    docs = spark.createDataFrame([(k, t, None, "s", 0) for k, t in enumerate(texts)], DOCS)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = corpus_pipeline.near_duplicates(spark, docs, SF)
+        plan = left._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r["doc_id"] for r in left.collect()) == [0, 2, 4, 5]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("text" in columns for columns in saved) == 1
+    assert "hashpartitioning" not in plan
+
+
+def test_joins_by_number_beyond_the_limit(spark):
+    from stormledger.operators.joins import join_numbers
+
+    rows, few = spark.range(100), spark.range(0, 40, 2)
+    for how, expected in (("left_anti", 80), ("inner", 20)):
+        for most in (19, 20):
+            got = join_numbers(rows, few, "id", how, WorkTables(spark, "test"), most)
+            assert got.count() == expected
