@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stormledger.llm.arrow import pieces
+from stormledger.llm.arrow import SMALL_BYTES, pieces, small_batches
 from stormledger.llm.encode import encoder
 
 SEGMENT_IDS = 2 << 20  # bounds a worker's memory while it codes a segment
@@ -55,8 +55,9 @@ def write_ids(
             row = [shard, number, first, waiting, encode(np.concatenate(ids)), keys, np.concatenate(sizes)]
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, types)], schema=types)
 
-        for part in pieces(batches, "text"):
+        for part in pieces(batches, "text", SMALL_BYTES):
             own, found, counts = part.column(0).to_pylist(), *coder.batch(part.column(1))
+            del part
             ends = np.cumsum(counts + 1)
             found = np.insert(found, np.cumsum(counts), end_id)
             at = before = 0
@@ -74,7 +75,8 @@ def write_ids(
         if keys:
             yield segment()
 
-    placed.mapInArrow(run, schema).write.parquet(folder)
+    with small_batches(df.sparkSession):
+        placed.mapInArrow(run, schema).write.parquet(folder)
 
 
 def read_ids(spark: SparkSession, folder: str) -> DataFrame:

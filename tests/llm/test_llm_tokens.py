@@ -388,3 +388,37 @@ def test_classes_by_word_ends_equal_those_word_by_word():
     words = ["walking", "talking", "ing", "g", "ng.", "king.!", "x*y", "...", "a.", "é.", "--ab", "ab--", "b--", "cab--", "", "the"] * 2
     known = maxent.Words(["the"])
     assert known.classes(words).tolist() == [int(known.classes([w])[0]) for w in words]
+
+
+def test_batches_are_let_go_and_bounded(spark, tmp_path):
+    import weakref
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from stormledger.llm import arrow, idfile
+
+    gone = []
+
+    def batches():
+        for _ in range(3):
+            batch = pa.RecordBatch.from_arrays([pa.array(["text"] * 10)], ["text"])
+            last = weakref.ref(batch)
+            yield batch
+            del batch
+            gone.append(last() is None)
+
+    for part in arrow.pieces(batches(), "text"):
+        del part
+    assert gone == [True, True, True]
+
+    before = spark.conf.get(arrow.BATCH)
+    with arrow.small_batches(spark):
+        counted = spark.range(0, 2500, 1, 1).mapInArrow(
+            lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"]) for b in batches), "n long",
+        ).collect()
+    assert max(r["n"] for r in counted) <= 1000
+    docs = spark.range(2500).selectExpr("id AS doc_id", "'some text' AS text").coalesce(1)
+    idfile.write_ids(docs, "doc_id", str(tmp_path / "ids"), public_tokenizers.path("byte_bpe_50k.json"), "byte", 2)
+    assert spark.conf.get(arrow.BATCH) == before
+    assert idfile.read_ids(spark, str(tmp_path / "ids")).count() == 2500
