@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from stormledger.llm.arrow import add_columns
+from stormledger.llm.arrow import add_columns, small_batches
 from stormledger.llm.simhash import LOWER, SEED
 from stormledger.operators.joins import join_numbers
 from stormledger.operators.network import components
@@ -281,8 +281,10 @@ def near_copies(rows: DataFrame, row: str, key: str, text: str = "text", lost: D
     signed = add_columns(
         rows.select(F.col(row).alias("_row"), F.col(key).alias("_key"), F.col(text).alias("_body")), "_body",
         [T.StructField("buckets", T.ArrayType(T.LongType()))], lambda texts: [[buckets(shingles(t)) for t in texts]],
-    ).drop("_body")
-    signed = work.save(signed)
+        drop_text=True,
+    )
+    with small_batches(spark):
+        signed = work.save(signed)
     if lost is not None:
         signed = signed.join(lost.select(F.col(row).alias("_row")), "_row", "left_anti")
     # Numbers that follow the keys' order, so that a smaller node is a row that goes before.
@@ -296,9 +298,10 @@ def near_copies(rows: DataFrame, row: str, key: str, text: str = "text", lost: D
     bodies = join_numbers(rows.select(F.col(row).alias("_row"), F.col(text).alias("body")), used, "_row", "inner", work)
     prints = add_columns(
         bodies.select("node", "body"), "body", [T.StructField("hashes", T.ArrayType(T.LongType()))],
-        lambda texts: [[hashed(shingles(t)) for t in texts]],
+        lambda texts: [[hashed(shingles(t)) for t in texts]], drop_text=True,
     )
-    prints = work.save(prints.select("node", F.size("hashes").alias("n"), "hashes"))
+    with small_batches(spark):
+        prints = work.save(prints.select("node", F.size("hashes").alias("n"), "hashes"))
 
     rounds = _Rounds(prints, work)
     crowd, many = work.save_counting(rounds.run(members, OPEN_ROUNDS).withColumn("_one", F.lit(True)), "_one")

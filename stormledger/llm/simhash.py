@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from stormledger.llm.arrow import small_batches
 from stormledger.operators.network import components
 from stormledger.session import WorkTables
 
@@ -140,7 +141,8 @@ def near_groups(
     kept = df.drop("fingerprint", "component_id", "stays")
     marked = with_fingerprint(kept, text, shingle_words)
     marked = marked.drop(text) if slim else marked
-    rows = work.save(marked.withColumn("_row", F.monotonically_increasing_id()))
+    with small_batches(df.sparkSession):
+        rows = work.save(marked.withColumn("_row", F.monotonically_increasing_id()))
     best = F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("_row").alias("row")))
     prints, distinct = work.save_counting(
         rows.groupBy("fingerprint").agg(best.alias("best")).withColumn("_one", F.lit(True)), "_one",
