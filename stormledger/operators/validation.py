@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stormledger.functions.numeric import clip, ratio, round_to
+from stormledger.functions.numeric import clip, fixed_text, ratio, round_to
 
 
 def status(predicted: Column, observed: Column) -> Column:
@@ -93,17 +93,22 @@ def overview(zones: DataFrame, metric_map: DataFrame, names: list[str]) -> DataF
 
 
 def report(metric_rows: DataFrame, zone: str, names: list[str], title: str) -> DataFrame:
-    """A Markdown table as ordered lines (ord, line): heading, one line per zone, the means."""
+    """A Markdown table as ordered lines (ord, line): heading, one line per zone, the means. Figures are
+    written by their exact values (see fixed_text); a line is null where a zone or figure in it is."""
     head = metric_rows.sparkSession.createDataFrame(
         [(0, "", f"# {title}"), (1, "", "| zone | " + " | ".join(names) + " |"), (2, "", "|" + "---|" * (len(names) + 1))],
         "ord int, sub string, line string",
     )
-    cells = [F.format_string("%.4f", F.col(n)) for n in names]
+
+    def line(label: Column, figures: list[Column]) -> Column:
+        cells = [x for f in figures for x in (F.lit(" | "), fixed_text(f, 4))]
+        return F.concat(F.lit("| "), label, *cells, F.lit(" |")).alias("line")
+
     body = metric_rows.select(
         F.lit(3).alias("ord"), F.col(zone).cast("string").alias("sub"),
-        F.concat(F.lit("| "), F.concat_ws(" | ", F.col(zone).cast("string"), *cells), F.lit(" |")).alias("line"),
+        line(F.col(zone).cast("string"), [F.col(n) for n in names]),
+    )
+    means = metric_rows.agg(*[F.avg(n).alias(n) for n in names]).select(
+        F.lit(4).alias("ord"), F.lit("").alias("sub"), line(F.lit("mean"), [F.col(n) for n in names])
     )
-    means = metric_rows.agg(
-        F.concat(F.lit("| mean | "), F.concat_ws(" | ", *[F.format_string("%.4f", F.avg(n)) for n in names]), F.lit(" |")).alias("line")
-    ).select(F.lit(4).alias("ord"), F.lit("").alias("sub"), "line")
     return head.unionByName(body).unionByName(means).orderBy("ord", "sub")

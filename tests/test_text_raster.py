@@ -143,3 +143,33 @@ def test_the_flood_chain_is_run_once(spark, monkeypatch):
     QUERIES["flood_pipeline"](spark, SF)
     (sides,) = met
     assert sides.inputFiles() and all("/flooded-" in f for f in sides.inputFiles())
+
+
+def test_figures_are_written_by_their_exact_values(spark):
+    import random
+
+    from stormledger.functions.numeric import fixed_text
+
+    r = random.Random(5)
+    values = [0.51345, 0.53755, 0.03125, 0.09375, -0.51345, -0.00001, 0.0, 1.0, 0.99995, 5e-324, 0.00005, 123456789.00005, 2.0**39 - 2.0**-14]
+    values += [r.randrange(-10**6, 10**6) / 10**5 for _ in range(2000)] + [r.uniform(-1, 1) * 10 ** r.randint(-6, 15) for _ in range(4000)]
+    values += [k / 32 for k in range(64)] + [r.randrange(2**40) / 2 ** r.randint(1, 20) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    for digits in (0, 2, 4, 8):
+        for x, text in df.select("x", fixed_text(F.col("x"), digits)).collect():
+            if abs(x) < 2.0**53 / 10**digits:
+                assert text == f"{x:.{digits}f}", (x, digits)
+    odd = spark.createDataFrame([(None,), (float("inf"),), (float("nan"),), (1e300,)], "x double")
+    assert [r[0] for r in odd.select(fixed_text(F.col("x"), 4)).collect()][:3] == [None, "Infinity", "NaN"]
+
+
+def test_report_means_that_lie_on_a_tie(spark):
+    from stormledger.operators import validation as V
+
+    rows = [("de", 0.5136, 0.5487), ("en", 0.4824, 0.5259), ("es", 0.4387, 0.4775), ("fr", 0.4566, 0.5017)]
+    lines = V.report(spark.createDataFrame(rows, "zone_id string, iou double, accuracy double"), "zone_id", ["iou", "accuracy"], "t").collect()
+    assert [tuple(r) for r in lines][2:] == [
+        (2, "", "|---|---|---|"), *[(3, z, f"| {z} | {i:.4f} | {a:.4f} |") for z, i, a in rows], (4, "", "| mean | 0.4728 | 0.5134 |"),
+    ]
+    empty = V.report(spark.createDataFrame([], "zone_id string, iou double, accuracy double"), "zone_id", ["iou", "accuracy"], "t").collect()
+    assert [r.line for r in empty] == ["# t", "| zone | iou | accuracy |", "|---|---|---|", None]
