@@ -166,3 +166,35 @@ def test_link_groups_count_repeated_users_once_in_one_aggregation(spark):
     got = {r.entry: (r.segments, r.facility_count, r.earliest_deadline) for r in impact.grouped_links(links, users).collect()}
     assert got == {"road:A": (2, 2, 3), "unnamed|ferry|p|q|0": (1, 1, 1), "link:4": (1, 1, 2)}
     assert "distinct" not in impact.grouped_links(*link_users(spark, SF))._jdf.queryExecution().analyzed().toString().lower()
+
+
+def test_zone_facts_neither_store_nor_shuffle_the_layer(spark, monkeypatch):
+    """Rows of cells and steps are summed up where the cells lie: above the window of the layer there is one
+    exchange, that of partial sums, whatever the sizes."""
+    from conftest import SF
+    from stormledger import session
+    from stormledger.plans import load_all
+    from stormledger.plans.registry import QUERIES
+
+    load_all()
+    stored, save = [], session.WorkTables.save
+    monkeypatch.setattr(session.WorkTables, "save", lambda self, df: stored.append(df) or save(self, df))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        QUERIES["zone_facts"](spark, SF)
+        plans = [df._jdf.queryExecution().executedPlan().toString().splitlines() for df in stored]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    layers = [p for p in plans if any("Window" in x for x in p)]
+    assert len(layers) == 2 and all(any("SortMergeJoin" in x for x in p) for p in layers)
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    for lines in layers:
+        at = next(i for i, x in enumerate(lines) if "Window" in x)
+        above, low = [], depth(lines[at])
+        for x in reversed(lines[:at]):
+            if depth(x) < low:
+                above.append(x)
+                low = depth(x)
+        exchanges = [i for i, x in enumerate(above) if "Exchange" in x]
+        assert len(exchanges) == 1 and "partial_" in above[exchanges[0] - 1], above
