@@ -198,3 +198,15 @@ def test_zone_facts_neither_store_nor_shuffle_the_layer(spark, monkeypatch):
                 low = depth(x)
         exchanges = [i for i, x in enumerate(above) if "Exchange" in x]
         assert len(exchanges) == 1 and "partial_" in above[exchanges[0] - 1], above
+
+
+def test_cells_are_placed_in_parts_of_bounded_size(spark):
+    from conftest import SF
+    from stormledger.plans import inputs as I
+
+    placed = spark.range(1000).withColumnRenamed("id", "k")
+    before = I.spread(placed, "k").rdd.getNumPartitions()
+    assert I.spread(placed, "k", per_task=10).rdd.getNumPartitions() == 100 > before
+    assert I.spread(placed, "k", per_task=1000).rdd.getNumPartitions() == before
+    many, few = I.cells(spark, SF, 3), I.cells(spark, SF)
+    assert sorted(map(tuple, many.collect())) == sorted(map(tuple, few.collect()))
